@@ -1,6 +1,6 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A text is cut into chunks where a rolling hash of the four bytes before a white-space run says so (three of four runs), so the same
+A text is cut into chunks where a rolling hash of the four bytes before a white-space run says so (fifteen of sixteen runs), so the same
 passage is cut the same way in every document. A worker process encodes a chunk once, whichever document it meets it in, and keeps
 its ids and its decoded text in a store of bounded size with two generations (what is not asked for while one fills is forgotten).
 
@@ -11,8 +11,8 @@ description. For any other tokenizer each join is tried: the last piece of the l
 while that disagrees with their separate ids the two chunks are merged and encoded again. A run without white space is
 never cut, however long.
 
-Decoding is the tokenizer's own decode() of each chunk, joined by one space, where the tokenizer has no decoder (it then joins tokens by
-spaces); with a decoder the ids of the whole text are decoded at once.
+Decoding: a tokenizer without a decoder joins its tokens by spaces, so the decoded text is put together from the chunks'; with a
+decoder the ids of the whole text are decoded at once.
 
 Edge cases: null and empty texts, and texts of white space alone, have no ids and the empty decoded text; special tokens written out in a
 text become their ids as in the library; rows are independent, so nulls in doc_id, repeated rows and empty tables need no rule;
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Chunks that each of the two generations of a worker's store holds.
-STORE_CHUNKS = 200_000
+STORE_CHUNKS = 300_000
+#: New chunks that are encoded in one call.
+LINE_CHUNKS = 256
 #: Longer chunks are encoded each time.
 STORE_BYTES = 512
 
@@ -73,15 +75,32 @@ class Encoder:
         self.tokenizer.no_padding()
         description = json.loads(self.tokenizer.to_str())
         self.exact, self.joined = exact_joins(description), description.get("decoder") is None
+        self.folds = '"Lowercase"' in json.dumps(description.get("normalizer"))
+        self.added = [t["content"].lower().encode() for t in description.get("added_tokens", [])]
+        size = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.decimal = [b"%d" % i for i in range(size)]
+        self.shown = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
         self.young: dict[bytes, tuple[int, bytes, bytes]] = {}
         self.old: dict[bytes, tuple[int, bytes, bytes]] = {}
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def folded(self, text: bytes) -> bytes:
+        """The text with A-Z in lower case where the tokenizer does that itself, so that fewer chunks differ; not where that would spell an added token."""
+        lower = text.lower() if self.folds else text
+        return text if lower is not text and any(t in lower for t in self.added) else lower
+
+    def _ids_of_line(self, chunks: list[str]) -> list[list[int]]:
+        """The chunks' ids, encoded as one line and parted where each chunk begins."""
+        begin = np.cumsum([0, *(len(c) + 1 for c in chunks)])
+        found = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        ids = found.ids
+        first = np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(ids)), begin)
+        return [ids[a:b] for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
+
     def _entry(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        shown = self.tokenizer.decode(ids, skip_special_tokens=False).encode() if self.joined and ids else b""
-        return len(ids), b" ".join(b"%d" % i for i in ids), shown
+        return len(ids), b" ".join([self.decimal[i] for i in ids]), b" ".join([self.shown[i] for i in ids])
 
     def look_up(self, chunks: list[bytes]) -> dict[bytes, tuple[int, bytes, bytes]]:
         """The store, with all the chunks in it."""
@@ -94,9 +113,9 @@ class Encoder:
                 missing.append(c)
             else:
                 young[c] = kept
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            for c, ids in zip(part, self.ids([c.decode() for c in part]), strict=True):
+        for k in range(0, len(missing), LINE_CHUNKS):
+            part = missing[k : k + LINE_CHUNKS]
+            for c, ids in zip(part, self._ids_of_line([c.decode() for c in part]), strict=True):
                 young[c] = self._entry(ids)
         return young
 
@@ -115,7 +134,7 @@ def cut(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[0::2], edge[1::2]
     window = sum(buffer[ends - 1 - k].astype(np.uint32) << np.uint32(8 * k) for k in range(4))
-    here = (window * np.uint32(2654435761)) >> np.uint32(30) != 0
+    here = (window * np.uint32(2654435761)) >> np.uint32(28) != 0
     if len(here):
         here[-1] = True
     return starts[np.concatenate(([True], here[:-1]))[: len(starts)]] - 4, ends[here] - 4
@@ -146,7 +165,7 @@ def encode_texts(encoder: Encoder, texts: list[bytes]) -> list[tuple[int, bytes,
         found = [_repaired(encoder, t) for t in texts]
         return [(len(i), b" ".join(b"%d" % x for x in i), encoder.tokenizer.decode(i, skip_special_tokens=False).encode()) for i in found]
     cuts = []
-    for text in texts:
+    for text in map(encoder.folded, texts):
         starts, ends = cut(text)
         cuts.append([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
     store = encoder.look_up([c for chunks in cuts for c in chunks])
