@@ -1,26 +1,66 @@
-"""The registered queries of the training-data operators, and their SQL where SQL can express them."""
+"""The registered queries of the training-data operators; SQL can express none of them, so tests/llm holds them against brute force."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substring
+from . import ann, bpe, common, media, mixing, pii, quality, simhash, substring, toxicity, urls
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+SURROGATE_KEY = b"a key of the caller's; queries use this one"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(_table(spark, sf_dir, "documents"), common.new_folder(spark, "media-shards"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "width", "height")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.repeats_removed(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(_table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_substring_dedup, op7_simhash)}
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded_digests(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(_table(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "text", "n_replaced")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ann, op3_media, op4_mixing, op5_substring_dedup, op6_urls, op7_simhash, op8_bpe, op9_surrogates, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
