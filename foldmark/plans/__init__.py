@@ -1,4 +1,6 @@
 """The registered queries and their comparison SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import checks, cohort, evaluation, reporting  # noqa: F401  each registers its queries
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
