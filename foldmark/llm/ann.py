@@ -113,7 +113,7 @@ def _scan(query: np.ndarray, rotated: np.ndarray, originals: np.ndarray, target:
 def _searcher(k: int, size: int):
     cuts = sorted({max(1, size * b // BLOCKS) for b in range(1, BLOCKS + 1)})
 
-    def run(_key, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def run(_key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(index) and len(queries):
             index = index.assign(low=[x[0] for x in index["ids"]]).sort_values("low", kind="stable")
