@@ -4,10 +4,11 @@ A payload is stored as a grey image of 8-bit samples, WIDTH samples a row (PNG,
 file: equal payloads are one member of one shard. What rows hold is the reference (digest, shard, offset, length); the metadata columns
 (width, height, bit depth) come from a range read of the image's header alone, and only features read whole members.
 
-1. Map tasks encode what they have not met yet in their own partition, so a payload that a third of all rows share is sent once by a task.
-2. Images are dealt out by digest and written, sorted, as a tar shard by each task, into a folder that executors and driver share. A retried task
-   writes a shard of another name; the index names the shard that counts. The index is a written table, so shards are not written twice.
-3. Readers take a shard's members in order of their offset, with range reads through the file system that the folder's address names.
+1. A map task encodes each payload that it has not met yet and appends it to its own tar shard, in a folder that executors and driver share:
+   no payload is shuffled. A retried task writes a shard of another name, which nothing refers to.
+2. The members' rows (a written table, so shards are not written twice) are grouped by payload and one place of each is kept: an address has
+   one member that all rows refer to, and other tasks' copies of it are left unreferred to, at most one in a shard.
+3. Readers take the index by shard and offset, with range reads through the file system that the folder's address names.
 4. References are joined to the rows on the text's digest; the join may split a digest that many rows hold.
 
 Edge cases: null and empty texts are one row of padding (an image of one row); equal texts have equal values, so repeated rows share a
@@ -91,64 +92,66 @@ def feature_of(payload: bytes) -> str:
     return f"{mean:.4f} {spread:.4f} {' '.join(f'{x:.4f}' for x in shares)} {bits}"
 
 
-def _images(batches):
-    met: set[bytes] = set()
-    for batch in batches:
-        keys, images = [], []
-        for text in common.texts_of(batch):
-            key = hashlib.sha256(text).digest()
-            if key not in met:
-                met.add(key)
-                keys.append(key)
-                images.append(to_image(padded(text)))
-            if len(images) == 256:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(images, pa.binary())], ["text_key", "image"])
-                keys, images = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(images, pa.binary())], ["text_key", "image"])
-
-
 def _file_system(folder: str):
     """The file system of a folder's address, and the folder's path in it."""
     return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
-_INDEX = "text_key binary, digest string, shard string, offset long, length long"
+_MEMBER = "text_key binary, digest string, shard string, offset long, length long"
 
 
-def _shard_writer(folder: str):
-    def run(batches):
+class _Shard:
+    """A tar file that a task writes member by member."""
+
+    def __init__(self, folder: str):
         system, path = _file_system(folder)
-        name, out, at, last, rows = f"shard-{uuid.uuid4().hex}.tar", None, 0, None, []
+        system.create_dir(path, recursive=True)
+        self.name, self.at = f"shard-{uuid.uuid4().hex}.tar", 0
+        self.out = system.open_output_stream(f"{path}/{self.name}")
+
+    def add(self, digest: str, image: bytes) -> int:
+        """Writes a member; the offset of its bytes."""
+        info = tarfile.TarInfo(f"{digest}.png")
+        info.size = len(image)
+        head = info.tobuf(tarfile.USTAR_FORMAT)
+        self.out.write(head + image + b"\0" * (-len(image) % 512))
+        begin = self.at + len(head)
+        self.at = begin + len(image) + (-len(image) % 512)
+        return begin
+
+    def close(self) -> None:
+        """Ends the archive with two empty blocks, up to a whole record."""
+        self.out.write(b"\0" * (1024 + (-(self.at + 1024) % tarfile.RECORDSIZE)))
+        self.out.close()
+
+
+def _members(folder: str):
+    def run(batches):
+        met: set[bytes] = set()
+        shard = None
         for batch in batches:
-            for key, image in zip(batch.column("text_key").to_pylist(), batch.column("image").to_pylist(), strict=True):
-                if key == last:
+            rows = []
+            for text in common.texts_of(batch):
+                key = hashlib.sha256(text).digest()
+                if key in met:
                     continue
-                last = key
-                if out is None:
-                    system.create_dir(path, recursive=True)
-                    out = system.open_output_stream(f"{path}/{name}")
+                met.add(key)
+                image = to_image(padded(text))
                 digest = hashlib.sha256(image).hexdigest()
-                info = tarfile.TarInfo(f"{digest}.png")
-                info.size = len(image)
-                head = info.tobuf(tarfile.USTAR_FORMAT)
-                out.write(head + image + b"\0" * (-len(image) % 512))
-                rows.append((key, digest, name, at + len(head), len(image)))
-                at += len(head) + len(image) + (-len(image) % 512)
-        if out is not None:
-            out.write(b"\0" * (-at % tarfile.RECORDSIZE or tarfile.RECORDSIZE) if -at % tarfile.RECORDSIZE >= 1024 or -at % tarfile.RECORDSIZE == 0 else b"\0" * (-at % tarfile.RECORDSIZE + tarfile.RECORDSIZE))
-            out.close()
-        for k in range(0, len(rows), 10_000):
-            part = list(zip(*rows[k : k + 10_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.binary()), pa.array(part[1]), pa.array(part[2]), pa.array(part[3], pa.int64()), pa.array(part[4], pa.int64())], ["text_key", "digest", "shard", "offset", "length"])
+                shard = shard or _Shard(folder)
+                rows.append((key, digest, shard.name, shard.add(digest, image), len(image)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["text_key", "digest", "shard", "offset", "length"])
+        if shard is not None:
+            shard.close()
 
     return run
 
 
 def stored(docs: DataFrame, folder: str) -> DataFrame:
     """Writes the documents' payloads into tar shards under `folder`; (text_key, digest, shard, offset, length), one row for each payload."""
-    images = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_images, "text_key binary, image binary")
-    index = images.repartition("text_key").sortWithinPartitions("text_key").mapInArrow(_shard_writer(folder), _INDEX)
-    return common.written(index, "media-index")
+    members = common.written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_members(folder), _MEMBER), "media-members", compression="zstd")
+    one = members.groupBy("text_key").agg(F.min(F.struct("shard", "offset", "length", "digest")).alias("m")).select("text_key", "m.digest", "m.shard", "m.offset", "m.length")
+    return common.written(one.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), "media-index", compression="zstd")
 
 
 class _Ranges:
@@ -198,7 +201,7 @@ def with_features(index: DataFrame, folder: str) -> DataFrame:
 def media_columns(docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, n_bytes, digest, shard, offset, length, width, height, bit_depth, payload_bytes, payload_sha256, tail_crc32, media_sha256, feature)."""
     index = stored(docs, folder)
-    media = common.written(with_features(with_metadata(index, folder), folder), "media")
+    media = common.written(with_features(with_metadata(index, folder), folder), "media", compression="zstd")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.select("doc_id", F.octet_length("payload").cast("long").alias("n_bytes"), F.unhex(F.sha2("payload", 256)).alias("text_key"))
     return keyed.join(media, "text_key").drop("text_key")
