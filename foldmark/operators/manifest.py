@@ -73,3 +73,8 @@ def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def lookup(rows: DataFrame, dimension: DataFrame, on: list[str], value: str, default: str) -> DataFrame:
     """A label from a dimension (a registry's rows), the default where it has none."""
     return rows.join(dimension.select(*on, value), on, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def measurement_key(shared_label: Column) -> Column:
+    """The measurement that a row counts for: its subject where the cohort's rows share one label, else its measurement id."""
+    return F.when(shared_label, F.col("subject_id").cast("string")).otherwise(F.coalesce(F.col("measurement_id").cast("string"), F.col("subject_id").cast("string")))

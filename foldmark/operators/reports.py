@@ -132,3 +132,10 @@ def cohort_summary(rows: DataFrame, keys: list[str], numbers: list[str], categor
     for c in numbers:
         parts += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_sd"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.avg(F.col(c).isNull().cast("double")).alias(f"{c}_missing")]
     return rows.groupBy(*keys).agg(*parts, *(F.countDistinct(c).alias(f"n_{c}") for c in categories))
+
+
+def information_sources(metrics: DataFrame, constants: DataFrame, lifts: DataFrame, keys: list[str], methods: list[str]) -> DataFrame:
+    """One row for each of the keys: each method's MAE, the contrast with a constant, both lifts and whether the combination beats both; each part is aggregated before the joins."""
+    wide = metrics.groupBy(*keys).pivot("method", methods).agg(F.first("mae"))
+    wide = wide.select(*keys, *(F.col(f"`{m}`").alias(f"{m}_mae") for m in methods))
+    return wide.join(constants.select(*keys, F.col("delta").alias("constant_delta")), keys, "left").join(lifts.select(*keys, "first_lift", "second_lift", "better_than_both"), keys, "left")

@@ -106,3 +106,17 @@ def nested_predictions(rows: DataFrame, folds: int = 5, inner: int = 3, alphas=A
     tested = rows.join(F.broadcast(finals), rows["fold"] == finals["outer"])  # a row for each fold
     predictions = tested.select("subject_id", "measurement_id", "fold", "alpha", F.col("y").alias("y_true"), (dot(F.col("features"), F.col("coefficients")) + F.col("intercept") + F.lit(float(shift))).alias("y_pred"))
     return predictions, selection
+
+
+def benchmark(rows: DataFrame, labels: dict[str, str], cap: int | None = None, seed: str = "cap", **options) -> tuple[DataFrame, DataFrame]:
+    """(predictions, diagnostics) of the nested Ridge with literal label columns and identity decoding.
+
+    cap: at most so many rows of a subject are fitted and predicted. Diagnostics: rows, subjects, chosen penalty and spread of each fold.
+    """
+    from .sampling import capped
+
+    used = rows if cap is None else capped(rows, ["subject_id"], ["measurement_id"], cap, seed)
+    made, chosen = nested_predictions(used, **options)
+    constant = {**{k: F.lit(v) for k, v in labels.items()}, "decoder_mean": F.lit(0.0), "decoder_sd": F.lit(1.0), "estimator_output": F.col("y_pred")}
+    spread = made.groupBy("fold").agg(F.count("*").alias("n_rows"), F.countDistinct("subject_id").alias("n_subjects"), F.stddev_samp("y_pred").alias("prediction_sd"), F.stddev_samp("y_true").alias("truth_sd"))
+    return made.withColumns(constant), spread.join(chosen.withColumnRenamed("outer", "fold"), "fold")

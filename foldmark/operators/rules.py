@@ -152,3 +152,29 @@ def exactly_one(rows: DataFrame, keys: list[str], expected: DataFrame) -> DataFr
     """Expected keys with no row or several."""
     counted = expected.select(*keys).distinct().join(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return broken(counted, "exactly_one", F.col("n") != 1, F.concat_ws("|", *(F.col(k).cast("string") for k in keys)), F.col("n"))
+
+
+def session_violations(rows: DataFrame, length: int, place: int, key: str = "record_id") -> DataFrame:
+    """rows: key, subject_id, session_id, session_position, onset. One subject a session, positions from 1 to length and each once, onsets at their place, ids of the agreed form."""
+    owners = rows.groupBy("session_id").agg(F.countDistinct("subject_id").alias("n"))
+    k = F.col(key)
+    return together(
+        broken(owners, "one_subject", F.col("n") > 1, F.col("session_id"), F.col("n")),
+        broken(rows, "position_in_session", ~F.col("session_position").between(1, length), k, F.col("session_position")),
+        broken(rows, "onset_place", F.col("onset") & (F.col("session_position") != place), k, F.col("session_position")),
+        broken(rows, "session_id_form", ~F.col("session_id").rlike(r"-s\d{3,}$"), k, F.col("session_id")),
+        repeated(rows, "position_once", ["session_id", "session_position"]),
+    )
+
+
+def record_violations(rows: DataFrame, subject: str, expected: int, uniform: list[str]) -> DataFrame:
+    """Subjects without the expected number of records, and columns that should have one value for all and don't."""
+    counts = rows.groupBy(subject).agg(F.count("*").alias("n"))
+    kinds = rows.agg(*(F.countDistinct(c).alias(c) for c in uniform))
+    return together(broken(counts, "record_count", F.col("n") != expected, F.col(subject), F.col("n")), *(broken(kinds, f"uniform_{c}", F.col(c) > 1, F.lit(c), F.col(c)) for c in uniform))
+
+
+def label_violations(units: DataFrame) -> DataFrame:
+    """Units whose aggregation label doesn't say how many seeds they average."""
+    want = F.when(F.col("n_seeds") > 1, "mean_over_seeds").otherwise("single_seed")
+    return broken(units, "aggregation_label", ~F.col("aggregation_mode").eqNullSafe(want), F.concat_ws("|", "subject_id", "measurement_id"), F.col("aggregation_mode"))

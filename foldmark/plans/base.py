@@ -28,7 +28,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-METHODS = ("signal", "covariates", "signal_plus")
 METRIC_NAMES = ("mae", "rmse", "bias", "error_std", "r2", "correlation", "calibration_slope", "calibration_intercept")
 
 

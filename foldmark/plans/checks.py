@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import rules, scoring
-from .base import PRED, predictions, query, sql_units, table
+from ..operators import rules, scoring, sessions
+from .base import ORACLE_SQL, PRED, predictions, query, sql_units, table
+from .cohort import _ordered_events
 
 
 def _counted(found: DataFrame) -> DataFrame:
@@ -80,6 +81,15 @@ def array_violations(spark, d):
     return _counted(rules.array_violations(rows, "vec_id", "v", 64))
 
 
+@query(f"""WITH ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), t AS (SELECT min(event_type) AS t FROM events), mk AS (SELECT *, event_type = (SELECT t FROM t) AND coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY n) <> (SELECT t FROM t), true) AS onset FROM ev),
+s AS ({ORACLE_SQL['session_derivation']}), j AS (SELECT mk.onset, s.* FROM mk JOIN s USING (event_id)) SELECT rule, count(*) AS n FROM (SELECT 'onset_place' AS rule FROM j WHERE onset AND session_position <> 3 UNION ALL SELECT 'position_in_session' FROM j WHERE session_position NOT BETWEEN 1 AND 7) GROUP BY rule""")
+def session_violations(spark, d):
+    rows = _ordered_events(spark, d)
+    marked = sessions.onsets(rows, ["user_id"], "n", F.col("event_type") == rows.agg(F.min("event_type")).first()[0])
+    made = sessions.derived_sessions(marked, ["user_id"], "n", 7, 3).withColumnsRenamed({"user_id": "subject_id", "event_id": "record_id"})
+    return _counted(rules.session_violations(made, 7, 3))
+
+
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) <> 4")
 def expected_counts(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n <> 4")

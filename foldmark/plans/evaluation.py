@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rounded
 from ..operators import bootstrap, contrasts, scoring
-from .base import METHODS, METRIC_NAMES, PRED, SUBJECTS, predictions, query, sql_draws, sql_metrics, sql_moments, sql_round, sql_units, subjects, table
+from .base import METRIC_NAMES, PRED, SUBJECTS, predictions, query, sql_draws, sql_metrics, sql_moments, sql_round, sql_units, subjects, table
 
 REPLICATES = 200
 
@@ -197,5 +197,3 @@ def subject_moments(spark, d):
     index = bootstrap.indexed(moments, ["cohort"]).select("cohort", "subject_id", "idx")
     return moments.withColumns({m: rounded(F.col(m) * f, 3) for m, f in _MOMENT_NAMES.items()}).join(index, ["cohort", "subject_id"])
 
-
-assert set(METHODS) == {"signal", "covariates", "signal_plus"}

@@ -7,14 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rounded
-from ..operators import contrasts, manifest, reports, ridge, scoring, transforms, waveform
-from .base import METRIC_NAMES, PRED, SUBJECTS, predictions, query, sql_metrics, sql_moments, sql_round, sql_units, subjects, table
-from .evaluation import _ORDER_UNITS, REPLICATES, _order_units, _paired, paired_bootstrap_ci
+from ..operators import manifest, reports, ridge, scoring, transforms, waveform
+from .base import PRED, SUBJECTS, predictions, query, sql_metrics, sql_moments, sql_units, subjects, table
+from .evaluation import _ORDER_UNITS, _order_units, complementarity, constant_contrast, paired_bootstrap_ci
 from .base import ORACLE_SQL as _ORACLE
 
-assert REPLICATES
-
-
 def _round(df: DataFrame, names, digits: int = 4) -> DataFrame:
     return df.withColumns({n: rounded(n, digits) for n in names})
 
@@ -110,6 +107,12 @@ def wide_metrics(spark, d):
     return wide.select("cohort", *(rounded(m).alias(f"{m}_mae") for m in ("signal", "covariates", "signal_plus")))
 
 
+@query(f"""WITH w AS ({_ORACLE['wide_metrics']}), c AS ({_ORACLE['constant_contrast']}), l AS ({_ORACLE['complementarity']}) SELECT w.*, c.delta AS constant_delta, l.first_lift, l.second_lift, l.better_than_both FROM w LEFT JOIN c USING (cohort) LEFT JOIN l USING (cohort)""")
+def information_source_table(spark, d):
+    metrics = scoring.balanced_metrics(scoring.scoring_units(predictions(spark, d), ["cohort", "method"]), ["cohort", "method"]).withColumn("mae", rounded("mae"))
+    return reports.information_sources(metrics, constant_contrast(spark, d), complementarity(spark, d), ["cohort"], ["signal", "covariates", "signal_plus"])
+
+
 @query(f"WITH {_ORDER_UNITS} SELECT cohort, subject_id, measurement_id, round((y_true - avg(y_true) OVER (PARTITION BY cohort, subject_id)) * 0.73105857863, 4) + 0.0 AS deviation FROM ou")
 def join_back_means(spark, d):
     rows = _order_units(spark, d).withColumn("deviation", (F.col("y_true") - F.avg("y_true").over(Window.partitionBy("cohort", "subject_id"))) * 0.73105857863)
@@ -178,11 +181,20 @@ def feature_assembly(spark, d):
 
 
 @query()
-def ridge_nested(spark, d):
+def ridge_diagnostics(spark, d):
+    _, found = ridge.benchmark(_vector_rows(spark, d), {"method": "vectors"}, cap=20)
+    return _round(found, ["prediction_sd", "truth_sd", "mae"])
+
+
+def _vector_rows(spark, d) -> DataFrame:
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("measurement_id"), (F.col("vec_id") % 97).alias("subject_id"), (F.col("vec_id") % 97 % 5).cast("int").alias("fold"), F.col("embedding").cast("array<double>").alias("features"), F.col("label").cast("double").alias("y"))
     weights = rows.groupBy("subject_id").agg((1 / F.count("*")).alias("w"))
-    made, _ = ridge.nested_predictions(rows.join(weights, "subject_id"))
-    return _round(made, ["y_pred"])
+    return rows.join(weights, "subject_id")
+
+
+@query()
+def ridge_nested(spark, d):
+    return _round(ridge.nested_predictions(_vector_rows(spark, d))[0], ["y_pred"])
 
 
 # ---- records as arrays
@@ -265,5 +277,3 @@ def _halves(samples, rates) -> np.ndarray:
 def apply_encoder(spark, d):
     return waveform.encoded(_records(spark, d), _halves, 3).select("segment_id", *(rounded(F.col("features")[k], 6).alias(f"f{k}") for k in range(3)))
 
-
-assert METRIC_NAMES and contrasts and sql_round and _paired
