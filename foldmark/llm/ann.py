@@ -11,8 +11,8 @@ candidates and falls as blocks of candidates are scanned.
 A list of more than CHUNK_ROWS vectors is dealt to several tasks by hash; each sends its best, and the best of all are kept.
 
 Edge cases: vectors that are null, zero, or hold a null or a component that is not finite take no part, neither as query nor as
-candidate, and neither do vectors of another length than the most common one, nor rows with a null id; if ids repeat, each row is a candidate and a query's own id
-is none; fewer than k candidates are all returned; an empty table gives an empty result; extra columns are not read.
+candidate, and neither do vectors of another length than the most common one, nor rows with a null id; if ids repeat, each row is a candidate, a query's own id
+is none, and of query rows with one id the smallest vector is asked; fewer than k candidates are all returned; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -153,12 +153,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_column: str
     middle, turn = centres(unit[np.lexsort(unit.T)], min(lists, len(unit))), rotation(size)
     probes = min(probes, len(middle))
     schema = "vector array<double>, ids array<long>, rotated array<double>, lists array<int>"
-    # half precision of the index's columns would do; they are kept whole so that partial distances are those of the vectors
     index = distinct.mapInPandas(_assigner(middle, turn, 1), schema).select("vector", "ids", "rotated", F.col("lists")[0].alias("list"))
     index = common.written(index, "index")
     chunks = F.broadcast(index.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks")))  # one row for each list, MOST_LISTS at most
     dealt = index.join(chunks, "list").withColumn("chunk", F.pmod(F.xxhash64("vector"), F.col("chunks")).cast("int")).drop("chunks")
-    asked = usable(queries, id_column, vector_column).where(F.size("vector") == size)
+    asked = usable(queries, id_column, vector_column).where(F.size("vector") == size).groupBy("id").agg(F.min("vector").alias("vector"))
     asked = asked.select("vector", F.array("id").alias("ids")).mapInPandas(_assigner(middle, turn, probes), schema)
     sent = asked.select(F.col("ids")[0].alias("query_id"), "vector", "rotated", F.explode("lists").alias("list")).join(chunks, "list")
     sent = sent.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")

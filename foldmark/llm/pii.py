@@ -45,18 +45,21 @@ _SYLLABLES = {"latin": "an ber dor el fin gar hol in kel lan mar nor".split(), "
 _PATTERN = re.compile(
     r"""(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
     |(?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:ghp|gho|ghs|xoxb|xoxp|sk|pk)[_-][A-Za-z0-9_-]{16,})
-    |\b(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)\b["']?\s*[=:]\s*["']?(?P<secret>[^\s"'<>,;]{6,})
+    |\b(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)\b["']?\s*[=:]\s*["']?(?P<secret>(?=[^\s"'<>,;]*\d)[^\s"'<>,;]{6,})
     |(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))
     |(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
     |(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\)[ ]?\d{3}[.-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w]|[.-]\d))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-    |(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?![\d]))
+    |(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}(?P<gap>[ -])\d{6}(?P=gap)\d{5})(?!\d|[.-]\d))
     |(?P<hex>(?<![\w])(?=[0-9a-f]*\d)(?=[0-9]*[a-f])[0-9a-f]{32,}(?!\w))""",
     re.X,
 )
 _PERSON = re.compile(rf"(?<!\w)(?P<title>{'|'.join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True))})[ ]+(?P<name>[^\W\d_][\w'’-]+(?:[ ][^\W\d_][\w'’-]+){{0,2}})")
-#: What any entity holds.
-_ANY = re.compile(r"[0-9@]|(?:token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth)|" + "|".join(re.escape(t) for t in TITLES), re.I)
+#: What every entity but a person's name holds.
+_ANCHOR = re.compile(r"[0-9@]|A[KS]IA|gh[pos][_-]|xox[bp][_-]|[sp]k[_-]")
+#: Characters on both sides of an anchor, from the next white space on, that an entity with spaces in it may take.
+_AROUND = 64
+_SPACE = re.compile(r"\s")
 _DIGITS = ("phone", "card", "ssn")
 
 
@@ -72,13 +75,32 @@ def _script(word: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
 
 
+def _regions(text: str) -> list[tuple[int, int]]:
+    """Stretches of the text around anchors, from white space to white space, apart from each other."""
+    out: list[tuple[int, int]] = []
+    at = 0
+    while found := _ANCHOR.search(text, at):
+        a, end = found.start(), _SPACE.search(text, found.end())
+        while a and not text[a - 1].isspace():
+            a -= 1
+        at = end.start() if end else len(text)
+        a, b = max(0, a - _AROUND), min(len(text), at + _AROUND)
+        while a and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form), in order and apart from each other; names have the kind name:use:script."""
-    if not _ANY.search(text):
-        return []
-    found = [(m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup, canonical(m.lastgroup, m[m.lastgroup])) for m in _PATTERN.finditer(text)]
+    found = [(m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup, canonical(m.lastgroup, m[m.lastgroup])) for a, b in _regions(text) for m in _PATTERN.finditer(text, a, b)]
     names: dict[str, str] = {}
-    for m in _PERSON.finditer(text):
+    for m in _PERSON.finditer(text) if any(t in text for t in TITLES) else ():
         words = []
         for w in m["name"].split(" "):
             if not w[0].isupper():
