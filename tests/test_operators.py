@@ -209,3 +209,27 @@ def test_caps(spark):
     assert sampling.capped(rows, ["subject_id"], ["k"], 3, "x").count() == 3
     one, two = ({r["k"] for r in sampling.capped(rows, ["subject_id"], ["k"], 3, "x", e).collect()} for e in (1, 2))
     assert one != two
+
+
+def test_record_and_label_rules(spark):
+    rows = spark.createDataFrame([("s", 1, 30), ("s", 2, 30), ("t", 1, 25)], "subject_id string, k int, rate int")
+    assert {r["rule"] for r in rules.record_violations(rows, "subject_id", 2, ["rate"]).collect()} == {"record_count", "uniform_rate"}
+    units_ = spark.createDataFrame([("s", "m", 2, "single_seed"), ("s", "n", 1, "single_seed")], "subject_id string, measurement_id string, n_seeds int, aggregation_mode string")
+    assert [r["key"] for r in rules.label_violations(units_).collect()] == ["s|m"]
+    allowed = spark.createDataFrame([("a", "x")], "model string, condition string")
+    assert rules.condition_violations(spark.createDataFrame([("a", "x"), ("a", "y")], "model string, condition string"), allowed, ["model", "condition"]).count() == 1
+    one = spark.createDataFrame([(1,), (1,), (2,)], "k int")
+    assert {r["key"] for r in rules.exactly_one(one, ["k"], spark.createDataFrame([(1,), (2,), (3,)], "k int")).collect()} == {"1", "3"}
+
+
+def test_measurement_key_and_path(spark):
+    row = spark.createDataFrame([("s", None, "a/b/PPG"), ("s", "m", "a/x")], "subject_id string, measurement_id string, path string")
+    assert [tuple(r) for r in row.select(manifest.measurement_key(F.lit(False)), manifest.measurement_key(F.lit(True)), manifest.raw_field_only("path", "PPG")).collect()] == [("s", "s", True), ("m", "s", False)]
+
+
+def test_checked_join(spark):
+    left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    with pytest.raises(ValueError, match="repeats"):
+        manifest.checked_left_join(left, right, "k")
+    assert manifest.checked_left_join(left, right.limit(1), "k").count() == 2
+    assert {(r["k"], r["side"]) for r in manifest.key_differences(left, right, "k").collect()} == {(2, "left_only")}
