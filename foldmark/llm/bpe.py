@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Chunks that each of the two generations of a worker's store holds.
-STORE_CHUNKS = 300_000
+STORE_CHUNKS = 150_000
 #: New chunks that are encoded in one call.
 LINE_CHUNKS = 256
 #: Longer chunks are encoded each time.
@@ -181,8 +181,7 @@ def _run(path: str, whole: bool):
     def run(batches):
         encoder = Encoder.of(path)
         for batch in batches:
-            sizes = np.fromiter(map(len, common.texts_of(batch)), np.int64, batch.num_rows)
-            for part in common.steps(batch, sizes, common.STEP_BYTES // 2):
+            for part in common.steps(batch, common.STEP_BYTES // 2):
                 done = encode_texts(encoder, common.texts_of(part))
                 n = pa.array([x[0] for x in done], pa.int64())
                 if whole:

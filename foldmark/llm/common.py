@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,16 +55,15 @@ def bounded(df: DataFrame, most: int, *keys: Column) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*keys), F.lit(slots)) < int(slots * most / n))
 
 
-def steps(batch: pa.RecordBatch, sizes: np.ndarray, most: int = STEP_BYTES):
+def steps(batch: pa.RecordBatch, most: int = STEP_BYTES, column: str = "text"):
     """Slices of an Arrow batch with about `most` bytes of text each."""
     start, total = 0, 0
-    for i, n in enumerate(sizes):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
         if total and total + n > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
-        total += int(n)
-    if start < len(sizes):
-        yield batch.slice(start)
+        total += n
+    yield batch.slice(start)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -129,7 +129,7 @@ def _members(folder: str):
     def run(batches):
         met: set[bytes] = set()
         shard = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.steps(whole)):
             rows = []
             for text in common.texts_of(batch):
                 key = hashlib.sha256(text).digest()

@@ -215,7 +215,7 @@ def rewritten(text: str, key: bytes, draws: dict[tuple[str, str], int]) -> tuple
 
 def _mentions(with_key: bool):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.steps(whole)):
             rows = set()
             for text in batch.column("text").to_pylist():
                 found = entities(text or "")
@@ -271,7 +271,7 @@ def surrogates(docs: DataFrame, key: bytes, count_column: str = "n_replaced") ->
         given = keyed.join(lists, keyed["_text_key"] == lists["text_key"], "left").select(*docs.columns, "_draws")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.steps(whole)):
             names = [n for n in batch.schema.names if n != "_draws"]
             lists = batch.column("_draws").to_pylist() if "_draws" in batch.schema.names else [None] * batch.num_rows
             done = [(None, 0) if t is None else rewritten(t, key, {(x["kind"], x["form"]): x["draws"] for x in d or ()}) for t, d in zip(batch.column("text").to_pylist(), lists, strict=True)]

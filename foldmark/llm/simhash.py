@@ -98,7 +98,7 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        found = [fingerprint(x) for x in common.texts_of(batch)]
+        found = [fingerprint(x) for part in common.steps(batch) for x in common.texts_of(part)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
 

@@ -79,8 +79,7 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 def _prefixes(batches):
     for batch in batches:
-        sizes = np.fromiter(map(len, common.texts_of(batch)), np.int64, batch.num_rows)
-        for part in common.steps(batch, sizes):
+        for part in common.steps(batch):
             text, _, _, key = segments(common.texts_of(part))
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)[text] if len(text) else np.zeros(0, np.int64)
             pairs = np.unique(np.stack((key.view(np.int64), ids.astype(np.int64)), axis=1), axis=0) if len(text) else np.zeros((0, 2), np.int64)
@@ -90,8 +89,7 @@ def _prefixes(batches):
 def _shared_segments(with_text: bool):
     def run(batches):
         for batch in batches:
-            sizes = np.fromiter(map(len, common.texts_of(batch)), np.int64, batch.num_rows)
-            for part in common.steps(batch, sizes, common.STEP_BYTES // 4):
+            for part in common.steps(batch, common.STEP_BYTES // 4):
                 texts = common.texts_of(part)
                 text, first, count, key = segments(texts)
                 lists = part.column("keys")
@@ -208,7 +206,7 @@ def _kept_words(text: bytes, spans) -> tuple[int, list[bytes]]:
 
 
 def _kept(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in common.steps(whole)):
         spans = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
         done = [_kept_words(t, s) for t, s in zip(common.texts_of(batch), spans, strict=True)]
         n, gone = [x for x, _ in done], [x - len(k) for x, k in done]
