@@ -2,7 +2,8 @@
 
 Vectors are scaled to length one, so the largest cosine is the smallest distance, and turned by a random rotation, so that any block of
 their columns is a fair sample of the distance. Equal vectors are one row of the index with their smallest ids. The index parts the
-vectors into lists around centres fitted on a bounded sample. A query goes to the lists of its nearest centres; within a list the rotated columns are
+vectors into lists around centres fitted on a bounded sample. A query goes to the lists of its nearest centres, as many as
+the sample shows to be needed; within a list the rotated columns are
 scanned block by block, and after each block a candidate is given up when its partial distance, scaled to all dimensions, is so far
 beyond the query's present k-th distance that a hypothesis test at EPSILON rejects that it could be nearer. Those left at the last
 block are measured exactly, in double precision, on the original vectors. The present k-th distance starts from the list's first
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, MOST_LISTS, PROBES, BLOCKS = 20_000, 4096, 24, 4
+SAMPLE, MOST_LISTS, BLOCKS = 20_000, 4096, 4
+#: Share of the sample's nearest neighbours that must lie in probed lists, and the sample's rows that are asked for it.
+FOUND, ASKED = 0.97, 512
 CHUNK_ROWS = 4096
 #: How many standard errors a partial distance must lie beyond the k-th distance.
 EPSILON = 2.1
@@ -50,6 +53,24 @@ def centres(points: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) -> n
     return chosen
 
 
+def fitted_probes(unit: np.ndarray, middle: np.ndarray, k: int, found: float = FOUND) -> int:
+    """How many of its nearest lists a query must scan so that the share `found` of its k nearest in the sample lies in them, by brute force over the sample.
+
+    Neighbours in the sample are farther than those among all vectors, so this errs on the side of more lists.
+    """
+    home = np.concatenate([np.argmax(unit[a : a + 4096] @ middle.T, axis=1) for a in range(0, len(unit), 4096)])
+    places = []
+    for i in range(0, len(unit), max(1, len(unit) // ASKED)):
+        near = unit @ unit[i]
+        near[i] = -np.inf
+        best = np.argpartition(-near, min(k, len(near) - 1))[:k]
+        order = np.empty(len(middle), np.int64)
+        order[np.argsort(-(middle @ unit[i]), kind="stable")] = np.arange(len(middle))
+        places.append(order[home[best]])
+    ranks = np.sort(np.concatenate(places))
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(found * len(ranks))))]) + 1
+
+
 def _stacked(column) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
 
@@ -128,7 +149,7 @@ def _searcher(k: int, size: int):
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_column: str = "vec_id", vector_column: str = "embedding", probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_column: str = "vec_id", vector_column: str = "embedding", probes: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries its k nearest rows of vectors found, ties to the smaller id.
 
     Both frames have id_column and vector_column; the candidates of a query are all rows but those with its own id.
@@ -151,7 +172,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_column: str
     picked = common.bounded(distinct, sample, F.col("vector")).select("vector").toPandas()
     unit = _unit(_stacked(picked["vector"]))
     middle, turn = centres(unit[np.lexsort(unit.T)], min(lists, len(unit))), rotation(size)
-    probes = min(probes, len(middle))
+    probes = min(probes or fitted_probes(unit, middle, k), len(middle))
     schema = "vector array<double>, ids array<long>, rotated array<double>, lists array<int>"
     index = distinct.mapInPandas(_assigner(middle, turn, 1), schema).select("vector", "ids", "rotated", F.col("lists")[0].alias("list"))
     index = common.written(index, "index")
