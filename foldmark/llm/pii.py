@@ -45,21 +45,24 @@ _SYLLABLES = {"latin": "an ber dor el fin gar hol in kel lan mar nor".split(), "
 _PATTERN = re.compile(
     r"""(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
     |(?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:ghp|gho|ghs|xoxb|xoxp|sk|pk)[_-][A-Za-z0-9_-]{16,})
-    |\b(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)\b["']?\s*[=:]\s*["']?(?P<secret>(?=[^\s"'<>,;]*\d)[^\s"'<>,;]{6,})
+    |\b(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)\b["']?\s*[=:]\s*["']?(?P<secret>[^\s"'<>,;]{6,})
     |(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))
     |(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
     |(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\)[ ]?\d{3}[.-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w]|[.-]\d))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-    |(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}(?P<gap>[ -])\d{6}(?P=gap)\d{5})(?!\d|[.-]\d))
+    |(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\d))
     |(?P<hex>(?<![\w])(?=[0-9a-f]*\d)(?=[0-9]*[a-f])[0-9a-f]{32,}(?!\w))""",
     re.X,
 )
 _PERSON = re.compile(rf"(?<!\w)(?P<title>{'|'.join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True))})[ ]+(?P<name>[^\W\d_][\w'’-]+(?:[ ][^\W\d_][\w'’-]+){{0,2}})")
-#: What every entity but a person's name holds.
-_ANCHOR = re.compile(r"[0-9@]|A[KS]IA|gh[pos][_-]|xox[bp][_-]|[sp]k[_-]")
-#: Characters on both sides of an anchor, from the next white space on, that an entity with spaces in it may take.
-_AROUND = 64
-_SPACE = re.compile(r"\s")
+#: What every entity but a person's name holds or starts with.
+_ANCHOR = re.compile(r"\d+|[@=:]|A[KS]IA|gh[pos][_-]|xox[bp][_-]|[sp]k[_-]")
+#: A name before the = or : of a secret; _NAME_ROOM characters hold the longest one and what is before it.
+_NAMED = re.compile(r"""\b(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)\Z""")
+_NAME_ROOM = 12
+_LOCAL, _HEX = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), frozenset("0123456789abcdef")
+#: Draws after which a surrogate gets longer, for a form may have too few others of its length; a name's do from the first on.
+_WIDER_FROM, _WIDEST = 4, 12
 _DIGITS = ("phone", "card", "ssn")
 
 
@@ -75,30 +78,59 @@ def _script(word: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
 
 
-def _regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of the text around anchors, from white space to white space, apart from each other."""
-    out: list[tuple[int, int]] = []
-    at = 0
-    while found := _ANCHOR.search(text, at):
-        a, end = found.start(), _SPACE.search(text, found.end())
-        while a and not text[a - 1].isspace():
-            a -= 1
-        at = end.start() if end else len(text)
-        a, b = max(0, a - _AROUND), min(len(text), at + _AROUND)
-        while a and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
+def _starts(text: str) -> list[tuple[int, int]]:
+    """(start, last start), in order: every place where the pattern can match is one of them; an address may start anywhere up to its last start."""
+    out, before = [], 0
+    for found in _ANCHOR.finditer(text):
+        a, sign = found.start(), found[0]
+        if sign.isdigit():
+            out.append((a, a))
+            lead = text[a - 1] if a else ""
+            if lead in ("+", "("):
+                out.append((a - 1, a - 1))
+            elif "A" <= lead <= "Z" and a > 1:
+                out.append((a - 2, a - 2))
+            elif lead in _HEX:
+                k = a
+                while k > before and text[k - 1] in _HEX:
+                    k -= 1
+                # a word that reaches back to the digits before was tried from there
+                if k > before or not before:
+                    out.append((k, k))
+            before = found.end()
+        elif sign == "@":
+            k = a
+            while k and text[k - 1] in _LOCAL:
+                k -= 1
+            if k < a:
+                out.append((k, a - 1))
+        elif sign in "=:":
+            k = a
+            while k and text[k - 1].isspace():
+                k -= 1
+            if k and text[k - 1] in "\"'":
+                k -= 1
+            room = max(0, k - _NAME_ROOM)
+            if name := _NAMED.search(text[room:k]):
+                out.append((room + name.start(), room + name.start()))
         else:
-            out.append((a, b))
+            out.append((a, a))
+    out.sort()
     return out
 
 
+def _matches(text: str):
+    """What _PATTERN.finditer(text) gives, tried only where a match can start."""
+    end = 0
+    for start, latest in _starts(text):
+        if latest >= end and (m := _PATTERN.match(text, max(start, end))):
+            yield m
+            end = m.end()
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form), in order and apart from each other; names have the kind name:use:script."""
-    found = [(m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup, canonical(m.lastgroup, m[m.lastgroup])) for a, b in _regions(text) for m in _PATTERN.finditer(text, a, b)]
+    found = [(m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup, canonical(m.lastgroup, m[m.lastgroup])) for m in _matches(text)]
     names: dict[str, str] = {}
     for m in _PERSON.finditer(text) if any(t in text for t in TITLES) else ():
         words = []
@@ -162,17 +194,18 @@ def _iban_check(text: str) -> str:
 def surrogate(kind: str, form: str, draws: int, key: bytes) -> str:
     """The surrogate's canonical form."""
     draw = _Draw(key, kind, form, str(draws))
+    wider = min(max(0, draws - _WIDER_FROM), _WIDEST)
     if kind == "email":
         local, _, domain = form.partition("@")
         labels = domain.split(".")
         own = _Draw(key, "domain", domain)
         host = _alike(labels[0] if len(labels) > 2 else labels[0][:12], own)
-        return f"{_alike(local, draw)}@{host}.example.{labels[-1] if labels[-1] in ('com', 'net', 'org') else 'org'}"
+        return f"{_alike(local, draw)}{_alike('x' * wider, draw)}@{host}.example.{labels[-1] if labels[-1] in ('com', 'net', 'org') else 'org'}"
     if kind == "ip":
         return ".".join(str(1 + draw.below(223) if k == 0 else draw.below(256)) for k in range(4))
     if kind in _DIGITS:
         code = 1 + (2 if len(form) > 12 else 1) if form.startswith("+") else 1 if kind == "card" else 0
-        rest = len(form) - code
+        rest = len(form) - code + wider
         digits = "".join(str(2 + draw.below(8) if k == 0 and kind == "phone" else draw.below(10)) for k in range(rest))
         if kind == "card" and _luhn(form):
             digits = next(digits[:-1] + str(c) for c in range(10) if _luhn(form[:code] + digits[:-1] + str(c)))
@@ -182,20 +215,20 @@ def surrogate(kind: str, form: str, draws: int, key: bytes) -> str:
         return form[:2] + (_iban_check(body) if _iban_check(form) == form[2:4] else f"{draw.below(97):02d}") + body[4:]
     if kind == "key":
         lead = re.match(r"[A-Z]{4}|[a-z]+[_-]", form)[0]
-        return lead + _alike(form[len(lead) :], draw)
+        return lead + _alike(form[len(lead) :] + ("X" if form.isupper() else "x") * wider, draw)
     if kind.startswith("name"):
         _, use, script = kind.split(":")
         pool = NAMES[(script, use)]
         more = "".join(_SYLLABLES[script][draw.below(len(_SYLLABLES[script]))] for _ in range(min(draws, 12)))
         return pool[draw.below(len(pool))].lower() + more
-    return _alike(form, draw)
+    return _alike(form, draw) + _alike(("a" if kind == "hex" else "x") * wider, draw)
 
 
 def shown_like(kind: str, shown: str, form: str) -> str:
     """A surrogate in the layout of the text that it replaces."""
     if kind in _DIGITS or kind == "iban":
         left = iter(form.removeprefix("+") if kind != "iban" else form)
-        return "".join(next(left) if (c.isalnum() if kind == "iban" else c.isdigit()) else c for c in shown)
+        return "".join([*(next(left) if (c.isalnum() if kind == "iban" else c.isdigit()) else c for c in shown), *left])
     if kind.startswith("name"):
         return form.upper() if shown.isupper() and len(shown) > 1 else form[:1].upper() + form[1:]
     if kind == "email" and shown != shown.lower():

@@ -274,5 +274,36 @@ def test_surrogates_stay_distinct(spark):
     assert table.select("surrogate").distinct().count() == table.count() == len(names) and table.agg(F.max("draws")).first()[0] > 0
 
 
+def whole_text(text):
+    return [(m.span(), m.lastgroup, m[m.lastgroup]) for m in pii._PATTERN.finditer(text)]
+
+
+def test_entities_without_digits_or_in_odd_groups():
+    card = "41 1111-11111 1111 11"
+    pad = " " * 300
+    for text, hidden in [("password: CorrectHorseBattery", "CorrectHorseBattery"), ("secret = abc-def-ghi.", "abc-def-ghi."), (f"Token{pad}={pad}'abcdefgh'", "abcdefgh"), (f"no {card} no", card), ("id -4111111111111111", "4111111111111111"), ("acct 1234-567890 123456", "1234-567890 123456"), ("٤١١١ ١١١١ ١١١١ ١١١١", "٤١١١ ١١١١ ١١١١ ١١١١")]:
+        assert [text[a:b] for a, b, *_ in pii.entities(text)] == [hidden]
+        assert hidden not in pii.rewritten(text, b"k", {})[0]
+
+
+def test_entities_are_those_of_the_whole_text():
+    rng = np.random.default_rng(4)
+    parts = ["password", "Secret", "api_key", "auth", "toKen", "=", ":", " ", " ", "  ", "\n", '"', "'", "+", "(", ")", "-", ".", "@", "a", "word", "AB", "DE89", "3704", "12", "555", "0101", "4111111111111111", "sk_", "AKIA", "IOSFODNN7EXAMPLE", "ada@mail.com", "x.org", "0123456789abcdef" * 2, "beef", "10.1.2.3", "123-45-6789", "é", "٣", "²", "_", "%", ",", " " * 90, "ghp-abcdefghijklmnopq"]
+    seen = set()
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts, rng.integers(1, 24)))
+        want = whole_text(text)
+        assert [(m.span(), m.lastgroup, m[m.lastgroup]) for m in pii._matches(text)] == want, text
+        seen |= {k for _, k, _ in want}
+    assert seen == {"email", "key", "secret", "ip", "iban", "phone", "card", "ssn", "hex"}
+
+
+def test_surrogates_of_forms_with_few_others(spark):
+    rows = [(k, f"password: {'*' * (6 + k)}") for k in range(3)] + [(10 + k, f"ask {chr(97 + k)}@x.com") for k in range(26)] + [(50, "_@a.org"), (51, "_@b.org"), (52, "_@c.org")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = {r["text"] for r in pii.surrogates(docs, b"k").collect()}
+    assert len(made) == len(rows) and not made & {t for _, t in rows}
+
+
 def test_surrogates_of_nothing(no_docs):
     assert pii.surrogates(no_docs, b"k").count() == 0
