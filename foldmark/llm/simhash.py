@@ -99,12 +99,14 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches):
     for batch in batches:
         found = [fingerprint(x) for part in common.steps(batch) for x in common.texts_of(part)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(np.array(found, np.uint64).view(np.int64))], [*names, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) for each document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, more, fp), all long, for each document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprints, ", ".join(f"{n} long" for n in ("doc_id", *more, "fp")))
 
 
 def _keyed(batches):
@@ -163,15 +165,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components: not settled after {most_rounds} rounds")
 
 
+def grouped(docs: DataFrame, *more: str) -> DataFrame:
+    """(fp, doc_id, more, root, component_id) for each document: root is its component's smallest fingerprint, more are long columns kept.
+
+    Components are those of fingerprints, whether their rows have ids or not; two of them may have one component_id where a doc_id repeats.
+    """
+    marked = common.written(fingerprints(docs, *more), "fingerprints")
+    nodes = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    reached = components(near_pairs(nodes))
+    rooted = nodes.join(reached, nodes["fp"] == reached["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each document; see the module's text."""
-    marked = common.written(fingerprints(docs), "fingerprints")
-    nodes = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    pairs = near_pairs(nodes)
-    edge = pairs.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    reached = components(edge.where("x is not null and y is not null").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    found = nodes.join(reached, nodes["first"] == reached["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return marked.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

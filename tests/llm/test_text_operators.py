@@ -63,6 +63,19 @@ def test_simhash_of_nothing(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).columns == no_docs.columns
 
 
+def test_rows_without_id_link_others(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *more: docs.select("doc_id", *more, "fp"))
+    far = 0xFF << 40
+    rows = [(2, 0), (None, 3), (1, 15), (9, far), (None, far ^ 1), (None, far ^ 7), (None, 77 << 20), (3, 0x7F << 55), (3, 0xFF << 8), (1, 0xFD << 8)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+    least = {}
+    for i, x in rows:
+        least[x] = min((j for j, y in rows if y == x and j is not None), default=None)
+    component = plain_components(least)
+    assert Counter(map(tuple, got)) == Counter((i, f"{x:016x}", component[x]) for i, x in rows)
+    assert component[0] == 1 and component[far ^ 7] == 9 and component[77 << 20] is None and component[0x7F << 55] == 3
+
+
 def test_keep_one_keeps_columns(docs):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 6").isEmpty() and kept.where("doc_id = 5").count() == 1 and kept.where("doc_id is null").count() == 1
