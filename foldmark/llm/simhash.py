@@ -188,6 +188,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows with a null doc_id stay.
     """
-    groups = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(groups, docs["doc_id"] == F.col("_kept"), "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    numbered = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered", compression="zstd")
+    first = grouped(numbered, "_row").where("doc_id = component_id").groupBy("root").agg(F.min("_row").alias("_kept"))
+    kept = numbered.join(first, numbered["_row"] == F.col("_kept"), "left_semi")
+    return kept.unionByName(numbered.where("doc_id is null")).select(*docs.columns)

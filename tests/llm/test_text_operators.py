@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from foldmark.llm import bpe, media, mixing, pii, simhash, substring
 
+from conftest_words import prose
+
 
 def words(text):
     return (text or "").encode().split()
@@ -81,6 +83,15 @@ def test_keep_one_keeps_columns(docs):
     assert kept.columns == docs.columns and kept.where("doc_id = 6").isEmpty() and kept.where("doc_id = 5").count() == 1 and kept.where("doc_id is null").count() == 1
 
 
+def test_keep_one_of_repeated_ids(spark, docs):
+    p, q, r = prose(31, 60), prose(32, 60), prose(33, 60)
+    made = simhash.keep_one(spark.createDataFrame([(1, p), (2, p), (2, q), (1, p), (2, q), (2, r), (None, r)], "doc_id long, text string"))
+    assert Counter(map(tuple, made.collect())) == Counter([(1, p), (2, q), (2, r), (None, r)])
+    once = Counter(tuple(x) for x in simhash.keep_one(docs).where("doc_id is not null").select("doc_id", "text").collect())
+    twice = Counter(tuple(x) for x in simhash.keep_one(docs.union(docs)).where("doc_id is not null").select("doc_id", "text").collect())
+    assert twice == once and set(once.values()) == {1}
+
+
 @pytest.mark.parametrize("pairs_up_to", [1, 3, 1000])
 def test_links_whether_keys_are_crowded_or_not(spark, monkeypatch, pairs_up_to):
     monkeypatch.setattr(simhash, "PAIRS_UP_TO", pairs_up_to)
