@@ -49,8 +49,9 @@ def features_of(text: str, words: frozenset, stems: frozenset, fixed=frozenset(I
     hits = [i for i, w in enumerate(tokens) if w in words]
     near = 0
     if hits:
-        you = np.array([i for i, w in enumerate(tokens) if w in second])
-        near = int((np.abs(np.array(hits)[:, None] - you[None, :]).min(axis=1) <= _NEAR).sum()) if len(you) and len(hits) * len(you) < 1e7 else 0
+        you = np.array([i for i, w in enumerate(tokens) if w in second], np.int64)
+        # both lists ascend: a hit is near where a word of the second person lies in its reach
+        near = int((np.searchsorted(you, np.array(hits) - _NEAR) < np.searchsorted(you, np.array(hits) + _NEAR, "right")).sum())
         persons = len(you)
     else:
         persons = sum(1 for w in tokens if w in second)

@@ -77,6 +77,17 @@ def test_held_out_accuracy(labelled, operator, column, cut, fold):
     assert sum(p == bool(t) for p, t in held) / len(held) >= 0.93
 
 
+def test_hits_near_the_second_person():
+    at = toxicity.NAMES.index("near_second_person")
+    near = lambda text: round(float(np.expm1(toxicity.features_of(text, frozenset(toxicity.INSULTS), frozenset())[at])))
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        w = rng.choice(["idiot", "you", "table", "tree", "road"], rng.integers(0, 40), p=[0.1, 0.05, 0.3, 0.3, 0.25]).tolist()
+        assert near(" ".join(w)) == sum(any(x == "you" for x in w[max(0, i - 5) : i + 6]) for i, h in enumerate(w) if h == "idiot")
+    long = "you idiot and a table " * 3_000 + "tree " * 20
+    assert near(long) == 3_000 and near(long * 2) == 6_000
+
+
 @pytest.mark.parametrize(("operator", "column"), [(toxicity.scored, "toxic"), (quality.scored, "quality")])
 def test_without_labels_or_documents(labelled, operator, column):
     docs, tags = labelled
