@@ -9,7 +9,9 @@ beyond the query's present k-th distance that a hypothesis test at EPSILON rejec
 block are measured exactly, in double precision, on the original vectors. The present k-th distance starts from the list's first
 candidates and falls as blocks of candidates are scanned.
 
-A list of more than CHUNK_ROWS vectors is dealt to several tasks by hash; each sends its best, and the best of all are kept.
+A list of more than CHUNK_ROWS vectors is dealt to several tasks by hash; each sends its best, and the best of all are kept. A task holds
+one chunk and reads the queries that probe it batch by batch, however many they are. Queries whose probed lists gave fewer than k rows go to
+all other lists in a second pass.
 
 Edge cases: vectors that are null, zero, or hold a null or a component that is not finite take no part, neither as query nor as
 candidate, and neither do vectors of another length than the most common one, nor rows with a null id; if ids repeat, each row is a candidate, a query's own id
@@ -31,7 +33,6 @@ FOUND, ASKED = 0.97, 512
 CHUNK_ROWS = 4096
 #: How many standard errors a partial distance must lie beyond the k-th distance.
 EPSILON = 2.1
-QUERY_BLOCK = 256
 
 
 def rotation(size: int, seed: int = 7) -> np.ndarray:
@@ -134,21 +135,44 @@ def _scan(query: np.ndarray, rotated: np.ndarray, originals: np.ndarray, target:
 def _searcher(k: int, size: int):
     cuts = sorted({max(1, size * b // BLOCKS) for b in range(1, BLOCKS + 1)})
 
-    def run(_key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(index) and len(queries):
-            index = index.assign(low=[x[0] for x in index["ids"]]).sort_values("low", kind="stable")
-            rotated, originals, ids = _stacked(index["rotated"]), _stacked(index["vector"]), index["ids"].to_numpy()
-            for own, turned, target in zip(queries["query_id"].to_numpy(), queries["rotated"], queries["vector"], strict=True):
-                target = np.asarray(target, np.float64)
-                rows, scores = _scan(np.asarray(turned, np.float64), rotated, originals, target, k + 1, cuts)
-                found = [(-s, i) for r, s in zip(rows.tolist(), scores.tolist(), strict=True) for i in ids[r] if i != own]
-                out += [(own, i, -s) for s, i in sorted(found)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    def run(batches):
+        """Rows by (list, chunk), those of the index before the queries: a chunk is held, queries pass."""
+        now, parts, chunk = None, [], None
+        for rows in batches:
+            out = []
+            for key, part in rows.groupby(["list", "chunk"], sort=False):
+                if key != now:
+                    now, parts, chunk = key, [], None
+                asking = part["asks"].to_numpy(bool)
+                if not asking.all():
+                    parts.append(part[~asking])
+                if not parts or not asking.any():
+                    continue
+                if chunk is None:
+                    index = pd.concat(parts)
+                    index = index.assign(low=[x[0] for x in index["ids"]]).sort_values("low", kind="stable")
+                    chunk = _stacked(index["rotated"]), _stacked(index["vector"]), index["ids"].to_numpy()
+                rotated, originals, ids = chunk
+                queries = part[asking]
+                for own, turned, target in zip(queries["query_id"].to_numpy(), queries["rotated"], queries["vector"], strict=True):
+                    target = np.asarray(target, np.float64)
+                    near, scores = _scan(np.asarray(turned, np.float64), rotated, originals, target, k + 1, cuts)
+                    found = [(-s, i) for r, s in zip(near.tolist(), scores.tolist(), strict=True) for i in ids[r] if i != own]
+                    out += [(own, i, -s) for s, i in sorted(found)[:k]]
+            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
 
 
+def _found(dealt: DataFrame, sent: DataFrame, k: int, size: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of each chunk for each query sent to it."""
+    names = ["list", "chunk", "asks", "query_id", "vector", "rotated", "ids"]
+    index = dealt.select("list", "chunk", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("query_id"), "vector", "rotated", "ids").select(*names)
+    asking = sent.select("list", "chunk", F.lit(True).alias("asks"), "query_id", "vector", "rotated", F.lit(None).cast("array<long>").alias("ids")).select(*names)
+    both = index.unionByName(asking).repartition("list", "chunk").sortWithinPartitions("list", "chunk", "asks")
+    return both.mapInPandas(_searcher(k, size), "query_id long, vec_id long, score double")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_column: str = "vec_id", vector_column: str = "embedding", probes: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries its k nearest rows of vectors found, ties to the smaller id.
 
@@ -180,8 +204,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_column: str
     dealt = index.join(chunks, "list").withColumn("chunk", F.pmod(F.xxhash64("vector"), F.col("chunks")).cast("int")).drop("chunks")
     asked = usable(queries, id_column, vector_column).where(F.size("vector") == size).groupBy("id").agg(F.min("vector").alias("vector"))
     asked = asked.select("vector", F.array("id").alias("ids")).mapInPandas(_assigner(middle, turn, probes), schema)
-    sent = asked.select(F.col("ids")[0].alias("query_id"), "vector", "rotated", F.explode("lists").alias("list")).join(chunks, "list")
-    sent = sent.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    found = dealt.groupBy("list", "chunk").cogroup(sent.groupBy("list", "chunk")).applyInPandas(_searcher(k, size), "query_id long, vec_id long, score double")
+    asked = common.written(asked.select(F.col("ids")[0].alias("query_id"), "vector", "rotated", "lists"), "queries")
+
+    def to_chunks(sent: DataFrame) -> DataFrame:
+        return sent.join(chunks, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+
+    found = common.written(_found(dealt, to_chunks(asked.select("query_id", "vector", "rotated", F.explode("lists").alias("list"))), k, size), "found")
+    if probes < len(middle):
+        full = found.groupBy("query_id").count().where(F.col("count") >= k)
+        short = asked.join(full, "query_id", "left_anti")
+        if not short.isEmpty():
+            others = F.array_except(F.sequence(F.lit(0), F.lit(len(middle) - 1)), "lists")
+            found = found.unionByName(_found(dealt, to_chunks(short.select("query_id", "vector", "rotated", F.explode(others).alias("list"))), k, size))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

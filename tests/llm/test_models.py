@@ -31,6 +31,15 @@ def test_search(spark):
     assert hot == {x for x in want if x[0] == 1000}  # ties go to the smaller ids
 
 
+def test_search_fills_all_ranks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, v) for k, v in enumerate([*(np.eye(16)[0] + 0.01 * rng.normal(size=(300, 16))), *rng.normal(size=(30, 16))])]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = ann.search(df, df, probes=1).collect()
+    assert len(got) == 5 * len(rows) and {(r["query_id"], r["rank"]) for r in got} == {(i, n) for i, _ in rows for n in range(1, 6)}
+    assert len({(r["query_id"], r["vec_id"]) for r in got}) == len(got)
+
+
 def test_search_among_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1)]
