@@ -182,7 +182,7 @@ def feature_assembly(spark, d):
 
 @query()
 def ridge_diagnostics(spark, d):
-    _, found = ridge.benchmark(_vector_rows(spark, d), {"method": "vectors"}, cap=20)
+    _, found = ridge.benchmark(_vector_rows(spark, d), {"method": "vectors"})
     return _round(found, ["prediction_sd", "truth_sd", "mae"])
 
 

@@ -233,3 +233,12 @@ def test_checked_join(spark):
         manifest.checked_left_join(left, right, "k")
     assert manifest.checked_left_join(left, right.limit(1), "k").count() == 2
     assert {(r["k"], r["side"]) for r in manifest.key_differences(left, right, "k").collect()} == {(2, "left_only")}
+
+
+def test_ridge_diagnostics_take_all_rows(spark, tmp_path):
+    from foldmark.plans import QUERIES
+
+    rng = np.random.default_rng(9)
+    rows = [(k, [float(x) for x in rng.normal(size=3)], k % 7) for k in range(2_500)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sum(r["n_rows"] for r in QUERIES["ridge_diagnostics"](spark, str(tmp_path)).collect()) == len(rows)
