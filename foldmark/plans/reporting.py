@@ -208,6 +208,11 @@ def _records(spark, d) -> DataFrame:
     return made.select("segment_id", F.col("r.value").alias("samples"), F.lit(30).alias("rate"))
 
 
+def _record_sizes(spark, d) -> DataFrame:
+    """(segment_id, n): how many values each user has."""
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("segment_id")).agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {_ARRAYS}, m AS (SELECT user_id, avg(v) AS m, stddev_pop(v) AS s, max(v) - min(v) AS r, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS q, count(*) AS n FROM el GROUP BY user_id),
 c AS (SELECT user_id, avg(pow(v - m, 3)) AS m3, avg(pow(v - m, 4)) AS m4 FROM el JOIN m USING (user_id) GROUP BY user_id)
 SELECT user_id, round(m, 6) AS mean, round(s, 6) AS std, round(r, 6) AS range, round(q, 6) AS iqr, round(CASE WHEN m.n > 2 AND s > 1e-12 THEN sqrt(m.n * (m.n - 1.0)) / (m.n - 2) * m3 / pow(s, 3) END, 5) + 0.0 AS skew,
@@ -229,14 +234,14 @@ def signal_qc(spark, d):
 
 @query(f"WITH {_ARRAYS}, s AS (SELECT user_id, len(x) AS n, CAST(ceil(len(x) * 20 / 30.0) AS INTEGER) AS r FROM ar) SELECT user_id, CAST(n AS INTEGER) AS raw_length, r AS resampled_length, greatest(r, 50) AS padded_length, r < 50 AS padded FROM s")
 def nested_step_flag(spark, d):
-    steps = _records(spark, d).select("segment_id", waveform.stage_trace(F.size("samples"), F.col("rate"), 20, 50).alias("steps"))
+    steps = _record_sizes(spark, d).select("segment_id", waveform.stage_trace(F.col("n").cast("int"), F.lit(30), 20, 50).alias("steps"))
     at = lambda k: F.col("steps")[k]["length"]
     return steps.select(F.col("segment_id").alias("user_id"), at(0).alias("raw_length"), at(1).alias("resampled_length"), at(2).alias("padded_length"), waveform.any_padded(F.col("steps")).alias("padded"))
 
 
 @query("WITH a AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT n AS n_samples, count(*) AS n_records FROM a GROUP BY n")
 def sample_count_distribution(spark, d):
-    return _records(spark, d).groupBy(F.size("samples").cast("long").alias("n_samples")).agg(F.count("*").alias("n_records"))
+    return _record_sizes(spark, d).groupBy(F.col("n").alias("n_samples")).agg(F.count("*").alias("n_records"))
 
 
 @query()

@@ -242,3 +242,11 @@ def test_ridge_diagnostics_take_all_rows(spark, tmp_path):
     rows = [(k, [float(x) for x in rng.normal(size=3)], k % 7) for k in range(2_500)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert sum(r["n_rows"] for r in QUERIES["ridge_diagnostics"](spark, str(tmp_path)).collect()) == len(rows)
+
+
+def test_record_sizes_are_counted_without_arrays(spark):
+    from foldmark.plans import QUERIES
+
+    for name in ("nested_step_flag", "sample_count_distribution"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "count(1)" in plan and "collect_list" not in plan
