@@ -1,22 +1,28 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A text is cut into chunks where a rolling hash of the four bytes before a white-space run says so (fifteen of sixteen runs), so the same
-passage is cut the same way in every document. A worker process encodes a chunk once, whichever document it meets it in, and keeps
-its ids and its decoded text in a store of bounded size with two generations (what is not asked for while one fills is forgotten).
+A text is cut into chunks at those ends of words where a rolling hash of the last eight bytes says so (one of MEAN_WORDS ends), so a passage is
+cut the same way in every document. Chunks begin with their white space and tile the text.
 
-Joins: a chunk's ends are only good if the ids of the whole are the ids of the parts in a row. Where the tokenizer never looks across
-white space that holds for every join at white space: its split keeps only runs without white space, its normalisers change neither
-the runs' ends nor each other's characters, and its added tokens hold no white space. `exact_joins` reads that from the tokenizer's own
-description. For any other tokenizer each join is tried: the last piece of the left and the first of the right are encoded together, and
-while that disagrees with their separate ids the two chunks are merged and encoded again. A run without white space is
-never cut, however long.
+1. Keys of all chunks are counted. Those that occur twice or more go into a bit map of FILTER_BITS bits, a bound that holds whatever the input's
+   size is; a wrong "yes" of the map costs a little work and changes nothing.
+2. Each chunk that occurs again is encoded once for the whole table: (key, ids), the ids packed into two or four bytes each.
+3. Documents that hold such chunks get those ids by a join on chunk keys, then on the text's digest; only these documents' texts are shuffled.
+   Chunks that occur once, and documents without repeated chunks, are encoded where they are read.
+4. Every join between two chunks of a text is tried: the last word of the left and the first of the right are encoded together, and where that
+   disagrees with their separate ids the two chunks are merged and encoded again, until all joins agree. A worker remembers joins that agreed.
+
+Within a chunk words that the worker has met are taken from a store of bounded size where `exact_words` finds in the tokenizer's own
+description that it never looks across white space; for any other tokenizer a chunk is encoded in one piece.
+
+Letters A-Z are put in lower case before the cut where the tokenizer does that itself, but for a letter followed by a byte beyond ASCII, which may
+be a mark that the tokenizer composes with the capital first.
 
 Decoding: a tokenizer without a decoder joins its tokens by spaces, so the decoded text is put together from the chunks'; with a
 decoder the ids of the whole text are decoded at once.
 
 Edge cases: null and empty texts, and texts of white space alone, have no ids and the empty decoded text; special tokens written out in a
 text become their ids as in the library; rows are independent, so nulls in doc_id, repeated rows and empty tables need no rule;
-extra columns are not read.
+a run without white space is never cut, however long; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,20 +33,26 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Chunks that each of the two generations of a worker's store holds.
-STORE_CHUNKS = 150_000
-#: New chunks that are encoded in one call.
-LINE_CHUNKS = 256
-#: Longer chunks are encoded each time.
-STORE_BYTES = 512
+#: One end of a word in so many ends a chunk.
+MEAN_WORDS = 64
+#: Chunks up to this length are looked for in other documents; longer ones are encoded where they are.
+SHARED_BYTES = 1 << 16
+#: Bits of the map of repeated chunks (8 MB).
+FILTER_BITS = 1 << 26
+#: Words, and joins found good, that a worker remembers.
+STORE_WORDS, STORE_WORD_BYTES, STORE_JOINS = 150_000, 512, 200_000
+#: New words that are encoded in one call.
+LINE_WORDS = 256
+_BUCKET_BITS = 32_768
 
 
-def exact_joins(description: dict) -> bool:
+def exact_words(description: dict) -> bool:
     """Whether this tokenizer never looks across white space."""
     def parts(x, inner):
         return [] if not x else [y for p in x[inner] for y in parts(p, inner)] if x["type"] == "Sequence" else [x]
@@ -56,7 +68,7 @@ def exact_joins(description: dict) -> bool:
 
 
 class Encoder:
-    """A tokenizer with its store of chunks; one for each worker process and file."""
+    """A tokenizer with what its worker remembers; one for each worker process and file."""
 
     _open: dict[str, "Encoder"] = {}
 
@@ -74,115 +86,262 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         description = json.loads(self.tokenizer.to_str())
-        self.exact, self.joined = exact_joins(description), description.get("decoder") is None
+        self.exact, self.joined = exact_words(description), description.get("decoder") is None
         self.folds = '"Lowercase"' in json.dumps(description.get("normalizer"))
         self.added = [t["content"].lower().encode() for t in description.get("added_tokens", [])]
         size = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.packed = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.decimal = [b"%d" % i for i in range(size)]
         self.shown = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
         self.young: dict[bytes, tuple[int, bytes, bytes]] = {}
         self.old: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.good: set[bytes] = set()
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def folded(self, text: bytes) -> bytes:
-        """The text with A-Z in lower case where the tokenizer does that itself, so that fewer chunks differ; not where that would spell an added token."""
-        lower = text.lower() if self.folds else text
-        return text if lower is not text and any(t in lower for t in self.added) else lower
-
-    def _ids_of_line(self, chunks: list[str]) -> list[list[int]]:
-        """The chunks' ids, encoded as one line and parted where each chunk begins."""
-        begin = np.cumsum([0, *(len(c) + 1 for c in chunks)])
-        found = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        """The text with A-Z in lower case where that can't change its ids: not before a byte beyond ASCII, nor where it would spell an added token."""
+        if not self.folds:
+            return text
+        if text.isascii():
+            lower = text.lower()
+        else:
+            letters = np.frombuffer(text, np.uint8)
+            capital = (letters >= 65) & (letters <= 90)
+            capital[:-1] &= letters[1:] < 128
+            lower = (letters + capital.view(np.uint8) * np.uint8(32)).tobytes()
+        return text if any(t in lower for t in self.added) else lower
+
+    def _ids_of_line(self, words: list[bytes]) -> list[list[int]]:
+        """The words' ids, encoded as one line and parted where each word begins."""
+        words = [w.decode() for w in words]
+        begin = np.cumsum([0, *(len(w) + 1 for w in words)])
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         ids = found.ids
         first = np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(ids)), begin)
         return [ids[a:b] for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
 
-    def _entry(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+    def entry(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        """(number of ids, ids in decimal, tokens), both joined by spaces."""
         return len(ids), b" ".join([self.decimal[i] for i in ids]), b" ".join([self.shown[i] for i in ids])
 
-    def look_up(self, chunks: list[bytes]) -> dict[bytes, tuple[int, bytes, bytes]]:
-        """The store, with all the chunks in it."""
+    def words(self, wanted: set[bytes]) -> dict[bytes, tuple[int, bytes, bytes]]:
+        """The store, with all the words in it; for tokenizers with exact words."""
         young, old = self.young, self.old
-        wanted = set(chunks).difference(young)
         missing = []
-        for c in wanted:
-            kept = old.get(c)
+        for w in wanted.difference(young):
+            kept = old.get(w)
             if kept is None:
-                missing.append(c)
+                missing.append(w)
             else:
-                young[c] = kept
-        for k in range(0, len(missing), LINE_CHUNKS):
-            part = missing[k : k + LINE_CHUNKS]
-            for c, ids in zip(part, self._ids_of_line([c.decode() for c in part]), strict=True):
-                young[c] = self._entry(ids)
+                young[w] = kept
+        for k in range(0, len(missing), LINE_WORDS):
+            part = missing[k : k + LINE_WORDS]
+            for w, ids in zip(part, self._ids_of_line(part), strict=True):
+                young[w] = self.entry(ids)
         return young
 
     def forget(self) -> None:
         """After each step: what is too long to keep goes, and a full generation becomes the old one."""
-        if len(self.young) > STORE_CHUNKS:
-            self.old = {c: v for c, v in self.young.items() if len(c) <= STORE_BYTES}
+        if len(self.young) > STORE_WORDS:
+            self.old = {w: v for w, v in self.young.items() if len(w) <= STORE_WORD_BYTES}
             self.young = {}
-
-
-def cut(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the chunks of a byte string, white space between them left out."""
-    buffer = np.frombuffer(b"\0\0\0\0" + data + b" ", np.uint8)
+        if len(self.good) > STORE_JOINS:
+            self.good = set()
+
+    def chunks(self, chunks: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+        """The entries of chunks that are encoded here and now."""
+        if not self.exact:
+            return [self.entry(x) for x in self.ids(chunks)]
+        split = [c.split() for c in chunks]
+        store = self.words({w for words in split for w in words})
+        found = []
+        for words in split:
+            got = [v for v in map(store.__getitem__, words) if v[0]]
+            found.append((sum([v[0] for v in got]), b" ".join([v[1] for v in got]), b" ".join([v[2] for v in got])))
+        return found
+
+    def broken(self, joins: set[tuple[bytes, bytes]]) -> set[tuple[bytes, bytes]]:
+        """Of (last word of a chunk, first word of the next) those whose ids together are not their ids one after the other."""
+        unknown = sorted(j for j in joins if b"".join(j) not in self.good)
+        if not unknown:
+            return set()
+        together = self.ids([a + b for a, b in unknown])
+        if self.exact:
+            store = self.words({w for j in unknown for x in j for w in x.split()})
+            apart = [b" ".join([store[w][1] for x in j for w in x.split() if store[w][0]]) for j in unknown]
+            same = [b" ".join([self.decimal[i] for i in t]) == x for t, x in zip(together, apart, strict=True)]
+        else:
+            left, right = self.ids([a for a, _ in unknown]), self.ids([b for _, b in unknown])
+            same = [t == a + b for t, a, b in zip(together, left, right, strict=True)]
+        self.good.update(a + b for (a, b), s in zip(unknown, same, strict=True) if s and len(a) + len(b) <= STORE_WORD_BYTES)
+        return {j for j, s in zip(unknown, same, strict=True) if not s}
+
+
+def cut(data: bytes) -> list[bytes]:
+    """The chunks of a text in a row; each but the first begins with its white space, white space at the end belongs to the last."""
+    if not data:
+        return []
+    buffer = np.frombuffer(b"\0" * 8 + data + b" ", np.uint8)
     space = common._SPACE[buffer]
-    space[:4] = True
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    starts, ends = edge[0::2], edge[1::2]
-    window = sum(buffer[ends - 1 - k].astype(np.uint32) << np.uint32(8 * k) for k in range(4))
-    here = (window * np.uint32(2654435761)) >> np.uint32(28) != 0
-    if len(here):
-        here[-1] = True
-    return starts[np.concatenate(([True], here[:-1]))[: len(starts)]] - 4, ends[here] - 4
-
-
-def _repaired(encoder: Encoder, data: bytes) -> list[int]:
-    """Ids by chunks with every join tried; each chunk but the first begins with its white space."""
-    _, ends = cut(data)
-    bounds = [0, *ends.tolist()[:-1], len(data)] if len(ends) else [0, len(data)]
-    chunks = [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-    done: list[tuple[bytes, list[int]]] = []
-    for chunk in chunks:
-        text, ids = chunk, encoder.ids([chunk.decode()])[0]
-        while done:
-            left, left_ids = done[-1]
-            both = encoder.ids([(left + text).decode()])[0]
-            if both == left_ids + ids:
-                break
-            done.pop()
-            text, ids = left + text, both
-        done.append((text, ids))
-    return [i for _, ids in done for i in ids]
-
-
-def encode_texts(encoder: Encoder, texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
-    """For each text its number of ids, the ids in decimal and the decoded text, both joined by spaces."""
-    if not (encoder.exact and encoder.joined):
-        found = [_repaired(encoder, t) for t in texts]
-        return [(len(i), b" ".join(b"%d" % x for x in i), encoder.tokenizer.decode(i, skip_special_tokens=False).encode()) for i in found]
-    cuts = []
-    for text in map(encoder.folded, texts):
-        starts, ends = cut(text)
-        cuts.append([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-    store = encoder.look_up([c for chunks in cuts for c in chunks])
+    ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    ends = ends[ends > 8]
+    rolling = np.zeros(len(ends), np.uint64)
+    for k in range(8):
+        rolling = rolling * np.uint64(0x9E3779B97F4A7C15) + buffer[ends - 1 - k]
+    here = ends[common.mix64(rolling) % np.uint64(MEAN_WORDS) == 0] - 8
+    bounds = [0, *(b for b in here.tolist() if b < len(data)), len(data)]
+    return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def _last_word(chunk: bytes) -> bytes:
+    """The last word with the white space before it."""
+    words = chunk.rstrip()
+    start = len(words.rsplit(None, 1)[0]) if len(words.split(None, 1)) > 1 else 0
+    return chunk[start:]
+
+
+def _first_word(chunk: bytes) -> bytes:
+    """The white space at the chunk's begin and its first word."""
+    lead = len(chunk) - len(chunk.lstrip())
+    words = chunk.split(None, 1)
+    return chunk[: lead + len(words[0])] if words else chunk
+
+
+def encode_texts(encoder: Encoder, texts: list[bytes], known: list[dict[bytes, bytes]] | None = None) -> list[tuple[int, bytes, bytes]]:
+    """For each text its number of ids, the ids in decimal and the decoded text, both joined by spaces; known: packed ids by chunk key, for each text."""
+    cuts = [cut(encoder.folded(t)) for t in texts]
+    entries: list[list] = []
+    for k, chunks in enumerate(cuts):
+        given = known[k] if known and known[k] else {}
+        entries.append([encoder.entry(np.frombuffer(given[x], encoder.packed).tolist()) if given and (x := chunk_key(c)) in given else None for c in chunks])
+    here = list(dict.fromkeys(c for chunks, got in zip(cuts, entries, strict=True) for c, e in zip(chunks, got, strict=True) if e is None))
+    made = dict(zip(here, encoder.chunks(here), strict=True))
+    joins = [[(_last_word(a), _first_word(b)) for a, b in zip(chunks, chunks[1:], strict=False)] for chunks in cuts]
+    broken = encoder.broken({j for js in joins for j in js})
     done = []
-    for chunks in cuts:
-        got = [v for v in map(store.__getitem__, chunks) if v[0]]
-        done.append((sum([v[0] for v in got]), b" ".join([v[1] for v in got]), b" ".join([v[2] for v in got])))
+    for chunks, got, js in zip(cuts, entries, joins, strict=True):
+        got = [e or made[c] for c, e in zip(chunks, got, strict=True)]
+        if broken and not broken.isdisjoint(js):
+            got = _repaired(encoder, chunks, got)
+        got = [v for v in got if v[0]]
+        ids = b" ".join([v[1] for v in got])
+        shown = b" ".join([v[2] for v in got]) if encoder.joined else encoder.tokenizer.decode(list(map(int, ids.split())), skip_special_tokens=False).encode()
+        done.append((sum([v[0] for v in got]), ids, shown))
     encoder.forget()
     return done
 
 
-def _run(path: str, whole: bool):
+def _repaired(encoder: Encoder, chunks: list[bytes], entries: list[tuple[int, bytes, bytes]]) -> list[tuple[int, bytes, bytes]]:
+    """Entries of chunks merged and encoded again until every join agrees."""
+    done: list[tuple[bytes, tuple[int, bytes, bytes]]] = []
+    for text, entry in zip(chunks, entries, strict=True):
+        while done and encoder.broken({(_last_word(done[-1][0]), _first_word(text))}):
+            text = done.pop()[0] + text
+            entry = encoder.entry(encoder.ids([text])[0])
+        done.append((text, entry))
+    return [e for _, e in done]
+
+
+def chunk_key(chunk: bytes) -> bytes:
+    """A cryptographic digest: equal keys, equal chunks."""
+    return hashlib.blake2b(chunk, digest_size=16).digest()
+
+
+def _places(chunks: list[bytes]) -> np.ndarray:
+    """The bits of the map that chunks have."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(c) for c in chunks), np.uint64, len(chunks)) % np.uint64(FILTER_BITS)
+
+
+def _counted(path: str):
+    def run(batches):
+        encoder = Encoder.of(path)
+        for batch in batches:
+            for part in common.steps(batch):
+                chunks = [c for t in common.texts_of(part) for c in cut(encoder.folded(t)) if len(c) <= SHARED_BYTES]
+                yield pa.RecordBatch.from_arrays([pa.array(np.fromiter((xxhash.xxh3_64_intdigest(c) for c in chunks), np.uint64, len(chunks)).view(np.int64))], ["key"])
+
+    return run
+
+
+def repeated_chunks(rows: DataFrame, path: str) -> np.ndarray:
+    """The bit map of the chunks that occur twice or more: at most FILTER_BITS / 8 bytes reach the driver."""
+    twice = rows.select("text").mapInArrow(_counted(path), "key long").groupBy("key").count().where("count > 1")
+    place = F.pmod(F.col("key"), F.lit(FILTER_BITS))  # the same as unsigned, for FILTER_BITS is a power of two
+    maps = twice.groupBy(F.bitmap_bucket_number(place + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits")).collect()
+    found = np.zeros(FILTER_BITS // 8, np.uint8)
+    for x in maps:
+        begin = (x["bucket"] - 1) * (_BUCKET_BITS // 8)
+        found[begin : begin + _BUCKET_BITS // 8] = np.frombuffer(x["bits"], np.uint8)
+    return found
+
+
+def _marked(bits: np.ndarray, chunks: list[bytes]) -> np.ndarray:
+    place = _places(chunks)
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _repeated_of(encoder: Encoder, bits: np.ndarray, text: bytes) -> list[bytes]:
+    """The text's different chunks that the map marks."""
+    chunks = [c for c in cut(encoder.folded(text)) if len(c) <= SHARED_BYTES]
+    return list(dict.fromkeys(c for c, m in zip(chunks, _marked(bits, chunks).tolist(), strict=True) if m)) if chunks else []
+
+
+def _chunk_texts(path: str, bits):
+    def run(batches):
+        encoder = Encoder.of(path)
+        for batch in batches:
+            for part in common.steps(batch):
+                chunks = list(dict.fromkeys(c for t in common.texts_of(part) for c in _repeated_of(encoder, bits.value, t)))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk_key(c) for c in chunks], pa.binary()), pa.array(chunks, pa.binary())], ["key", "chunk"])
+
+    return run
+
+
+def _chunk_ids(path: str):
+    def run(batches):
+        encoder = Encoder.of(path)
+        for batch in batches:
+            for part in common.steps(batch, column="chunk"):
+                done = encoder.chunks(common.texts_of(part, "chunk"))
+                encoder.forget()
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([np.array(x[1].split(), encoder.packed).tobytes() for x in done], pa.binary())], ["key", "ids"])
+
+    return run
+
+
+def _uses(path: str, bits):
+    def run(batches):
+        encoder = Encoder.of(path)
+        for batch in batches:
+            for part in common.steps(batch):
+                rows = {(hashlib.sha256(t).digest(), chunk_key(c)) for t in common.texts_of(part) for c in _repeated_of(encoder, bits.value, t)}
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["text_key", "key"])
+
+    return run
+
+
+def _split(path: str, bits, shared: bool):
+    """Rows with repeated chunks, or those without."""
+    def run(batches):
+        encoder = Encoder.of(path)
+        for batch in batches:
+            for part in common.steps(batch):
+                keep = [bool(_repeated_of(encoder, bits.value, t)) == shared for t in common.texts_of(part)]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _finished(path: str, whole: bool):
     def run(batches):
         encoder = Encoder.of(path)
         for batch in batches:
             for part in common.steps(batch, common.STEP_BYTES // 2):
-                done = encode_texts(encoder, common.texts_of(part))
+                lists = part.column("chunks").to_pylist() if "chunks" in part.schema.names else None
+                known = [{x["key"]: x["ids"] for x in c or ()} for c in lists] if lists is not None else None
+                done = encode_texts(encoder, common.texts_of(part), known)
                 n = pa.array([x[0] for x in done], pa.int64())
                 if whole:
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array([np.array(x[1].split(), np.int32) for x in done], pa.list_(pa.int32())), pa.array([x[2].decode() for x in done], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
@@ -192,15 +351,25 @@ def _run(path: str, whole: bool):
     return run
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _encoded(docs: DataFrame, path: str, whole: bool, schema: str) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bits = rows.sparkSession.sparkContext.broadcast(repeated_chunks(rows, path))  # FILTER_BITS bits
+    chunks = rows.select("text").mapInArrow(_chunk_texts(path, bits), "key binary, chunk binary").groupBy("key").agg(F.first("chunk").alias("chunk"))
+    ids = common.written(chunks.mapInArrow(_chunk_ids(path), "key binary, ids binary"), "chunk-ids", compression="zstd")
+    uses = rows.select("text").mapInArrow(_uses(path, bits), "text_key binary, key binary").distinct()
+    lists = common.joined_unevenly(common.written(uses, "chunk-uses"), ids, "key").groupBy("text_key").agg(F.collect_list(F.struct("key", "ids")).alias("chunks"))
+    plain = "doc_id long, text string"
+    sharing = rows.mapInArrow(_split(path, bits, True), plain).withColumn("text_key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    alone = rows.mapInArrow(_split(path, bits, False), plain)
+    done = common.joined_unevenly(sharing, lists, "text_key").select("doc_id", "text", "chunks").mapInArrow(_finished(path, whole), schema)
+    return done.unionByName(alone.mapInArrow(_finished(path, whole), schema))
 
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, decoded string) for each document; `tokenizer` is a file every executor has."""
-    return _rows(docs).mapInArrow(_run(tokenizer, True), "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return _encoded(docs, tokenizer, True, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def encoded_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """The same with SHA-256 digests in place of the ids and the decoded text."""
-    return _rows(docs).mapInArrow(_run(tokenizer, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, tokenizer, False, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

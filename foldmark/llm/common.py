@@ -55,6 +55,27 @@ def bounded(df: DataFrame, most: int, *keys: Column) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*keys), F.lit(slots)) < int(slots * most / n))
 
 
+#: A key on more than one of HEAVY_SHARE rows is heavy, so there are at most HEAVY_SHARE heavy keys, whatever the input's size is.
+HEAVY_SHARE, HEAVY_ROWS, SALTS = 1000, 64, 32
+
+
+def joined_unevenly(left: DataFrame, right: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which has each key at most once, where one key may be on a large share of left's rows.
+
+    Rows of heavy keys are dealt to SALTS parts by a hash of their other columns, and right's rows of these keys repeated for each part.
+    counted: a cheaper frame with left's keys, to find the heavy ones in.
+    """
+    keys = (left if counted is None else counted).select(key)
+    heavy = keys.groupBy(key).count().where(F.col("count") >= HEAVY_ROWS)
+    heavy = heavy.crossJoin(F.broadcast(keys.agg(F.count("*").alias("_rows")))).where(F.col("count") * HEAVY_SHARE > F.col("_rows"))  # one row beside each
+    heavy = F.broadcast(written(heavy.select(F.col(key).alias("_heavy")), "heavy-keys"))  # HEAVY_SHARE keys at most
+    salt = F.when(F.col("_heavy").isNotNull(), F.pmod(F.xxhash64(*(c for c in left.columns if c != key)), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = left.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_salt", salt).drop("_heavy")
+    parts = F.explode(F.when(F.col("_heavy").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    repeated = right.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_salt", parts).drop("_heavy")
+    return dealt.join(repeated, [key, "_salt"]).drop("_salt")
+
+
 def steps(batch: pa.RecordBatch, most: int = STEP_BYTES, column: str = "text"):
     """Slices of an Arrow batch with about `most` bytes of text each."""
     start, total = 0, 0

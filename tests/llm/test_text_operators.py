@@ -1,6 +1,8 @@
 """Operators on texts against brute force, with the edge cases of the fixtures."""
 
 import hashlib
+import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -186,10 +188,60 @@ def test_bpe_joins_are_tried_for_other_tokenizers(texts):
 
 
 def test_bpe_store_forgets(monkeypatch, texts):
-    monkeypatch.setattr(bpe, "STORE_CHUNKS", 20)
+    monkeypatch.setattr(bpe, "STORE_WORDS", 20)
+    monkeypatch.setattr(bpe, "STORE_JOINS", 1)
     encoder = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     data = [(t or "").encode() for t in texts]
-    assert bpe.encode_texts(encoder, data) == bpe.encode_texts(encoder, data) and len(encoder.young) == 0
+    assert bpe.encode_texts(encoder, data) == bpe.encode_texts(encoder, data) and len(encoder.young) == 0 == len(encoder.good)
+
+
+def test_bpe_capitals_before_marks():
+    """Some pairs of a letter and a mark compose only in lower case; the library composes before it folds."""
+    encoder = bpe.Encoder.of(public_tokenizers.path("word_bpe_49k.json"))
+    marks = [chr(c) for c in range(0x80, 0x3100) if unicodedata.combining(chr(c))]
+    alone = [f"{letter}{m} x{letter}{m}{letter}" for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks]
+    table = [unicodedata.normalize("NFD", chr(c)) for c in range(0x80, 0x2000) if unicodedata.normalize("NFD", chr(c)) != chr(c)]
+    cases = ["J\u030c x", "H\u0331 a", "T\u0308 b", "W\u030a", "Y\u030a", *alone, *table, *(x.upper() for x in table), *(f"Ab{x.upper()}Cd {x}" for x in table)]
+    expected = encoder.tokenizer.encode_batch(cases, add_special_tokens=False)
+    for case, want, (n, ids, shown) in zip(cases, expected, bpe.encode_texts(encoder, [c.encode() for c in cases]), strict=True):
+        assert list(map(int, ids.split())) == want.ids and n == len(want.ids), case
+        assert shown.decode() == encoder.tokenizer.decode(want.ids, skip_special_tokens=False)
+
+
+def test_bpe_cut_tiles_the_text_and_depends_on_content(texts):
+    for t in (t for t in texts if t):
+        chunks = bpe.cut(t.encode())
+        assert b"".join(chunks) == t.encode()
+    passage = prose(40, 2000).encode()
+    one, other = bpe.cut(prose(41, 300).encode() + b" " + passage), bpe.cut(prose(42, 500).encode() + b" " + passage)
+    assert len(one) > 20 and len(set(one) & set(other)) >= len(bpe.cut(passage)) - 2
+
+
+def test_bpe_repairs_joins_that_disagree(spark, tmp_path, monkeypatch):
+    """A tokenizer whose merges cross white space: every chunk's end is wrong until it is repaired."""
+    from tokenizers import Tokenizer, models
+
+    vocab = {x: k for k, x in enumerate(["a", "b", "c", " ", "a ", "a b", "b ", "b c", "c ", "c a"])}
+    made = Tokenizer(models.BPE(vocab, [("a", " "), ("a ", "b"), ("b", " "), ("b ", "c"), ("c", " "), ("c ", "a")]))
+    made.save(str(tmp_path / "crossing.json"))
+    monkeypatch.setattr(bpe, "MEAN_WORDS", 2)
+    encoder, r = bpe.Encoder(str(tmp_path / "crossing.json")), random.Random(5)
+    assert not encoder.exact
+    texts = [" ".join(r.choice(["a", "b", "c", "aa", "cab"]) for _ in range(n)) for n in (1, 2, 5, 40, 200)]
+    assert any(len(bpe.cut(t.encode())) > 1 for t in texts)
+    for t, (n, ids, shown) in zip(texts, bpe.encode_texts(encoder, [t.encode() for t in texts]), strict=True):
+        want = made.encode(t, add_special_tokens=False).ids
+        assert list(map(int, ids.split())) == want and n == len(want) and shown.decode() == made.decode(want)
+
+
+def test_bpe_encodes_a_repeated_chunk_once(spark, docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = docs.select("text").where("text is not null")
+    encoder = bpe.Encoder.of(path)
+    count = Counter(c for r in rows.collect() for c in bpe.cut(encoder.folded(r["text"].encode())))
+    bits = bpe.repeated_chunks(rows, path)
+    twice = [c for c, n in count.items() if n > 1 and len(c) <= bpe.SHARED_BYTES]
+    assert twice and bpe._marked(bits, twice).all() and not bpe._marked(bits, [c for c, n in count.items() if n == 1]).any()
 
 
 def test_media(spark, docs, tmp_path):
