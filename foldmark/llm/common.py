@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +61,8 @@ def bounded(df: DataFrame, most: int, *keys: Column) -> DataFrame:
 HEAVY_SHARE, HEAVY_ROWS, SALTS = 1000, 64, 32
 
 
-def joined_unevenly(left: DataFrame, right: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
-    """left joined with right, which has each key at most once, where one key may be on a large share of left's rows.
+def joined_unevenly(left: DataFrame, right: DataFrame, key: str, counted: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, which has each key at most once, where one key may be on a large share of left's rows.
 
     Rows of heavy keys are dealt to SALTS parts by a hash of their other columns, and right's rows of these keys repeated for each part.
     counted: a cheaper frame with left's keys, to find the heavy ones in.
@@ -73,7 +75,7 @@ def joined_unevenly(left: DataFrame, right: DataFrame, key: str, counted: DataFr
     dealt = left.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_salt", salt).drop("_heavy")
     parts = F.explode(F.when(F.col("_heavy").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     repeated = right.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_salt", parts).drop("_heavy")
-    return dealt.join(repeated, [key, "_salt"]).drop("_salt")
+    return dealt.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
 def steps(batch: pa.RecordBatch, most: int = STEP_BYTES, column: str = "text"):
@@ -105,7 +107,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes of ranges of a sequence of 64-bit values, from one running sum, modulo 2**64."""
+    """Polynomial hashes of ranges of a sequence of 64-bit values, from one running sum, modulo 2**64; for sequences of bounded length."""
 
     FACTOR = 0x9E3779B97F4A7C15 | 1
     _powers = np.ones(1, np.uint64)
@@ -133,19 +135,52 @@ class Rolling:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_SPACES = re.compile(rb"[\x20\x09-\x0d]")
 #: A random value for each byte.
 _BYTE = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+#: Longer words are hashed by themselves.
+LONG_WORD = 1 << 16
+
+
+def _pieces(data: bytes):
+    """(start, end) of pieces of about STEP_BYTES that end at white space, words over LONG_WORD alone."""
+    at = 0
+    while at < len(data):
+        found = _SPACES.search(data, min(at + STEP_BYTES, len(data) - 1))
+        end = found.end() if found else len(data)
+        if end - at > STEP_BYTES + LONG_WORD:
+            # the last word is a long one: what is before it is a piece, then the word
+            before = max(data.rfind(s, at, at + STEP_BYTES) for s in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
+            if before >= at:
+                yield at, before + 1
+                at = before + 1
+        yield at, end
+        at = end
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word of the texts in a row, and for each text the index of its first word (one more at the end)."""
+    """A 64-bit hash for each word of the texts in a row, and for each text the index of its first word (one more at the end).
+
+    Equal words have equal hashes; different ones may too. Memory is that of a piece and eight bytes a word, however long a text is.
+    """
     data = b" ".join(texts) + b" "
-    buffer = np.frombuffer(data, np.uint8)
-    space = _SPACE[buffer]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
-    rolling = Rolling(_BYTE[buffer])
-    hashes = rolling.ranges(starts, ends) + (ends - starts).astype(np.uint64)
+    hashes, starts_of = [], []
+    for begin, end in _pieces(data):
+        buffer = np.frombuffer(data, np.uint8, end - begin, begin)
+        if end - begin > STEP_BYTES + LONG_WORD:
+            words = data[begin:end].split()
+            hashes.append(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64))
+            starts_of.append(np.array([begin + data[begin:end].find(w) for w in words], np.int64))
+            continue
+        space = _SPACE[buffer]
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+        starts, ends = edge[0::2], edge[1::2]
+        made = Rolling(_BYTE[buffer]).ranges(starts, ends) + (ends - starts).astype(np.uint64)
+        for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            made[k] = xxhash.xxh3_64_intdigest(data[begin + int(starts[k]) : begin + int(ends[k])])
+        hashes.append(made)
+        starts_of.append(starts + begin)
+    hashes, starts = np.concatenate(hashes), np.concatenate(starts_of)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.concatenate(([0], np.cumsum(lengths + 1)))
     return hashes, np.searchsorted(starts, begin)

@@ -1,23 +1,23 @@
 """Substring deduplication by prefix-partitioned suffix trees over words.
 
 A window is WINDOW consecutive words of one document. A word goes if a window that covers it also starts in a document with a
-smaller doc_id. The suffixes are those that start at the windows; what decides is each suffix tree's nodes at a depth of WINDOW
-words: such a node with suffixes of two documents or more is (part of) a maximal repeat, and its smallest doc_id tells which
-windows go.
+smaller doc_id. The suffixes are those that start at the windows; what decides is each suffix tree's internal nodes of WINDOW words or more: such
+a node with suffixes of two documents is (part of) a maximal repeat, and its smallest doc_id tells which windows go.
 
-The suffixes are split by prefix. A window's prefix key is the smallest hash among its grams of GRAM words (the last, of equal ones),
-so equal windows have equal keys, and neighbouring windows of a document mostly share one: a run of them is shipped as one segment of words,
-about 1.5 windows long, instead of window by window.
+The suffixes are partitioned by prefixes of variable length. A suffix's first prefix goes up to the end of its anchor, the gram of GRAM words
+with the smallest hash in the window, so it is 12 to 50 words long; all prefixes that end with the same anchor are one group. Equal windows
+are in one group, and the neighbouring suffixes of a document mostly too, so a run of them is shipped as one segment of words,
+about 1.5 windows long. A group of more than GROUP_SEGMENTS different segments is split by longer prefixes, of PREFIXES words, its
+windows being shipped one by one; at the last, WINDOW words, a group is one node of the tree and needs no memory.
 
 1. Every document's (key, doc_id) pairs are grouped by key; only keys that two documents hold can matter.
 2. Documents that hold one are written to the shared folder with the list of those keys.
 3. Their segments are merged where equal (a passage in a third of all documents becomes one row with its smallest and largest doc_id,
-   in the map tasks already) and dealt out by key. A task takes the groups in memory-sized lots and names all suffixes of the lot by
-   doubling: the names at depth 1, 2, 4 ... WINDOW are the nodes at that depth. A key with more than GROUP_SEGMENTS different segments
-   is split by a longer prefix instead, the whole window, and grouped by Spark.
+   in the map tasks already) and dealt out by key. A task takes the groups in memory-sized lots, numbers the lot's words exactly, and builds the
+   suffix array by doubling. Neighbours in it whose common prefix reaches WINDOW words are below one deep internal node.
 4. The runs of windows that start in an earlier document go back to the segments' occurrences, and the words they cover go.
 
-Words are compared as 64-bit hashes of their bytes (a window as fifty of them).
+Hashes only choose groups: words are compared as bytes, segments by a cryptographic digest.
 
 Edge cases: null and empty texts have no words and keep the empty text; texts shorter than a window are kept whole; rows with a null
 doc_id are kept whole and remove nothing (which of them is smaller can't be told); rows that repeat a doc_id are one document for the
@@ -36,10 +36,12 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, GRAM = 50, 12
-#: Different segments of one key that one task takes; keys with more are split by a longer prefix.
-GROUP_SEGMENTS = 20_000
-#: Words of a lot that one suffix tree is built over.
-LOT_WORDS = 1_500_000
+#: Different segments of one group that one task takes; larger groups are split by longer prefixes, of so many words.
+GROUP_SEGMENTS, PREFIXES = 1_000, (20, 35, WINDOW)
+#: Bytes of a lot of groups that one suffix array is built over.
+LOT_BYTES = 9_000_000
+#: Words of a text that are cut into segments at once.
+BLOCK_WORDS = 1 << 18
 _POSITION = np.uint64((1 << 28) - 1)
 
 
@@ -57,13 +59,20 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(hashes) < WINDOW:
         return none, none, none, none.astype(np.uint64)
+    blocks = [_segments(hashes[a : a + BLOCK_WORDS + WINDOW - 1], begin, a) for a in range(0, len(hashes) - WINDOW + 1, BLOCK_WORDS)]
+    return tuple(np.concatenate(x) for x in zip(*blocks, strict=True))
+
+
+def _segments(hashes: np.ndarray, begin: np.ndarray, at: int) -> tuple[np.ndarray, ...]:
+    """segments() of the words from `at` on; begin: the texts' first words."""
+    none = np.zeros(0, np.int64)
     grams = common.Rolling(hashes).ranges(np.arange(len(hashes) - GRAM + 1), np.arange(GRAM, len(hashes) + 1))
     place = np.arange(len(grams), dtype=np.uint64)
     packed = (grams & ~_POSITION) | (_POSITION - (place & _POSITION))
     least = _least(packed, WINDOW - GRAM + 1)
     start = np.arange(len(least))
-    text = np.searchsorted(begin, start, side="right") - 1
-    valid = np.flatnonzero(start + WINDOW <= begin[text + 1])
+    text = np.searchsorted(begin, start + at, side="right") - 1
+    valid = np.flatnonzero(start + at + WINDOW <= begin[text + 1])
     if not len(valid):
         return none, none, none, none.astype(np.uint64)
     chosen, text = least[valid], text[valid]
@@ -74,16 +83,16 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     back = (_POSITION - (chosen[fresh] & _POSITION)).astype(np.int64)
     where = (first & ~np.int64(_POSITION)) | back
     where = np.where(where < first, where + np.int64(_POSITION) + 1, where)
-    return text[fresh], first - begin[text[fresh]], count, grams[where]
+    return text[fresh], first + at - begin[text[fresh]], count, grams[where]
 
 
 def _prefixes(batches):
     for batch in batches:
         for part in common.steps(batch):
             text, _, _, key = segments(common.texts_of(part))
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)[text] if len(text) else np.zeros(0, np.int64)
-            pairs = np.unique(np.stack((key.view(np.int64), ids.astype(np.int64)), axis=1), axis=0) if len(text) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "doc_id"])
+            ids, texts = (part.column(c).to_numpy(zero_copy_only=False)[text].astype(np.int64) for c in ("doc_id", "text_key"))
+            pairs = np.unique(np.stack((key.view(np.int64), ids, texts), axis=1), axis=0) if len(text) else np.zeros((0, 3), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(3)], ["key", "doc_id", "text_key"])
 
 
 def _shared_segments(with_text: bool):
@@ -102,7 +111,7 @@ def _shared_segments(with_text: bool):
                         words = common.word_list(texts[last])
                     a, n = int(first[k]), int(count[k])
                     line = b" ".join(words[a : a + n + WINDOW - 1])
-                    digest.append(hashlib.md5(line).digest())
+                    digest.append(hashlib.blake2b(line, digest_size=16).digest())
                     if with_text:
                         content.append(line)
                 of = pa.array(text[keep])
@@ -116,28 +125,40 @@ def _shared_segments(with_text: bool):
     return run
 
 
-def nodes_at_window(words: np.ndarray) -> np.ndarray:
-    """For each position of a sequence its node at depth WINDOW, as a number: equal numbers, equal next WINDOW words.
+def word_numbers(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word of the lines in a row, equal for equal words only, and the number of words of each line."""
+    known: dict[bytes, int] = {}
+    split = [line.split() for line in lines]
+    numbers = [known.setdefault(w, len(known)) for words in split for w in words]
+    return np.array(numbers, np.int64), np.fromiter(map(len, split), np.int64, len(split))
 
-    Positions less than WINDOW before the end have no node.
-    """
-    name, depth = np.unique(words, return_inverse=True)[1].astype(np.int64), 1
-    while depth < WINDOW:
-        step = min(depth, WINDOW - depth)
-        top = int(name.max()) + 1 if len(name) else 1
-        name = np.unique(name[: len(name) - step] * top + name[step:], return_inverse=True)[1].astype(np.int64)
-        depth += step
-    return name
 
+def deep_nodes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each start its topmost internal node (or leaf) of WINDOW words or more in the suffix tree of the starts, as a number.
 
-def _runs_of_lot(digest: list[bytes], lines: list[bytes], least: np.ndarray, most: np.ndarray):
+    Every start has WINDOW words after it. The suffix array comes from doubling: ranks of 1, 2, 4 ... words, then the two ranks that make WINDOW.
+    """
+    rank, depth = np.unique(words, return_inverse=True)[1].astype(np.int64), 1
+    while depth * 2 <= WINDOW:
+        top = int(rank.max()) + 1 if len(rank) else 1
+        rank = np.unique(rank[: len(rank) - depth] * top + rank[depth:], return_inverse=True)[1].astype(np.int64)
+        depth *= 2
+    head, tail = rank[starts], rank[starts + WINDOW - depth]
+    array = np.lexsort((tail, head))
+    # neighbours whose longest common prefix is shorter than a window are below different nodes
+    apart = (head[array[1:]] != head[array[:-1]]) | (tail[array[1:]] != tail[array[:-1]])
+    node = np.empty(len(starts), np.int64)
+    node[array] = np.concatenate(([0], np.cumsum(apart))) if len(array) else array
+    return node
+
+
+def _runs_of_lot(digest: list[bytes], low: np.ndarray, lines: list[bytes], least: np.ndarray, most: np.ndarray):
     """For each segment its runs of windows that start in an earlier document than the segment's last: arrays (segment, low, high, first document)."""
-    words, begin = common.word_hashes(lines)
-    node = nodes_at_window(words)
-    sizes = np.diff(begin) - WINDOW + 1
+    words, counts = word_numbers(lines)
+    sizes = counts - WINDOW + 1
     segment = np.repeat(np.arange(len(lines)), sizes)
     offset = np.arange(len(segment)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    of = node[begin[segment] + offset]
+    of = deep_nodes(words, (np.cumsum(counts) - counts)[segment] + offset)
     first = np.full(int(of.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(first, of, least[segment])
     found = first[of]
@@ -147,50 +168,69 @@ def _runs_of_lot(digest: list[bytes], lines: list[bytes], least: np.ndarray, mos
     s, o, f = segment[hit], offset[hit], found[hit]
     fresh = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (f[1:] != f[:-1]) | (o[1:] != o[:-1] + 1))))
     last = np.concatenate((fresh[1:], [len(hit)])) - 1
-    return [digest[k] for k in s[fresh].tolist()], o[fresh], o[last], f[fresh]
+    return [digest[k] for k in s[fresh].tolist()], low[s[fresh]] + o[fresh], low[s[fresh]] + o[last], f[fresh]
+
+
+_SEGMENT = ("key", "digest", "low", "words", "least", "most")
+_RUNS = "digest binary, low int, high int, earliest long"
 
 
 def _trees(batches):
     """Sorted by key, a key's segments follow each other; a lot ends where a key does."""
     def emit(rows):
-        got = _runs_of_lot([r[1] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64))
+        _, digest, low, lines, least, most = zip(*rows, strict=True)
+        got = _runs_of_lot(list(digest), np.array(low, np.int64), list(lines), np.array(least, np.int64), np.array(most, np.int64))
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.binary()), pa.array(got[1].astype(np.int32)), pa.array(got[2].astype(np.int32)), pa.array(got[3])], ["digest", "low", "high", "earliest"])
 
     rows, total, key = [], 0, None
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "words", "least", "most")), strict=True):
-            if row[0] != key and total > LOT_WORDS * 6:
+        for row in zip(*(batch.column(c).to_pylist() for c in _SEGMENT), strict=True):
+            if row[0] != key and total > LOT_BYTES:
                 yield from emit(rows)
                 rows, total = [], 0
             key = row[0]
             rows.append(row)
-            total += len(row[2])
+            total += len(row[3])
     if rows:
         yield from emit(rows)
 
 
-def _windows(batches):
-    for batch in batches:
-        for digest, line, least, most in zip(*(batch.column(c).to_pylist() for c in ("digest", "words", "least", "most")), strict=True):
-            words = line.split()
-            n = len(words) - WINDOW + 1
-            yield pa.RecordBatch.from_arrays([pa.array([digest] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([b" ".join(words[i : i + WINDOW]) for i in range(n)], pa.binary()), pa.array([least] * n, pa.int64()), pa.array([most] * n, pa.int64())], ["digest", "low", "window", "least", "most"])
+def _windows(prefix: int):
+    """Segments to their single windows, with the digest of the first `prefix` words as key."""
+    def run(batches):
+        for batch in batches:
+            for digest, low, line, least, most in zip(*(batch.column(c).to_pylist() for c in _SEGMENT[1:]), strict=True):
+                words = line.split()
+                for a in range(0, len(words) - WINDOW + 1, 4096):
+                    at = range(a, min(a + 4096, len(words) - WINDOW + 1))
+                    keys = [hashlib.blake2b(b" ".join(words[i : i + prefix]), digest_size=16).digest() for i in at]
+                    columns = [pa.array(keys, pa.binary()), pa.array([digest] * len(at), pa.binary()), pa.array([low + i for i in at], pa.int32()), pa.array([b" ".join(words[i : i + WINDOW]) for i in at], pa.binary()), pa.array([least] * len(at), pa.int64()), pa.array([most] * len(at), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, _SEGMENT)
+
+    return run
 
 
 def repeats(affected: DataFrame, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
     """(row, lo, hi): word ranges of the rows (row, doc_id, text, keys) that windows of an earlier document cover."""
     merged = affected.mapInArrow(_shared_segments(True), "doc_id long, digest binary, key long, words binary").groupBy("key", "digest", "words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    merged = common.written(merged, "segments")
-    large = common.written(merged.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group_segments).select("key"), "large")
-    small = merged.join(large, "key", "left_anti")
-    runs = small.repartition("key").sortWithinPartitions("key").mapInArrow(_trees, "digest binary, low int, high int, earliest long")
-    windows = merged.join(large, "key", "left_semi").select("digest", "words", "least", "most").mapInArrow(_windows, "digest binary, low int, window binary, least long, most long")
-    deepest = windows.groupBy("window").agg(F.min("least").alias("earliest"))
-    split = windows.join(deepest, "window").where("earliest < most").select("digest", "low", F.col("low").alias("high"), "earliest")
-    runs = runs.unionByName(split) if not large.isEmpty() else runs
-    seen = affected.mapInArrow(_shared_segments(False), "doc_id long, digest binary, row long, first int")
-    return seen.join(runs, "digest").where("earliest < doc_id").select("row", (F.col("first") + F.col("low")).alias("lo"), (F.col("first") + F.col("high") + WINDOW).alias("hi"))
+    left = common.written(merged.select("key", "digest", F.lit(0).alias("low"), "words", "least", "most"), "segments")
+    runs = None
+    for prefix in (*PREFIXES, None):
+        large = common.written(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group_segments).select("key"), "large")
+        small = left.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_trees, _RUNS)
+        runs = small if runs is None else runs.unionByName(small)
+        if large.isEmpty():
+            break
+        left = common.written(left.join(large, "key", "left_semi").mapInArrow(_windows(prefix), "key binary, digest binary, low int, words binary, least long, most long"), "windows")
+        if prefix == WINDOW:  # equal keys are equal windows: each group is one node
+            nodes = left.groupBy("key").agg(F.min("least").alias("earliest"))
+            runs = runs.unionByName(common.joined_unevenly(left, nodes, "key").where("earliest < most").select("digest", "low", F.col("low").alias("high"), "earliest"))
+            break
+    lists = common.written(runs.groupBy("digest").agg(F.collect_list(F.struct("low", "high", "earliest")).alias("runs")), "runs")  # at most the windows of a segment
+    seen = common.written(affected.mapInArrow(_shared_segments(False), "doc_id long, digest binary, row long, first int"), "seen")
+    found = common.joined_unevenly(seen, lists, "digest").select("doc_id", "row", "first", F.explode("runs").alias("run")).where("run.earliest < doc_id")
+    return found.select("row", (F.col("first") + F.col("run.low")).alias("lo"), (F.col("first") + F.col("run.high") + WINDOW).alias("hi"))
 
 
 def _kept_words(text: bytes, spans) -> tuple[int, list[bytes]]:
@@ -216,11 +256,13 @@ def _kept(batches):
 
 def repeats_removed(docs: DataFrame, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each document's words that no window of an earlier document covers, joined by one space."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keys = rows.where("doc_id is not null").mapInArrow(_prefixes, "key long, doc_id long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    keys = common.written(rows.where("doc_id is not null").mapInArrow(_prefixes, "key long, doc_id long, text_key long"), "prefixes")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
-    lists = keys.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    marked = common.written(rows.join(lists, "doc_id", "left").withColumn("row", F.monotonically_increasing_id()), "marked", compression="zstd")
+    # a list for each text, so no longer than the text; texts of equal hash have theirs together, which only adds keys
+    lists = common.joined_unevenly(keys, shared, "key").groupBy("text_key").agg(F.collect_set("key").alias("keys"))
+    listed = common.joined_unevenly(rows, lists, "text_key", how="left").select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("keys")).alias("keys"))
+    marked = common.written(listed.withColumn("row", F.monotonically_increasing_id()), "marked", compression="zstd")
     affected = marked.where("keys is not null")
     spans = repeats(affected, group_segments).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept string"

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foldmark.llm import bpe, media, mixing, pii, simhash, substring
+from foldmark.llm import bpe, common, media, mixing, pii, simhash, substring
 
 from conftest_words import prose
 
@@ -143,7 +143,7 @@ def plain_removed(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("group", [20_000, 1])
+@pytest.mark.parametrize("group", [20_000, 3, 1])
 def test_substring_dedup(docs, group):
     assert Counter(map(tuple, substring.repeats_removed(docs, group).collect())) == plain_removed(docs.collect())
 
@@ -152,16 +152,37 @@ def test_substring_dedup_of_nothing(no_docs):
     assert substring.repeats_removed(no_docs).count() == 0
 
 
-def test_nodes_name_equal_windows():
-    x = np.random.default_rng(1).integers(0, 2, 400).astype(np.uint64)
+def test_deep_nodes_are_those_of_equal_windows():
+    x = np.random.default_rng(1).integers(0, 2, 400)
     x = np.concatenate((x, x[100:220]))
-    node = substring.nodes_at_window(x)
+    starts = np.arange(len(x) - substring.WINDOW + 1)
+    node = substring.deep_nodes(x, starts)
     names = {}
-    for i in range(len(x) - substring.WINDOW + 1):
+    for i in starts:
         assert names.setdefault(tuple(x[i : i + substring.WINDOW]), node[i]) == node[i]
     assert len(set(names.values())) == len(names)
 
 
+def test_substring_dedup_compares_words_as_bytes(spark):
+    """Two long words whose polynomial hashes modulo 2**64 are equal whatever the factor is."""
+    bits = ["a" if bin(k).count("1") % 2 else "b" for k in range(1 << 11)]
+    one, other = "".join(bits), "".join("a" if b == "b" else "b" for b in bits)
+    same = prose(50, 60)
+    rows = spark.createDataFrame([(1, f"{one} {same}"), (2, f"{other} {same}"), (3, f"{one} {prose(50, 49)}")], "doc_id long, text string")
+    assert Counter(map(tuple, substring.repeats_removed(rows).collect())) == plain_removed(rows.collect())
+
+
+def test_segments_of_long_texts_and_long_words(monkeypatch):
+    """Cut in blocks and pieces, every window is in one segment, with the key it has when cut at once."""
+    text = [(prose(60, 3000) + " " + "w" * 5000 + " " + prose(61, 400)).encode(), b"", prose(62, 120).encode()]
+    at_once = {(t, f + k): key for t, f, n, key in zip(*(x.tolist() for x in substring.segments(text)), strict=True) for k in range(n)}
+    monkeypatch.setattr(substring, "BLOCK_WORDS", 700)
+    monkeypatch.setattr(common, "STEP_BYTES", 900)
+    monkeypatch.setattr(common, "LONG_WORD", 6000)
+    cut = {(t, f + k): key for t, f, n, key in zip(*(x.tolist() for x in substring.segments(text)), strict=True) for k in range(n)}
+    assert cut == at_once and len(cut) == 3401 - 49 + 120 - 49
+
+
 def test_bpe(spark, docs):
     from tokenizers import Tokenizer
 
