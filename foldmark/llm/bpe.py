@@ -3,12 +3,13 @@
 A text is cut into chunks at those ends of words where a rolling hash of the last eight bytes says so (one of MEAN_WORDS ends), so a passage is
 cut the same way in every document. Chunks begin with their white space and tile the text.
 
-1. Keys of all chunks are counted. Those that occur twice or more go into a bit map of FILTER_BITS bits, a bound that holds whatever the input's
-   size is; a wrong "yes" of the map costs a little work and changes nothing.
-2. Each chunk that occurs again is encoded once for the whole table: (key, ids), the ids packed into two or four bytes each.
-3. Documents that hold such chunks get those ids by a join on chunk keys, then on the text's digest; only these documents' texts are shuffled.
-   Chunks that occur once, and documents without repeated chunks, are encoded where they are read.
-4. Every join between two chunks of a text is tried: the last word of the left and the first of the right are encoded together, and where that
+1. Keys of all chunks are counted. Those that occur twice or more go into a bit map of sixteen bits for each, FILTER_BITS at most whatever the
+   input's size is; a wrong "yes" of the map costs a little work and changes nothing.
+2. Documents without repeated chunks are encoded where they are read; of the others a table keeps the compressed text and the keys of such chunks.
+3. Each chunk that occurs again is encoded once for the whole table: (key, ids), the ids packed into two or four bytes each.
+4. The different texts of step 2's table get those ids by a join on chunk keys, then on the text's digest; only these texts are shuffled.
+   Their chunks that occur once are encoded where they are. Results go to the documents by the text's digest.
+5. Every join between two chunks of a text is tried: the last word of the left and the first of the right are encoded together, and where that
    disagrees with their separate ids the two chunks are merged and encoded again, until all joins agree. A worker remembers joins that agreed.
 
 Within a chunk words that the worker has met are taken from a store of bounded size where `exact_words` finds in the tokenizer's own
@@ -34,17 +35,18 @@ import os
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: One end of a word in so many ends a chunk.
-MEAN_WORDS = 64
+MEAN_WORDS = 128
 #: Chunks up to this length are looked for in other documents; longer ones are encoded where they are.
 SHARED_BYTES = 1 << 16
-#: Bits of the map of repeated chunks (8 MB).
-FILTER_BITS = 1 << 26
+#: Most bits of the map of repeated chunks (128 MB).
+FILTER_BITS = 1 << 30
 #: Words, and joins found good, that a worker remembers.
 STORE_WORDS, STORE_WORD_BYTES, STORE_JOINS = 150_000, 512, 200_000
 #: New words that are encoded in one call.
@@ -179,20 +181,34 @@ class Encoder:
         return {j for j, s in zip(unknown, same, strict=True) if not s}
 
 
-def cut(data: bytes) -> list[bytes]:
-    """The chunks of a text in a row; each but the first begins with its white space, white space at the end belongs to the last."""
-    if not data:
+_ROOM = 8
+
+
+def cuts(texts: list[bytes]) -> list[list[bytes]]:
+    """The chunks of each text in a row; each but the first begins with its white space, white space at the end belongs to the last."""
+    if not texts:
         return []
-    buffer = np.frombuffer(b"\0" * 8 + data + b" ", np.uint8)
+    lead = b" " + b"\0" * _ROOM  # no window of a text reaches into another
+    data = b"".join([x for t in texts for x in (lead, t)]) + b" "
+    buffer = np.frombuffer(data, np.uint8)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(lengths + len(lead)) - lengths
     space = common._SPACE[buffer]
     ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-    ends = ends[ends > 8]
-    rolling = np.zeros(len(ends), np.uint64)
-    for k in range(8):
-        rolling = rolling * np.uint64(0x9E3779B97F4A7C15) + buffer[ends - 1 - k]
-    here = ends[common.mix64(rolling) % np.uint64(MEAN_WORDS) == 0] - 8
-    bounds = [0, *(b for b in here.tolist() if b < len(data)), len(data)]
-    return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    window = np.zeros(len(ends), np.uint64)
+    for k in range(_ROOM):
+        window |= buffer[ends - 1 - k].astype(np.uint64) << np.uint64(8 * k)
+    ends = ends[common.mix64(window * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(MEAN_WORDS) == 0]
+    low, high = np.searchsorted(ends, begin, side="right").tolist(), np.searchsorted(ends, begin + lengths).tolist()
+    places, found = ends.tolist(), []
+    for a, n, i, j in zip(begin.tolist(), lengths.tolist(), low, high, strict=True):
+        bounds = [a, *places[i:j], a + n]
+        found.append([data[x:y] for x, y in zip(bounds, bounds[1:], strict=False)] if n else [])
+    return found
+
+
+def cut(text: bytes) -> list[bytes]:
+    return cuts([text])[0]
 
 
 def _last_word(chunk: bytes) -> bytes:
@@ -209,9 +225,17 @@ def _first_word(chunk: bytes) -> bytes:
     return chunk[: lead + len(words[0])] if words else chunk
 
 
-def encode_texts(encoder: Encoder, texts: list[bytes], known: list[dict[bytes, bytes]] | None = None) -> list[tuple[int, bytes, bytes]]:
-    """For each text its number of ids, the ids in decimal and the decoded text, both joined by spaces; known: packed ids by chunk key, for each text."""
-    cuts = [cut(encoder.folded(t)) for t in texts]
+def folded_cuts(encoder: Encoder, texts: list[bytes]) -> list[list[bytes]]:
+    return cuts([encoder.folded(t) for t in texts])
+
+
+def encode_texts(encoder: Encoder, texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+    """For each text its number of ids, the ids in decimal and the decoded text, both joined by spaces."""
+    return encode_chunks(encoder, folded_cuts(encoder, texts))
+
+
+def encode_chunks(encoder: Encoder, cuts: list[list[bytes]], known: list[dict[bytes, bytes]] | None = None) -> list[tuple[int, bytes, bytes]]:
+    """The same of texts cut into chunks; known: packed ids by chunk key, for each text."""
     entries: list[list] = []
     for k, chunks in enumerate(cuts):
         given = known[k] if known and known[k] else {}
@@ -249,9 +273,8 @@ def chunk_key(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def _places(chunks: list[bytes]) -> np.ndarray:
-    """The bits of the map that chunks have."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(c) for c in chunks), np.uint64, len(chunks)) % np.uint64(FILTER_BITS)
+def _hashes(chunks: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(c) for c in chunks), np.uint64, len(chunks))
 
 
 def _counted(path: str):
@@ -259,18 +282,21 @@ def _counted(path: str):
         encoder = Encoder.of(path)
         for batch in batches:
             for part in common.steps(batch):
-                chunks = [c for t in common.texts_of(part) for c in cut(encoder.folded(t)) if len(c) <= SHARED_BYTES]
-                yield pa.RecordBatch.from_arrays([pa.array(np.fromiter((xxhash.xxh3_64_intdigest(c) for c in chunks), np.uint64, len(chunks)).view(np.int64))], ["key"])
+                chunks = [c for x in folded_cuts(encoder, common.texts_of(part)) for c in x if len(c) <= SHARED_BYTES]
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(chunks).view(np.int64))], ["key"])
 
     return run
 
 
 def repeated_chunks(rows: DataFrame, path: str) -> np.ndarray:
     """The bit map of the chunks that occur twice or more: at most FILTER_BITS / 8 bytes reach the driver."""
-    twice = rows.select("text").mapInArrow(_counted(path), "key long").groupBy("key").count().where("count > 1")
-    place = F.pmod(F.col("key"), F.lit(FILTER_BITS))  # the same as unsigned, for FILTER_BITS is a power of two
-    maps = twice.groupBy(F.bitmap_bucket_number(place + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits")).collect()
-    found = np.zeros(FILTER_BITS // 8, np.uint8)
+    twice = common.written(rows.select("text").mapInArrow(_counted(path), "key long").groupBy("key").count().where("count > 1").select("key"), "repeated")
+    size, wanted = _BUCKET_BITS, min(FILTER_BITS, 16 * twice.count())
+    while size < wanted:
+        size *= 2
+    place = F.pmod(F.col("key"), F.lit(size)) + 1  # the key's unsigned remainder, for the size is a power of two; Spark's maps count from one
+    maps = twice.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    found = np.zeros(size // 8, np.uint8)
     for x in maps:
         begin = (x["bucket"] - 1) * (_BUCKET_BITS // 8)
         found[begin : begin + _BUCKET_BITS // 8] = np.frombuffer(x["bits"], np.uint8)
@@ -278,91 +304,102 @@ def repeated_chunks(rows: DataFrame, path: str) -> np.ndarray:
 
 
 def _marked(bits: np.ndarray, chunks: list[bytes]) -> np.ndarray:
-    place = _places(chunks)
+    place = _hashes(chunks) % np.uint64(len(bits) * 8)
     return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _repeated_of(encoder: Encoder, bits: np.ndarray, text: bytes) -> list[bytes]:
-    """The text's different chunks that the map marks."""
-    chunks = [c for c in cut(encoder.folded(text)) if len(c) <= SHARED_BYTES]
-    return list(dict.fromkeys(c for c, m in zip(chunks, _marked(bits, chunks).tolist(), strict=True) if m)) if chunks else []
+def _repeated(bits: np.ndarray, found: list[list[bytes]]) -> list[list[bytes]]:
+    """Each text's different chunks that the map marks."""
+    marked = iter(_marked(bits, [c for x in found for c in x]).tolist())
+    return [list(dict.fromkeys([c for c in x if next(marked) and len(c) <= SHARED_BYTES])) for x in found]
 
 
-def _chunk_texts(path: str, bits):
-    def run(batches):
-        encoder = Encoder.of(path)
-        for batch in batches:
-            for part in common.steps(batch):
-                chunks = list(dict.fromkeys(c for t in common.texts_of(part) for c in _repeated_of(encoder, bits.value, t)))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk_key(c) for c in chunks], pa.binary()), pa.array(chunks, pa.binary())], ["key", "chunk"])
+_PENDING = "text_key binary, packed binary, keys array<binary>"
 
-    return run
 
+def _columns(doc_ids, done: list[tuple[int, bytes, bytes]], whole: bool) -> dict[str, pa.Array]:
+    columns = {"doc_id": doc_ids, "n_tokens": pa.array([x[0] for x in done], pa.int64())}
+    if whole:
+        return columns | {"ids": pa.array([np.array(x[1].split(), np.int32) for x in done], pa.list_(pa.int32())), "decoded": pa.array([x[2].decode() for x in done], pa.string())}
+    return columns | {name: pa.array([hashlib.sha256(x[k]).hexdigest() for x in done], pa.string()) for k, name in ((1, "ids_sha256"), (2, "decoded_sha256"))}
 
-def _chunk_ids(path: str):
+
+def _first_pass(path: str, bits, whole: bool):
+    """Finished rows of documents without repeated chunks, pending ones of the others."""
     def run(batches):
-        encoder = Encoder.of(path)
+        encoder, squeeze = Encoder.of(path), zstandard.ZstdCompressor()
         for batch in batches:
-            for part in common.steps(batch, column="chunk"):
-                done = encoder.chunks(common.texts_of(part, "chunk"))
-                encoder.forget()
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([np.array(x[1].split(), encoder.packed).tobytes() for x in done], pa.binary())], ["key", "ids"])
+            for part in common.steps(batch, common.STEP_BYTES // 2):
+                texts = common.texts_of(part)
+                found = folded_cuts(encoder, texts)
+                repeated = _repeated(bits.value, found)
+                here = [k for k, r in enumerate(repeated) if not r]
+                made = _columns(part.column("doc_id").take(pa.array(here, pa.int64())), encode_chunks(encoder, [found[k] for k in here]), whole)
+                done = pa.RecordBatch.from_pydict(made | {"text_key": pa.nulls(len(here), pa.binary()), "packed": pa.nulls(len(here), pa.binary()), "keys": pa.nulls(len(here), pa.list_(pa.binary()))})
+                yield done
+                later = [k for k, r in enumerate(repeated) if r]
+                waits = {f.name: pa.nulls(len(later), f.type) for f in done.schema} | {"doc_id": part.column("doc_id").take(pa.array(later, pa.int64()))}
+                waits |= {"text_key": pa.array([hashlib.sha256(texts[k]).digest() for k in later], pa.binary()), "packed": pa.array([squeeze.compress(texts[k]) for k in later], pa.binary()), "keys": pa.array([[chunk_key(c) for c in repeated[k]] for k in later], pa.list_(pa.binary()))}
+                yield pa.RecordBatch.from_pydict(waits)
 
     return run
 
 
-def _uses(path: str, bits):
+def _chunk_texts(path: str):
+    """(key, chunk) of the pending rows' repeated chunks."""
     def run(batches):
-        encoder = Encoder.of(path)
+        encoder, unpack = Encoder.of(path), zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in common.steps(batch):
-                rows = {(hashlib.sha256(t).digest(), chunk_key(c)) for t in common.texts_of(part) for c in _repeated_of(encoder, bits.value, t)}
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["text_key", "key"])
+            for part in common.steps(batch, column="packed"):
+                met: set[bytes] = set()
+                new = [t for t, keys in zip(part.column("packed").to_pylist(), part.column("keys").to_pylist(), strict=True) if not met.issuperset(keys) and not met.update(keys)]
+                chunks = {chunk_key(c): c for x in folded_cuts(encoder, [unpack.decompress(t) for t in new]) for c in x}
+                found = {x: chunks[x] for x in met}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["key", "chunk"])
 
     return run
 
 
-def _split(path: str, bits, shared: bool):
-    """Rows with repeated chunks, or those without."""
+def _chunk_ids(path: str):
     def run(batches):
         encoder = Encoder.of(path)
         for batch in batches:
-            for part in common.steps(batch):
-                keep = [bool(_repeated_of(encoder, bits.value, t)) == shared for t in common.texts_of(part)]
-                yield part.filter(pa.array(keep, pa.bool_()))
+            for part in common.steps(batch, column="chunk"):
+                done = encoder.chunks(common.texts_of(part, "chunk"))
+                encoder.forget()
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([np.array(x[1].split(), encoder.packed).tobytes() for x in done], pa.binary())], ["key", "ids"])
 
     return run
 
 
-def _finished(path: str, whole: bool):
+def _second_pass(path: str, whole: bool):
+    """Results of the pending texts, with the text's digest in place of the document's id."""
     def run(batches):
-        encoder = Encoder.of(path)
+        encoder, unpack = Encoder.of(path), zstandard.ZstdDecompressor()
         for batch in batches:
-            for part in common.steps(batch, common.STEP_BYTES // 2):
-                lists = part.column("chunks").to_pylist() if "chunks" in part.schema.names else None
-                known = [{x["key"]: x["ids"] for x in c or ()} for c in lists] if lists is not None else None
-                done = encode_texts(encoder, common.texts_of(part), known)
-                n = pa.array([x[0] for x in done], pa.int64())
-                if whole:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array([np.array(x[1].split(), np.int32) for x in done], pa.list_(pa.int32())), pa.array([x[2].decode() for x in done], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
-                else:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, *(pa.array([hashlib.sha256(x[k]).hexdigest() for x in done], pa.string()) for k in (1, 2))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part in common.steps(batch, common.STEP_BYTES // 8, "packed"):
+                known = [{x["key"]: x["ids"] for x in c or ()} for c in part.column("chunks").to_pylist()]
+                found = folded_cuts(encoder, [unpack.decompress(x) for x in part.column("packed").to_pylist()])
+                columns = _columns(part.column("text_key"), encode_chunks(encoder, found, known), whole)
+                yield pa.RecordBatch.from_pydict({"text_key": columns.pop("doc_id"), **columns})
 
     return run
 
 
 def _encoded(docs: DataFrame, path: str, whole: bool, schema: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bits = rows.sparkSession.sparkContext.broadcast(repeated_chunks(rows, path))  # FILTER_BITS bits
-    chunks = rows.select("text").mapInArrow(_chunk_texts(path, bits), "key binary, chunk binary").groupBy("key").agg(F.first("chunk").alias("chunk"))
+    bits = rows.sparkSession.sparkContext.broadcast(repeated_chunks(rows, path))  # FILTER_BITS bits at most
+    first = common.written(rows.mapInArrow(_first_pass(path, bits, whole), f"{schema}, {_PENDING}"), "first-pass", compression="zstd")
+    done, pending = first.where("packed is null").drop("text_key", "packed", "keys"), first.where("packed is not null").select("doc_id", "text_key", "packed", "keys")
+    chunks = pending.select("packed", "keys").mapInArrow(_chunk_texts(path), "key binary, chunk binary").groupBy("key").agg(F.first("chunk").alias("chunk"))
     ids = common.written(chunks.mapInArrow(_chunk_ids(path), "key binary, ids binary"), "chunk-ids", compression="zstd")
-    uses = rows.select("text").mapInArrow(_uses(path, bits), "text_key binary, key binary").distinct()
-    lists = common.joined_unevenly(common.written(uses, "chunk-uses"), ids, "key").groupBy("text_key").agg(F.collect_list(F.struct("key", "ids")).alias("chunks"))
-    plain = "doc_id long, text string"
-    sharing = rows.mapInArrow(_split(path, bits, True), plain).withColumn("text_key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    alone = rows.mapInArrow(_split(path, bits, False), plain)
-    done = common.joined_unevenly(sharing, lists, "text_key").select("doc_id", "text", "chunks").mapInArrow(_finished(path, whole), schema)
-    return done.unionByName(alone.mapInArrow(_finished(path, whole), schema))
+    uses = pending.select("text_key", F.explode("keys").alias("key")).distinct()
+    lists = common.joined_unevenly(uses, ids, "key").groupBy("text_key").agg(F.collect_list(F.struct("key", "ids")).alias("chunks"))  # no longer than the text
+    # both sides are grouped by the text's digest, so the join shuffles neither again
+    texts = pending.groupBy("text_key").agg(F.first("packed").alias("packed")).join(lists, "text_key")
+    results = common.written(texts.mapInArrow(_second_pass(path, whole), schema.replace("doc_id long", "text_key binary")), "second-pass", compression="zstd")
+    later = common.joined_unevenly(pending.select("doc_id", "text_key"), results, "text_key")
+    return done.unionByName(later.select(done.columns))
 
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
