@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -16,23 +16,30 @@ def order_key(seed: str, *keys: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys))), 1, 12), 16, 10).cast("long")
 
 
-def number_text(x: Column | str, digits: int = 6) -> Column:
-    """Canonical text of a number: fixed decimals; null as the empty text."""
-    x = F.col(x) if isinstance(x, str) else x
-    return F.coalesce(F.round(x, digits).cast(f"decimal(38,{digits})").cast("string"), F.lit(""))
+def number_text(x: Column | str, digits: int = 12) -> Column:
+    """Canonical text of a number: its decimal value to so many significant digits, without zeros at the end; null and NaN as the empty text.
+
+    Numbers of one decimal value to these digits have one text, whatever wrote and read them.
+    """
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    text = F.format_string(f"%.{digits - 1}e", x)
+    mantissa = F.regexp_replace(F.regexp_replace(F.split(text, "e")[0], "0+$", ""), r"\.$", "")
+    power = F.split(text, "e")[1].cast("int")
+    shown = F.concat(mantissa, F.when(power != 0, F.concat(F.lit("e"), power.cast("string"))).otherwise(""))
+    return F.when(x.isNull() | F.isnan(x), "").when(x == 0, "0").when(F.abs(x) == float("inf"), x.cast("string")).otherwise(shown)
 
 
 def category(x: Column | str, values: dict[str, str]) -> Column:
-    """Known tokens (trimmed, lower case) mapped, unknown ones passed through trimmed, null kept."""
+    """Tokens (trimmed, lower case), the known ones mapped, null kept."""
     x = F.col(x) if isinstance(x, str) else x
     token = F.lower(F.trim(x))
-    out = F.trim(x)
+    out = token
     for known, value in values.items():
         out = F.when(token == known, F.lit(value)).otherwise(out)
     return F.when(x.isNotNull(), out)
 
 
-#: Tokens of the two-valued category.
+# Tokens of the two-valued category.
 SEX_TOKENS = {"f": "female", "female": "female", "0": "female", "0.0": "female", "m": "male", "male": "male", "1": "male", "1.0": "male"}
 
 
@@ -79,6 +86,3 @@ def first_of(df, names: list[str], kind: str = "string") -> Column:
 def weighted_mean(x: Column, w: Column) -> Column:
     return safe_ratio(F.sum(x * w), F.sum(F.when(x.isNotNull(), w)))
 
-
-def each(*keys: str):
-    return Window.partitionBy(*keys)

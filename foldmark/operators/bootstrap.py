@@ -1,12 +1,16 @@
 """Subject bootstrap from per-subject moments.
 
-Draws are with replacement over the dense index of a group's subjects and come from a seeded md5 order, so they are the same for every method
-of the group (which pairing needs) and in every engine. Draws are collapsed to counts before they meet the moments: what is resampled is
-one row of moments for each subject, never rows of data.
+A replicate weighs every subject by how often it is drawn: a Poisson(1) number from a seeded md5 of group, subject and replicate, which is what drawing
+with replacement gives a subject where there are many. So a subject's draws are the same for every method of the group (which pairing needs) and in
+every engine, they need no numbering of subjects and no join, and what is shuffled is one row of sums for each task, key and replicate, however many
+subjects there are.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,19 +24,26 @@ def indexed(subjects: DataFrame, group: list[str]) -> DataFrame:
     return subjects.select(*group, "subject_id").distinct().withColumn("idx", F.row_number().over(own.orderBy(F.col("subject_id").cast("string"))) - 1).withColumn("n", F.count("*").over(own))
 
 
-def draws(index: DataFrame, group: list[str], replicates: int, seed: str = "boot") -> DataFrame:
-    """(group, replicate, idx, times): how often each subject is drawn, each replicate drawing as many as the group has."""
-    each = index.select(*group, "idx", "n").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = each.select(*group, "replicate", F.pmod(order_key(seed, *group, "replicate", "idx"), F.col("n")).cast("int").alias("idx"))
-    return drawn.groupBy(*group, "replicate", "idx").agg(F.count("*").alias("times"))
+# The probabilities that a Poisson(1) number is at most 0, 1, 2 ...; the last is 1 to 48 bits.
+_AT_MOST = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(16))
+LIMITS = tuple(int(p * 2**48) for p in _AT_MOST if p * 2**48 < 2**48 - 1)
+
+
+def times_drawn(seed: str, *keys: str) -> Column:
+    """How often a replicate draws a subject: a Poisson(1) number from the seeded order of the keys, which name group, replicate and subject."""
+    key = order_key(seed, *keys)
+    return reduce(lambda a, b: a + b, ((key >= F.lit(limit)).cast("int") for limit in LIMITS))
+
+
+def drawn(rows: DataFrame, group: list[str], replicates: int, seed: str = "boot") -> DataFrame:
+    """The rows (one for each subject of a key) once for each replicate that draws their subject, with `replicate` and `times`."""
+    each = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return each.withColumn("times", times_drawn(seed, *group, "replicate", "subject_id")).where("times > 0")
 
 
 def replicate_metrics(moments: DataFrame, group: list[str], keys: list[str], replicates: int, seed: str = "boot") -> DataFrame:
-    """Metrics of every replicate for each of the keys (which contain the group)."""
-    index = indexed(moments, group)
-    drawn = draws(index, group, replicates, seed).join(index.select(*group, "idx", "subject_id"), [*group, "idx"]).drop("idx")
-    # keys whose group lists a subject that they lack count only the subjects they have
-    return metrics_of_moments(moments.join(drawn, [*group, "subject_id"]), [*keys, "replicate"], "times")
+    """Metrics of every replicate for each of the keys (which contain the group); keys count the subjects they have."""
+    return metrics_of_moments(drawn(moments, group, replicates, seed), [*keys, "replicate"], "times")
 
 
 def interval(x: Column | str, level: float = 0.95, low: bool = True) -> Column:
@@ -56,10 +67,8 @@ def seed_mean_intervals(moments: DataFrame, group: list[str], keys: list[str], r
 
 def mean_intervals(values: DataFrame, group: list[str], keys: list[str], replicates: int, value: str = "delta", seed: str = "boot", level: float = 0.95) -> DataFrame:
     """(keys, ci_low, ci_high, p_below_zero) of the mean over subjects of a value."""
-    index = indexed(values, group)
-    drawn = draws(index, group, replicates, seed).join(index.select(*group, "idx", "subject_id"), [*group, "idx"]).drop("idx")
-    means = values.join(drawn, [*group, "subject_id"]).groupBy(*keys, "replicate").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean"))
+    means = drawn(values, group, replicates, seed).groupBy(*keys, "replicate").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean"))
     return means.groupBy(*keys).agg(interval("mean", level).alias("ci_low"), interval("mean", level, False).alias("ci_high"), F.avg((F.col("mean") < 0).cast("double")).alias("p_below_zero"))
 
 
-__all__ = ["METRICS", "MOMENTS", "draws", "indexed", "interval", "mean_intervals", "metric_intervals", "replicate_metrics", "seed_mean_intervals"]
+__all__ = ["METRICS", "MOMENTS", "drawn", "indexed", "times_drawn", "interval", "mean_intervals", "metric_intervals", "replicate_metrics", "seed_mean_intervals"]

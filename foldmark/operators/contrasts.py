@@ -10,25 +10,44 @@ from .bootstrap import mean_intervals
 UNIT = ("subject_id", "measurement_id")
 
 
-def paired_units(units: DataFrame, specs: DataFrame, keys: list[str], by_seed: bool = False) -> DataFrame:
-    """Candidate and reference predictions of the same units, one job for all contrasts.
+def unit_pairs(units: DataFrame, specs: DataFrame, keys: list[str], by_seed: bool = False) -> DataFrame:
+    """(contrast, keys, unit, candidate_pred, reference_pred, y_true, other_true): each unit that either side of a contrast has, one shuffle for all contrasts.
 
     specs: (contrast, candidate, reference), a row for each contrast; units: keys, method, seed if by_seed, subject, measurement, y_true, y_pred.
     """
     on = [*keys, *UNIT, *(["seed"] if by_seed else [])]
     few = F.broadcast(specs)  # a row for each contrast that the caller names
-    left = units.join(few, units["method"] == few["candidate"]).select("contrast", *on, "y_true", F.col("y_pred").alias("candidate_pred"))
-    right = units.join(few, units["method"] == few["reference"]).select("contrast", *on, F.col("y_pred").alias("reference_pred"))
-    return left.join(right, ["contrast", *on])
+    sides = units.join(few, (units["method"] == few["candidate"]) | (units["method"] == few["reference"]))
+    mine, other = F.col("method") == F.col("candidate"), F.col("method") == F.col("reference")
+    pick = lambda side, x, name: F.max(F.when(side, F.col(x))).alias(name)  # noqa: E731  a unit is one row of a method
+    return sides.groupBy("contrast", *on).agg(pick(mine, "y_pred", "candidate_pred"), pick(other, "y_pred", "reference_pred"), pick(mine, "y_true", "y_true"), pick(other, "y_true", "other_true"))
 
 
-def unmatched_units(units: DataFrame, specs: DataFrame, keys: list[str]) -> DataFrame:
-    """Units that one side of a contrast has and the other lacks."""
-    few = F.broadcast(specs)
-    on = [*keys, *UNIT]
-    left = units.join(few, units["method"] == few["candidate"]).select("contrast", *on, F.lit(1).alias("c"))
-    right = units.join(few, units["method"] == few["reference"]).select("contrast", *on, F.lit(1).alias("r"))
-    return left.join(right, ["contrast", *on], "full_outer").where("c is null or r is null").select("contrast", *on, F.when(F.col("c").isNull(), "candidate").otherwise("reference").alias("missing"))
+def _faults(pairs: DataFrame, tolerance: float) -> DataFrame:
+    lost = F.when(F.col("candidate_pred").isNull(), "candidate").when(F.col("reference_pred").isNull(), "reference")
+    differs = F.abs(F.col("y_true") - F.col("other_true")) > tolerance
+    return pairs.withColumn("fault", F.coalesce(lost, F.when(differs, "truth"))).where("fault is not null")
+
+
+def paired_units(units: DataFrame, specs: DataFrame, keys: list[str], by_seed: bool = False, strict: bool = True, tolerance: float = 1e-6) -> DataFrame:
+    """Candidate and reference predictions of the same units.
+
+    strict: raises where a unit is missing on one side or the two sides' truths differ; else such units are left out (see unmatched_units).
+    """
+    pairs = unit_pairs(units, specs, keys, by_seed)
+    faults = _faults(pairs, tolerance)
+    if strict:
+        bad = faults.limit(3).collect()
+        if bad:
+            raise ValueError("contrasts pair the same units only: " + "; ".join(f"{r['contrast']} {r['subject_id']}/{r['measurement_id']}: {r['fault']}" for r in bad))
+        return pairs.drop("other_true")
+    return pairs.where((F.col("candidate_pred").isNotNull() & F.col("reference_pred").isNotNull()) & (F.abs(F.col("y_true") - F.col("other_true")) <= tolerance)).drop("other_true")
+
+
+def unmatched_units(units: DataFrame, specs: DataFrame, keys: list[str], by_seed: bool = False, tolerance: float = 1e-6) -> DataFrame:
+    """(contrast, keys, unit, missing): units that one side of a contrast lacks ("candidate" or "reference"), or whose truths differ ("truth")."""
+    on = [*keys, *UNIT, *(["seed"] if by_seed else [])]
+    return _faults(unit_pairs(units, specs, keys, by_seed), tolerance).select("contrast", *on, F.col("fault").alias("missing"))
 
 
 def subject_deltas(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,6 +72,40 @@ def seed_contrasts(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return contrast_table(pairs, [*keys, "seed"]).groupBy(*keys).agg(F.avg("delta").alias("delta"), F.coalesce(F.stddev_samp("delta"), F.lit(0.0)).alias("delta_seed_sd"), F.count("*").alias("n_seeds"), F.max("n_subjects").alias("n_subjects"))
 
 
+def over_seeds(units: DataFrame, methods: list[str], keys: list[str]) -> DataFrame:
+    """Units by seed in which the named methods, which have no seed of their own, are repeated for every seed that the keys' other methods have."""
+    fixed = F.col("method").isin(*methods)
+    seeds = units.where(~fixed).select(*keys, "seed").distinct()
+    return units.where(~fixed).unionByName(units.where(fixed).drop("seed").join(F.broadcast(seeds), keys).select(*units.columns))  # a row for each of the keys and seeds
+
+
+def seed_contrasts_with_intervals(pairs: DataFrame, group: list[str], keys: list[str], replicates: int, seed: str = "seed-contrast") -> DataFrame:
+    """The seed contrasts with an interval: every seed's delta is taken from the same draw of subjects, and a replicate's value is their mean.
+
+    Subjects must have the same seeds, which the mean of their deltas over seeds then stands for.
+    """
+    per_seed = subject_deltas(pairs, [*keys, "seed"])
+    uneven = per_seed.groupBy(*keys, "subject_id").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.min("n").alias("least"), F.max("n").alias("most")).where("least <> most").limit(1).collect()
+    if uneven:
+        raise ValueError(f"seed contrasts need every subject in every seed: {[uneven[0][k] for k in keys]}")
+    mean = per_seed.groupBy(*keys, "subject_id").agg(F.avg("delta").alias("delta"))
+    return seed_contrasts(pairs, keys).join(mean_intervals(mean, group, keys, replicates, seed=seed), keys).withColumnRenamed("p_below_zero", "p_candidate_better")
+
+
+def model_against_constants(units: DataFrame, keys: list[str], replicates: int, seed: str = "constants") -> DataFrame:
+    """(keys, constant, n_subjects, n_measurements, model_mae, constant_mae, delta, ci_low, ci_high, p_candidate_better).
+
+    units: keys, fold, subject, measurement, y_true, y_pred of one method; the constants of a fold are the subject-balanced mean and the lower weighted
+    median of the truths in the other folds. A fold alone in its keys has no constant and is left out.
+    """
+    fits = fold_constants(units.select(*keys, "fold", "subject_id", "measurement_id", "y_true"), keys)
+    kinds = F.explode(F.create_map(F.lit("mean_constant"), F.col("mean_constant"), F.lit("median_constant"), F.col("median_constant"))).alias("constant", "reference_pred")
+    pairs = units.join(fits.select(*keys, "fold", kinds), [*keys, "fold"]).where("reference_pred is not null").withColumnRenamed("y_pred", "candidate_pred")
+    each = pairs.groupBy(*keys, "constant", "subject_id").agg(F.avg(F.abs(F.col("candidate_pred") - F.col("y_true"))).alias("model"), F.avg(F.abs(F.col("reference_pred") - F.col("y_true"))).alias("plain"))
+    maes = each.groupBy(*keys, "constant").agg(F.avg("model").alias("model_mae"), F.avg("plain").alias("constant_mae"))
+    return contrasts_with_intervals(pairs, keys, [*keys, "constant"], replicates, seed).join(maes, [*keys, "constant"])
+
+
 def incremental_effects(metrics: DataFrame, keys: list[str], suffix: str = "_plus") -> DataFrame:
     """For each method that ends in the suffix its metrics minus those of the method without it; methods without a base are left out."""
     add = metrics.where(F.col("method").endswith(suffix)).withColumn("base", F.expr(f"substring(method, 1, length(method) - {len(suffix)})"))

@@ -15,12 +15,14 @@ NUMERIC = ("sample_rate_hz", "n_samples", "sbp", "dbp", "age", "bmi", "height_cm
 def canonical_manifest(rows: DataFrame) -> DataFrame:
     """Adds missing columns as null, coerces numbers (bad text becomes null), and fills the defaults; other columns pass through.
 
-    measurement_id defaults to subject_id, the format to the path's suffix, bmi to weight over squared height, validity to true.
+    measurement_id defaults to subject_id, the format to the path's suffix or "text" where it has none, bmi to weight over squared height, validity to true.
     """
     out = rows.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in rows.columns})
     out = out.withColumns({c: F.col(c).cast("string").try_cast("double") for c in NUMERIC if c in out.columns})
     out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in NUMERIC if c in out.columns})
-    suffix = F.when(F.col("waveform_path").rlike(r"\.[A-Za-z0-9]+$"), F.lower(F.regexp_extract("waveform_path", r"\.([A-Za-z0-9]+)$", 1)))
+    name = F.substring_index("waveform_path", "/", -1)
+    found = F.lower(F.regexp_extract(name, r"^.+\.([^.]+)$", 1))
+    suffix = F.when(F.col("waveform_path").isNotNull(), F.when(found == "", "text").otherwise(found))
     return out.withColumns({
         "measurement_id": F.coalesce(F.col("measurement_id").cast("string"), F.col("subject_id").cast("string")),
         "waveform_format": F.coalesce("waveform_format", suffix),
@@ -39,9 +41,11 @@ def valid_rows(manifest: DataFrame) -> DataFrame:
     return manifest.where(truth(F.col("valid_for_analysis")))
 
 
-def included(flag: str | None, rows: DataFrame) -> DataFrame:
-    """Rows whose flag is a finite number above 0; all where there is no such column."""
-    return rows.where(F.coalesce((F.col(flag) > 0) & ~F.isnan(flag), F.lit(False))) if flag in rows.columns else rows
+def first_rows(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first rows in an order that tells all rows apart; `most` is 1 or more."""
+    if most < 1:
+        raise ValueError(f"first_rows: {most} rows asked, 1 or more wanted")
+    return rows.orderBy(*order).limit(most)
 
 
 def raw_field_only(path: str, field: str) -> Column:

@@ -112,10 +112,6 @@ def method_label(method: Column, fields: Column) -> Column:
     return F.when(method.endswith("_plus"), F.concat(F.regexp_replace(method, "_plus$", ""), F.lit(" + "), fields)).when(method == "covariates", F.concat(F.lit("only "), fields)).otherwise(method)
 
 
-def metric_text(value: Column, sd: Column) -> Column:
-    return F.format_string("%.2f ±%.2f", value, sd)
-
-
 def error_bars(value: Column, low: Column, high: Column) -> tuple[Column, Column]:
     """Half widths of an interval, never negative."""
     return F.greatest(F.lit(0.0), value - low), F.greatest(F.lit(0.0), high - value)
@@ -134,6 +130,44 @@ def cohort_summary(rows: DataFrame, keys: list[str], numbers: list[str], categor
     return rows.groupBy(*keys).agg(*parts, *(F.countDistinct(c).alias(f"n_{c}") for c in categories))
 
 
+def manifest_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each of the keys: counts, label units, rates, durations in seconds, targets over label units, shares missing, subjects by sex.
+
+    rows: subject_id, measurement_id, segment_id, sample_rate_hz, n_samples, sbp, dbp, age, sex, bmi. A label unit is a subject's measurement, of
+    which the first segment counts; a subject's sex is that of its first segment with any.
+    """
+    duration = F.col("n_samples") / F.col("sample_rate_hz")
+    share = lambda c, name: F.avg(c.cast("double")).alias(name)
+    whole = rows.groupBy(*keys).agg(
+        F.countDistinct("subject_id").alias("subjects"), F.countDistinct("measurement_id").alias("measurements"), F.count("*").alias("segments"),
+        F.concat_ws(",", F.transform(F.array_sort(F.collect_set("sample_rate_hz")), lambda x: x.cast("string"))).alias("sample_rates_hz"),
+        F.percentile(duration, F.lit(0.5)).alias("duration_median"), F.min(duration).alias("duration_min"), F.max(duration).alias("duration_max"),
+        share(F.col("age").isNull(), "age_missing"), share(F.coalesce(F.lower("sex") == "unknown", F.lit(True)), "sex_missing"), share(F.col("bmi").isNull(), "bmi_missing"),
+    )
+    units = rows.groupBy(*keys, "subject_id", "measurement_id").agg(F.min(F.struct("segment_id", "sbp", "dbp")).alias("u")).select(*keys, "u.sbp", "u.dbp")
+    spread = [f(c).alias(f"{c}_{n}") for c in ("sbp", "dbp") for n, f in (("mean", F.avg), ("sd", F.stddev_pop), ("min", F.min), ("max", F.max))]
+    labels = units.groupBy(*keys).agg(F.count("*").alias("label_units"), *spread)
+    sex = rows.groupBy(*keys, "subject_id").agg(F.lower(F.min_by("sex", F.when(F.col("sex").isNotNull(), F.col("segment_id")))).alias("s"))
+    people = sex.groupBy(*keys).agg(F.count_if(F.col("s") == "female").alias("female_subjects"), F.count_if(F.col("s") == "male").alias("male_subjects"))
+    return whole.join(labels, keys).join(people, keys)
+
+
+def canonical_covariates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, subject_id, age, sex, bmi, bmi_values): one row for each subject from its rows' age, sex and bmi.
+
+    Age and sex are one value for a subject, else it raises; sex is "unknown" without any. bmi is the median of the subject's different values.
+    """
+    number = lambda c: F.when(~F.isnan(c), F.col(c))
+    token = F.nullif(F.lower(F.trim("sex")), F.lit(""))
+    one = rows.groupBy(*keys, "subject_id").agg(F.min(number("age")).alias("age"), F.max(number("age")).alias("_age"), F.min(token).alias("sex"), F.max(token).alias("_sex"), F.array_sort(F.collect_set(number("bmi"))).alias("_bmi"))
+    bad = one.where((F.col("_age") - F.col("age") > 1e-10) | (F.col("_sex") != F.col("sex"))).limit(3).collect()
+    if bad:
+        raise ValueError(f"age or sex varies within subjects {[r['subject_id'] for r in bad]}")
+    n = F.size("_bmi")
+    middle = (F.get("_bmi", F.floor((n - 1) / 2).cast("int")) + F.get("_bmi", F.floor(n / 2).cast("int"))) / 2
+    return one.select(*keys, "subject_id", "age", F.coalesce("sex", F.lit("unknown")).alias("sex"), F.when(n > 0, middle).alias("bmi"), n.alias("bmi_values"))
+
+
 def information_sources(metrics: DataFrame, constants: DataFrame, lifts: DataFrame, keys: list[str], methods: list[str]) -> DataFrame:
     """One row for each of the keys: each method's MAE, the contrast with a constant, both lifts and whether the combination beats both; each part is aggregated before the joins."""
     wide = metrics.groupBy(*keys).pivot("method", methods).agg(F.first("mae"))

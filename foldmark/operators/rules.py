@@ -15,6 +15,19 @@ def broken(rows: DataFrame, rule: str, test: Column, key: Column, detail: Column
     return rows.where(test).select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
 
 
+def checked(rows: DataFrame, key: Column, tests: dict[str, Column | tuple[Column, Column]]) -> DataFrame:
+    """Rows for which tests hold, all tests in one pass: {rule: test} or {rule: (test, detail)}."""
+    found = []
+    for rule, test in tests.items():
+        test, detail = test if isinstance(test, tuple) else (test, F.lit(None))
+        found.append(F.when(test, F.struct(F.lit(rule).alias("rule"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))))
+    return rows.select(F.explode(F.array_compact(F.array(*found))).alias("_v")).select("_v.rule", "_v.key", "_v.detail")
+
+
+def spelt(keys: list[str]) -> Column:
+    return F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
+
+
 def repeated(rows: DataFrame, rule: str, keys: list[str]) -> DataFrame:
     """Keys that more than one row has."""
     many = rows.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -41,18 +54,18 @@ def finite(x: str) -> Column:
     return F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
-def manifest_violations(rows: DataFrame, key: str = "segment_id") -> DataFrame:
-    k = F.col(key)
-    return together(
-        repeated(rows.where(k.isNotNull()), "segment_unique", [key]),
-        broken(rows, "segment_present", k.isNull(), F.col("subject_id")),
-        broken(rows, "subject_present", F.col("subject_id").isNull(), k),
-        broken(rows, "numbers_present", F.col("sbp").isNull() | F.col("dbp").isNull() | F.col("sample_rate_hz").isNull() | F.col("n_samples").isNull(), k),
-        broken(rows, "category_known", F.col("sex").isNotNull() & ~F.col("sex").isin("female", "male"), k, F.col("sex")),
-        broken(rows, "rate_positive", F.col("sample_rate_hz") <= 0, k),
-        broken(rows, "two_samples", F.col("n_samples") < 2, k),
-        broken(rows, "targets_ordered", F.col("sbp") <= F.col("dbp"), k),
-    )
+def manifest_violations(rows: DataFrame, key: str = "segment_id", require_covariates: bool = False) -> DataFrame:
+    """Each row's rules, the empty table, and repeated keys; with require_covariates age and sex must be known."""
+    null = lambda *names: reduce(lambda a, b: a | b, (F.col(n).isNull() for n in names))
+    tests = {
+        "segment_present": (null(key), F.col("subject_id")), "subject_present": null("subject_id"), "path_present": null("waveform_path"),
+        "numbers_present": null("sbp", "dbp", "sample_rate_hz", "n_samples"), "category_known": (F.col("sex").isNotNull() & ~F.col("sex").isin("female", "male"), F.col("sex")),
+        "rate_positive": F.col("sample_rate_hz") <= 0, "two_samples": F.col("n_samples") < 2, "targets_ordered": F.col("sbp") <= F.col("dbp"),
+    }
+    if require_covariates:
+        tests["covariates_present"] = null("age", "sex")
+    empty = rows.agg(F.count("*").alias("n"))
+    return together(checked(rows, F.col(key), tests), repeated(rows.where(F.col(key).isNotNull()), "segment_unique", [key]), broken(empty, "rows_present", F.col("n") == 0, F.lit("table")))
 
 
 def split_violations(splits: DataFrame, subjects: DataFrame, folds: int, fingerprint: str | None = None) -> DataFrame:
@@ -63,8 +76,7 @@ def split_violations(splits: DataFrame, subjects: DataFrame, folds: int, fingerp
     known = subjects.select("subject_id").distinct()
     found = [
         broken(per_fold, "once_in_fold", F.col("n") > 1, F.concat_ws("|", "subject_id", "fold")),
-        broken(tests, "every_fold", F.col("folds") != folds, F.col("subject_id"), F.col("folds")),
-        broken(tests, "one_test_fold", F.col("tests") != 1, F.col("subject_id"), F.col("tests")),
+        checked(tests, F.col("subject_id"), {"every_fold": (F.col("folds") != folds, F.col("folds")), "one_test_fold": (F.col("tests") != 1, F.col("tests"))}),
         broken(roles, "all_roles", F.col("roles") != 3, F.col("fold"), F.col("roles")),
         broken(splits, "fold_known", ~F.col("fold").between(0, folds - 1), F.col("fold")),
         broken(known.join(tests, "subject_id", "left_anti"), "subject_split", F.lit(True), F.col("subject_id")),
@@ -79,12 +91,37 @@ def prediction_violations(rows: DataFrame, conditions: list[str], rtol: float =
     """rows: segment_id, condition, output_scale, estimator_output, decoder_mean, decoder_sd, y_true, y_pred."""
     k, decoded = F.col("segment_id"), F.col("estimator_output") * F.col("decoder_sd") + F.col("decoder_mean")
     identity = F.col("output_scale") == "identity"
-    return together(
-        broken(rows, "finite", ~(finite("y_true") & finite("y_pred")), k),
-        broken(rows, "condition_known", ~F.col("condition").isin(*conditions), k, F.col("condition")),
-        broken(rows, "identity_decoder", identity & ((F.col("decoder_mean") != 0) | (F.col("decoder_sd") != 1)), k),
-        broken(rows, "reproduced", F.abs(decoded - F.col("y_pred")) > atol + rtol * F.abs("y_pred"), k),
-    )
+    return checked(rows, k, {
+        "finite": ~(finite("y_true") & finite("y_pred")), "condition_known": (~F.col("condition").isin(*conditions), F.col("condition")),
+        "identity_decoder": identity & ((F.col("decoder_mean") != 0) | (F.col("decoder_sd") != 1)), "reproduced": F.abs(decoded - F.col("y_pred")) > atol + rtol * F.abs("y_pred"),
+    })
+
+
+def subjects_apart(*parts: DataFrame, subject: str = "subject_id") -> DataFrame:
+    """Subjects that more than one of the parts has: violations of the rule that the parts' subjects are disjoint."""
+    named = reduce(DataFrame.unionByName, (p.select(F.col(subject).cast("string").alias("subject")).distinct().withColumn("part", F.lit(k)) for k, p in enumerate(parts)))
+    shared = named.groupBy("subject").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("part")).alias("parts"))
+    return broken(shared, "subjects_apart", F.col("n") > 1, F.col("subject"), F.concat_ws(",", F.col("parts").cast("array<string>")))
+
+
+def one_value(rows: DataFrame, expected: dict[str, str], key: list[str]) -> DataFrame:
+    """Rows whose column is not the one value that all must have, such as a version or a policy."""
+    return checked(rows, spelt(key), {f"{c}_is_{v}": (~F.col(c).cast("string").eqNullSafe(F.lit(v)), F.col(c)) for c, v in expected.items()})
+
+
+def whole_folds(rows: DataFrame, keys: list[str], folds: int) -> DataFrame:
+    """Keys whose rows don't have all folds from 0 on, or have others or a fold that is no whole number."""
+    fold = F.col("fold").cast("double")
+    odd = F.count_if(fold.isNull() | (fold != F.floor(fold)) | (fold < 0) | (fold >= folds))
+    seen = rows.groupBy(*keys).agg(F.count_distinct(fold).alias("n"), odd.alias("odd"))
+    return checked(seen, spelt(keys), {"folds_whole": (F.col("odd") > 0, F.col("odd")), "folds_complete": (F.col("n") != folds, F.col("n"))})
+
+
+def seeds_per_method(rows: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose method doesn't have the seeds that `expected` (method, seeds array) names for it; null for methods without seeds."""
+    seen = rows.groupBy(*keys, "method").agg(F.array_sort(F.collect_set("seed")).alias("have"))
+    joined = seen.join(F.broadcast(expected.select("method", F.array_sort(F.coalesce("seeds", F.array().cast(seen.schema["have"].dataType))).alias("want"))), "method")  # a row for each method
+    return broken(joined, "seeds_expected", F.col("have") != F.col("want"), spelt([*keys, "method"]), F.concat_ws(",", F.col("have").cast("array<string>")))
 
 
 def matrix_violations(units: DataFrame, expected: DataFrame, keys: list[str], reference: str) -> DataFrame:
@@ -99,24 +136,24 @@ def matrix_violations(units: DataFrame, expected: DataFrame, keys: list[str], re
     return together(
         broken(expected.join(have, expected.columns, "left_anti"), "combination_present", F.lit(True), F.concat_ws("|", *expected.columns)),
         repeated(units, "row_unique", ["method", *keys]),
-        broken(both, "same_rows", F.col("_y").isNull() | F.col("y_true").isNull(), key),
-        broken(both, "same_truth", F.abs(F.col("_y") - F.col("y_true")) > 1e-10, key),
+        checked(both, key, {"same_rows": F.col("_y").isNull() | F.col("y_true").isNull(), "same_truth": F.abs(F.col("_y") - F.col("y_true")) > 1e-10}),
     )
 
 
 def unit_violations(units: DataFrame, keys: list[str]) -> DataFrame:
     """Duplicates, values that are not finite, subjects in two folds, truths that differ between methods, counts that are not positive."""
-    spread = units.groupBy(*keys).agg((F.max("y_true") - F.min("y_true")).alias("range"), F.countDistinct("n_segments").alias("counts"))
+    per = units.groupBy(*keys).agg(
+        F.count("*").alias("rows"), F.countDistinct("method").alias("methods"), (F.max("y_true") - F.min("y_true")).alias("range"), F.countDistinct("n_segments").alias("counts"),
+        F.count_if(~(finite("y_true") & finite("y_pred"))).alias("odd"), F.count_if(F.col("n_segments") <= 0).alias("empty"),
+    )
     folds = units.groupBy("cohort", "subject_id").agg(F.countDistinct("fold").alias("folds"))
-    key = F.concat_ws("|", *(F.col(k).cast("string") for k in keys))
     return together(
-        repeated(units, "unit_unique", [*keys, "method"]),
-        broken(units, "finite", ~(finite("y_true") & finite("y_pred")), key),
+        checked(per, spelt(keys), {
+            "unit_unique": (F.col("rows") > F.col("methods"), F.col("rows")), "finite": (F.col("odd") > 0, F.col("odd")), "one_truth": F.col("range") > 1e-10,
+            "equal_counts": F.col("counts") > 1, "counts_positive": (F.col("empty") > 0, F.col("empty")),
+        }),
         broken(folds, "one_fold", F.col("folds") > 1, F.col("subject_id"), F.col("folds")),
-        broken(spread, "one_truth", F.col("range") > 1e-10, key),
-        broken(spread, "equal_counts", F.col("counts") > 1, key),
-        broken(units, "counts_positive", F.col("n_segments") <= 0, key),
-    )
+    )
 
 
 def seed_pairing_violations(units: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,23 +161,18 @@ def seed_pairing_violations(units: DataFrame, keys: list[str]) -> DataFrame:
     seeds = units.groupBy("cohort", "method").agg(F.countDistinct("seed").alias("seeds"))
     per = units.groupBy("method", *keys).agg(F.countDistinct("seed").alias("have"), (F.max("y_true") - F.min("y_true")).alias("range")).join(seeds, ["cohort", "method"])
     key = F.concat_ws("|", "method", *keys)
-    return together(broken(per, "seed_missing", F.col("have") < F.col("seeds"), key, F.col("have")), broken(per, "seed_truth", F.col("range") > 1e-10, key))
+    return checked(per, key, {"seed_missing": (F.col("have") < F.col("seeds"), F.col("have")), "seed_truth": F.col("range") > 1e-10})
 
 
 def output_violations(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    bad = [broken(rows, f"finite_{v}", ~finite(v), F.concat_ws("|", *(F.col(k).cast("string") for k in keys))) for v in values]
-    return together(repeated(rows, "key_unique", keys), *bad)
+    return together(repeated(rows, "key_unique", keys), checked(rows, spelt(keys), {f"finite_{v}": ~finite(v) for v in values}))
 
 
 def array_violations(rows: DataFrame, key: str, column: str, size: int) -> DataFrame:
     """Arrays that are null, of another length, or hold what is not finite."""
     x = F.col(column)
-    return together(
-        broken(rows, "array_present", x.isNull(), F.col(key)),
-        broken(rows, "array_length", F.size(x) != size, F.col(key), F.size(x)),
-        broken(rows, "array_finite", F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.col(key)),
-        repeated(rows, "array_key_unique", [key]),
-    )
+    odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return together(checked(rows, F.col(key), {"array_present": x.isNull(), "array_length": (F.size(x) != size, F.size(x)), "array_finite": odd}), repeated(rows, "array_key_unique", [key]))
 
 
 def condition_violations(rows: DataFrame, allowed: DataFrame, on: list[str]) -> DataFrame:
@@ -160,9 +192,10 @@ def session_violations(rows: DataFrame, length: int, place: int, key: str = "rec
     k = F.col(key)
     return together(
         broken(owners, "one_subject", F.col("n") > 1, F.col("session_id"), F.col("n")),
-        broken(rows, "position_in_session", ~F.col("session_position").between(1, length), k, F.col("session_position")),
-        broken(rows, "onset_place", F.col("onset") & (F.col("session_position") != place), k, F.col("session_position")),
-        broken(rows, "session_id_form", ~F.col("session_id").rlike(r"-s\d{3,}$"), k, F.col("session_id")),
+        checked(rows, k, {
+            "position_in_session": (~F.col("session_position").between(1, length), F.col("session_position")), "onset_place": (F.col("onset") & (F.col("session_position") != place), F.col("session_position")),
+            "session_id_form": (~F.col("session_id").rlike(r"-session-\d{2,}$"), F.col("session_id")),
+        }),
         repeated(rows, "position_once", ["session_id", "session_position"]),
     )
 

@@ -111,6 +111,28 @@ def split_manifest(subjects: DataFrame, outer: str | None, inner: str | None, fo
     return both.select("*", F.lit(seed).alias("split_seed"), F.lit(outer or "none").alias("outer_method"), F.lit(inner or "none").alias("validation_method"), F.lit(fingerprint).alias("dataset_fingerprint"))
 
 
+def benchmark_splits(subjects: DataFrame, labels: list[str], folds: int = 5, seed: int = 0, share: tuple[int, int] = (1, 5), fingerprint: str = "") -> DataFrame:
+    """split_manifest() with the strata that the subjects allow: of the labels, from full to short, the first whose smallest class has a subject for each
+    fold, and within the folds the first whose smallest class of every fold's rest has two; without any the subjects are not stratified.
+    """
+    if folds < 2:
+        raise ValueError("benchmark_splits: two folds or more")
+    if subjects.limit(folds).count() < folds:
+        raise ValueError(f"benchmark_splits: fewer subjects than {folds} folds")
+    outer = usable_label(subjects, labels, folds)
+    placed = numbered(subjects, outer, order_key(str(seed), "subject_id"), "_place").withColumn("_test", F.pmod(F.col("_place") - 1, F.lit(folds)))
+    inner = None
+    for label in labels:
+        counts = placed.groupBy(label, "_test").agg(F.count("*").alias("n"))
+        classes = counts.groupBy(label).agg(F.sum("n").alias("all"))
+        rest = counts.join(classes, label).select(F.when((F.col("all") > F.col("n")), F.col("all") - F.col("n")).alias("left")).agg(F.min("left")).first()[0]
+        most = classes.agg(F.min("all")).first()[0]
+        if most is not None and most >= 2 and (rest is None or rest >= 2):
+            inner = label
+            break
+    return split_manifest(subjects, outer, inner, folds, seed, share, fingerprint)
+
+
 def refreshed(splits: DataFrame, fingerprint: str) -> DataFrame:
     """The same assignments under another dataset identity."""
     return splits.withColumn("dataset_fingerprint", F.lit(fingerprint))

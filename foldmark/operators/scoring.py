@@ -25,6 +25,11 @@ def across_seeds(units: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("aggregation_mode", F.when(F.col("n_seeds") > 1, "mean_over_seeds").otherwise("single_seed"))
 
 
+def with_subject_mean(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """The rows with the mean of a value over their subject's rows."""
+    return rows.join(rows.groupBy(*keys, "subject_id").agg(F.avg(value).alias(out)), [*keys, "subject_id"])
+
+
 def subject_moments(units: DataFrame, keys: list[str]) -> DataFrame:
     """Eight mean moments of each subject, and its number of units."""
     e, y, p = F.col("y_pred") - F.col("y_true"), F.col("y_true"), F.col("y_pred")
@@ -81,13 +86,23 @@ def macro_mae(predictions: DataFrame, keys: list[str], policy: str = "subject")
 
 
 def between_within(units: DataFrame, keys: list[str]) -> DataFrame:
-    """Error of subjects' means, and of deviations from them among subjects with several units, with the spread of true and predicted deviations."""
+    """Overall error, error of subjects' means and of deviations from them, with the spread of true and predicted deviations; means over all subjects.
+
+    A subject with one unit deviates by 0. `within_ratio` is null where no truth deviates.
+    """
     subject = units.groupBy(*keys, "subject_id").agg(F.avg("y_true").alias("my"), F.avg("y_pred").alias("mp"), F.count("*").alias("n"))
     dev = units.join(subject, [*keys, "subject_id"]).withColumn("dy", F.col("y_true") - F.col("my")).withColumn("dp", F.col("y_pred") - F.col("mp"))
-    per = dev.groupBy(*keys, "subject_id").agg(F.first("my").alias("my"), F.first("mp").alias("mp"), F.first("n").alias("n"), F.avg(F.abs(F.col("dp") - F.col("dy"))).alias("gap"), F.sqrt(F.avg(F.col("dy") ** 2)).alias("sy"), F.sqrt(F.avg(F.col("dp") ** 2)).alias("sp"))
-    many = lambda c: F.avg(F.when(F.col("n") > 1, c))
-    out = per.groupBy(*keys).agg(F.avg(F.abs(F.col("mp") - F.col("my"))).alias("between_mae"), many(F.col("gap")).alias("within_mae"), many(F.col("sy")).alias("true_within_sd"), many(F.col("sp")).alias("pred_within_sd"), F.count_if(F.col("n") > 1).alias("n_repeated"), F.count("*").alias("n_subjects"))
-    return out.withColumn("within_ratio", safe_ratio(F.col("pred_within_sd"), F.col("true_within_sd")))
+    per = dev.groupBy(*keys, "subject_id").agg(
+        F.first("my").alias("my"), F.first("mp").alias("mp"), F.first("n").alias("n"),
+        F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("mae"), F.avg(F.abs(F.col("dp") - F.col("dy"))).alias("gap"),
+        F.sqrt(F.avg(F.col("dy") ** 2)).alias("sy"), F.sqrt(F.avg(F.col("dp") ** 2)).alias("sp"),
+    )
+    out = per.groupBy(*keys).agg(
+        F.count("*").alias("n_subjects"), F.sum("n").alias("n_measurements"), F.count_if(F.col("n") > 1).alias("n_repeated"),
+        F.avg("mae").alias("overall_mae"), F.avg(F.abs(F.col("mp") - F.col("my"))).alias("between_mae"), F.avg("gap").alias("within_mae"),
+        F.avg("sy").alias("true_within_sd"), F.avg("sp").alias("pred_within_sd"),
+    )
+    return out.withColumn("within_ratio", F.col("pred_within_sd") / F.when(F.col("true_within_sd") > 0, F.col("true_within_sd")))
 
 
 def lower_weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:

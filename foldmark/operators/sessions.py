@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import padded_id
+
 
 def onsets(rows: DataFrame, keys: list[str], order: str, token: Column) -> DataFrame:
     """With `onset`: the token holds here and did not at the record before."""
@@ -13,14 +15,18 @@ def onsets(rows: DataFrame, keys: list[str], order: str, token: Column) -> DataF
 
 
 def session_starts(marked: DataFrame, keys: list[str], order: str, length: int, place: int) -> DataFrame:
-    """(keys, starts array<int>): sessions begin place - 1 records before an onset, at the first record, every `length` records where there is no onset,
-    and again where one would be longer than `length`."""
-    bounds = marked.groupBy(*keys).agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.sort_array(F.collect_set(F.when(F.col("onset"), F.col(order) - (place - 1)))).alias("at"))
-    begun = F.filter("at", lambda s: s > F.col("lo"))
-    given = F.when(F.size("at") == 0, F.array("lo")).otherwise(F.concat(F.array("lo"), begun))
-    ends = F.concat(F.expr("slice(given, 2, greatest(size(given) - 1, 0))"), F.array(F.col("hi") + 1))
-    pieces = F.flatten(F.transform(F.arrays_zip(F.col("given").alias("s"), F.col("ends").alias("e")), lambda z: F.sequence(z["s"], F.greatest(z["s"], z["e"] - 1), F.lit(length))))
-    return bounds.withColumn("given", F.array_distinct(given)).withColumn("ends", ends).select(*keys, pieces.alias("starts"))
+    """(keys, starts array<int>): where sessions begin.
+
+    Onsets are protocol marks: a session begins `place` - 1 records before each, if that isn't before the first record, and at the first record. Several
+    such starts are trusted as they are; with one alone a session begins every `length` records. The last session is cut into pieces of `length`.
+    """
+    at = F.sort_array(F.collect_set(F.when(F.col("onset"), F.col(order) - (place - 1))))
+    bounds = marked.groupBy(*keys).agg(F.min(order).alias("lo"), F.max(order).alias("hi"), at.alias("at"))
+    given = F.array_distinct(F.concat(F.array("lo"), F.filter("at", lambda s: s >= F.col("lo"))))
+    last = F.element_at("given", -1)
+    pieces = F.sequence(last, F.greatest(last, F.col("hi")), F.lit(length))
+    before = F.expr("slice(given, 1, size(given) - 1)")
+    return bounds.withColumn("given", given).select(*keys, F.concat(before, pieces).alias("starts"))
 
 
 def derived_sessions(marked: DataFrame, keys: list[str], order: str, length: int, place: int) -> DataFrame:
@@ -28,7 +34,22 @@ def derived_sessions(marked: DataFrame, keys: list[str], order: str, length: int
     joined = marked.join(session_starts(marked, keys, order, length, place), keys)
     before = F.filter("starts", lambda s: s <= F.col(order))
     out = joined.withColumn("session_index", F.size(before)).withColumn("session_position", (F.col(order) - F.element_at(before, -1) + 1).cast("int"))
-    return out.withColumn("session_id", F.concat_ws("-s", F.concat_ws("-", *(F.col(k).cast("string") for k in keys)), F.lpad(F.col("session_index").cast("string"), 3, "0"))).drop("starts")
+    return out.withColumn("session_id", F.concat_ws("-session-", F.concat_ws("-", *(F.col(k).cast("string") for k in keys)), padded_id(F.col("session_index").cast("string"), 2))).drop("starts")
+
+
+def session_errors(sessions: DataFrame, keys: list[str], length: int, place: int) -> DataFrame:
+    """(keys, reason): keys whose records can't be derived sessions: one is longer than `length`, or an onset is not at its `place`."""
+    long = F.max(F.col("session_position")) > length
+    moved = F.bool_or(F.col("onset") & (F.col("session_position") != place))
+    return sessions.groupBy(*keys).agg(F.when(long, "session_too_long").when(moved, "onset_out_of_place").alias("reason")).where("reason is not null")
+
+
+def checked_sessions(sessions: DataFrame, keys: list[str], length: int, place: int) -> DataFrame:
+    """The sessions, where session_errors() finds nothing; else it raises."""
+    bad = session_errors(sessions, keys, length, place).limit(3).collect()
+    if bad:
+        raise ValueError("sessions can't be derived: " + "; ".join(f"{[r[k] for k in keys]} {r['reason']}" for r in bad))
+    return sessions
 
 
 def nearest(rows: DataFrame, keys: list[str], order: list[str], here: Column, mark: Column, value: str) -> DataFrame:

@@ -1,9 +1,7 @@
-"""Array-valued records: statistics as SQL on arrays, filters and spectra as one Arrow job over rows (segment_id, rate, samples)."""
+"""Array-valued records (segment_id, rate, samples): statistics and steps as SQL on arrays, and a user's encoder as one Arrow job."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,13 +12,36 @@ def _sum(x: Column, f=lambda v: v) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + f(v))
 
 
+def _power_sums(x: Column) -> Column:
+    """struct<n, first, s1 .. s4>: sums of powers of the differences to the first value, in one pass; so large levels cost no precision."""
+    first = F.get(x, F.lit(0)).cast("double")
+    zero = F.struct(F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"), F.lit(0.0).alias("s3"), F.lit(0.0).alias("s4"))
+    pairs = F.arrays_zip(x.alias("v"), F.array_repeat(first, F.size(x)).alias("f"))
+
+    def add(s: Column, p: Column) -> Column:
+        d = p["v"] - p["f"]
+        return F.struct((s["s1"] + d).alias("s1"), (s["s2"] + d * d).alias("s2"), (s["s3"] + d * d * d).alias("s3"), (s["s4"] + d * d * d * d).alias("s4"))
+
+    return F.aggregate(pairs, zero, add, lambda s: F.struct(F.size(x).cast("double").alias("n"), first.alias("first"), s["s1"].alias("s1"), s["s2"].alias("s2"), s["s3"].alias("s3"), s["s4"].alias("s4")))
+
+
+def moments_of(x: Column) -> Column:
+    """struct<n, mean, variance, m3, m4>: number, mean and central moments of an array, each null for an empty one."""
+    # an array of one struct: what is made of it is computed once, not wherever it is used
+    def central(p: Column) -> Column:
+        n = F.nullif(p["n"], F.lit(0.0))
+        a, b, c, d = (p[k] / n for k in ("s1", "s2", "s3", "s4"))
+        return F.struct(p["n"].alias("n"), (p["first"] + a).alias("mean"), F.greatest(F.lit(0.0), b - a * a).alias("variance"), (c - 3 * a * b + 2 * a * a * a).alias("m3"), (d - 4 * a * c + 6 * a * a * b - 3 * a * a * a * a).alias("m4"))
+
+    return F.get(F.transform(F.array(_power_sums(x)), central), F.lit(0))
+
+
 def mean_of(x: Column) -> Column:
-    return _sum(x) / F.when(F.size(x) > 0, F.size(x))
+    return moments_of(x)["mean"]
 
 
 def deviation_of(x: Column) -> Column:
-    m = mean_of(x)
-    return F.sqrt(_sum(x, lambda v: (v - m) * (v - m)) / F.when(F.size(x) > 0, F.size(x)))
+    return F.sqrt(moments_of(x)["variance"])
 
 
 def differences(x: Column) -> Column:
@@ -30,21 +51,27 @@ def differences(x: Column) -> Column:
 
 
 def quantile_of(x: Column, q: float) -> Column:
-    """The linear quantile of an array."""
-    s = F.array_sort(x)
-    at = (F.size(x) - 1) * q
-    low = F.floor(at).cast("int")
-    return F.get(s, low) + (at - low) * (F.coalesce(F.get(s, low + 1), F.get(s, low)) - F.get(s, low))
+    """The linear quantile of an array, sorted once."""
+    def at(s: Column) -> Column:
+        place = (F.size(s) - 1) * q
+        low = F.floor(place).cast("int")
+        return F.get(s, low) + (place - low) * (F.coalesce(F.get(s, low + 1), F.get(s, low)) - F.get(s, low))
+
+    return F.get(F.transform(F.array(F.array_sort(x)), at), F.lit(0))
 
 
 def statistics(x: Column) -> dict[str, Column]:
     """Mean, population deviation, range, quartile range, and bias-corrected skewness and excess kurtosis (null where undefined)."""
-    n, m, s = F.size(x).cast("double"), mean_of(x), deviation_of(x)
-    g1 = _sum(x, lambda v: F.pow(v - m, F.lit(3))) / n / F.pow(F.when(s > 1e-12, s), F.lit(3))
-    g2 = _sum(x, lambda v: F.pow(v - m, F.lit(4))) / n / F.pow(F.when(s > 1e-12, s), F.lit(4)) - 3
-    skew = F.when(n > 2, F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)) * g1)
-    kurt = F.when(n > 3, (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * g2 + 6))
-    return {"mean": m, "std": s, "range": F.array_max(x) - F.array_min(x), "iqr": quantile_of(x, 0.75) - quantile_of(x, 0.25), "skew": skew, "kurtosis": kurt}
+    def shape(m: Column) -> Column:
+        n, s = m["n"], F.sqrt(m["variance"])
+        some = F.when(s > 1e-12, s)
+        skew = F.when(n > 2, F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)) * m["m3"] / (some * some * some))
+        excess = m["m4"] / (some * some * some * some) - 3
+        kurt = F.when(n > 3, (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * excess + 6))
+        return F.struct(m["mean"].alias("mean"), s.alias("std"), skew.alias("skew"), kurt.alias("kurtosis"))
+
+    made = F.get(F.transform(F.array(moments_of(x)), shape), F.lit(0))
+    return {"mean": made["mean"], "std": made["std"], "range": F.array_max(x) - F.array_min(x), "iqr": quantile_of(x, 0.75) - quantile_of(x, 0.25), "skew": made["skew"], "kurtosis": made["kurtosis"]}
 
 
 def quality(x: Column) -> dict[str, Column]:
@@ -58,8 +85,9 @@ def quality(x: Column) -> dict[str, Column]:
 
 
 def normalised(x: Column, epsilon: float = 1e-7) -> Column:
-    m, s = mean_of(x), deviation_of(x)
-    return F.transform(x, lambda v: (v - m) / (s + epsilon))
+    """(x - mean) / (deviation + epsilon), the two taken once."""
+    m = F.get(F.transform(F.array(moments_of(x)), lambda p: F.struct(p["mean"].alias("mean"), (F.sqrt(p["variance"]) + epsilon).alias("scale"))), F.lit(0))
+    return F.get(F.transform(F.array(F.struct(x.alias("x"), m.alias("m"))), lambda p: F.transform(p["x"], lambda v: (v - p["m"]["mean"]) / p["m"]["scale"])), F.lit(0))
 
 
 def without_last(x: Column, when: Column) -> Column:
@@ -85,200 +113,6 @@ def any_padded(steps: Column) -> Column:
     return F.exists(steps, lambda s: s["padding_required"])
 
 
-# ---- the Arrow job
-
-def _bilinear(zeros, poles, gain, rate):
-    """Analog zeros, poles and gain to digital ones."""
-    z, p = (np.asarray(v, complex) for v in (zeros, poles))
-    k = gain * np.real(np.prod(2 * rate - z) / np.prod(2 * rate - p))
-    return np.concatenate(((2 * rate + z) / (2 * rate - z), -np.ones(len(p) - len(z)))), (2 * rate + p) / (2 * rate - p), k
-
-
-def band_pass(kind: str, order: int, low: float, high: float, rate: float, stop_db: float = 20.0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Second-order sections of a Butterworth or Chebyshev-II band-pass."""
-    m = np.arange(1 - order, order, 2)
-    if kind == "butterworth":
-        z, p, k = np.zeros(0), -np.exp(1j * np.pi * m / (2 * order)), 1.0
-    else:
-        mu = np.arcsinh(1 / (1 / np.sqrt(10 ** (0.1 * stop_db) - 1))) / order
-        z = -np.conj(1j / np.sin(m[m != 0] * np.pi / (2 * order)))
-        p = -np.exp(1j * np.pi * m / (2 * order))
-        p = 1 / (np.sinh(mu) * p.real + 1j * np.cosh(mu) * p.imag)
-        k = np.real(np.prod(-p) / np.prod(-z))
-    warp = [2 * rate * math.tan(math.pi * f / rate) for f in (low, high)]
-    width, centre = warp[1] - warp[0], math.sqrt(warp[0] * warp[1])
-    split = lambda v: np.concatenate((v * width / 2 + np.sqrt((v * width / 2) ** 2 - centre**2 + 0j), v * width / 2 - np.sqrt((v * width / 2) ** 2 - centre**2 + 0j)))
-    zeros = np.concatenate((split(np.asarray(z, complex)), np.zeros(len(p) - len(z))))
-    zd, pd_, kd = _bilinear(zeros, split(np.asarray(p, complex)), k * width ** (len(p) - len(z)), rate)
-    pairs = lambda v: [np.real(np.poly(v[[i, j]])) for i, j in _conjugates(v)]
-    sections = list(zip(pairs(zd), pairs(pd_), strict=True))
-    return [(b * (kd if i == 0 else 1.0), a) for i, (b, a) in enumerate(sections)]
-
-
-def _conjugates(v: np.ndarray) -> list[tuple[int, int]]:
-    """Index pairs of conjugate roots; real ones pair among themselves."""
-    left, out = list(np.lexsort((np.round(v.real, 9), np.round(np.abs(v.imag), 9)))), []
-    while left:
-        i = left.pop()
-        j = min(left, key=lambda q: abs(v[q] - np.conj(v[i])))
-        left.remove(j)
-        out.append((i, j))
-    return out
-
-
-def _section(b, a, x, start):
-    y, (s1, s2) = np.empty_like(x), start
-    b0, b1, b2, a1, a2 = b[0], b[1], b[2], a[1], a[2]
-    for i, v in enumerate(x.tolist()):
-        o = b0 * v + s1
-        s1, s2 = b1 * v - a1 * o + s2, b2 * v - a2 * o
-        y[i] = o
-    return y
-
-
-def zero_phase(sections, x: np.ndarray) -> np.ndarray:
-    """Forwards and backwards, with odd extensions at the ends and each section starting settled."""
-    pad = min(3 * (2 * len(sections) + 1), len(x) - 1)
-    y = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
-    for _ in range(2):
-        for b, a in sections:
-            level = b.sum() / a.sum()
-            s2 = (b[2] - a[2] * level) * y[0]
-            y = _section(b, a, y, ((b[1] - a[1] * level) * y[0] + s2, s2))
-        y = y[::-1]
-    return y[pad : len(y) - pad]
-
-
-def smoothed(x: np.ndarray, rate: float, seconds: float = 0.05, from_rate: float = 75.0) -> np.ndarray:
-    """A zero-phase moving average, for rates from 75 Hz."""
-    n = max(1, round(seconds * rate))
-    if rate < from_rate or n < 2:
-        return x
-    kernel = np.ones(n) / n
-    once = np.convolve(np.concatenate((np.full(n - 1, x[0]), x)), kernel, "valid")[::-1]
-    return np.convolve(np.concatenate((np.full(n - 1, once[0]), once)), kernel, "valid")[::-1]
-
-
-def resampled(x: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Rational resampling with a windowed-sinc filter."""
-    g = math.gcd(int(rate), int(target))
-    up, down = int(target) // g, int(rate) // g
-    if up == down:
-        return x
-    half = 10 * max(up, down)
-    t = np.arange(-half, half + 1)
-    taps = np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
-    taps *= up / taps.sum()
-    wide = np.zeros(len(x) * up)
-    wide[::up] = x
-    return np.convolve(wide, taps)[half : half + len(wide)][::down][: -(-len(x) * up // down)]
-
-
-def spectrum(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """One-segment Hann periodogram of the record without its mean."""
-    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(len(x)) / len(x))
-    p = np.abs(np.fft.rfft((x - x.mean()) * w)) ** 2 / (rate * (w**2).sum())
-    p[1 : -1 if len(x) % 2 == 0 else None] *= 2
-    return np.fft.rfftfreq(len(x), 1 / rate), p
-
-
-def band_power(f: np.ndarray, p: np.ndarray, low: float, high: float) -> float:
-    inside = (f >= low) & (f < high)
-    return float(np.trapezoid(p[inside], f[inside])) if inside.sum() >= 2 else 0.0
-
-
-def peaks(x: np.ndarray, distance: int, prominence: float) -> tuple[np.ndarray, np.ndarray]:
-    """Local maxima apart by `distance` (higher ones first) that rise by `prominence`, and their prominences."""
-    edges = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-    level = x[edges]
-    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
-    at = (edges[top] + np.concatenate((edges[1:], [len(x)]))[top] - 1) // 2
-    keep = np.ones(len(at), bool)
-    for i in np.argsort(x[at], kind="stable")[::-1]:
-        if keep[i]:
-            near = np.abs(at - at[i]) < distance
-            near[i] = False
-            keep[near] = False
-    at, out = at[keep], []
-    for i in at:
-        higher = np.flatnonzero(x > x[i])
-        l, r = higher[higher < i], higher[higher > i]
-        left = x[(l[-1] if len(l) else 0) : i + 1].min()
-        right = x[i : (r[0] if len(r) else len(x) - 1) + 1].min()
-        out.append(x[i] - max(left, right))
-    out = np.array(out)
-    good = out >= prominence if len(out) else np.zeros(0, bool)
-    return at[good], out[good]
-
-
-def _half_widths(x: np.ndarray, at: np.ndarray, prominence: np.ndarray) -> np.ndarray:
-    out = []
-    for i, h in zip(at, prominence, strict=True):
-        level = x[i] - h / 2
-        a = b = int(i)
-        while a > 0 and x[a] > level:
-            a -= 1
-        while b < len(x) - 1 and x[b] > level:
-            b += 1
-        left = a + (level - x[a]) / (x[a + 1] - x[a]) if x[a] < level else float(a)
-        right = b - (level - x[b]) / (x[b - 1] - x[b]) if x[b] < level else float(b)
-        out.append(right - left)
-    return np.array(out)
-
-
-def _moments(x: np.ndarray) -> list[float]:
-    n, m, s = len(x), x.mean(), x.std()
-    q = np.quantile(x, [0.25, 0.75])
-    g1 = ((x - m) ** 3).mean() / s**3 if s > 0 else 0.0
-    g2 = ((x - m) ** 4).mean() / s**4 - 3 if s > 0 else 0.0
-    return [s, x.max() - x.min(), q[1] - q[0], math.sqrt(n * (n - 1)) / (n - 2) * g1, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)]
-
-
-_NAMED = ["std", "range", "iqr", "skew", "kurtosis"]
-FEATURES = (
-    ["raw_mean"] + [f"raw_{n}" for n in _NAMED] + [f"filtered_{n}" for n in _NAMED] + ["derivative_std", "derivative_abs_mean", "second_derivative_std"]
-    + ["spectral_peak_bpm", "spectral_entropy", "power_05_2", "power_2_4", "power_4_8", "low_high_ratio"]
-    + ["peaks_per_second", "interval_mean", "interval_std", "interval_rmssd", "interval_cv", "heart_rate_bpm"]
-    + [f"{n}_{s}" for n in ("amplitude", "prominence", "width", "rise", "decay", "pulse") for s in ("mean", "std")]
-)
-
-
-def record_features(x: np.ndarray, rate: float) -> np.ndarray:
-    """The features in the order of FEATURES; raises ValueError for records that are too short, too slow, constant or not finite."""
-    x = np.asarray(x, float)
-    if rate <= 24 or len(x) < max(32, rate) or not np.isfinite(x).all() or np.ptp(x) == 0:
-        raise ValueError("record can't be described")
-    y = zero_phase(band_pass("butterworth", 3, 0.5, 8.0, rate), x)
-    y = (y - y.mean()) / (y.std() or 1.0)
-    pair = lambda v: [float(np.mean(v)) if len(v) else 0.0, float(np.std(v, ddof=1)) if len(v) > 1 else 0.0]
-    d1, d2 = np.diff(y) * rate, np.diff(y, 2) * rate**2
-    f, p = spectrum(y, rate)
-    band = (f >= 0.5) & (f <= 8.0)
-    share = p[band] / p[band].sum()
-    peak = 60 * float(f[band][np.argmax(p[band])])
-    powers = [band_power(f, p, a, b) for a, b in ((0.5, 2), (2, 4), (4, 8))]
-    entropy = float(-(share * np.log(share + 1e-12)).sum() / math.log(max(2, len(share))))
-    at, height = peaks(y, max(1, math.ceil(0.3 * rate)), max(0.1, 0.2 * y.std()))
-    gaps = np.diff(at) / rate
-    mean, std = pair(gaps)
-    rmssd = float(np.sqrt((np.diff(gaps) ** 2).mean())) if len(gaps) > 1 else 0.0
-    pulse = 60 / float(np.median(gaps)) if len(gaps) else peak
-    low, _ = peaks(-y, max(1, math.ceil(0.2 * rate)), 0.0)
-    rise, fall, size = [], [], []
-    for i in at:
-        before, after = low[low < i], low[low > i]
-        if len(before):
-            rise.append((i - before[-1]) / rate)
-            size.append(y[i] - y[before[-1]])
-        if len(after):
-            fall.append((after[0] - i) / rate)
-    values = [x.mean(), *_moments(x), *_moments(y), d1.std(), np.abs(d1).mean(), d2.std(), peak, entropy, *powers, powers[0] / powers[2] if powers[2] > 0 else 0.0]
-    values += [len(at) / (len(x) / rate), mean, std, rmssd, std / mean if mean else 0.0, pulse if 30 <= pulse <= 200 else peak]
-    for v in (y[at], height, _half_widths(y, at, height) / rate, rise, fall, size):
-        values += pair(v)
-    return np.array(values, float)
-
-
 def encoded(rows: DataFrame, encoder, size: int, batch: int = 256, keep: tuple[str, ...] = ("segment_id",)) -> DataFrame:
     """(keep, features array<double>) by a user's encoder(list of arrays, list of rates) -> (n, size); raises where its result is not that, or not finite."""
     schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep), "features array<double>"])
@@ -293,49 +127,3 @@ def encoded(rows: DataFrame, encoder, size: int, batch: int = 256, keep: tuple[s
                 yield part[list(keep)].assign(features=list(made))
 
     return rows.select(*keep, "rate", "samples").mapInPandas(run, schema)
-
-
-def described(rows: DataFrame, keep: tuple[str, ...] = ("segment_id",)) -> DataFrame:
-    """(keep, features, reason): the record's features, or null and why there are none."""
-    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep), "features array<double>, reason string"])
-
-    def run(batches):
-        for pdf in batches:
-            made = []
-            for s, rate in zip(pdf["samples"], pdf["rate"], strict=True):
-                try:
-                    made.append((record_features(np.asarray(s, float), float(rate)), None))
-                except ValueError as e:
-                    made.append((None, str(e)))
-            yield pdf[list(keep)].assign(features=[m[0] for m in made], reason=[m[1] for m in made])
-
-    return rows.select(*keep, "rate", "samples").mapInPandas(run, schema)
-
-
-def preprocessed(rows: DataFrame, contract: dict, keep: tuple[str, ...] = ("segment_id",)) -> DataFrame:
-    """(keep, samples) by a contract: steps in order, each ("normalise", eps), ("band_pass", kind, order, low, high), ("smooth",), ("resample", target) or ("pad", length)."""
-    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep), "samples array<double>"])
-
-    def one(x: np.ndarray, rate: float) -> np.ndarray:
-        for step, *args in contract["steps"]:
-            if step == "normalise":
-                x = (x - x.mean()) / (x.std() + args[0])
-            elif step == "band_pass":
-                x = zero_phase(band_pass(*args, rate), x)
-            elif step == "smooth":
-                x = smoothed(x, rate)
-            elif step == "resample":
-                x, rate = resampled(x, int(rate), args[0]), args[0]
-            elif step == "pad":
-                gap = args[0] - len(x)
-                if gap < 0:
-                    raise ValueError("record is longer than the contract's length")
-                x = np.concatenate((np.zeros(gap // 2), x, np.zeros(gap - gap // 2)))
-        return x
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf[list(keep)].assign(samples=[one(np.asarray(s, float), float(r)) for s, r in zip(pdf["samples"], pdf["rate"], strict=True)])
-
-    return rows.select(*keep, "rate", "samples").mapInPandas(run, schema)
-

@@ -29,15 +29,16 @@ def faulty_units(spark, d) -> DataFrame:
     })
 
 
-@query(f"""WITH {_FAULTY} SELECT rule, count(*) AS n FROM (SELECT 'finite' AS rule FROM fu WHERE y_pred IS NULL UNION ALL SELECT 'one_fold' FROM fu GROUP BY cohort, subject_id HAVING count(DISTINCT fold) > 1
-UNION ALL SELECT 'one_truth' FROM fu GROUP BY cohort, subject_id, measurement_id HAVING max(y_true) - min(y_true) > 1e-10 UNION ALL SELECT 'equal_counts' FROM fu GROUP BY cohort, subject_id, measurement_id HAVING count(DISTINCT n_segments) > 1
-UNION ALL SELECT 'counts_positive' FROM fu WHERE n_segments <= 0) GROUP BY rule""")
+@query(f"""WITH {_FAULTY}, per AS (SELECT cohort, subject_id, measurement_id, max(y_true) - min(y_true) AS range, count(DISTINCT n_segments) AS counts,
+ count(*) FILTER (y_pred IS NULL) AS odd, count(*) FILTER (n_segments <= 0) AS empty FROM fu GROUP BY ALL)
+SELECT rule, count(*) AS n FROM (SELECT 'finite' AS rule FROM per WHERE odd > 0 UNION ALL SELECT 'one_truth' FROM per WHERE range > 1e-10 UNION ALL SELECT 'equal_counts' FROM per WHERE counts > 1
+UNION ALL SELECT 'counts_positive' FROM per WHERE empty > 0 UNION ALL SELECT 'one_fold' FROM fu GROUP BY cohort, subject_id HAVING count(DISTINCT fold) > 1) GROUP BY rule""")
 def unit_violations(spark, d):
     return _counted(rules.unit_violations(faulty_units(spark, d), ["cohort", "subject_id", "measurement_id"]))
 
 
 @query(f"""WITH {_FAULTY}, b AS (SELECT * FROM fu WHERE method = 'signal_plus'), o AS (SELECT * FROM fu WHERE method <> 'signal_plus') SELECT rule, count(*) AS n FROM (
-SELECT 'combination_present' AS rule FROM region
+SELECT 'combination_present' AS rule FROM (SELECT r_regionkey AS cohort, method FROM region CROSS JOIN (VALUES ('signal'), ('covariates'), ('signal_plus'), ('absent')) e(method) EXCEPT SELECT cohort, method FROM fu)
 UNION ALL SELECT 'same_rows' FROM b CROSS JOIN (VALUES ('signal'), ('covariates')) m(method) LEFT JOIN o ON o.method = m.method AND o.cohort = b.cohort AND o.subject_id = b.subject_id AND o.measurement_id = b.measurement_id WHERE o.method IS NULL
 UNION ALL SELECT 'same_truth' FROM b JOIN o USING (cohort, subject_id, measurement_id) WHERE abs(b.y_true - o.y_true) > 1e-10) GROUP BY rule""")
 def matrix_completeness(spark, d):
@@ -110,3 +111,26 @@ def range_checks(spark, d):
 @query("SELECT count(*) AS n_rows, count(*) FILTER (o_orderstatus = 'F') AS n_valid, count(DISTINCT o_custkey) AS n_subjects, count(DISTINCT o_custkey || '-' || o_orderpriority) AS n_sessions FROM orders")
 def selection_counters(spark, d):
     return table(spark, d, "orders").agg(F.count("*").alias("n_rows"), F.count_if(F.col("o_orderstatus") == "F").alias("n_valid"), F.countDistinct("o_custkey").alias("n_subjects"), F.countDistinct("o_custkey", "o_orderpriority").alias("n_sessions"))
+
+
+@query("""WITH p AS (SELECT DISTINCT o_custkey AS s, CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END AS part FROM orders WHERE o_orderstatus IN ('F', 'O'))
+SELECT 'subjects_apart' AS rule, count(*) AS n FROM (SELECT s FROM p GROUP BY s HAVING count(*) > 1) HAVING count(*) > 0""")
+def subjects_apart(spark, d):
+    orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "subject_id")
+    return _counted(rules.subjects_apart(orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'O'")))
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS k, o_orderkey % 7 AS fold FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND o_orderkey % 7 = 3)),
+g AS (SELECT k, count(DISTINCT fold) AS n, count(*) FILTER (fold >= 5) AS odd FROM r GROUP BY k)
+SELECT rule, count(*) AS n FROM (SELECT 'folds_whole' AS rule FROM g WHERE odd > 0 UNION ALL SELECT 'folds_complete' FROM g WHERE n <> 5) GROUP BY rule""")
+def whole_folds(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("k"), (F.col("o_orderkey") % 7).alias("fold")).where("not (k = '5-LOW' and fold = 3)")
+    return _counted(rules.whole_folds(rows, ["k"], 5))
+
+
+@query(f"""WITH {PRED}, h AS (SELECT DISTINCT cohort, method, seed FROM pred WHERE NOT (cohort = 2 AND method = 'signal' AND seed = 1)), w AS (SELECT cohort, method, string_agg(seed, ',' ORDER BY seed) AS have FROM h GROUP BY ALL)
+SELECT 'seeds_expected' AS rule, count(*) AS n FROM w WHERE have <> CASE method WHEN 'covariates' THEN '0' ELSE '0,1,2' END HAVING count(*) > 0""")
+def seeds_per_method(spark, d):
+    rows = predictions(spark, d).where("not (cohort = 2 and method = 'signal' and seed = 1)").withColumn("seed", F.col("seed").cast("int"))
+    expected = spark.createDataFrame([("signal", [0, 1, 2]), ("signal_plus", [2, 1, 0]), ("covariates", [0])], "method string, seeds array<int>")
+    return _counted(rules.seeds_per_method(rows, expected, ["cohort"]))

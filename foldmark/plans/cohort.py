@@ -31,7 +31,7 @@ def raw_manifest(spark, d) -> DataFrame:
 
 
 _RAW = """raw AS (SELECT l.l_orderkey || '-' || l.l_linenumber AS segment_id, CAST(c.c_custkey AS VARCHAR) AS subject_id, CASE WHEN l.l_linenumber % 4 <> 0 THEN CAST(o.o_orderkey AS VARCHAR) END AS measurement_id,
- CASE WHEN l.l_linenumber % 2 = 0 THEN 'npy' END AS waveform_format, 125.0 AS sample_rate_hz, l.l_quantity AS n_samples, CAST(CAST(trunc(l.l_quantity) AS INTEGER) AS DOUBLE) AS sbp, CAST(l.l_linenumber * 7 AS DOUBLE) AS dbp,
+ CASE WHEN l.l_linenumber % 2 = 0 THEN 'npy' ELSE 'text' END AS waveform_format, 125.0 AS sample_rate_hz, l.l_quantity AS n_samples, CAST(CAST(trunc(l.l_quantity) AS INTEGER) AS DOUBLE) AS sbp, CAST(l.l_linenumber * 7 AS DOUBLE) AS dbp,
  CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 'female' WHEN 'BUILDING' THEN 'male' WHEN 'FURNITURE' THEN 'female' WHEN 'HOUSEHOLD' THEN 'x' END AS sex, CASE WHEN c.c_custkey % 7 <> 0 THEN CAST(20 + c.c_custkey % 60 AS DOUBLE) END AS age,
  CASE WHEN c.c_custkey % 3 <> 0 THEN 18.0 + c.c_custkey % 20 WHEN c.c_custkey % 11 <> 0 THEN (50 + c.c_custkey % 60) / pow((150 + c.c_custkey % 50) / 100.0, 2) END AS bmi,
  l.l_linenumber % 5 <> 0 AS valid FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey)"""
@@ -190,7 +190,14 @@ def selected_segments(spark, d):
 
 # ---- fingerprints
 
-_FP = "dg AS (SELECT sha256(c_custkey || '|' || c_mktsegment || '|' || CAST(CAST(round(c_acctbal, 6) AS DECIMAL(38, 6)) AS VARCHAR)) AS d FROM customer), bk AS (SELECT substr(d, 1, 3) AS b, sha256(string_agg(d, '' ORDER BY d)) AS d FROM dg GROUP BY 1), fp AS (SELECT sha256(string_agg(d, '' ORDER BY b)) AS fingerprint FROM bk)"
+_SPELT = "octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR)"
+_FP = f"""nt AS (SELECT *, printf('%.11e', c_acctbal) AS e FROM customer),
+nn AS (SELECT *, CASE WHEN c_acctbal = 0 THEN '0' ELSE regexp_replace(regexp_replace(split_part(e, 'e', 1), '0+$', ''), '[.]$', '')
+ || CASE WHEN CAST(split_part(e, 'e', 2) AS INTEGER) <> 0 THEN 'e' || CAST(split_part(e, 'e', 2) AS INTEGER) ELSE '' END END AS bal FROM nt),
+dg AS (SELECT sha256({_SPELT.format('c_custkey')} || '|' || {_SPELT.format('c_mktsegment')} || '|' || {_SPELT.format('bal')}) AS d FROM nn),
+dn AS (SELECT d, d || '*' || count(*) AS x FROM dg GROUP BY d),
+bk AS (SELECT substr(d, 1, 2) AS b, sha256(string_agg(x, ',' ORDER BY x)) AS d FROM dn GROUP BY 1),
+fp AS (SELECT sha256(string_agg(b || ':' || d, ',' ORDER BY b)) AS fingerprint FROM bk)"""
 
 
 @query(f"WITH {_FP} SELECT fingerprint FROM fp")
@@ -215,11 +222,15 @@ def _ordered_events(spark, d) -> DataFrame:
 _EVENTS = "ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
 
 
-@query(f"""WITH {_EVENTS}, types AS (SELECT min(event_type) AS t FROM events), mk AS (SELECT *, event_type = (SELECT t FROM types) AND coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY n) <> (SELECT t FROM types), true) AS onset FROM ev),
-b AS (SELECT user_id, min(n) AS lo, max(n) AS hi FROM mk GROUP BY user_id), s0 AS (SELECT user_id, lo AS s FROM b UNION SELECT m.user_id, m.n - 2 FROM mk m JOIN b USING (user_id) WHERE onset AND m.n - 2 > lo),
-s1 AS (SELECT user_id, s, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY s), hi + 1) AS e FROM s0 JOIN b USING (user_id)), st AS (SELECT user_id, unnest(range(s, greatest(s, e - 1) + 1, 7)) AS s FROM s1),
+@query(f"""WITH {_EVENTS}, types AS (SELECT min(event_type) AS t FROM events),
+mk AS (SELECT *, event_type = (SELECT t FROM types) AND coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY n) <> (SELECT t FROM types), true) AS onset FROM ev),
+b AS (SELECT user_id, min(n) AS lo, max(n) AS hi FROM mk GROUP BY user_id),
+s0 AS (SELECT user_id, lo AS s FROM b UNION SELECT m.user_id, m.n - 2 FROM mk m JOIN b USING (user_id) WHERE onset AND m.n - 2 >= lo),
+l AS (SELECT user_id, max(s) AS last FROM s0 GROUP BY user_id),
+st AS (SELECT user_id, s FROM s0 UNION SELECT user_id, unnest(range(last, greatest(last, hi) + 1, 7)) FROM l JOIN b USING (user_id)),
 j AS (SELECT m.user_id, m.event_id, m.n, count(*) AS session_index, max(s) AS s FROM mk m JOIN st ON m.user_id = st.user_id AND st.s <= m.n GROUP BY ALL)
-SELECT user_id, event_id, CAST(session_index AS INTEGER) AS session_index, CAST(n - s + 1 AS INTEGER) AS session_position, user_id || '-s' || lpad(CAST(session_index AS VARCHAR), 3, '0') AS session_id FROM j""")
+SELECT user_id, event_id, CAST(session_index AS INTEGER) AS session_index, CAST(n - s + 1 AS INTEGER) AS session_position,
+ user_id || '-session-' || CASE WHEN session_index < 10 THEN '0' ELSE '' END || session_index AS session_id FROM j""")
 def session_derivation(spark, d):
     rows = _ordered_events(spark, d)
     token = rows.agg(F.min("event_type")).first()[0]

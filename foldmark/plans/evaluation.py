@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rounded
 from ..operators import bootstrap, contrasts, scoring
-from .base import METRIC_NAMES, PRED, SUBJECTS, predictions, query, sql_draws, sql_metrics, sql_moments, sql_round, sql_units, subjects, table
+from .base import METRIC_NAMES, OFF_EDGE, PRED, SUBJECTS, predictions, query, sql_draws, sql_metrics, sql_moments, sql_round, sql_units, subjects, table
 
 REPLICATES = 200
 
@@ -63,13 +63,17 @@ def macro_mae_policies(spark, d):
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
-@query(f"""WITH {PRED}, {sql_units('cohort, method')}, dev AS (SELECT *, y_true - my AS dy, y_pred - mp AS dp FROM (SELECT *, avg(y_true) OVER w AS my, avg(y_pred) OVER w AS mp, count(*) OVER w AS n FROM units WINDOW w AS (PARTITION BY cohort, method, subject_id))),
-per AS (SELECT cohort, method, subject_id, any_value(my) AS my, any_value(mp) AS mp, any_value(n) AS n, avg(abs(dp - dy)) AS gap, sqrt(avg(dy * dy)) AS sy, sqrt(avg(dp * dp)) AS sp FROM dev GROUP BY cohort, method, subject_id)
-SELECT cohort, method, round(avg(abs(mp - my)), 4) AS between_mae, round(avg(gap) FILTER (n > 1), 4) AS within_mae, round(avg(sy) FILTER (n > 1), 4) AS true_within_sd, round(avg(sp) FILTER (n > 1), 4) AS pred_within_sd, count(*) FILTER (n > 1) AS n_repeated, count(*) AS n_subjects,
- round(avg(sp) FILTER (n > 1) / nullif(avg(sy) FILTER (n > 1), 0), 4) AS within_ratio FROM per GROUP BY cohort, method""")
+@query(f"""WITH {PRED}, {sql_units('cohort, method')},
+dev AS (SELECT *, y_true - my AS dy, y_pred - mp AS dp FROM (SELECT *, avg(y_true) OVER w AS my, avg(y_pred) OVER w AS mp, count(*) OVER w AS n
+ FROM units WINDOW w AS (PARTITION BY cohort, method, subject_id))),
+per AS (SELECT cohort, method, subject_id, avg(my) AS my, avg(mp) AS mp, max(n) AS n, avg(abs(y_pred - y_true)) AS mae, avg(abs(dp - dy)) AS gap,
+ sqrt(avg(dy * dy)) AS sy, sqrt(avg(dp * dp)) AS sp FROM dev GROUP BY cohort, method, subject_id)
+SELECT cohort, method, count(*) AS n_subjects, CAST(sum(n) AS BIGINT) AS n_measurements, count(*) FILTER (n > 1) AS n_repeated,
+ round(avg(mae), 4) AS overall_mae, round(avg(abs(mp - my)), 4) AS between_mae, round(avg(gap), 4) AS within_mae,
+ round(avg(sy), 4) AS true_within_sd, round(avg(sp), 4) AS pred_within_sd, round(avg(sp) / nullif(avg(sy), 0), 4) AS within_ratio FROM per GROUP BY cohort, method""")
 def between_within(spark, d):
     made = scoring.between_within(scoring.scoring_units(predictions(spark, d), ["cohort", "method"]), ["cohort", "method"])
-    return _round(made, ["between_mae", "within_mae", "true_within_sd", "pred_within_sd", "within_ratio"])
+    return _round(made, ["overall_mae", "between_mae", "within_mae", "true_within_sd", "pred_within_sd", "within_ratio"])
 
 
 def _order_units(spark, d) -> DataFrame:
@@ -126,12 +130,30 @@ def complementarity(spark, d):
     return _round(contrasts.complementarity(tab, ["cohort"], ("combined_vs_covariates", "combined_vs_signal")), ["first_lift", "second_lift"])
 
 
-@query(f"""WITH {_CONSTANTS}, cp AS (SELECT o.cohort, o.subject_id, abs(mean_constant - y_true) - abs(median_constant - y_true) AS delta FROM ou o JOIN mean USING (cohort, fold) JOIN med USING (cohort, fold)),
-cd AS (SELECT cohort, subject_id, avg(delta) AS delta, count(*) AS n FROM cp GROUP BY ALL) SELECT cohort, count(*) AS n_subjects, CAST(sum(n) AS BIGINT) AS n_measurements, round(avg(delta), 4) + 0.0 AS delta FROM cd GROUP BY cohort""")
+_CONSTANT_KINDS = ("mean_constant", "median_constant")
+
+
+@query(f"""WITH {PRED}, {sql_units('cohort, fold, method', 'every')}, mo AS (SELECT * FROM every WHERE method = 'covariates'),
+mw AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY cohort, subject_id) AS w FROM mo), mf AS (SELECT DISTINCT cohort, fold FROM mo),
+ft AS (SELECT f.cohort, f.fold, o.y_true, o.w FROM mf f JOIN mw o ON f.cohort = o.cohort AND f.fold <> o.fold),
+mg AS (SELECT cohort, fold, y_true, sum(w) AS w FROM ft GROUP BY ALL),
+cu AS (SELECT *, sum(w) OVER (PARTITION BY cohort, fold ORDER BY y_true) AS c, sum(w) OVER (PARTITION BY cohort, fold) AS a FROM mg),
+co AS (SELECT cohort, fold, 'median_constant' AS constant, min(y_true) AS value FROM cu WHERE c >= a / 2 - 1e-12 * a GROUP BY ALL
+ UNION ALL SELECT cohort, fold, 'mean_constant', sum(y_true * w) / sum(w) FROM ft GROUP BY ALL),
+pe AS (SELECT cohort, constant, subject_id, avg(abs(y_pred - y_true)) AS m, avg(abs(value - y_true)) AS k, avg(abs(y_pred - y_true) - abs(value - y_true)) AS delta, count(*) AS n
+ FROM mo JOIN co USING (cohort, fold) GROUP BY ALL),
+{sql_draws('cohort', 'pe', REPLICATES, 'constants')},
+bm AS (SELECT cohort, constant, replicate, sum(delta * times) / sum(times) AS mean FROM pe JOIN drawn USING (cohort, subject_id) GROUP BY ALL),
+ci AS (SELECT cohort, constant, round(quantile_cont(mean, 0.025), 4) + 0.0 AS ci_low, round(quantile_cont(mean, 0.975), 4) + 0.0 AS ci_high,
+ round(avg(CASE WHEN mean < 0 THEN 1.0 ELSE 0.0 END), 4) AS p_candidate_better FROM bm GROUP BY ALL),
+ta AS (SELECT cohort, constant, count(*) AS n_subjects, CAST(sum(n) AS BIGINT) AS n_measurements, round(avg(m), 4) AS model_mae, round(avg(k), 4) AS constant_mae,
+ round(avg(delta), 4) + 0.0 AS delta FROM pe GROUP BY cohort, constant)
+SELECT * FROM ta JOIN ci USING (cohort, constant)""")
 def constant_contrast(spark, d):
-    rows = _order_units(spark, d)
-    pairs = rows.join(contrasts.fold_constants(rows, ["cohort"]), ["cohort", "fold"]).where("mean_constant is not null and median_constant is not null").withColumnsRenamed({"mean_constant": "candidate_pred", "median_constant": "reference_pred"})
-    return _round(contrasts.contrast_table(pairs, ["cohort"]), ["delta"])
+    """The model that knows the covariates alone against what the other folds' truths give as a constant."""
+    rows = units(spark, d, False).where("method = 'covariates'")
+    made = contrasts.model_against_constants(rows, ["cohort"], REPLICATES, seed="constants")
+    return _round(made, ["model_mae", "constant_mae", "delta", "ci_low", "ci_high", "p_candidate_better"])
 
 
 @query(f"""WITH {PRED}, {sql_units('cohort, method, seed')}, {_SPECS}, {_pairs('cohort, seed')}, sd AS (SELECT cohort, contrast, seed, subject_id, avg(delta) AS delta FROM pairs GROUP BY ALL),
@@ -143,11 +165,37 @@ def seed_contrast_matrix(spark, d):
     return _round(contrasts.seed_contrasts(pairs, ["cohort", "contrast"]), ["delta", "delta_seed_sd"])
 
 
+_SEEDED = """seeded AS (SELECT cohort, method, replicate AS seed, subject_id, measurement_id, y_true, y_pred * (1 + 0.01 * replicate) AS y_pred FROM units CROSS JOIN (SELECT unnest(range(3)) AS replicate) WHERE method = 'signal'
+ UNION ALL SELECT cohort, method, s.seed, subject_id, measurement_id, y_true, y_pred FROM units CROSS JOIN (SELECT unnest(range(3)) AS seed) s WHERE method = 'covariates')"""
+
+
+@query(f"""WITH {PRED}, {sql_units('cohort, method')}, {_SEEDED},
+pairs AS (SELECT a.cohort, a.seed, a.subject_id, abs(a.y_pred - a.y_true) - abs(b.y_pred - a.y_true) AS delta FROM seeded a JOIN seeded b
+ ON a.cohort = b.cohort AND a.seed = b.seed AND a.subject_id = b.subject_id AND a.measurement_id = b.measurement_id AND a.method = 'signal' AND b.method = 'covariates'),
+sd AS (SELECT cohort, seed, subject_id, avg(delta) AS delta FROM pairs GROUP BY ALL),
+st AS (SELECT cohort, seed, avg(delta) AS delta, count(*) AS n_subjects FROM sd GROUP BY cohort, seed),
+tb AS (SELECT cohort, round(avg(delta), 4) + 0.0 AS delta, round(coalesce(stddev_samp(delta), 0.0), 4) + 0.0 AS delta_seed_sd, count(*) AS n_seeds, max(n_subjects) AS n_subjects FROM st GROUP BY cohort),
+me AS (SELECT cohort, subject_id, avg(delta) AS delta FROM sd GROUP BY ALL), {sql_draws('cohort', 'me', REPLICATES, 'seed-contrast')},
+rp AS (SELECT cohort, replicate, sum(delta * times) / sum(times) AS mean FROM me JOIN drawn USING (cohort, subject_id) GROUP BY ALL),
+ci AS (SELECT cohort, round(quantile_cont(mean, 0.025), 4) + 0.0 AS ci_low, round(quantile_cont(mean, 0.975), 4) + 0.0 AS ci_high,
+ round(avg(CASE WHEN mean < 0 THEN 1.0 ELSE 0.0 END), 4) AS p_candidate_better FROM rp GROUP BY cohort)
+SELECT cohort, 'seeded_vs_fixed' AS contrast, delta, delta_seed_sd, n_seeds, n_subjects, ci_low, ci_high, p_candidate_better FROM tb JOIN ci USING (cohort)""")
+def seed_contrast_ci(spark, d):
+    """A method of three seeds against one without seeds, whose units stand for every seed."""
+    rows = scoring.scoring_units(predictions(spark, d), ["cohort", "method"])
+    seeds = rows.where("method = 'signal'").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("y_pred", F.col("y_pred") * (1 + 0.01 * F.col("seed")))
+    both = seeds.unionByName(rows.where("method = 'covariates'").withColumn("seed", F.lit(None).cast("int")))
+    spec = spark.createDataFrame([("seeded_vs_fixed", "signal", "covariates")], "contrast string, candidate string, reference string")
+    pairs = contrasts.paired_units(contrasts.over_seeds(both, ["covariates"], ["cohort"]), spec, ["cohort"], by_seed=True)
+    made = contrasts.seed_contrasts_with_intervals(pairs, ["cohort"], ["cohort", "contrast"], REPLICATES)
+    return _round(made, ["delta", "delta_seed_sd", "ci_low", "ci_high", "p_candidate_better"])
+
+
 def _ci(names) -> str:
     return ", ".join(f"round(quantile_cont({m}, {q}), 4) + 0.0 AS {m}_ci_{n}" for m in names for n, q in (("low", 0.025), ("high", 0.975)))
 
 
-_CI_METRICS = ("mae", "rmse", "bias", "error_std")
+_CI_METRICS = METRIC_NAMES
 
 
 @query(f"WITH {PRED}, {sql_units('cohort, method')}, {sql_moments('cohort, method', 'units')}, {sql_draws('cohort', 'moments', REPLICATES, 'boot')}, md AS (SELECT * FROM moments JOIN drawn USING (cohort, subject_id)), {sql_metrics('cohort, method, replicate', 'md', 'many', 'times')} SELECT cohort, method, {_ci(_CI_METRICS)} FROM many GROUP BY cohort, method")
@@ -187,13 +235,15 @@ def benchmark_summary(spark, d):
     return _round(summary, [*METRIC_NAMES, *(f"{m}_seed_sd" for m in METRIC_NAMES)]).join(intervals, ["cohort", "method"])
 
 
-#: Factors of the shown moments: means of cents lie on the rounding's edges, and squares have no more digits than that.
-_MOMENT_NAMES = {"abs_error": 0.731058578, "square_error": 7.31058578e-05, "error": 0.731058578, "y": 0.731058578, "y2": 7.31058578e-05, "p": 0.731058578, "p2": 7.31058578e-05, "yp": 7.31058578e-05}
+#: Digits of the shown moments. Means of cents lie on the edges of rounding, so a fraction of the last digit is added to them; squares are shown in thousands.
+_MOMENT_DIGITS = {"abs_error": 7, "square_error": -3, "error": 7, "y": 7, "y2": -3, "p": 7, "p2": -3, "yp": -3}
 
 
-@query(f"WITH {PRED}, {sql_units('cohort, method')}, {sql_moments('cohort, method', 'units')}, n AS (SELECT cohort, subject_id, row_number() OVER (PARTITION BY cohort ORDER BY CAST(subject_id AS VARCHAR)) - 1 AS idx FROM (SELECT DISTINCT cohort, subject_id FROM moments)) SELECT cohort, method, subject_id, CAST(idx AS INTEGER) AS idx, {', '.join(f'round({m} * {f}, 3) + 0.0 AS {m}' for m, f in _MOMENT_NAMES.items())}, n_units FROM moments JOIN n USING (cohort, subject_id)")
+@query(f"""WITH {PRED}, {sql_units('cohort, method')}, {sql_moments('cohort, method', 'units')},
+n AS (SELECT cohort, subject_id, row_number() OVER (PARTITION BY cohort ORDER BY CAST(subject_id AS VARCHAR)) - 1 AS idx FROM (SELECT DISTINCT cohort, subject_id FROM moments))
+SELECT cohort, method, subject_id, CAST(idx AS INTEGER) AS idx, {', '.join(f'round({m} + {OFF_EDGE}, {k}) + 0.0 AS {m}' for m, k in _MOMENT_DIGITS.items())}, n_units
+FROM moments JOIN n USING (cohort, subject_id)""")
 def subject_moments(spark, d):
     moments = scoring.subject_moments(scoring.scoring_units(predictions(spark, d), ["cohort", "method"]), ["cohort", "method"])
     index = bootstrap.indexed(moments, ["cohort"]).select("cohort", "subject_id", "idx")
-    return moments.withColumns({m: rounded(F.col(m) * f, 3) for m, f in _MOMENT_NAMES.items()}).join(index, ["cohort", "subject_id"])
-
+    return moments.withColumns({m: rounded(F.col(m) + OFF_EDGE, k) for m, k in _MOMENT_DIGITS.items()}).join(index, ["cohort", "subject_id"])

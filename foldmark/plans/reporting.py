@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import rounded
 from ..operators import manifest, reports, ridge, scoring, transforms, waveform
-from .base import PRED, SUBJECTS, predictions, query, sql_metrics, sql_moments, sql_units, subjects, table
+from .base import OFF_EDGE, PRED, SUBJECTS, predictions, query, sql_metrics, sql_moments, sql_units, subjects, table
 from .evaluation import _ORDER_UNITS, _order_units, complementarity, constant_contrast, paired_bootstrap_ci
 from .base import ORACLE_SQL as _ORACLE
 
+
 def _round(df: DataFrame, names, digits: int = 4) -> DataFrame:
     return df.withColumns({n: rounded(n, digits) for n in names})
 
@@ -56,6 +57,46 @@ def cohort_summary(spark, d):
     return _round(reports.cohort_summary(rows, ["cohort"], ["price", "acctbal"], ["segment"]), ["price_mean", "price_sd", "acctbal_mean", "acctbal_sd"])
 
 
+_SEGMENTS = """sg AS (SELECT n.n_regionkey AS cohort, o.o_custkey AS subject_id, o.o_orderkey AS measurement_id, l.l_orderkey * 10 + l.l_linenumber AS segment_id,
+ CAST(CASE WHEN l.l_linenumber % 2 = 0 THEN 125 ELSE 50 END AS DOUBLE) AS sample_rate_hz, CAST(l.l_quantity * 100 AS DOUBLE) AS n_samples, CAST(100 + l.l_quantity AS DOUBLE) AS sbp, CAST(50 + l.l_linenumber AS DOUBLE) AS dbp,
+ CASE WHEN o.o_custkey % 6 <> 0 THEN CAST(20 + o.o_custkey % 60 AS DOUBLE) END AS age, CASE o.o_custkey % 4 WHEN 0 THEN 'female' WHEN 1 THEN 'Male' WHEN 2 THEN 'unknown' END AS sex,
+ CASE WHEN o.o_custkey % 5 <> 0 THEN CAST(20 + l.l_linenumber AS DOUBLE) END AS bmi
+ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+
+
+def _segments(spark, d) -> DataFrame:
+    """Lines as segments of an annotated manifest."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("subject_id"))
+    rows = table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(subjects(spark, d).select("cohort", "subject_id"), "subject_id")
+    who, line, size = F.col("subject_id"), F.col("l_linenumber"), F.col("l_quantity")
+    sex = F.when(who % 4 == 0, "female").when(who % 4 == 1, "Male").when(who % 4 == 2, "unknown")
+    return rows.select(
+        "cohort", "subject_id", F.col("o_orderkey").alias("measurement_id"), (F.col("l_orderkey") * 10 + line).alias("segment_id"),
+        F.when(line % 2 == 0, 125.0).otherwise(50.0).alias("sample_rate_hz"), (size * 100).cast("double").alias("n_samples"), (100 + size).cast("double").alias("sbp"), (50 + line).cast("double").alias("dbp"),
+        F.when(who % 6 != 0, (20 + who % 60).cast("double")).alias("age"), sex.alias("sex"), F.when(who % 5 != 0, (20 + line).cast("double")).alias("bmi"),
+    )
+
+
+@query(f"""WITH {_SEGMENTS}, w AS (SELECT cohort, count(DISTINCT subject_id) AS subjects, count(DISTINCT measurement_id) AS measurements, count(*) AS segments,
+ array_to_string(list_sort(list(DISTINCT sample_rate_hz)), ',') AS sample_rates_hz, quantile_cont(n_samples / sample_rate_hz, 0.5) AS duration_median,
+ min(n_samples / sample_rate_hz) AS duration_min, max(n_samples / sample_rate_hz) AS duration_max, avg(CASE WHEN age IS NULL THEN 1.0 ELSE 0.0 END) AS age_missing,
+ avg(CASE WHEN sex IS NULL OR lower(sex) = 'unknown' THEN 1.0 ELSE 0.0 END) AS sex_missing, avg(CASE WHEN bmi IS NULL THEN 1.0 ELSE 0.0 END) AS bmi_missing FROM sg GROUP BY cohort),
+u AS (SELECT cohort, m.sbp, m.dbp FROM (SELECT cohort, subject_id, measurement_id, min(struct_pack(i := segment_id, sbp := sbp, dbp := dbp)) AS m FROM sg GROUP BY ALL)),
+l AS (SELECT cohort, count(*) AS label_units, {', '.join(f'round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_sd, min({c}) AS {c}_min, max({c}) AS {c}_max' for c in ('sbp', 'dbp'))} FROM u GROUP BY cohort),
+p AS (SELECT cohort, count(*) FILTER (s = 'female') AS female_subjects, count(*) FILTER (s = 'male') AS male_subjects FROM (SELECT cohort, subject_id, lower(min(sex)) AS s FROM sg GROUP BY ALL) GROUP BY cohort)
+SELECT * REPLACE (round(duration_median, 6) AS duration_median, round(duration_min, 6) AS duration_min, round(duration_max, 6) AS duration_max, round(age_missing, 6) AS age_missing, round(sex_missing, 6) AS sex_missing, round(bmi_missing, 6) AS bmi_missing)
+FROM w JOIN l USING (cohort) JOIN p USING (cohort)""")
+def manifest_summary(spark, d):
+    names = ["duration_median", "duration_min", "duration_max", "age_missing", "sex_missing", "bmi_missing", "sbp_mean", "sbp_sd", "dbp_mean", "dbp_sd"]
+    return _round(reports.manifest_summary(_segments(spark, d), ["cohort"]), names, 6)
+
+
+@query(f"""WITH {_SEGMENTS}, b AS (SELECT cohort, subject_id, max(age) AS age, coalesce(lower(max(sex)), 'unknown') AS sex, list_sort(list(DISTINCT bmi) FILTER (bmi IS NOT NULL)) AS v FROM sg GROUP BY ALL)
+SELECT cohort, subject_id, age, sex, list_median(v) AS bmi, CAST(coalesce(len(v), 0) AS INTEGER) AS bmi_values FROM b""")
+def canonical_covariates(spark, d):
+    return reports.canonical_covariates(_segments(spark, d), ["cohort"])
+
+
 @query(f"WITH {PRED}, {sql_units('cohort, method')}, s AS (SELECT cohort, method, subject_id, avg(y_true) AS y, avg(y_pred) AS p FROM units GROUP BY ALL) SELECT cohort, method, round(stddev_samp(p), 4) AS prediction_sd, round(stddev_samp(y), 4) AS truth_sd, count(*) AS n_subjects, round(stddev_samp(p) / nullif(stddev_samp(y), 0), 6) AS ratio FROM s GROUP BY ALL")
 def spread_ratio(spark, d):
     made = reports.prediction_spread(scoring.scoring_units(predictions(spark, d), ["cohort", "method"]), ["cohort", "method"])
@@ -107,22 +148,21 @@ def wide_metrics(spark, d):
     return wide.select("cohort", *(rounded(m).alias(f"{m}_mae") for m in ("signal", "covariates", "signal_plus")))
 
 
-@query(f"""WITH w AS ({_ORACLE['wide_metrics']}), c AS ({_ORACLE['constant_contrast']}), l AS ({_ORACLE['complementarity']}) SELECT w.*, c.delta AS constant_delta, l.first_lift, l.second_lift, l.better_than_both FROM w LEFT JOIN c USING (cohort) LEFT JOIN l USING (cohort)""")
+@query(f"""WITH w AS ({_ORACLE['wide_metrics']}), c AS (SELECT * FROM ({_ORACLE['constant_contrast']}) WHERE constant = 'median_constant'), l AS ({_ORACLE['complementarity']}) SELECT w.*, c.delta AS constant_delta, l.first_lift, l.second_lift, l.better_than_both FROM w LEFT JOIN c USING (cohort) LEFT JOIN l USING (cohort)""")
 def information_source_table(spark, d):
     metrics = scoring.balanced_metrics(scoring.scoring_units(predictions(spark, d), ["cohort", "method"]), ["cohort", "method"]).withColumn("mae", rounded("mae"))
-    return reports.information_sources(metrics, constant_contrast(spark, d), complementarity(spark, d), ["cohort"], ["signal", "covariates", "signal_plus"])
+    return reports.information_sources(metrics, constant_contrast(spark, d).where("constant = 'median_constant'"), complementarity(spark, d), ["cohort"], ["signal", "covariates", "signal_plus"])
 
 
-@query(f"WITH {_ORDER_UNITS} SELECT cohort, subject_id, measurement_id, round((y_true - avg(y_true) OVER (PARTITION BY cohort, subject_id)) * 0.73105857863, 4) + 0.0 AS deviation FROM ou")
+@query(f"WITH {_ORDER_UNITS} SELECT cohort, subject_id, measurement_id, round(y_true - avg(y_true) OVER (PARTITION BY cohort, subject_id) + {OFF_EDGE}, 7) + 0.0 AS deviation FROM ou")
 def join_back_means(spark, d):
-    rows = _order_units(spark, d).withColumn("deviation", (F.col("y_true") - F.avg("y_true").over(Window.partitionBy("cohort", "subject_id"))) * 0.73105857863)
-    return _round(rows.select("cohort", "subject_id", "measurement_id", "deviation"), ["deviation"])
+    rows = scoring.with_subject_mean(_order_units(spark, d), ["cohort"], "y_true", "mean")
+    return rows.select("cohort", "subject_id", "measurement_id", rounded(F.col("y_true") - F.col("mean") + OFF_EDGE, 7).alias("deviation"))
 
 
-@query(f"WITH {_SUBJECT_MEANS} SELECT cohort, subject_id, round(y * 0.73105857863, 4) AS scaled_mean, acctbal, segment FROM sj")
+@query(f"WITH {_SUBJECT_MEANS} SELECT cohort, subject_id, round(y + {OFF_EDGE}, 7) AS mean, acctbal, segment FROM sj")
 def covariate_join(spark, d):
-    # scaled, for means of cents lie on the rounding's edges
-    return _subject_means(spark, d).select("cohort", "subject_id", rounded(F.col("y") * 0.73105857863).alias("scaled_mean"), "acctbal", "segment")
+    return _subject_means(spark, d).select("cohort", "subject_id", rounded(F.col("y") + OFF_EDGE, 7).alias("mean"), "acctbal", "segment")
 
 
 @query("WITH a AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT s, sum(n) AS total FROM a GROUP BY s) SELECT a.s AS status, a.p AS priority, a.n, CAST(b.total AS BIGINT) AS total FROM a JOIN b ON a.s IS NOT DISTINCT FROM b.s")
@@ -180,21 +220,37 @@ def feature_assembly(spark, d):
     return x.select("vec_id", F.size("x").cast("long").alias("n_features"), rounded(F.element_at("x", 1) + F.element_at("x", -1)).alias("first_plus_last"), (F.element_at("x", -4) == 1.0).alias("first_category"))
 
 
-@query()
+def _vector_rows(spark, d) -> DataFrame:
+    """Vectors as rows of 97 subjects, one component of some a gap; two targets."""
+    k = F.col("vec_id")
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.when((i == 3) & (k % 11 == 0), None).otherwise(x))
+    return table(spark, d, "embeddings").select(k.alias("measurement_id"), (k % 97).alias("subject_id"), (k % 97 % 5).cast("int").alias("fold"), v.alias("features"), F.col("label").cast("double").alias("y"), F.col("embedding")[0].cast("double").alias("first"))
+
+
+@query("""WITH v AS (SELECT vec_id % 97 AS subject_id, CAST(vec_id % 97 % 5 AS INTEGER) AS fold, CAST(label AS DOUBLE) AS y FROM embeddings)
+SELECT fold, count(*) AS n_rows, count(DISTINCT subject_id) AS n_subjects, round(stddev_samp(y), 6) AS truth_sd FROM v GROUP BY fold""")
 def ridge_diagnostics(spark, d):
     _, found = ridge.benchmark(_vector_rows(spark, d), {"method": "vectors"})
-    return _round(found, ["prediction_sd", "truth_sd", "mae"])
+    return found.select("fold", "n_rows", "n_subjects", rounded("truth_sd", 6).alias("truth_sd"))
 
 
-def _vector_rows(spark, d) -> DataFrame:
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("measurement_id"), (F.col("vec_id") % 97).alias("subject_id"), (F.col("vec_id") % 97 % 5).cast("int").alias("fold"), F.col("embedding").cast("array<double>").alias("features"), F.col("label").cast("double").alias("y"))
-    weights = rows.groupBy("subject_id").agg((1 / F.count("*")).alias("w"))
-    return rows.join(weights, "subject_id")
+@query()
+def ridge_nested(spark, d):
+    return _round(ridge.nested(_vector_rows(spark, d), ("y", "first"))[0], ["y_pred"])
 
 
 @query()
-def ridge_nested(spark, d):
-    return _round(ridge.nested_predictions(_vector_rows(spark, d))[0], ["y_pred"])
+def ridge_tuning(spark, d):
+    return _round(ridge.nested(_vector_rows(spark, d), ("y", "first"))[2], ["validation_mae"])
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(vec_id % 97 % 5 AS INTEGER) AS fold, [1.0, CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE), CAST(embedding[3] AS DOUBLE), CAST(label AS DOUBLE)] AS z,
+ 1.0 / count(*) OVER (PARTITION BY vec_id % 97) AS w FROM embeddings), ij AS (SELECT fold, w, i, j, z[i + 1] * z[j + 1] AS product FROM e, range(5) a(i), range(5) b(j))
+SELECT fold, CAST(i * 5 + j + 1 AS INTEGER) AS place, round(sum(w * product), 6) + 0.0 AS moment FROM ij GROUP BY ALL UNION ALL SELECT fold, 0, CAST(count(*) AS DOUBLE) FROM e GROUP BY fold""")
+def ridge_cell_moments(spark, d):
+    rows = ridge.weighted(_vector_rows(spark, d)).withColumn("z", F.slice("features", 1, 3)).withColumn("ys", F.array("y"))
+    cells = ridge.cell_moments(rows, ["fold"])
+    return cells.select("fold", F.posexplode("moments").alias("place", "moment")).withColumn("moment", rounded("moment", 6))
 
 
 # ---- records as arrays
@@ -244,36 +300,6 @@ def sample_count_distribution(spark, d):
     return _record_sizes(spark, d).groupBy(F.col("n").alias("n_samples")).agg(F.count("*").alias("n_records"))
 
 
-@query()
-def waveform_spectral(spark, d):
-    made = waveform.described(_records(spark, d))
-    names = waveform.FEATURES
-    return made.select("segment_id", "reason", *(F.round(F.get("features", F.lit(k)), 6).alias(n) for k, n in enumerate(names)))
-
-
-@query()
-def spectral_peak(spark, d):
-    made = waveform.described(_records(spark, d)).where("features is not null")
-    return made.select("segment_id", F.round(F.get("features", F.lit(waveform.FEATURES.index("spectral_peak_bpm"))), 4).alias("peak_bpm"))
-
-
-#: Contracts of pre-processing: order of steps and rates differ.
-CONTRACTS = {
-    "normalise_first": {"steps": [("normalise", 1e-7), ("band_pass", "chebyshev2", 4, 0.5, 12.0), ("smooth",), ("resample", 125)]},
-    "filter_first": {"steps": [("band_pass", "butterworth", 3, 0.5, 8.0), ("resample", 50), ("normalise", 1e-5)]},
-}
-
-
-@query()
-def preprocess_contracts(spark, d):
-    rows = _records(spark, d).where(F.size("samples") >= 32)
-    out = None
-    for name, contract in CONTRACTS.items():
-        x = waveform.preprocessed(rows, contract).select("segment_id", F.lit(name).alias("contract"), F.size("samples").alias("length"), rounded(waveform.deviation_of(F.col("samples")), 5).alias("deviation"))
-        out = x if out is None else out.unionByName(x)
-    return out
-
-
 def _halves(samples, rates) -> np.ndarray:
     return np.array([[x[: len(x) // 2].mean() if len(x) > 1 else x.mean(), x[len(x) // 2 :].mean(), r] for x, r in zip(samples, rates, strict=True)])
 

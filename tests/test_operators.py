@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldmark.functions import SEX_TOKENS, category, number_pair, plain_token, slug
+from foldmark.functions import SEX_TOKENS, category, number_pair, number_text, plain_token, slug
 from foldmark.functions.fingerprints import fingerprint
 from foldmark.operators import bootstrap, contrasts, manifest, reports, ridge, rules, sampling, scoring, sessions, transforms, waveform
 
@@ -44,10 +44,12 @@ def test_interval_of_equal_deltas_is_a_point(spark):
     assert (made["ci_low"], made["ci_high"], made["p_below_zero"]) == (-2.0, -2.0, 1.0)
 
 
-def test_draws_have_the_size_of_the_group(spark):
-    rows = spark.createDataFrame([("c", f"s{k}") for k in range(11)], "cohort string, subject_id string")
-    drawn = bootstrap.draws(bootstrap.indexed(rows, ["cohort"]), ["cohort"], 20).groupBy("replicate").agg(F.sum("times").alias("n"))
-    assert {x["n"] for x in drawn.collect()} == {11} and drawn.count() == 20
+def test_draws_are_poisson_and_the_same_for_every_method(spark):
+    rows = spark.createDataFrame([("c", m, f"s{k}") for k in range(300) for m in "ab"], "cohort string, method string, subject_id string")
+    made = bootstrap.drawn(rows, ["cohort"], 50).groupBy("subject_id", "replicate").agg(F.min("times").alias("a"), F.max("times").alias("b"), F.count("*").alias("n")).collect()
+    assert all(r["a"] == r["b"] and r["n"] == 2 for r in made)
+    times = np.array([r["a"] for r in made] + [0] * (300 * 50 - len(made)))
+    assert abs(times.mean() - 1) < 0.03 and abs(times.var() - 1) < 0.05 and abs((times == 0).mean() - math.exp(-1)) < 0.015
 
 
 def test_best_alpha_takes_the_largest_of_ties(spark):
@@ -55,46 +57,100 @@ def test_best_alpha_takes_the_largest_of_ties(spark):
     assert ridge.best_alpha(rows, ["outer"]).first()["alpha"] == 10.0
 
 
+def direct_ridge(x, y, w, alpha):
+    """(intercept, coefficients) of a weighted Ridge on features as they are, weights of mean 1."""
+    w = w * len(w) / w.sum()
+    xm, ym = np.average(x, axis=0, weights=w), np.average(y, weights=w)
+    c = np.linalg.solve((x - xm).T @ ((x - xm) * w[:, None]) + alpha * np.eye(x.shape[1]), (x - xm).T @ ((y - ym) * w))
+    return ym - xm @ c, c
+
+
+def weighted_lower_median(v, w):
+    order = np.argsort(v, kind="stable")
+    return v[order][np.searchsorted(np.cumsum(w[order]), w.sum() / 2 * (1 - 1e-12))]
+
+
+def direct_transform(x, w):
+    """(median, mean, scale, gaps) of a pool, and the function that makes its features of any rows."""
+    seen = np.isfinite(x)
+    gaps = np.flatnonzero(~seen.all(axis=0))
+    median = np.array([weighted_lower_median(c[s], w[s]) for c, s in zip(x.T, seen.T, strict=True)])
+    fill = lambda v: np.column_stack([np.where(np.isfinite(v), v, median), (~np.isfinite(v[:, gaps])).astype(float)])
+    mean = np.average(fill(x), axis=0, weights=w)
+    scale = np.sqrt(np.average((fill(x) - mean) ** 2, axis=0, weights=w))
+    scale[scale <= np.finfo(float).eps] = 1.0
+    return lambda v: (fill(v) - mean) / scale
+
+
 def test_ridge_path_is_the_direct_fit():
     rng = np.random.default_rng(1)
-    x, y, w = rng.normal(size=(60, 4)) + 3, rng.normal(size=60) + 50, rng.uniform(0.5, 2, 60)
-    b, c = ridge.solve_path(ridge._packed(x, y - 50, w).ravel(), (0.1, 10.0))
-    xm, ym = np.average(x, axis=0, weights=w), np.average(y, weights=w)
+    x, y, w = rng.normal(size=(60, 4)) * [1, 5, 0.1, 2] + 3, rng.normal(size=(60, 2)) + 50, rng.uniform(0.5, 2, 60)
+    b, c, width = ridge.solve_path(ridge._packed(x, y - 50, w), (0.1, 10.0), 2)
+    assert width == 4
+    mean = np.average(x, axis=0, weights=w)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=w))
     for i, a in enumerate((0.1, 10.0)):
-        direct = np.linalg.solve((x - xm).T @ ((x - xm) * w[:, None]) + a * np.eye(4), (x - xm).T @ ((y - ym) * w))
-        assert np.allclose(c[i], direct) and b[i] + 50 == pytest.approx(ym - xm @ direct)
+        for t in range(2):
+            level, direct = direct_ridge((x - mean) / scale, y[:, t], w, a)
+            assert np.allclose(c[i, t], direct / scale) and b[i, t] + 50 == pytest.approx(level - (mean / scale) @ direct)
 
 
 def test_nested_predictions_are_those_of_plain_loops(spark):
     rng = np.random.default_rng(2)
-    n = 120
-    x = rng.normal(size=(n, 3))
-    y = x @ np.array([2.0, -1.0, 0.5]) + rng.normal(size=n)
-    subject = np.arange(n) % 30
-    rows = [(int(s), int(i), int(s % 5), [float(v) for v in r], float(t), 0.25) for i, (s, r, t) in enumerate(zip(subject, x, y, strict=True))]
-    df = spark.createDataFrame(rows, "subject_id int, measurement_id int, fold int, features array<double>, y double, w double")
-    made, chosen = ridge.nested_predictions(df)
-    alpha = {r["outer"]: r["alpha"] for r in chosen.collect()}
-    got = {r["measurement_id"]: r["y_pred"] for r in made.collect()}
+    n = 150
+    x = rng.normal(size=(n, 3)) * [1.0, 4.0, 0.2] + [0, 9, 0]
+    x[rng.random(n) < 0.2, 1] = np.nan
+    y = np.column_stack([np.nan_to_num(x[:, 1]) + rng.normal(size=n), x[:, 2] * 7 + rng.normal(size=n)])
+    subject, measurement = np.arange(n) % 30, np.arange(n) // 2
+    rows = [(int(s), int(m), int(i), int(s % 5), [None if np.isnan(v) else float(v) for v in r], float(t[0]), float(t[1])) for i, (s, m, r, t) in enumerate(zip(subject, measurement, x, y, strict=True))]
+    df = spark.createDataFrame(rows, "subject_id int, measurement_id int, row int, fold int, features array<double>, y double, z double")
+    made, chosen, tuning = ridge.nested(df, ("y", "z"))
+    per = {}
+    for s, m in zip(subject.tolist(), measurement.tolist(), strict=True):
+        per.setdefault(s, {}).setdefault(m, 0)
+        per[s][m] += 1
+    w = np.array([1 / (per[s][m] * len(per[s])) for s, m in zip(subject.tolist(), measurement.tolist(), strict=True)])
+    inner = {}
+    for fold in range(5):
+        groups = sorted((s for s in set(subject.tolist()) if s % 5 == fold), key=lambda s: (-int((subject == s).sum()), s))
+        inner |= {g: (p % 3 if (p // 3) % 2 == 0 else 2 - p % 3) for p, g in enumerate(groups)}
+    which = np.array([inner[int(s)] for s in subject])
+
+    def macro(guess, rows_, t):
+        units_ = {}
+        for i, g in zip(rows_, guess, strict=True):
+            units_.setdefault((subject[i], measurement[i]), []).append((g, y[i, t]))
+        gaps = {}
+        for (s, _), v in units_.items():
+            gaps.setdefault(s, []).append(abs(np.mean([a for a, _ in v]) - np.mean([b for _, b in v])))
+        return np.mean([np.mean(v) for v in gaps.values()])
+
+    picked = {(r["outer"], r["target"]): r for r in chosen.collect()}
+    scores = {(r["outer"], r["inner_fold"], r["target"], r["alpha"]): r for r in tuning.collect()}
+    got = {}
+    for r in made.collect():
+        got.setdefault((r["fold"], r["target"]), []).append(r["y_pred"])
     for fold in range(5):
-        pool = subject % 5 != fold
-        groups = sorted(set(subject[pool].tolist()))
-        inner = {g: (p % 3 if (p // 3) % 2 == 0 else 2 - p % 3) for p, g in enumerate(groups)}
-        which = np.array([inner.get(int(s), -1) for s in subject])
-        scores = {}
-        for a in ridge.ALPHAS:
-            gaps = {}
-            for k in range(3):
-                fit, held = pool & (which != k), pool & (which == k)
-                b, c = ridge.solve_path(ridge._packed(x[fit], y[fit], np.full(fit.sum(), 0.25)).ravel(), (a,))
-                for s, e in zip(subject[held], np.abs(b[0] + x[held] @ c[0] - y[held]), strict=True):
-                    gaps.setdefault(int(s), []).append(e)
-            scores[a] = np.mean([np.mean(v) for v in gaps.values()])
-        best = max(a for a in scores if scores[a] <= min(scores.values()) + 1e-12)
-        assert alpha[fold] == best
-        b, c = ridge.solve_path(ridge._packed(x[pool], y[pool], np.full(pool.sum(), 0.25)).ravel(), (best,))
-        for i in np.flatnonzero(~pool):
-            assert got[int(i)] == pytest.approx(b[0] + x[i] @ c[0])
+        pool = np.flatnonzero(subject % 5 != fold)
+        for t, name in enumerate(("y", "z")):
+            best = {}
+            for a in ridge.ALPHAS:
+                guess = np.full(n, np.nan)
+                for k in range(3):
+                    fit, held = pool[which[pool] != k], pool[which[pool] == k]
+                    make = direct_transform(x[fit], w[fit])
+                    b, c = direct_ridge(make(x[fit]), y[fit, t], w[fit], a)
+                    guess[held] = b + make(x[held]) @ c
+                    found = scores[(fold, k, name, a)]
+                    assert found["validation_mae"] == pytest.approx(macro(guess[held], held, t))
+                    assert found["n_validation_subjects"] == len(set(subject[held])) and found["n_fit_subjects"] == len(set(subject[fit]))
+                best[a] = macro(guess[pool], pool, t)
+            alpha = max(a for a in best if best[a] <= min(best.values()) + 1e-12)
+            assert picked[(fold, name)]["alpha"] == alpha and picked[(fold, name)]["mae"] == pytest.approx(best[alpha]) and picked[(fold, name)]["input_dimension"] == 4
+            make = direct_transform(x[pool], w[pool])
+            b, c = direct_ridge(make(x[pool]), y[pool, t], w[pool], alpha)
+            tested = np.flatnonzero(subject % 5 == fold)
+            assert sorted(got[(fold, name)]) == pytest.approx(sorted(b + make(x[tested]) @ c))
 
 
 def test_allocation_adds_up_and_respects_sizes():
@@ -136,14 +192,14 @@ def test_transform_of_gaps(spark):
 
 
 def test_columns(spark):
-    row = spark.createDataFrame([(" F ", "x", None, "120.5 / 80", "120", "1.0")], "a string, b string, c string, d string, e string, f string")
+    row = spark.createDataFrame([(" F ", " Xy", None, "120.5 / 80", "120", "1.0")], "a string, b string, c string, d string, e string, f string")
     got = row.select(category("a", SEX_TOKENS), category("b", SEX_TOKENS), category("c", SEX_TOKENS), number_pair(F.col("d"), True), number_pair(F.col("e"), True), plain_token(F.col("f")), slug(F.lit("A b/C"))).first()
-    assert tuple(got) == ("female", "x", None, 120.5, None, "1", "a_b_c")
+    assert tuple(got) == ("female", "xy", None, 120.5, None, "1", "a_b_c")
 
 
 def test_manifest_rules(spark):
     good = {"dataset": "d", "source": "s", "subject_id": "1", "segment_id": "a", "waveform_path": "p.npy", "sample_rate_hz": "125", "n_samples": "10", "sbp": "120", "dbp": "80", "sex": "F", "height_cm": "0", "weight_kg": "70"}
-    cases = {"targets_ordered": {"dbp": "130"}, "rate_positive": {"sample_rate_hz": "0"}, "two_samples": {"n_samples": "1"}, "category_known": {"sex": "y"}, "numbers_present": {"sbp": "bad"}, "subject_present": {"subject_id": None}}
+    cases = {"targets_ordered": {"dbp": "130"}, "rate_positive": {"sample_rate_hz": "0"}, "two_samples": {"n_samples": "1"}, "category_known": {"sex": "y"}, "numbers_present": {"sbp": "bad"}, "subject_present": {"subject_id": None}, "path_present": {"waveform_path": None}}
     for rule, change in cases.items():
         rows = spark.createDataFrame([{**good, **change}], ", ".join(f"{k} string" for k in good))
         tidy = manifest.canonical_manifest(rows)
@@ -158,6 +214,15 @@ def test_fingerprint_ignores_order(spark):
     rows = spark.createDataFrame([(k, str(k)) for k in range(40)], "a int, b string")
     made = {fingerprint(rows.repartition(n), F.col("a"), F.col("b")).first()[0] for n in (1, 3, 9)}
     assert len(made) == 1
+    other = [spark.createDataFrame(x, "a string, b string") for x in ([("a|b", "c")], [("a", "b|c")], [("a|b", "c")] * 2, [("", None)], [(None, "")])]
+    assert len({fingerprint(x, F.col("a"), F.col("b")).first()[0] for x in other}) == 5
+    many = spark.range(20_000)
+    assert fingerprint(many, F.col("id")).first()[0] != fingerprint(many.where("id > 0"), F.col("id")).first()[0]
+
+
+def test_number_text(spark):
+    row = spark.createDataFrame([(0.1 + 0.2, 1e-7, 123456.0, -0.0, float("nan"), None, 1 / 3)], "a double, b double, c double, d double, e double, f double, g double")
+    assert tuple(row.select(*(number_text(c) for c in "abcdefg")).first()) == ("3e-1", "1e-7", "1.23456e5", "0", "", "", "3.33333333333e-1")
 
 
 def test_p_values():
@@ -169,39 +234,117 @@ def test_contrast_and_unmatched(spark):
     rows = [("c", m, s, u, 10.0, p) for m, p in (("a", 11.0), ("b", 13.0)) for s, u in (("s", "1"), ("s", "2"), ("t", "3")) if not (m == "b" and u == "3")]
     made = spark.createDataFrame(rows, "cohort string, method string, subject_id string, measurement_id string, y_true double, y_pred double")
     specs = spark.createDataFrame([("x", "a", "b")], "contrast string, candidate string, reference string")
-    got = contrasts.contrast_table(contrasts.paired_units(made, specs, ["cohort"]), ["cohort", "contrast"]).first()
+    with pytest.raises(ValueError, match="t/3: reference"):
+        contrasts.paired_units(made, specs, ["cohort"])
+    got = contrasts.contrast_table(contrasts.paired_units(made, specs, ["cohort"], strict=False), ["cohort", "contrast"]).first()
     assert (got["delta"], got["n_subjects"], got["n_measurements"]) == (-2.0, 1, 2)
     assert [r["missing"] for r in contrasts.unmatched_units(made, specs, ["cohort"]).collect()] == ["reference"]
+    other = made.where("measurement_id <> '3'").withColumn("y_true", F.when(F.expr("method = 'b' and measurement_id = '2'"), 11.0).otherwise(F.col("y_true")))
+    assert [r["missing"] for r in contrasts.unmatched_units(other, specs, ["cohort"]).collect()] == ["truth"]
 
 
-def test_features_of_a_sine():
-    t = np.arange(1250) / 125
-    f = dict(zip(waveform.FEATURES, waveform.record_features(np.sin(2 * np.pi * 1.2 * t), 125), strict=True))
-    assert len(waveform.FEATURES) == 38
-    assert abs(f["spectral_peak_bpm"] - 72) <= 6 and abs(f["heart_rate_bpm"] - 72) < 2 and f["raw_kurtosis"] == pytest.approx(-1.5, abs=0.02)
-    for bad, rate in ((np.ones(500), 125), (np.full(500, np.nan), 125), (np.arange(20.0), 125), (np.arange(500.0), 24)):
-        with pytest.raises(ValueError, match="described"):
-            waveform.record_features(bad, rate)
-
-
-def test_band_passes_pass_the_band_only():
-    for kind, order, high in (("butterworth", 3, 8.0), ("chebyshev2", 4, 12.0)):
-        sections = waveform.band_pass(kind, order, 0.5, high, 125)
-        gain = lambda f: abs(np.prod([np.polyval(b, np.exp(2j * np.pi * f / 125)) / np.polyval(a, np.exp(2j * np.pi * f / 125)) for b, a in sections]))  # noqa: B023, E731
-        assert gain(2.0) == pytest.approx(1, abs=0.02) and gain(0.05) < 0.11 and gain(40.0) < 0.11
-        x = np.sin(2 * np.pi * 2 * np.arange(1000) / 125)
-        y = waveform.zero_phase(sections, x + 5)
-        assert np.corrcoef(x[200:-200], y[200:-200])[0, 1] > 0.999 and abs(y[200:-200].mean()) < 0.2
-
-
-def test_resampling_and_padding(spark):
-    x = np.sin(2 * np.pi * 1.0 * np.arange(300) / 30)
-    y = waveform.resampled(x, 30, 125)
-    assert len(y) == 1250 and np.corrcoef(y[200:-200], np.sin(2 * np.pi * np.arange(1250) / 125)[200:-200])[0, 1] > 0.999
+def test_seed_contrasts_reuse_a_method_without_seeds(spark):
+    rows = [("c", "a", s, f"m{s}", seed, 10.0, 12.0 + seed) for s in "pqr" for seed in (0, 1)] + [("c", "b", s, f"m{s}", None, 10.0, 11.0) for s in "pqr"]
+    made = spark.createDataFrame(rows, "cohort string, method string, subject_id string, measurement_id string, seed int, y_true double, y_pred double")
+    specs = spark.createDataFrame([("x", "a", "b")], "contrast string, candidate string, reference string")
+    pairs = contrasts.paired_units(contrasts.over_seeds(made, ["b"], ["cohort"]), specs, ["cohort"], by_seed=True)
+    got = contrasts.seed_contrasts_with_intervals(pairs, ["cohort"], ["cohort", "contrast"], 30).first()
+    assert (got["delta"], got["n_seeds"], got["ci_low"], got["ci_high"], got["p_candidate_better"]) == (1.5, 2, 1.5, 1.5, 0.0)
+    assert got["delta_seed_sd"] == pytest.approx(math.sqrt(0.5))
+    with pytest.raises(ValueError, match="every seed"):
+        contrasts.seed_contrasts_with_intervals(pairs.where("not (subject_id = 'p' and seed = 1)"), ["cohort"], ["cohort", "contrast"], 30)
+
+
+def test_between_within_means_over_all_subjects(spark):
+    made = scoring.between_within(units(spark).groupBy("cohort", "subject_id", "measurement_id").agg(F.avg("y_true").alias("y_true"), F.avg("y_pred").alias("y_pred")), ["cohort"]).first()
+    # s1: truths 100, 110, guesses 106, 110; s2 has one unit
+    assert (made["n_subjects"], made["n_measurements"], made["n_repeated"]) == (2, 3, 1)
+    assert (made["overall_mae"], made["between_mae"], made["within_mae"]) == ((3 + 10) / 2, (3 + 10) / 2, (3 + 0) / 2)
+    assert (made["true_within_sd"], made["pred_within_sd"], made["within_ratio"]) == (2.5, 1.0, 0.4)
+
+
+def test_model_against_constants(spark):
+    rows = [("c", f, f"s{f}", f"m{f}{k}", float(10 * f + k), 0.0) for f in range(3) for k in range(2)]
+    made = spark.createDataFrame(rows, "cohort string, fold int, subject_id string, measurement_id string, y_true double, y_pred double")
+    got = {r["constant"]: r for r in contrasts.model_against_constants(made, ["cohort"], 20).collect()}
+    means = {0: (10 + 11 + 20 + 21) / 4, 1: (0 + 1 + 20 + 21) / 4, 2: (0 + 1 + 10 + 11) / 4}
+    medians = {0: 11.0, 1: 1.0, 2: 1.0}
+    for name, constant in (("mean_constant", means), ("median_constant", medians)):
+        mae = np.mean([np.mean([abs(constant[f] - 10 * f - k) for k in range(2)]) for f in range(3)])
+        assert got[name]["constant_mae"] == pytest.approx(mae) and got[name]["model_mae"] == pytest.approx(10.5) and got[name]["delta"] == pytest.approx(10.5 - mae)
+
+
+def test_array_statistics(spark):
+    rng = np.random.default_rng(3)
+    records = [rng.normal(size=n) * 3 + 1e6 for n in (1, 2, 3, 50, 4000)] + [np.full(9, 7.0)]
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(records)] + [(99, [])], "k int, x array<double>")
+    stats = waveform.statistics(F.col("x"))
+    got = {r["k"]: r for r in df.select("k", *(c.alias(n) for n, c in stats.items()), waveform.normalised(F.col("x")).alias("z")).collect()}
+    assert got[99]["mean"] is None and got[99]["z"] == []
+    for k, r in enumerate(records):
+        n, s = len(r), r.std()
+        assert got[k]["mean"] == pytest.approx(r.mean()) and got[k]["std"] == pytest.approx(s, abs=1e-5) and got[k]["iqr"] == pytest.approx(np.subtract(*np.percentile(r, [75, 25])), abs=1e-6)
+        if n > 3 and s > 0:
+            g1, g2 = ((r - r.mean()) ** 3).mean() / s**3, ((r - r.mean()) ** 4).mean() / s**4 - 3
+            assert got[k]["skew"] == pytest.approx(math.sqrt(n * (n - 1)) / (n - 2) * g1, abs=1e-5)
+            assert got[k]["kurtosis"] == pytest.approx((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6), abs=1e-5)
+            assert np.allclose(got[k]["z"], (r - r.mean()) / (s + 1e-7), atol=1e-5)
+
+
+def test_padding(spark):
     row = spark.createDataFrame([([1.0, 2.0],)], "x array<double>")
     assert row.select(waveform.zero_padded(F.col("x"), 5), waveform.zero_padded(F.col("x"), 1), waveform.without_last(F.col("x"), F.lit(True))).first() == ([0.0, 1.0, 2.0, 0.0, 0.0], None, [1.0])
 
 
+def test_sessions_that_can_not_be_derived(spark):
+    rows = spark.createDataFrame([("s", k, k in (15, 69)) for k in range(1, 101)] + [("t", k, k == 15) for k in range(1, 61)], "subject_id string, n int, onset boolean")
+    made = sessions.derived_sessions(rows, ["subject_id"], "n", 54, 15)
+    assert {r["subject_id"]: r["reason"] for r in sessions.session_errors(made, ["subject_id"], 54, 15).collect()} == {}
+    late = spark.createDataFrame([("s", k, k in (15, 90, 110)) for k in range(1, 121)] + [("u", k, k == 5) for k in range(1, 30)], "subject_id string, n int, onset boolean")
+    made = sessions.derived_sessions(late, ["subject_id"], "n", 54, 15)
+    assert {r["subject_id"]: r["reason"] for r in sessions.session_errors(made, ["subject_id"], 54, 15).collect()} == {"s": "session_too_long", "u": "onset_out_of_place"}
+    with pytest.raises(ValueError, match="session_too_long"):
+        sessions.checked_sessions(made.where("subject_id = 's'"), ["subject_id"], 54, 15)
+    assert {r["session_id"] for r in made.where("subject_id = 'u'").collect()} == {"u-session-01"}
+
+
+def test_split_labels_fall_back(spark):
+    rows = [(k, "abcd"[k % 4] + f"|{k % 40}", "abcd"[k % 4], "x") for k in range(80)]
+    who = spark.createDataFrame(rows, "subject_id int, full string, mid string, short string")
+    made = sampling.benchmark_splits(who, ["full", "mid", "short"], 5, 3).cache()
+    assert {(r["outer_method"], r["validation_method"]) for r in made.collect()} == {("mid", "mid")} and rules.split_violations(made, who, 5).isEmpty()
+    few = who.where("subject_id < 5").withColumn("short", F.col("subject_id").cast("string"))
+    assert sampling.benchmark_splits(few, ["full", "mid", "short"], 5, 3).first()["outer_method"] == "none"
+    for folds, match in ((1, "two folds"), (6, "fewer subjects")):
+        with pytest.raises(ValueError, match=match):
+            sampling.benchmark_splits(few, ["full"], folds)
+
+
+def test_canonical_covariates_and_summary(spark):
+    schema = "c string, subject_id string, measurement_id string, segment_id string, sample_rate_hz double, n_samples double, sbp double, dbp double, age double, sex string, bmi double"
+    rows = [("c", "s", "m", "b", 50.0, 100.0, 120.0, 80.0, 40.0, "Female", 20.0), ("c", "s", "m", "a", 50.0, 50.0, 110.0, 70.0, None, None, 22.0), ("c", "s", "n", "d", 125.0, 125.0, 100.0, 60.0, 40.0, " female ", 27.0), ("c", "t", "o", "e", 125.0, 250.0, 130.0, 90.0, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    got = {r["subject_id"]: tuple(r)[2:] for r in reports.canonical_covariates(df, ["c"]).collect()}
+    assert got == {"s": (40.0, "female", 22.0, 3), "t": (None, "unknown", None, 0)}
+    with pytest.raises(ValueError, match="varies"):
+        reports.canonical_covariates(df.withColumn("age", F.when(F.col("segment_id") == "b", 41.0).otherwise(F.col("age"))), ["c"])
+    one = reports.manifest_summary(df, ["c"]).first()
+    assert (one["subjects"], one["measurements"], one["segments"], one["label_units"], one["female_subjects"], one["male_subjects"]) == (2, 3, 4, 3, 1, 0)
+    assert (one["sample_rates_hz"], one["duration_median"], one["duration_min"], one["duration_max"]) == ("50.0,125.0", 1.5, 1.0, 2.0)
+    assert one["sbp_mean"] == pytest.approx((110 + 100 + 130) / 3) and one["age_missing"] == 0.5 and one["sex_missing"] == 0.5
+
+
+def test_rules_on_sets(spark):
+    a, b = spark.createDataFrame([("s",), ("t",)], "subject_id string"), spark.createDataFrame([("t",), ("u",)], "subject_id string")
+    assert [r["key"] for r in rules.subjects_apart(a, b).collect()] == ["t"] and rules.subjects_apart(a, b.where("subject_id = 'u'")).isEmpty()
+    rows = spark.createDataFrame([("k", 0.0, "v1"), ("k", 1.5, "v2"), ("l", 0.0, "v1"), ("l", 1.0, "v1")], "k string, fold double, version string")
+    assert {(r["rule"], r["key"]) for r in rules.whole_folds(rows, ["k"], 2).collect()} == {("folds_whole", "k")}
+    assert [r["detail"] for r in rules.one_value(rows, {"version": "v1"}, ["k", "fold"]).collect()] == ["v2"]
+    with pytest.raises(ValueError, match="1 or more"):
+        manifest.first_rows(a, ["subject_id"], 0)
+    assert [r[0] for r in manifest.first_rows(a, ["subject_id"], 1).collect()] == ["s"]
+
+
 def test_caps(spark):
     rows = spark.createDataFrame([("s", "ab"[k % 2] if k < 6 else "c", k) for k in range(10)], "subject_id string, m string, k int")
     got = sampling.round_robin_capped(rows, ["subject_id"], "m", ["k"], 6, "x").groupBy("m").count().collect()
