@@ -18,9 +18,11 @@ STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -38,6 +40,17 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """For each name itself, or with as many underscores after it as keep it apart from the columns (names in any letter case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remainder(key: Column, modulus: int) -> Column:
     """crc32 of the key's decimal text, modulo."""
     return F.crc32(key.cast("string")) % modulus
@@ -49,7 +62,7 @@ def one_label_each(labels: DataFrame, column: str, key: str = "doc_id") -> DataF
 
 
 def bounded(df: DataFrame, most: int, *keys: Column) -> DataFrame:
-    """At most about `most` rows, chosen by a hash of the keys; all rows where there are no more than that."""
+    """At most about `most` rows of a frame with different keys, chosen by a hash of the keys; all rows where there are no more than that."""
     n = df.count()
     if n <= most:
         return df
@@ -67,15 +80,15 @@ def joined_unevenly(left: DataFrame, right: DataFrame, key: str, counted: DataFr
     Rows of heavy keys are dealt to SALTS parts by a hash of their other columns, and right's rows of these keys repeated for each part.
     counted: a cheaper frame with left's keys, to find the heavy ones in.
     """
+    heavy_key, salt = unused([*left.columns, *right.columns], "heavy", "salt")
     keys = (left if counted is None else counted).select(key)
-    heavy = keys.groupBy(key).count().where(F.col("count") >= HEAVY_ROWS)
-    heavy = heavy.crossJoin(F.broadcast(keys.agg(F.count("*").alias("_rows")))).where(F.col("count") * HEAVY_SHARE > F.col("_rows"))  # one row beside each
-    heavy = F.broadcast(written(heavy.select(F.col(key).alias("_heavy")), "heavy-keys"))  # HEAVY_SHARE keys at most
-    salt = F.when(F.col("_heavy").isNotNull(), F.pmod(F.xxhash64(*(c for c in left.columns if c != key)), F.lit(SALTS)).cast("int")).otherwise(0)
-    dealt = left.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_salt", salt).drop("_heavy")
-    parts = F.explode(F.when(F.col("_heavy").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    repeated = right.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_salt", parts).drop("_heavy")
-    return dealt.join(repeated, [key, "_salt"], how).drop("_salt")
+    least = max(HEAVY_ROWS, keys.count() // HEAVY_SHARE)
+    heavy = F.broadcast(written(keys.groupBy(key).count().where(F.col("count") > least).select(F.col(key).alias(heavy_key)), "heavy-keys"))  # HEAVY_SHARE keys at most
+    others = [f.name for f in left.schema.fields if f.name != key and "map<" not in f.dataType.simpleString()]
+    dealt = left.join(heavy, F.col(key) == F.col(heavy_key), "left").withColumn(salt, F.when(F.col(heavy_key).isNotNull(), F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")).otherwise(0)).drop(heavy_key)
+    parts = F.when(F.col(heavy_key).isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(heavy, F.col(key) == F.col(heavy_key), "left").withColumn(salt, F.explode(parts)).drop(heavy_key)
+    return dealt.join(repeated, [key, salt], how).drop(salt)
 
 
 def steps(batch: pa.RecordBatch, most: int = STEP_BYTES, column: str = "text"):

@@ -7,8 +7,8 @@ a node with suffixes of two documents is (part of) a maximal repeat, and its sma
 The suffixes are partitioned by prefixes of variable length. A suffix's first prefix goes up to the end of its anchor, the gram of GRAM words
 with the smallest hash in the window, so it is 12 to 50 words long; all prefixes that end with the same anchor are one group. Equal windows
 are in one group, and the neighbouring suffixes of a document mostly too, so a run of them is shipped as one segment of words,
-about 1.5 windows long. A group of more than GROUP_SEGMENTS different segments is split by longer prefixes, of PREFIXES words, its
-windows being shipped one by one; at the last, WINDOW words, a group is one node of the tree and needs no memory.
+about 1.5 windows long. A group of more than GROUP_SEGMENTS different segments is split by longer prefixes, up to the end of longer anchors, of
+LONGER_GRAMS words; at the last, WINDOW words, a prefix is a whole window, a group is one node of the tree and needs no memory.
 
 1. Every document's (key, doc_id) pairs are grouped by key; only keys that two documents hold can matter.
 2. Documents that hold one are written to the shared folder with the list of those keys.
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, GRAM = 50, 12
-#: Different segments of one group that one task takes; larger groups are split by longer prefixes, of so many words.
-GROUP_SEGMENTS, PREFIXES = 1_000, (20, 35, WINDOW)
+#: Different segments of one group that one suffix array takes (about two megabytes); larger groups are split by longer prefixes.
+GROUP_SEGMENTS, LONGER_GRAMS = 4_000, (20, 35)
 #: Bytes of a lot of groups that one suffix array is built over.
 LOT_BYTES = 9_000_000
 #: Words of a text that are cut into segments at once.
@@ -53,23 +53,23 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+def segments(texts: list[bytes], gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Runs of windows with one key: (text index, first window's first word within the text, number of windows, key)."""
     hashes, begin = common.word_hashes(texts)
     none = np.zeros(0, np.int64)
     if len(hashes) < WINDOW:
         return none, none, none, none.astype(np.uint64)
-    blocks = [_segments(hashes[a : a + BLOCK_WORDS + WINDOW - 1], begin, a) for a in range(0, len(hashes) - WINDOW + 1, BLOCK_WORDS)]
+    blocks = [_segments(hashes[a : a + BLOCK_WORDS + WINDOW - 1], begin, a, gram) for a in range(0, len(hashes) - WINDOW + 1, BLOCK_WORDS)]
     return tuple(np.concatenate(x) for x in zip(*blocks, strict=True))
 
 
-def _segments(hashes: np.ndarray, begin: np.ndarray, at: int) -> tuple[np.ndarray, ...]:
+def _segments(hashes: np.ndarray, begin: np.ndarray, at: int, gram: int) -> tuple[np.ndarray, ...]:
     """segments() of the words from `at` on; begin: the texts' first words."""
     none = np.zeros(0, np.int64)
-    grams = common.Rolling(hashes).ranges(np.arange(len(hashes) - GRAM + 1), np.arange(GRAM, len(hashes) + 1))
+    grams = common.Rolling(hashes).ranges(np.arange(len(hashes) - gram + 1), np.arange(gram, len(hashes) + 1))
     place = np.arange(len(grams), dtype=np.uint64)
     packed = (grams & ~_POSITION) | (_POSITION - (place & _POSITION))
-    least = _least(packed, WINDOW - GRAM + 1)
+    least = _least(packed, WINDOW - gram + 1)
     start = np.arange(len(least))
     text = np.searchsorted(begin, start + at, side="right") - 1
     valid = np.flatnonzero(start + at + WINDOW <= begin[text + 1])
@@ -196,37 +196,51 @@ def _trees(batches):
         yield from emit(rows)
 
 
-def _windows(prefix: int):
-    """Segments to their single windows, with the digest of the first `prefix` words as key."""
+def _recut(gram: int):
+    """Segments to shorter ones, of the windows that have one anchor of `gram` words."""
     def run(batches):
         for batch in batches:
-            for digest, low, line, least, most in zip(*(batch.column(c).to_pylist() for c in _SEGMENT[1:]), strict=True):
-                words = line.split()
-                for a in range(0, len(words) - WINDOW + 1, 4096):
-                    at = range(a, min(a + 4096, len(words) - WINDOW + 1))
-                    keys = [hashlib.blake2b(b" ".join(words[i : i + prefix]), digest_size=16).digest() for i in at]
-                    columns = [pa.array(keys, pa.binary()), pa.array([digest] * len(at), pa.binary()), pa.array([low + i for i in at], pa.int32()), pa.array([b" ".join(words[i : i + WINDOW]) for i in at], pa.binary()), pa.array([least] * len(at), pa.int64()), pa.array([most] * len(at), pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, _SEGMENT)
+            for part in common.steps(batch, column="words"):
+                lines = common.texts_of(part, "words")
+                of, first, count, key = segments(lines, gram)
+                split = [line.split() for line in lines]
+                rows = pa.array(of)
+                low = part.column("low").to_numpy(zero_copy_only=False)[of] + first
+                words = [b" ".join(split[k][a : a + n + WINDOW - 1]) for k, a, n in zip(of.tolist(), first.tolist(), count.tolist(), strict=True)]
+                columns = [pa.array(key.view(np.int64)), part.column("digest").take(rows), pa.array(low.astype(np.int32)), pa.array(words, pa.binary()), part.column("least").take(rows), part.column("most").take(rows)]
+                yield pa.RecordBatch.from_arrays(columns, _SEGMENT)
 
     return run
 
 
+def _windows(batches):
+    """Segments to their single windows, with the window's digest as key."""
+    for batch in batches:
+        for digest, low, line, least, most in zip(*(batch.column(c).to_pylist() for c in _SEGMENT[1:]), strict=True):
+            words = line.split()
+            n = len(words) - WINDOW + 1
+            keys = [hashlib.blake2b(b" ".join(words[i : i + WINDOW]), digest_size=16).digest() for i in range(n)]
+            columns = [pa.array(keys, pa.binary()), pa.array([digest] * n, pa.binary()), pa.array(range(low, low + n), pa.int32()), pa.array([least] * n, pa.int64()), pa.array([most] * n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "digest", "low", "least", "most"])
+
+
 def repeats(affected: DataFrame, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
     """(row, lo, hi): word ranges of the rows (row, doc_id, text, keys) that windows of an earlier document cover."""
     merged = affected.mapInArrow(_shared_segments(True), "doc_id long, digest binary, key long, words binary").groupBy("key", "digest", "words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     left = common.written(merged.select("key", "digest", F.lit(0).alias("low"), "words", "least", "most"), "segments")
-    runs = None
-    for prefix in (*PREFIXES, None):
+    runs, large = None, None
+    for gram in (GRAM, *LONGER_GRAMS):
+        if large is not None:
+            left = common.written(left.join(large, "key", "left_semi").mapInArrow(_recut(gram), "key long, digest binary, low int, words binary, least long, most long"), "segments")
         large = common.written(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group_segments).select("key"), "large")
         small = left.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_trees, _RUNS)
         runs = small if runs is None else runs.unionByName(small)
         if large.isEmpty():
             break
-        left = common.written(left.join(large, "key", "left_semi").mapInArrow(_windows(prefix), "key binary, digest binary, low int, words binary, least long, most long"), "windows")
-        if prefix == WINDOW:  # equal keys are equal windows: each group is one node
-            nodes = left.groupBy("key").agg(F.min("least").alias("earliest"))
-            runs = runs.unionByName(common.joined_unevenly(left, nodes, "key").where("earliest < most").select("digest", "low", F.col("low").alias("high"), "earliest"))
-            break
+    else:  # each window of what is still crowded is a group, and a node
+        windows = common.written(left.join(large, "key", "left_semi").mapInArrow(_windows, "key binary, digest binary, low int, least long, most long"), "windows")
+        nodes = windows.groupBy("key").agg(F.min("least").alias("earliest"))
+        runs = runs.unionByName(common.joined_unevenly(windows, nodes, "key").where("earliest < most").select("digest", "low", F.col("low").alias("high"), "earliest"))
     lists = common.written(runs.groupBy("digest").agg(F.collect_list(F.struct("low", "high", "earliest")).alias("runs")), "runs")  # at most the windows of a segment
     seen = common.written(affected.mapInArrow(_shared_segments(False), "doc_id long, digest binary, row long, first int"), "seen")
     found = common.joined_unevenly(seen, lists, "digest").select("doc_id", "row", "first", F.explode("runs").alias("run")).where("run.earliest < doc_id")
