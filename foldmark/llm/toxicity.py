@@ -5,11 +5,12 @@ capitals, shouted words and punctuation, and rates of obfuscated words (letters
 lexicon words. The lexicon is the fixed list below and what the training rows teach: words and four-letter stems whose share of toxic
 documents is significantly higher.
 
-Training rows are those whose remainder isn't HELD_OUT, by remainder: two folds teach the lexicon, one the trees, one the calibration;
-where there are fewer than FEW of them, each part takes all. LABELLED bounds the labelled rows used (a hash of the id chooses).
+Training rows are those whose remainder isn't HELD_OUT, by remainder: two folds teach the lexicon, one the trees, one the calibration, at every
+size, so no part is fitted on what an earlier part has seen. LABELLED bounds the labelled rows used (a hash of the id chooses).
 
 Edge cases: null and empty texts are scored like any text, with all densities 0; rows with a null doc_id are scored and count as not
-held out, without a label; of contradicting labels the larger counts; without any label, or with one class only, every score is the prior;
+held out, without a label; of contradicting labels the larger counts; where the trees' fold lacks a class every score is the prior, where the calibration's does the trees'
+probability;
 repeated rows get equal scores; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -26,8 +27,7 @@ from pyspark.sql import functions as F
 from . import common, trees
 
 MODULUS, HELD_OUT = 5, 0
-LABELLED, FEW = 40_000, 2_000
-LEXICON_WORDS, STEM = 2_000, 4
+LABELLED, STEM = 40_000, 4
 #: A word counts from this many standard errors of its log odds.
 CERTAIN = 3.0
 # Insults in the four languages, the start of the lexicon.
@@ -36,6 +36,7 @@ dumm idiotisch trottel abschaum widerlich versager stupide imbécile crétin ord
 # Words of the second person.
 SECOND_PERSON = "you your yours yourself ur u du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos ti tus vosotros usted ustedes".split()
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": None, "#": None})
+_RUN = re.compile(r"\S+")
 _WORD, _OBFUSCATED, _SHOUTED = re.compile(r"[^\W\d_]+"), re.compile(r"[^\W\d_][0-9@$*!|#]+[^\W\d_]"), re.compile(r"\b[A-ZÄÖÜÉÈÀÑ]{3,}\b")
 _NEAR = 5
 NAMES = ["length", "lexicon", "lexicon_count", "lexicon_kinds", "stems", "stem_count", "fixed", "second_person", "near_second_person", "capitals", "shouted", "exclaimed", "asked", "punctuation", "digits", "obfuscated", "obfuscated_lexicon"]
@@ -58,14 +59,11 @@ def features_of(text: str, words: frozenset, stems: frozenset, fixed=frozenset(I
     rooted = sum(1 for w in tokens if w[:STEM] in stems)
     insults = sum(1 for i in hits if tokens[i] in fixed)
     hidden = spelt = 0
-    for m in _OBFUSCATED.finditer(lower):
-        hidden += 1
-        a, b = m.start(), m.end()
-        while a and not lower[a - 1].isspace() and m.start() - a < 24:
-            a -= 1
-        while b < len(lower) and not lower[b].isspace() and b - m.end() < 24:
-            b += 1
-        spelt += bool(words.intersection(_WORD.findall(lower[a:b].translate(_LEET))))
+    for run in _RUN.findall(lower) if _OBFUSCATED.search(lower) else ():
+        here = len(_OBFUSCATED.findall(run))
+        hidden += here
+        if here and not words.isdisjoint(_WORD.findall(run.translate(_LEET))):
+            spelt += here
     count = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256) if text else np.zeros(256, np.int64)
     size = max(1, len(text))
     letters = max(1, int(count[65:91].sum() + count[97:123].sum()))
@@ -83,7 +81,7 @@ def _features(words: frozenset, stems: frozenset):
 
 
 def lexicon(rows: DataFrame, term) -> list[str]:
-    """The terms (term(text): an array column) whose share of documents with label 1 is significantly higher; LEXICON_WORDS at most."""
+    """The terms (term(text): an array column) whose share of documents with label 1 is significantly higher; as many as the bounded sample of labelled rows teaches."""
     found = rows.select("label", F.explode(F.array_distinct(term)).alias("word")).where("word <> ''").groupBy("word").agg(F.sum("label").alias("bad"), F.count("*").alias("n")).where("bad >= 4")
     total = rows.agg(F.sum("label").alias("bad"), F.count("*").alias("n")).first()
     if not total["bad"]:
@@ -91,7 +89,7 @@ def lexicon(rows: DataFrame, term) -> list[str]:
     bad, good = float(total["bad"]), float(total["n"] - total["bad"])
     odds = F.log((F.col("bad") + 0.5) / (bad - F.col("bad") + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (good - F.col("n") + F.col("bad") + 1))
     rated = found.withColumn("certain", odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("n") - F.col("bad") + 0.5))).where((F.col("certain") >= CERTAIN) & (odds >= 1.5))
-    return [x["word"] for x in rated.orderBy(F.desc("certain"), "word").limit(LEXICON_WORDS).collect()]
+    return [x["word"] for x in rated.select("word").collect()]
 
 
 def scored(docs: DataFrame, labels: DataFrame, column: str = "toxic", labelled: int = LABELLED) -> DataFrame:
@@ -99,9 +97,7 @@ def scored(docs: DataFrame, labels: DataFrame, column: str = "toxic", labelled:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = common.one_label_each(labels, column).withColumn("fold", common.remainder(F.col("_key"), MODULUS)).where(F.col("fold") != HELD_OUT)
     known = common.written(common.bounded(known, labelled, F.col("_key")), "labelled")
-    few = known.count() < FEW
-    fold = lambda *k: F.lit(True) if few else F.col("fold").isin(*k)
-    taught = rows.join(F.broadcast(known.where(fold(1, 2))), rows["doc_id"] == F.col("_key"))  # `labelled` rows at most
+    taught = rows.join(F.broadcast(known.where(F.col("fold").isin(1, 2))), rows["doc_id"] == F.col("_key"))  # `labelled` rows at most
     lower = F.lower(F.coalesce("text", F.lit("")))
     tokens = F.split(lower, r"[^\p{L}]+")
     words = frozenset(lexicon(taught, tokens)) | frozenset(INSULTS)
@@ -110,7 +106,7 @@ def scored(docs: DataFrame, labels: DataFrame, column: str = "toxic", labelled:
     train = common.written(made.join(F.broadcast(known), made["doc_id"] == F.col("_key")).select("features", "label", "fold"), "train")
     prior = train.agg(F.avg("label")).first()[0]
     prior = 0.5 if prior is None else prior
-    model = trees.fit(train.where(fold(3)))
-    levels = trees.calibration(trees.probability(model, train.where(fold(4)), prior))
+    model = trees.fit(train.where("fold = 3"))
+    levels = trees.calibration(trees.probability(model, train.where("fold = 4"), prior))
     out = trees.calibrated(levels, trees.probability(model, made, prior))
     return out.select("doc_id", F.coalesce(common.remainder(F.col("doc_id"), MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"), "score")

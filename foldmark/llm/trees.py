@@ -37,7 +37,8 @@ def calibration(rows: DataFrame):
     """An isotonic fit of label on raw; None where a class is missing."""
     if not both_classes(rows):
         return None
-    return IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="level").fit(rows.select("raw", "label"))
+    levels = rows.groupBy("raw").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))  # equal scores are one point
+    return IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="level").fit(levels)
 
 
 def calibrated(model, rows: DataFrame) -> DataFrame:
