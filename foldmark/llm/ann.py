@@ -10,8 +10,8 @@ block are measured exactly, in double precision, on the original vectors. The pr
 candidates and falls as blocks of candidates are scanned.
 
 A list of more than CHUNK_ROWS vectors is dealt to several tasks by hash; each sends its best, and the best of all are kept. A task holds
-one chunk and reads the queries that probe it batch by batch, however many they are. Queries whose probed lists gave fewer than k rows go to
-all other lists in a second pass.
+one chunk and reads the queries that probe it batch by batch, however many they are. Queries with one vector are asked once, and each then leaves
+out its own id. Queries whose probed lists gave fewer than k rows go to all other lists in a second pass.
 
 Edge cases: vectors that are null, zero, or hold a null or a component that is not finite take no part, neither as query nor as
 candidate, and neither do vectors of another length than the most common one, nor rows with a null id; if ids repeat, each row is a candidate, a query's own id
@@ -132,7 +132,20 @@ def _scan(query: np.ndarray, rotated: np.ndarray, originals: np.ndarray, target:
     return best_rows, best
 
 
-def _searcher(k: int, size: int):
+def _nearest(entries, k: int) -> list[tuple[int, float]]:
+    """(vec_id, score) from (-score, vec_id), nearest first, up to the k + 1st different id, no id more than k times: enough for any query's own id to go."""
+    out, times = [], {}
+    for negative, i in sorted(entries):
+        times[i] = times.get(i, 0) + 1
+        if times[i] <= k:
+            out.append((i, -negative))
+        if len(times) > k:
+            break
+    return out
+
+
+def _searcher(k: int, reach: int, size: int):
+    """reach: nearest index rows of a chunk that are looked at, k and as many as one id may have."""
     cuts = sorted({max(1, size * b // BLOCKS) for b in range(1, BLOCKS + 1)})
 
     def run(batches):
@@ -154,23 +167,22 @@ def _searcher(k: int, size: int):
                     chunk = _stacked(index["rotated"]), _stacked(index["vector"]), index["ids"].to_numpy()
                 rotated, originals, ids = chunk
                 queries = part[asking]
-                for own, turned, target in zip(queries["query_id"].to_numpy(), queries["rotated"], queries["vector"], strict=True):
-                    target = np.asarray(target, np.float64)
-                    near, scores = _scan(np.asarray(turned, np.float64), rotated, originals, target, k + 1, cuts)
-                    found = [(-s, i) for r, s in zip(near.tolist(), scores.tolist(), strict=True) for i in ids[r] if i != own]
-                    out += [(own, i, -s) for s, i in sorted(found)[:k]]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                for key, turned, target in zip(queries["query"].to_numpy(), queries["rotated"], queries["vector"], strict=True):
+                    near, scores = _scan(np.asarray(turned, np.float64), rotated, originals, np.asarray(target, np.float64), reach, cuts)
+                    found = _nearest([(-s, i) for r, s in zip(near.tolist(), scores.tolist(), strict=True) for i in ids[r]], k)
+                    out += [(key, i, s) for i, s in found]
+            yield pd.DataFrame(out, columns=["query", "vec_id", "score"]).astype({"vec_id": "int64", "score": "float64"})
 
     return run
 
 
-def _found(dealt: DataFrame, sent: DataFrame, k: int, size: int) -> DataFrame:
-    """(query_id, vec_id, score): the best of each chunk for each query sent to it."""
-    names = ["list", "chunk", "asks", "query_id", "vector", "rotated", "ids"]
-    index = dealt.select("list", "chunk", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("query_id"), "vector", "rotated", "ids").select(*names)
-    asking = sent.select("list", "chunk", F.lit(True).alias("asks"), "query_id", "vector", "rotated", F.lit(None).cast("array<long>").alias("ids")).select(*names)
+def _found(dealt: DataFrame, sent: DataFrame, k: int, reach: int, size: int) -> DataFrame:
+    """(query, vec_id, score): the best of each chunk for each query sent to it."""
+    names = ["list", "chunk", "asks", "query", "vector", "rotated", "ids"]
+    index = dealt.select("list", "chunk", F.lit(False).alias("asks"), F.lit("").alias("query"), "vector", "rotated", "ids").select(*names)
+    asking = sent.select("list", "chunk", F.lit(True).alias("asks"), "query", "vector", "rotated", F.lit(None).cast("array<long>").alias("ids")).select(*names)
     both = index.unionByName(asking).repartition("list", "chunk").sortWithinPartitions("list", "chunk", "asks")
-    return both.mapInPandas(_searcher(k, size), "query_id long, vec_id long, score double")
+    return both.mapInPandas(_searcher(k, reach, size), "query string, vec_id long, score double")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_column: str = "vec_id", vector_column: str = "embedding", probes: int | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -185,11 +197,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_column: str
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size = sizes["d"]
     rows = rows.where(F.size("vector") == size)
-    # equal vectors are one row: the k + 1 smallest ids are all that can be among a query's k nearest
-    smallest = Window.partitionBy("vector").orderBy("id")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    first = salted.withColumn("n", F.row_number().over(Window.partitionBy("vector", "salt").orderBy("id"))).where(F.col("n") <= k + 1)
-    distinct = first.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    # equal vectors are one row: the k + 1 smallest ids, none more than k times, are all that can be among a query's k nearest
+    pairs = common.written(rows.groupBy("vector", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))), "pairs")
+    reach = k + pairs.groupBy("id").count().agg(F.max("count")).first()[0]
+    first = pairs.withColumn("n", F.row_number().over(Window.partitionBy("vector", "salt").orderBy("id"))).where(F.col("n") <= k + 1)
+    least = first.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("n") <= k + 1)
+    distinct = least.groupBy("vector").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("id", F.col("times"))))).alias("ids"))
     distinct = common.written(distinct, "vectors")
     n = distinct.count()
     lists = int(min(MOST_LISTS, max(1, round(n**0.5))))
@@ -202,19 +215,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_column: str
     index = common.written(index, "index")
     chunks = F.broadcast(index.groupBy("list").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks")))  # one row for each list, MOST_LISTS at most
     dealt = index.join(chunks, "list").withColumn("chunk", F.pmod(F.xxhash64("vector"), F.col("chunks")).cast("int")).drop("chunks")
-    asked = usable(queries, id_column, vector_column).where(F.size("vector") == size).groupBy("id").agg(F.min("vector").alias("vector"))
-    asked = asked.select("vector", F.array("id").alias("ids")).mapInPandas(_assigner(middle, turn, probes), schema)
-    asked = common.written(asked.select(F.col("ids")[0].alias("query_id"), "vector", "rotated", "lists"), "queries")
+    spelt = F.array_join(F.transform("vector", lambda x: x.cast("string")), ",")  # a double's text is its own
+    asking = usable(queries, id_column, vector_column).where(F.size("vector") == size).groupBy(F.col("id").alias("query_id")).agg(F.min("vector").alias("vector"))
+    asking = common.written(asking.withColumn("query", F.sha2(spelt, 256)), "asking")
+    asked = asking.groupBy("query").agg(F.first("vector").alias("vector")).mapInPandas(_assigner(middle, turn, probes), "query string, vector array<double>, rotated array<double>, lists array<int>")
+    asked = common.written(asked, "queries")
 
     def to_chunks(sent: DataFrame) -> DataFrame:
         return sent.join(chunks, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
-    found = common.written(_found(dealt, to_chunks(asked.select("query_id", "vector", "rotated", F.explode("lists").alias("list"))), k, size), "found")
+    found = common.written(_found(dealt, to_chunks(asked.select("query", "vector", "rotated", F.explode("lists").alias("list"))), k, reach, size), "found")
     if probes < len(middle):
-        full = found.groupBy("query_id").count().where(F.col("count") >= k)
-        short = asked.join(full, "query_id", "left_anti")
+        full = found.groupBy("query").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") > k)
+        short = asked.join(full, "query", "left_anti")
         if not short.isEmpty():
             others = F.array_except(F.sequence(F.lit(0), F.lit(len(middle) - 1)), "lists")
-            found = found.unionByName(_found(dealt, to_chunks(short.select("query_id", "vector", "rotated", F.explode(others).alias("list"))), k, size))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            found = found.unionByName(_found(dealt, to_chunks(short.select("query", "vector", "rotated", F.explode(others).alias("list"))), k, reach, size))
+    nearest = [F.desc("score"), "vec_id"]
+    each = found.withColumn("n", F.row_number().over(Window.partitionBy("query", "vec_id").orderBy(*nearest))).where(F.col("n") <= k)
+    best = each.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*nearest))).where(F.col("n") <= (k + 1) * k)
+    lists = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))  # (k + 1) * k at most
+    own = common.joined_unevenly(asking.select("query", "query_id"), lists, "query")
+    kept = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    return own.select("query_id", F.posexplode(kept).alias("place", "x")).select("query_id", (F.col("place") + 1).alias("rank"), "x.vec_id", "x.score")
