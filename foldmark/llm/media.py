@@ -9,7 +9,7 @@ file: equal payloads are one member of one shard. What rows hold is the referenc
 2. The members' rows (a written table, so shards are not written twice) are grouped by payload and one place of each is kept: an address has
    one member that all rows refer to, and other tasks' copies of it are left unreferred to, at most one in a shard.
 3. Readers take the index by shard and offset, with range reads through the file system that the folder's address names.
-4. References are joined to the rows on the text's digest; the join may split a digest that many rows hold.
+4. References are joined to the rows on the text's digest; a digest that many rows hold is dealt to several tasks.
 
 Edge cases: null and empty texts are one row of padding (an image of one row); equal texts have equal values, so repeated rows share a
 member; rows with a null doc_id are kept; a very long text is a taller image; an empty table gives an empty result; extra columns are not read.
@@ -36,6 +36,8 @@ WIDTH, PAD = 576, 255
 LEVEL = 6
 #: Bytes that hold a PNG's signature and its first chunk, the header.
 HEADER_BYTES = 33
+#: Bytes of members that one task reads back.
+READ_BYTES = 64 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -93,7 +95,9 @@ def feature_of(payload: bytes) -> str:
 
 
 def _file_system(folder: str):
-    """The file system of a folder's address, and the folder's path in it."""
+    """The file system of a folder's address, and the folder's path in it; Hadoop's names of one store are taken too."""
+    for theirs, ours in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        folder = ours + folder.removeprefix(theirs) if folder.startswith(theirs) else folder
     return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
@@ -154,6 +158,12 @@ def stored(docs: DataFrame, folder: str) -> DataFrame:
     return common.written(one.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), "media-index", compression="zstd")
 
 
+def _dealt(index: DataFrame) -> DataFrame:
+    """The index in as many parts of neighbouring members as their bytes ask for."""
+    parts = max(index.sparkSession.sparkContext.defaultParallelism, (index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES)
+    return index.repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
+
+
 class _Ranges:
     """Range reads from the shards of a folder, the last shard kept open."""
 
@@ -201,7 +211,7 @@ def with_features(index: DataFrame, folder: str) -> DataFrame:
 def media_columns(docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, n_bytes, digest, shard, offset, length, width, height, bit_depth, payload_bytes, payload_sha256, tail_crc32, media_sha256, feature)."""
     index = stored(docs, folder)
-    media = common.written(with_features(with_metadata(index, folder), folder), "media", compression="zstd")
+    media = common.written(with_features(with_metadata(_dealt(index), folder), folder), "media", compression="zstd")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.select("doc_id", F.octet_length("payload").cast("long").alias("n_bytes"), F.unhex(F.sha2("payload", 256)).alias("text_key"))
-    return keyed.join(media, "text_key").drop("text_key")
+    return common.joined_unevenly(keyed, media, "text_key").drop("text_key")
