@@ -4,20 +4,21 @@ Targets: the sources, by code point with null last, take the weights in turn and
 stops at MOST times the source's own words and the excess goes to the others by weight until none is above (water filling, solved in
 closed form over the sources sorted by where they are full).
 
-Draw: a source's documents are permuted by a keyed hash and cut into blocks of equal hash ranges, about BLOCK_ROWS documents or
+Draw: a source's documents are permuted by a keyed hash of id and text and cut into blocks of equal hash ranges, about BLOCK_ROWS documents or
 1/MOST_BLOCKS of the source each. It is taken as many whole times as fit its target; the rest takes the blocks in order up to the one
-in which it is reached, and in that one documents in order as long as they fit. So a source's words miss its target by less than its
-smallest left-over document of that block.
+in which it is reached; that one is cut into blocks again by further bits of the hash, and in the one of these in which it is reached documents
+are taken in order as long as they fit. So a source's words miss its target by less than its smallest left-over document of that block.
 
 Shards: a source's block quota (repeats counted) is split among the output shards by recursive halving; at each node the left half
 draws from the sources' blocks without replacement, so each source's quotas add up exactly. A shard then takes disjoint runs of each
-source's permuted blocks, and `position` is a keyed order for the shuffle within a shard.
+source's permuted blocks, and `position` is a keyed order for the shuffle within a shard. mixed() puts the copies in this order.
 
-What reaches the driver is one row for each source (a mix names its sources with their weights) and the quotas of sources and shards.
+What reaches the driver is one row for each source (MOST_SOURCES at most, beyond that it raises) and the quotas of sources and shards.
 
 Edge cases: a null text has no words; documents without words are mixed like others but take nothing; a null source is a source of its
-own, the last; one source alone has its own size as target; repeated rows and doc_ids are rows of their own; an empty table gives an
-empty result; extra columns are not read by draw() and are kept by mixed().
+own, the last; one source alone has its own size as target; repeated rows and doc_ids are rows of their own, and equal rows are next to each
+other in the order; an empty table gives an empty result; extra columns are not read by draw() and are kept by mixed(), but for columns named
+shard and position, which are set.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS, MOST = (5, 2, 1), 3
-BLOCK_ROWS, MOST_BLOCKS, SHARDS = 1024, 4096, 64
+BLOCK_ROWS, MOST_BLOCKS, SHARDS, MOST_SOURCES = 1024, 4096, 64, 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 _BITS = 48
 
@@ -92,36 +93,59 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
 _DRAWN = ["row", "doc_id", "h", "size", "source_id", "block", "copies"]
 
 
-def draw(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS) -> DataFrame:
+def _parted(bits: Column, blocks: Column, width: int) -> Column:
+    """The block of a number of `width` bits, where blocks are equal ranges."""
+    return (bits * blocks / F.lit(1 << width)).cast("int")
+
+
+def _reached(rows: DataFrame, block: str) -> dict[int, tuple[int, float]]:
+    """For each source the first of its blocks in which more than `rest` words are passed, and what is left there; one row for each source."""
+    sums = rows.groupBy("source_id", block).agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
+    passed = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source_id").orderBy(block))).where("upto > rest")
+    first = passed.groupBy("source_id").agg(F.min(F.struct(block, (F.col("rest") - F.col("upto") + F.col("words")).alias("left_words"))).alias("at"))
+    return {x["source_id"]: (x["at"][block], x["at"]["left_words"]) for x in first.collect()}
+
+
+def draw(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, row: str | None = None) -> DataFrame:
     """(row, doc_id, size, source_size, target, copies, taken, shards array<int>, one for each copy), a row for each document.
 
-    docs: doc_id, source, text and, where the caller wants to join back, `row`.
+    docs: doc_id, source, text and, where the caller wants to join back, a long column named by `row`.
     """
     spark = docs.sparkSession
-    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
-    sized = common.written(docs.select(row.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), hashed(seed, F.col("doc_id")).alias("h")), "sized")
-    plan = targets(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), weights, most).orderBy(F.col("source").asc_nulls_last()).collect()
+    number = F.monotonically_increasing_id() if row is None else F.col(row).cast("long")
+    sized = common.written(docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), hashed(seed, F.col("doc_id"), F.xxhash64("text")).alias("h")), "sized")
+    sizes = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
+    plan = targets(sizes, weights, most).orderBy(F.col("source").asc_nulls_last()).limit(MOST_SOURCES + 1).collect()
+    if len(plan) > MOST_SOURCES:
+        raise ValueError(f"a mix names its sources: more than {MOST_SOURCES} of them")
     schema = "source string, source_id int, source_size long, target double, whole int, rest double, blocks int"
     table = []
     for k, x in enumerate(plan):
         whole = int(min(most, x["target"] // x["source_size"])) if x["source_size"] else 0
         table.append((x["source"], k, x["source_size"], x["target"], whole, max(0.0, x["target"] - whole * x["source_size"]), int(min(MOST_BLOCKS, max(1, x["n"] // BLOCK_ROWS)))))
-    sources = F.broadcast(spark.createDataFrame(table, schema))
-    placed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("row", "doc_id", "size", "h", "source_id", "whole", "rest", (F.shiftright(F.col("h") * 1, 16) * F.col("blocks") / F.lit(1 << (_BITS - 16))).cast("int").alias("block"))
-    blocks = placed.groupBy("source_id", "block").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
-    reached = blocks.withColumn("upto", F.sum("words").over(Window.partitionBy("source_id").orderBy("block"))).where("upto > rest").groupBy("source_id").agg(F.min(F.struct("block", (F.col("rest") - F.col("upto") + F.col("words")).alias("left_words"))).alias("at")).select("source_id", "at.block", "at.left_words").collect()
-    edge = {x["source_id"]: (x["block"], x["left_words"]) for x in reached}
-    # the last block of the part that is drawn, where one is reached at all
-    counts = np.array([t[4] * t[6] + (edge[t[1]][0] + 1 if t[1] in edge and t[5] > 0 else 0) for t in table], np.int64)
+    sources = F.broadcast(spark.createDataFrame(table, schema))  # MOST_SOURCES rows at most
+    bits = _BITS // 2  # the first half of the hash chooses the block, the second the part of a block
+    placed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("row", "doc_id", "size", "h", "source_id", "whole", "rest", _parted(F.shiftright("h", bits), F.col("blocks"), bits).alias("block"))
+    edge = _reached(placed, "block")
+    at = [(k, edge[k][0], float(edge[k][1])) if k in edge and table[k][5] > 0 else (k, table[k][6] if table[k][5] > 0 else -1, 0.0) for k in range(len(table))]
+    edges = F.broadcast(spark.createDataFrame(at, "source_id int, edge int, left_words double"))  # a row for each source
+    inside = placed.drop("rest").join(edges.withColumnRenamed("left_words", "rest"), "source_id").where("block = edge and edge >= 0")
+    counted = inside.groupBy("source_id").agg(F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.floor(F.count("*") / BLOCK_ROWS))).cast("int").alias("parts"))
+    inside = inside.join(F.broadcast(counted), "source_id").withColumn("part", _parted(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)), F.col("parts"), bits))
+    inside = common.written(inside.select("row", "doc_id", "size", "h", "source_id", "block", "whole", "rest", "part"), "edge-blocks")
+    last = _reached(inside, "part")
+    # counts of blocks drawn: whole rounds, and the blocks of the part up to the one that is reached
+    counts = np.array([t[4] * t[6] + (edge[k][0] + 1 if k in edge and t[5] > 0 else 0) for k, t in enumerate(table)], np.int64)
     quotas = np.cumsum(split_quotas(counts, shards, 0), axis=0) if len(table) else np.zeros((shards, 0), np.int64)
-    more = [(t[1], t[2], t[3], t[4], t[6], edge.get(t[1], (t[6], 0.0))[0] if t[5] > 0 else -1, float(edge.get(t[1], (0, 0.0))[1]), int(max(1, counts[k])), _stride(int(max(1, counts[k]))), [int(q) for q in quotas[:, k]]) for k, t in enumerate(table)]
-    drawn = F.broadcast(spark.createDataFrame(more, "source_id int, source_size long, target double, whole int, blocks int, edge int, left_words double, n_blocks long, stride long, quotas array<long>"))
-    known = placed.select("row", "doc_id", "size", "h", "source_id", "block").join(drawn, "source_id")
-    copies = (F.col("whole") + (F.col("block") < F.col("edge")).cast("int")).alias("copies")
-    plain = known.where("block <> edge or edge < 0").select("row", "doc_id", "h", "size", "source_id", "block", copies)
-    partly = known.where("block = edge and edge >= 0").select("row", "doc_id", "h", "size", "source_id", "block", F.col("whole").alias("copies"), "left_words")
-    filled = partly.groupBy("source_id").applyInPandas(_fill, "row long, doc_id long, h long, size long, source_id int, block int, copies int")
-    chosen = plain.unionByName(filled).join(drawn.select("source_id", "source_size", "target", "blocks", "n_blocks", "stride", "quotas"), "source_id")
+    more = [(k, t[2], t[3], t[4], t[6], at[k][1], last[k][0] if k in last else MOST_BLOCKS, float(last[k][1]) if k in last else 0.0, int(max(1, counts[k])), _stride(int(max(1, counts[k]))), [int(q) for q in quotas[:, k]]) for k, t in enumerate(table)]
+    drawn = F.broadcast(spark.createDataFrame(more, "source_id int, source_size long, target double, whole int, blocks int, edge int, last int, left_words double, n_blocks long, stride long, quotas array<long>"))  # a row for each source
+    names = ["row", "doc_id", "h", "size", "source_id", "block"]
+    outside = placed.select(*names).join(drawn, "source_id").where("block <> edge or edge < 0").select(*names, (F.col("whole") + (F.col("block") < F.col("edge")).cast("int")).alias("copies"))
+    within = inside.select(*names, "whole", "part").join(drawn.select("source_id", "last", "left_words"), "source_id")
+    plain = within.where("part <> last").select(*names, (F.col("whole") + (F.col("part") < F.col("last")).cast("int")).alias("copies"))
+    partly = within.where("part = last").select(*names, F.col("whole").alias("copies"), "left_words")
+    filled = partly.groupBy("source_id").applyInPandas(_fill, "row long, doc_id long, h long, size long, source_id int, block int, copies int")  # a part of a block of each source
+    chosen = outside.unionByName(plain).unionByName(filled).join(drawn.select("source_id", "source_size", "target", "blocks", "n_blocks", "stride", "quotas"), "source_id")
     place = lambda k: F.pmod((k * F.col("blocks") + F.col("block")) * F.col("stride"), F.col("n_blocks"))
     taken = F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>"))
     shard = F.transform(taken, lambda k: F.least(F.size(F.filter(F.col("quotas"), lambda q: q <= place(k))), F.lit(shards - 1)))
@@ -129,8 +153,13 @@ def draw(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
 
 
 def mixed(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, its columns as given, with `shard` and `position` (its place by hash in the shard)."""
-    numbered = common.written(docs.withColumn("row", F.monotonically_increasing_id()), "numbered", compression="zstd")
-    copies = draw(numbered, seed, **options).select(F.col("row").alias("_row"), "copies", F.posexplode("shards").alias("_copy", "shard"))
-    joined = numbered.join(copies, numbered["row"] == F.col("_row"))
-    return joined.select(*(numbered[c] for c in docs.columns), "shard", hashed(seed + "|shuffle", F.col("row"), F.col("_copy")).alias("position"))
+    """The mix itself: each document as often as it is taken, its columns as given, with `shard` and `position`, in the order of these two.
+
+    Written as a table, the files follow the shards, and rows within a shard are shuffled.
+    """
+    docs = docs.drop("shard", "position")
+    row, own, copy = common.unused([*docs.columns, "shard", "position"], "row", "own", "copy")
+    numbered = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", compression="zstd")
+    copies = draw(numbered, seed, row=row, **options).select(F.col("row").alias(own), F.posexplode("shards").alias(copy, "shard"))
+    joined = numbered.join(copies, numbered[row] == copies[own])
+    return joined.select(*docs.columns, "shard", hashed(seed + "|shuffle", F.col(row), F.col(copy)).alias("position")).orderBy("shard", "position")
