@@ -1,9 +1,10 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for what no rule decides.
 
 A rule fits its host and all subdomains of it where the URL's path starts with the rule's; of several the longest decides. The
-labelled URLs are those that the rules decide (block is 1), and the trees learn from a bounded sample of them: lengths, depth, shares of
-digits and signs, entropy, counts of parameters, and how often URLs with the same suffix (last label, last two labels, first folder) are blocked
-among the labelled, smoothed. A URL that no rule fits is blocked where the trees give BLOCK_FROM or more.
+labelled URLs are those that the rules decide (block is 1), each once, and the trees learn from a bounded sample of them (a hash of the URL
+chooses): lengths, depth, shares of digits and signs, entropy, counts of parameters, and how often URLs with the same suffix (last label, last two
+labels, first folder) are blocked, smoothed. One half of the sample gives these shares, the other half trains the trees, so no URL's own label is in
+its features. A URL that no rule fits is blocked where the trees give BLOCK_FROM or more.
 
 Edge cases: a null URL, or one without "://", has an empty host and path, fits no rule and is judged by the trees on empty features; without labelled URLs of
 both kinds everything else gets the one label there is, or allow; rows with a null page_id are kept; repeated rows get equal
@@ -24,7 +25,7 @@ from . import common, trees
 
 #: (action, host and path)
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-LABELLED, BLOCK_FROM, SUFFIXES = 20_000, 0.5, 2_000
+LABELLED, BLOCK_FROM = 20_000, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,18 +81,19 @@ def judged(pages: DataFrame, rules=RULES, id_column: str = "page_id", labelled:
     """(page_id, host, path, rule, verdict, score) for each page; score is the trees' probability of block."""
     rows = ruled(pages.select(F.col(id_column).cast("long").alias("page_id"), F.col("url").cast("string").alias("url")), rules)
     label = F.when(F.col("action") == "block", 1.0).when(F.col("action") == "allow", 0.0)
-    known = common.written(common.bounded(rows.where("action is not null").select("url", "host", "path", label.alias("label")), labelled, F.col("url")), "labelled-urls")
+    decided = common.written(rows.where("action is not null").select("url", "host", "path", label.alias("label")).distinct(), "decided-urls")
+    known = common.written(common.bounded(decided, labelled, F.col("url")).withColumn("half", F.pmod(F.xxhash64("url", F.lit("half")), F.lit(2))), "labelled-urls")
     prior = known.agg(F.avg("label")).first()[0]
     prior = 0.0 if prior is None else float(prior)
-    counted = known.mapInArrow(_suffix_rows, "suffix string, label double").groupBy("suffix").agg(F.sum("label").alias("bad"), F.count("*").alias("n")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES)
-    shares = {x["suffix"]: (x["bad"] + 2 * prior) / (x["n"] + 2) for x in counted.collect()}
+    counted = known.where("half = 0").mapInArrow(_suffix_rows, "suffix string, label double").groupBy("suffix").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
+    shares = {x["suffix"]: (x["bad"] + 2 * prior) / (x["n"] + 2) for x in counted.collect()}  # four for each labelled URL at most
 
     def run(batches):
         for batch in batches:
             made = [features_of(u or "", h, p, shares, prior) for u, h, p in zip(*(batch.column(c).to_pylist() for c in ("url", "host", "path")), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([[float(x) for x in m] for m in made], pa.list_(pa.float64()))], [*batch.schema.names, "features"])
 
-    model = trees.fit(common.written(known.mapInArrow(run, "url string, host string, path string, label double, features array<double>").select("features", "label"), "train-urls"))
+    model = trees.fit(common.written(known.where("half = 1").drop("half").mapInArrow(run, "url string, host string, path string, label double, features array<double>").select("features", "label"), "train-urls"))
     made = rows.mapInArrow(run, "page_id long, url string, host string, path string, rule string, action string, features array<double>")
     scored = trees.probability(model, made, prior)
     return scored.select("page_id", "host", "path", "rule", F.coalesce("action", F.when(F.col("raw") >= BLOCK_FROM, "block").otherwise("allow")).alias("verdict"), F.col("raw").alias("score"))
