@@ -175,7 +175,7 @@ def grouped(docs: DataFrame, *more: str) -> DataFrame:
     reached = components(near_pairs(nodes))
     rooted = nodes.join(reached, nodes["fp"] == reached["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+    return common.joined_unevenly(marked, rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -188,7 +188,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows with a null doc_id stay.
     """
-    numbered = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered", compression="zstd")
-    first = grouped(numbered, "_row").where("doc_id = component_id").groupBy("root").agg(F.min("_row").alias("_kept"))
-    kept = numbered.join(first, numbered["_row"] == F.col("_kept"), "left_semi")
-    return kept.unionByName(numbered.where("doc_id is null")).select(*docs.columns)
+    row, kept = common.unused(docs.columns, "row", "kept")
+    numbered = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", compression="zstd")
+    first = grouped(numbered, row).where("doc_id = component_id").groupBy("root").agg(F.min(row).alias(kept))
+    one = numbered.join(first, numbered[row] == first[kept], "left_semi")
+    return one.unionByName(numbered.where("doc_id is null")).select(*docs.columns)
