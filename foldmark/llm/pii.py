@@ -2,14 +2,18 @@
 
 Detected are e-mail addresses, telephone numbers, payment-card and other long account numbers, IPv4 addresses, social-security numbers, IBANs,
 access keys, long hexadecimal strings, values assigned to names such as token or password, and persons named with a title (and the
-same names without it later in the text). An entity is its kind and canonical form (letters folded, separators of numbers left
+same names without it in the text). An entity is its kind and canonical form (letters folded, separators of numbers left
 out), so all spellings of it get one surrogate, in every document. The surrogate is drawn from an HMAC of the entity under a key and
 keeps the entity's form: digits stay digits, letters letters of the same case, separators stay, numbers that pass their check sum
 get surrogates that pass it, addresses stay in reserved domains, given names keep gender and script, family names their script.
 
+A name is one entity whatever title it stands by. One job over the corpus counts each name's uses; the most frequent decides whether its surrogate
+is a male, female or family name (of equal counts male, female, family, in this order); titles that tell no gender count where nothing else does
+and give names that are borne by both.
+
 Distinctness: one job over the different entities of the whole corpus looks for two entities with one surrogate, and for surrogates that are
-entities themselves; the later of them draws again until there are none. Texts are then rewritten with each entity's number of draws; where
-no entity drew twice that is a map over the documents, else the few exceptions are joined to the texts that hold them.
+entities themselves, of whatever kind; the later of them draws again until there are none. Texts are then rewritten with each entity's number of draws
+and use; where no entity needs either that is a map over the documents, else the exceptions are joined to the texts that hold them.
 
 Edge cases: null stays null and empty stays empty; texts without entities stay byte for byte; repeated rows get equal results; an
 empty table gives an empty result; rows with null in other columns are kept; extra columns are kept as they are, but for the count
@@ -21,26 +25,47 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
 # Titles, with the gender they tell where they do.
-TITLES = {"Mr.": "m", "Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr.": "m", "господин": "m", "г-н": "m", "Mrs.": "f", "Mrs": "f", "Ms.": "f", "Ms": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra.": "f", "госпожа": "f", "г-жа": "f", "Dr.": "", "Prof.": ""}
+TITLES = {"Mr.": "m", "Mr": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "M.": "m", "Señor": "m", "Sr.": "m", "Don": "m", "господин": "m", "г-н": "m", "Κύριος": "m", "κ.": "m", "السيد": "m", "Mrs.": "f", "Mrs": "f", "Ms.": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Señorita": "f", "Sra.": "f", "Srta.": "f", "Doña": "f", "госпожа": "f", "г-жа": "f", "Κυρία": "f", "κα": "f", "السيدة": "f", "Dr.": "n", "Dr": "n", "Prof.": "n", "Δρ.": "n", "الدكتور": "n"}
+# Titles after a name.
+TITLES_AFTER = {"先生": "m", "女士": "f", "小姐": "f", "太太": "f", "博士": "n", "教授": "n", "医生": "n"}
+# Frequent family names of one sign.
+FAMILY_SIGNS = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
 # Surrogate names by script and use.
 NAMES = {
     ("latin", "m"): "Adam Albert Andrew Anton Arthur Bruno Carl Daniel David Edgar Emil Eric Felix Frank Gabriel Hugo Ivan Jacob Julian Leo Louis Lucas Martin Max Noel Oscar Paul Peter Robert Simon Thomas Victor".split(),
     ("latin", "f"): "Ada Alice Amelia Anna Barbara Clara Diana Elena Emma Eva Flora Gloria Hanna Helen Ida Irene Julia Laura Lena Lucia Maria Martha Nina Nora Olga Paula Rosa Sara Sofia Teresa Vera Viola".split(),
-    ("latin", "s"): "Abel Arnold Baker Bauer Berger Blanco Carter Costa Dubois Fischer Fuchs Garnier Graf Hoffman Keller Lambert Lange Marin Mercier Moreno Navarro Parker Reyes Richter Rossi Santos Simon Turner Vidal Vogel Walker Winter".split(),
+    ("latin", "n"): "Alex Andrea Ariel Charlie Dana Eden Jamie Jean Jordan Kai Kim Luca Morgan Noa Robin Sam Sascha Taylor Toni Yael".split(),
+    ("latin", "s"): "Abel Arnold Baker Bauer Berger Blanco Carter Costa Dubois Fischer Fuchs Garnier Graf Hoffman Keller Lambert Lange Marin Mercier Moreno Navarro Parker Reyes Richter Rossi Santos Turner Vidal Vogel Walker Winter".split(),
     ("cyrillic", "m"): "Андрей Антон Борис Виктор Глеб Денис Егор Иван Кирилл Максим Никита Олег Павел Роман Семён Фёдор".split(),
     ("cyrillic", "f"): "Алла Анна Вера Галина Дарья Елена Жанна Ирина Лидия Мария Нина Ольга Полина Раиса Тамара Юлия".split(),
+    ("cyrillic", "n"): "Валя Женя Саша Слава Шура".split(),
     ("cyrillic", "s"): "Белов Волков Громов Дымов Ершов Жуков Зимин Ильин Котов Ларин Махов Носов Орлов Панов Рыбин Титов".split(),
+    ("greek", "m"): "Ανδρέας Γιώργος Δημήτρης Ηλίας Κώστας Μάρκος Νίκος Πέτρος Στέφανος Χρήστος".split(),
+    ("greek", "f"): "Άννα Βασιλική Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Σοφία Φωτεινή Χριστίνα".split(),
+    ("greek", "n"): "Άλεξ Νίκη Ρένα Χάρις".split(),
+    ("greek", "s"): "Αγγέλου Βλάχου Γεωργίου Δήμου Ιωάννου Κωστάκη Λάμπρου Νικολάου Παππά Σταύρου".split(),
+    ("arabic", "m"): "أحمد حسن خالد سامي عمر فارس كريم مازن نبيل ياسر".split(),
+    ("arabic", "f"): "أمل دينا سارة عائشة فاطمة ليلى مريم منى نور هدى".split(),
+    ("arabic", "n"): "إحسان جهاد صباح نضال".split(),
+    ("arabic", "s"): "الحسن الخطيب الشامي العلي القاسم المصري النجار حداد خوري منصور".split(),
+    ("han", "m"): "伟强 建国 志明 国华 文军 大勇 海涛 俊杰".split(),
+    ("han", "f"): "丽娜 秀英 美玲 晓红 雪梅 玉兰 婷婷 静怡".split(),
+    ("han", "n"): "宁 晨 文 瑞 欣 乐".split(),
+    ("han", "s"): "王 李 张 刘 陈 杨 赵 黄 周 吴 徐 孙".split(),
 }
-_SYLLABLES = {"latin": "an ber dor el fin gar hol in kel lan mar nor".split(), "cyrillic": "ан бер дор ел фин гар хол ин кел лан мар нор".split()}
+_SYLLABLES = {"latin": "an ber dor el fin gar hol in kel lan mar nor".split(), "cyrillic": "ан бер дор ел фин гар хол ин кел лан мар нор".split(), "greek": "αν βερ δορ ελ φιν γαρ χολ ιν κελ λαν μαρ νορ".split(), "arabic": "ان بر در ال فن جر حل ين كل لن مر نر".split(), "han": "安 波 德 尔 芳 光 和 金 可 兰 明 诺".split()}
+#: Uses of a name, of equal counts the first decides; "n" only where there is no other.
+USES = "mfsn"
 
 _PATTERN = re.compile(
     r"""(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
@@ -48,13 +73,17 @@ _PATTERN = re.compile(
     |\b(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)\b["']?\s*[=:]\s*["']?(?P<secret>[^\s"'<>,;]{6,})
     |(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))
     |(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
-    |(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\)[ ]?\d{3}[.-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w]|[.-]\d))
+    |(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])0\d(?:[ .-]\d{2}){4}(?!\w|[.-]\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w]|[.-]\d))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
     |(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\d))
     |(?P<hex>(?<![\w])(?=[0-9a-f]*\d)(?=[0-9]*[a-f])[0-9a-f]{32,}(?!\w))""",
     re.X,
 )
-_PERSON = re.compile(rf"(?<!\w)(?P<title>{'|'.join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True))})[ ]+(?P<name>[^\W\d_][\w'’-]+(?:[ ][^\W\d_][\w'’-]+){{0,2}})")
+_SHOUTED = {t.upper(): g for t, g in TITLES.items() if t.upper() not in TITLES and t.endswith(".")}
+_GENDER = {**TITLES, **_SHOUTED}
+_PERSON = re.compile(rf"(?<!\w)(?P<title>{'|'.join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True))})[ ]+(?P<name>[^\W\d_][\w'’-]+(?:[ ][^\W\d_][\w'’-]+){{0,2}})")
+_PERSON_BEFORE = re.compile(rf"(?P<family>[{FAMILY_SIGNS}])(?P<given>[\u4e00-\u9fff]{{0,2}}?)(?P<title>{'|'.join(TITLES_AFTER)})")
+_CASELESS_WORDS = 2
 #: What every entity but a person's name holds or starts with.
 _ANCHOR = re.compile(r"\d+|[@=:]|A[KS]IA|gh[pos][_-]|xox[bp][_-]|[sp]k[_-]")
 #: A name before the = or : of a secret; _NAME_ROOM characters hold the longest one and what is before it.
@@ -75,7 +104,28 @@ def canonical(kind: str, shown: str) -> str:
 
 
 def _script(word: str) -> str:
-    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
+    for name, low, high in (("cyrillic", "Ѐ", "ӿ"), ("greek", "Ͱ", "Ͽ"), ("greek", "ἀ", "῿"), ("arabic", "؀", "ۿ"), ("han", "一", "鿿")):
+        if any(low <= c <= high for c in word):
+            return name
+    return "latin"
+
+
+def _names(text: str) -> dict[str, str]:
+    """The names that stand by a title, with their kinds name:use:script; the first use in the text counts."""
+    names: dict[str, str] = {}
+    for m in _PERSON.finditer(text) if any(t in text for t in _GENDER) else ():
+        words = []
+        for w in m["name"].split(" "):
+            caseless = w[0].lower() == w[0].upper()
+            if not (w[0].isupper() or caseless and len(words) < _CASELESS_WORDS):
+                break
+            words.append(w)
+        for k, w in enumerate(words):
+            names.setdefault(w, f"name:{'s' if k == len(words) - 1 else _GENDER[m['title']]}:{_script(w)}")
+    for m in _PERSON_BEFORE.finditer(text) if any(t in text for t in TITLES_AFTER) else ():
+        if m["given"]:
+            names.setdefault(m["family"] + m["given"], f"name:{TITLES_AFTER[m['title']]}:han")
+    return names
 
 
 def _starts(text: str) -> list[tuple[int, int]]:
@@ -129,21 +179,14 @@ def _matches(text: str):
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form), in order and apart from each other; names have the kind name:use:script."""
+    """(start, end, kind, canonical form), in order and apart from each other."""
     found = [(m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup, canonical(m.lastgroup, m[m.lastgroup])) for m in _matches(text)]
-    names: dict[str, str] = {}
-    for m in _PERSON.finditer(text) if any(t in text for t in TITLES) else ():
-        words = []
-        for w in m["name"].split(" "):
-            if not w[0].isupper():
-                break
-            words.append(w)
-        for k, w in enumerate(words):
-            use = "s" if k == len(words) - 1 else TITLES[m["title"]] or "m"
-            names.setdefault(w, f"name:{use}:{_script(w)}")
+    names = _names(text)
     if names:
-        each = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")(?!\w)")
-        found += [(m.start(), m.end(), names[m[0]], canonical("name", m[0])) for m in each.finditer(text)]
+        signs = [re.escape(n) for n in names if _script(n) == "han"]
+        spelt = [re.escape(n) for n in names if _script(n) != "han"]
+        ways = ([r"(?<!\w)(?:" + "|".join(sorted(spelt, key=len, reverse=True)) + r")(?!\w)"] if spelt else []) + ["|".join(sorted(signs, key=len, reverse=True))] * bool(signs)
+        found += [(m.start(), m.end(), names[m[0]], canonical("name", m[0])) for m in re.finditer("|".join(ways), text)]
     found.sort()
     apart, last = [], 0
     for x in found:
@@ -219,8 +262,11 @@ def surrogate(kind: str, form: str, draws: int, key: bytes) -> str:
     if kind.startswith("name"):
         _, use, script = kind.split(":")
         pool = NAMES[(script, use)]
-        more = "".join(_SYLLABLES[script][draw.below(len(_SYLLABLES[script]))] for _ in range(min(draws, 12)))
-        return pool[draw.below(len(pool))].lower() + more
+        own = pool[draw.below(len(pool))]
+        if script == "han" and use != "s":
+            own = NAMES[("han", "s")][draw.below(len(NAMES[("han", "s")]))] + own
+        more = "".join(_SYLLABLES[script][draw.below(len(_SYLLABLES[script]))] for _ in range(min(draws, _WIDEST)))
+        return own.lower() + more
     return _alike(form, draw) + _alike(("a" if kind == "hex" else "x") * wider, draw)
 
 
@@ -236,27 +282,32 @@ def shown_like(kind: str, shown: str, form: str) -> str:
     return form
 
 
-def rewritten(text: str, key: bytes, draws: dict[tuple[str, str], int]) -> tuple[str, int]:
-    """The text with surrogates, and how many it has."""
+def rewritten(text: str, key: bytes, others: dict[tuple[str, str], tuple[str, int]]) -> tuple[str, int]:
+    """The text with surrogates, and how many it has; others: (kind, number of draws) to take for an entity, where that isn't its own kind's first."""
     out, last = [], 0
     found = entities(text)
     for start, end, kind, form in found:
-        out += [text[last:start], shown_like(kind, text[start:end], surrogate(kind, form, draws.get((kind, form), 0), key))]
+        other, draws = others.get((kind, form), (kind, 0))
+        out += [text[last:start], shown_like(kind, text[start:end], surrogate(other, form, draws, key))]
         last = end
     return ("".join([*out, text[last:]]) if found else text), len(found)
 
 
 def _mentions(with_key: bool):
+    """Texts' entities: (text_key, kind, form), or (kind, form, n) with the number of times."""
     def run(batches):
         for batch in (part for whole in batches for part in common.steps(whole)):
-            rows = set()
+            rows = Counter()
             for text in batch.column("text").to_pylist():
                 found = entities(text or "")
                 digest = hashlib.sha256(text.encode()).digest() if found and with_key else b""
                 rows.update((digest, kind, form) for _, _, kind, form in found)
             part = sorted(rows)
             columns = [pa.array([x[k] for x in part], pa.string() if k else pa.binary()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays(columns if with_key else columns[1:], ["text_key", "kind", "form"] if with_key else ["kind", "form"])
+            if with_key:
+                yield pa.RecordBatch.from_arrays(columns, ["text_key", "kind", "form"])
+            else:
+                yield pa.RecordBatch.from_arrays([*columns[1:], pa.array([rows[x] for x in part], pa.int64())], ["kind", "form", "n"])
 
     return run
 
@@ -270,44 +321,55 @@ def _drawn(key: bytes):
     return run
 
 
-def _family(kind: str = "kind"):
-    """Kinds whose forms could be taken for each other; names of any use are one."""
-    return F.substring_index(F.col(kind), ":", 1)
+def used(mentions: DataFrame) -> DataFrame:
+    """(kind, form, as_kind) from (kind, form, n): the kind that a form's surrogate is drawn for; only names have several."""
+    parts = F.split("kind", ":")
+    named = F.col("kind").startswith("name:")
+    rank = F.lit(len(USES)) - F.instr(F.lit(USES), parts[1])
+    rated = F.struct((parts[1] != "n").alias("known"), F.col("n").alias("times"), rank.alias("rank"), F.col("kind").alias("as_kind"))
+    counted = mentions.groupBy("kind", "form").agg(F.sum("n").alias("n"))
+    names = counted.where(named)
+    best = names.groupBy("form").agg(F.max(rated).alias("best")).select("form", "best.as_kind")
+    return names.join(best, "form").select("kind", "form", "as_kind").unionByName(counted.where(~named).select("kind", "form", F.col("kind").alias("as_kind")))
 
 
 def assigned(docs: DataFrame, key: bytes, most_rounds: int = 60) -> DataFrame:
-    """(kind, form, draws, surrogate): every entity of the documents' texts, with surrogates that differ from each other and from all entities."""
+    """(kind, form, as_kind, draws, surrogate): every entity of the documents' texts, with surrogates that differ from each other and from all entities."""
     schema = "kind string, form string, draws int, surrogate string"
-    known = common.written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_mentions(False), "kind string, form string").distinct(), "entities")
-    real = known.select(_family().alias("family"), F.col("form").alias("surrogate")).distinct()
-    now = common.written(known.withColumn("draws", F.lit(0)).mapInArrow(_drawn(key), schema), "surrogates")
+    mentions = common.written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_mentions(False), "kind string, form string, n long").groupBy("kind", "form").agg(F.sum("n").alias("n")), "entities")
+    known = common.written(used(mentions), "used")
+    real = known.select(F.col("form").alias("surrogate")).distinct()
+    now = common.written(known.select(F.col("as_kind").alias("kind"), "form").distinct().withColumn("draws", F.lit(0)).mapInArrow(_drawn(key), schema), "surrogates")
     for _ in range(most_rounds):
-        rated = now.withColumn("family", _family()).withColumn("place", F.row_number().over(Window.partitionBy("family", "surrogate").orderBy("draws", "kind", "form")))
-        rated = rated.join(real.withColumn("taken", F.lit(True)), ["family", "surrogate"], "left")
-        clash = rated.where("place > 1 or taken")
+        # of the entities with one surrogate the first keeps it
+        first = now.groupBy("surrogate").agg(F.min(F.struct("draws", "kind", "form")).alias("first"), F.count("*").alias("n"))
+        meet = first.join(real.withColumn("taken", F.lit(True)), "surrogate", "left").where("n > 1 or taken")
+        clash = common.written(now.join(meet, "surrogate").where("taken or kind <> first.kind or form <> first.form").select("kind", "form", "draws"), "clashes")
         if clash.isEmpty():
-            return now
+            return known.join(now.select(F.col("kind").alias("as_kind"), "form", "draws", "surrogate"), ["as_kind", "form"]).select("kind", "form", "as_kind", "draws", "surrogate")
         again = clash.select("kind", "form", (F.col("draws") + 1).alias("draws")).mapInArrow(_drawn(key), schema)
-        now = common.written(rated.where("place = 1 and taken is null").select("kind", "form", "draws", "surrogate").unionByName(again), "surrogates")
+        now = common.written(now.join(clash.select("kind", "form"), ["kind", "form"], "left_anti").unionByName(again), "surrogates")
     raise RuntimeError(f"assigned: surrogates still clash after {most_rounds} rounds")
 
 
 def surrogates(docs: DataFrame, key: bytes, count_column: str = "n_replaced") -> DataFrame:
     """The documents with surrogates in `text` (their other columns as given) and the number of replacements."""
     docs = docs.drop(count_column).withColumn("text", F.col("text").cast("string"))
-    redrawn = assigned(docs, key).where("draws > 0").select("kind", "form", "draws")
+    text_key, others = common.unused([*docs.columns, count_column], "text_key", "others")
+    redrawn = common.written(assigned(docs, key).where("draws > 0 or kind <> as_kind").select("kind", "form", "as_kind", "draws"), "redrawn")
     given = docs
     if not redrawn.isEmpty():
-        mentions = docs.select("text").mapInArrow(_mentions(True), "text_key binary, kind string, form string")
-        lists = mentions.join(redrawn, ["kind", "form"]).groupBy("text_key").agg(F.collect_set(F.struct("kind", "form", "draws")).alias("_draws"))
-        keyed = docs.withColumn("_text_key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-        given = keyed.join(lists, keyed["_text_key"] == lists["text_key"], "left").select(*docs.columns, "_draws")
+        mentions = docs.select("text").mapInArrow(_mentions(True), "text_key binary, kind string, form string").distinct().withColumn("entity", F.concat_ws("\x1f", "kind", "form"))
+        found = common.joined_unevenly(common.written(mentions.select("entity", "text_key"), "mentions"), redrawn.withColumn("entity", F.concat_ws("\x1f", "kind", "form")), "entity")
+        lists = found.groupBy(F.col("text_key").alias(text_key)).agg(F.collect_set(F.struct("kind", "form", "as_kind", "draws")).alias(others))  # no longer than the text
+        keyed = docs.withColumn(text_key, F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+        given = common.joined_unevenly(keyed, lists, text_key, how="left").select(*docs.columns, others)
 
     def run(batches):
         for batch in (part for whole in batches for part in common.steps(whole)):
-            names = [n for n in batch.schema.names if n != "_draws"]
-            lists = batch.column("_draws").to_pylist() if "_draws" in batch.schema.names else [None] * batch.num_rows
-            done = [(None, 0) if t is None else rewritten(t, key, {(x["kind"], x["form"]): x["draws"] for x in d or ()}) for t, d in zip(batch.column("text").to_pylist(), lists, strict=True)]
+            names = [n for n in batch.schema.names if n != others]
+            lists = batch.column(others).to_pylist() if others in batch.schema.names else [None] * batch.num_rows
+            done = [(None, 0) if t is None else rewritten(t, key, {(x["kind"], x["form"]): (x["as_kind"], x["draws"]) for x in d or ()}) for t, d in zip(batch.column("text").to_pylist(), lists, strict=True)]
             columns = [pa.array([x[0] for x in done], pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in done], pa.int32())], [*names, count_column])
 
