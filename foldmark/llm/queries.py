@@ -1,4 +1,7 @@
-"""The registered queries of the training-data operators; SQL can express none of them, so tests/llm holds them against brute force."""
+"""The registered queries of the training-data operators.
+
+SQL can express op5; the others learn, search approximately, draw, hash, encode or store, so tests/llm holds them against brute force.
+"""
 
 from __future__ import annotations
 
@@ -63,4 +66,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ann, op3_media, op4_mixing, op5_substring_dedup, op6_urls, op7_simhash, op8_bpe, op9_surrogates, op10_quality)}
 
-ORACLE_SQL: dict[str, str] = {}
+_OP5 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i : md5(array_to_string(w[i : i + 49], ' ')))) AS k FROM d WHERE len(w) >= 50),
+earliest AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN earliest USING (k) WHERE first < doc_id),
+places AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS line FROM places ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": _OP5}

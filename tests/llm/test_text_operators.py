@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foldmark.llm import bpe, common, media, mixing, pii, simhash, substring
+from compare import database, differences
+from foldmark.llm import bpe, common, media, mixing, pii, queries, simhash, substring
 
 from conftest_words import prose
 
@@ -422,7 +423,8 @@ def test_columns_of_any_name_are_kept(spark, docs):
     assert [f.name for f in mixing.mixed(shard).schema.fields].count("shard") == 1
 
 
-def test_mix_is_shuffled_within_its_shards(spark):
+def test_mix_is_shuffled_within_its_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 8)
     docs = spark.createDataFrame([(k, prose(k, 20), f"s{k % 2}") for k in range(400)], "doc_id long, text string, source string")
     rows = mixing.mixed(docs, shards=4).collect()
     places = [(r["shard"], r["position"]) for r in rows]
@@ -431,7 +433,9 @@ def test_mix_is_shuffled_within_its_shards(spark):
     assert order != sorted(order) and all(len({r["source"] for r in rows if r["shard"] == k}) == 2 for k in range(4))
 
 
-def test_mix_meets_targets_with_null_and_repeated_ids(spark):
+def test_mix_meets_targets_with_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 8)
     docs = spark.createDataFrame([(None if k % 3 else 7, prose(k, 1 + k % 9), "ab"[k % 2]) for k in range(5000)], "doc_id long, text string, source string")
     rows = mixing.draw(docs).collect()
     for size in {r["source_size"] for r in rows}:
@@ -487,3 +491,9 @@ def test_joined_unevenly_is_a_join(spark):
     right = spark.createDataFrame([(k, f"r{k}") for k in range(0, 900, 2)] + [(1, "one")], "k int, name string")
     for how in ("inner", "left"):
         assert Counter(map(tuple, common.joined_unevenly(left, right, "k", how=how).collect())) == Counter(map(tuple, left.join(right, "k", how).collect()))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_sql(spark, name):
+    sf_dir = "/root/testdata/sf0.001"
+    assert differences(spark, database(sf_dir), name, queries.QUERIES[name], queries.ORACLE_SQL[name], sf_dir) == ""
