@@ -49,7 +49,7 @@ def header_channels(spark: SparkSession, path: str, channel: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#")).alias("lines"))
     head = F.split(F.trim(F.get("lines", F.lit(0))), r"\s+")
     at = lambda k, t: F.get(head, F.lit(k)).try_cast(t)
-    signals = rows.select("file", F.get(head, F.lit(0)).alias("record"), at(1, "int").alias("n_signals"), F.regexp_extract(F.coalesce(F.get(head, F.lit(2)), F.lit("")), r"^([0-9.]+)", 1).try_cast("double").alias("rate"), at(3, "int").alias("n_samples"), F.posexplode(F.slice("lines", 2, 1_000_000)).alias("signal_index", "line"))
+    signals = rows.select("file", F.get(head, F.lit(0)).alias("record"), at(1, "int").alias("n_signals"), F.regexp_extract(F.coalesce(F.get(head, F.lit(2)), F.lit("")), r"^([0-9.]+)", 1).try_cast("double").alias("rate"), at(3, "int").alias("n_samples"), F.posexplode(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("signal_index", "line"))
     gain = r"^\S+\s+\d+\S*\s+([0-9.eE+-]+)(?:\((-?\d+)\))?(?:/(\S+))?"
     out = signals.withColumn("gain", F.regexp_extract("line", gain, 1).try_cast("double")).withColumn("baseline", F.coalesce(F.regexp_extract("line", gain, 2).try_cast("double"), F.lit(0.0))).withColumn("units", F.regexp_extract("line", gain, 3)).withColumn("name", F.regexp_extract("line", r"(\S+)\s*$", 1))
     return out.where(F.col("name") == channel).drop("line")

@@ -59,17 +59,26 @@ def missing_rows(rows: DataFrame, store: str, key: str) -> DataFrame:
 
 
 def store_representation(features: DataFrame, store: str, key: str, size: int) -> None:
-    """Adds (segment_id, subject_id, features) under the key, checked for length, finiteness and repeated ids."""
+    """Adds those (segment_id, subject_id, features) that the store lacks under the key, checked for length, finiteness and repeated ids."""
     rules.strict(rules.array_violations(features, "segment_id", "features", size))
-    features.withColumn("features", F.col("features").cast("array<float>")).withColumn("cache_key", F.lit(key)).write.mode("append").partitionBy("cache_key").parquet(store)
+    new = missing_rows(features, store, key)
+    new.withColumn("features", F.col("features").cast("array<float>")).withColumn("cache_key", F.lit(key)).write.mode("append").partitionBy("cache_key").parquet(store)
 
 
-def load_representation(spark: SparkSession, store: str, key: str, size: int) -> DataFrame:
+def load_representation(spark: SparkSession, store: str, key: str, size: int, identity: str | None = None) -> DataFrame:
+    """A key's rows, checked for length, finiteness and repeated ids, and, where an identity is given (see representation_identity), for what they are."""
     rows = spark.read.parquet(store).where(F.col("cache_key") == key)
     rules.strict(rules.array_violations(rows, "segment_id", "features", size))
+    if identity is not None and representation_identity(rows) != identity:
+        raise ValueError(f"representation {key} is not the one that was stored")
     return rows
 
 
+def representation_identity(rows: DataFrame) -> str:
+    """The digest of ids and features as floats, whatever the order of the rows."""
+    return fingerprint(rows, F.col("segment_id"), F.array_join(F.transform(F.col("features").cast("array<float>"), lambda x: x.cast("string")), ",")).first()[0]
+
+
 def attach_representation(rows: DataFrame, features: DataFrame) -> DataFrame:
     """Rows with their features; raises where one has none."""
     both = rows.join(features.select("segment_id", "features"), "segment_id", "left")
