@@ -57,16 +57,19 @@ PRED = """pred AS (SELECT n.n_regionkey AS cohort, o.o_custkey AS subject_id, o.
  CASE m.method WHEN 'signal' THEN p.p_retailprice * l.l_quantity WHEN 'covariates' THEN 1500.0 * l.l_quantity ELSE 0.5 * (p.p_retailprice * l.l_quantity + 1500.0 * l.l_quantity) END AS y_pred
  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
  JOIN part p ON l.l_partkey = p.p_partkey CROSS JOIN (VALUES ('signal'), ('covariates'), ('signal_plus')) m(method))"""
-SUBJECTS = "subjects AS (SELECT n.n_regionkey AS cohort, c.c_custkey AS subject_id, c.c_acctbal AS acctbal, c.c_mktsegment AS segment FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey)"
+SUBJECTS = """subjects AS (SELECT n.n_regionkey AS cohort, c.c_custkey AS subject_id, c.c_acctbal AS acctbal, c.c_mktsegment AS segment
+ FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
 
 
 def sql_units(keys: str, name: str = "units") -> str:
-    return f"{name} AS (SELECT {keys}, subject_id, measurement_id, avg(y_true) AS y_true, avg(y_pred) AS y_pred, count(*) AS n_segments FROM pred GROUP BY ALL)"
+    return f"""{name} AS (SELECT {keys}, subject_id, measurement_id, avg(y_true) AS y_true, avg(y_pred) AS y_pred,
+ count(*) AS n_segments FROM pred GROUP BY ALL)"""
 
 
 def sql_moments(keys: str, source: str, name: str = "moments") -> str:
     return f"""{name} AS (SELECT {keys}, subject_id, avg(abs(y_pred - y_true)) AS abs_error, avg((y_pred - y_true) * (y_pred - y_true)) AS square_error, avg(y_pred - y_true) AS error,
- avg(y_true) AS y, avg(y_true * y_true) AS y2, avg(y_pred) AS p, avg(y_pred * y_pred) AS p2, avg(y_true * y_pred) AS yp, count(*) AS n_units FROM {source} GROUP BY ALL)"""
+ avg(y_true) AS y, avg(y_true * y_true) AS y2, avg(y_pred) AS p, avg(y_pred * y_pred) AS p2, avg(y_true * y_pred) AS yp,
+ count(*) AS n_units FROM {source} GROUP BY ALL)"""
 
 
 def sql_metrics(keys: str, source: str, name: str = "metrics", weight: str | None = None) -> str:
@@ -76,7 +79,8 @@ def sql_metrics(keys: str, source: str, name: str = "metrics", weight: str | Non
     return f"""{name} AS (SELECT {keys}, CAST(n_subjects AS BIGINT) AS n_subjects, CAST(n_measurements AS BIGINT) AS n_measurements, abs_error AS mae, sqrt(square_error) AS rmse, error AS bias, sqrt(greatest(0.0, square_error - error * error)) AS error_std,
  1 - square_error / vy AS r2, cov / sqrt(vy * vp) AS correlation, cov / vp AS calibration_slope, y - cov / vp * p AS calibration_intercept
  FROM (SELECT *, CASE WHEN y2 - y * y > 1e-9 * y2 THEN y2 - y * y END AS vy, CASE WHEN p2 - p * p > 1e-9 * p2 THEN p2 - p * p END AS vp, yp - y * p AS cov
-  FROM (SELECT {keys}, {means}, {count} AS n_subjects, sum(n_units) AS n_measurements FROM {source} GROUP BY {keys})))"""
+  FROM (SELECT {keys}, {means}, {count} AS n_subjects, sum(n_units) AS n_measurements FROM {source}
+ GROUP BY {keys})))"""
 
 
 def sql_key(seed: str, *parts: str) -> str:

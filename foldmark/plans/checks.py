@@ -15,7 +15,9 @@ def _counted(found: DataFrame) -> DataFrame:
 
 
 _FAULTY = f"""{PRED}, {sql_units('cohort, fold, method', 'u')}, fu AS (SELECT cohort, CASE WHEN subject_id % 101 = 0 AND measurement_id % 2 = 0 THEN (fold + 1) % 5 ELSE fold END AS fold, method, subject_id, measurement_id,
- CASE WHEN method = 'signal' AND measurement_id % 211 = 0 THEN y_true + 1 ELSE y_true END AS y_true, CASE WHEN measurement_id % 307 = 0 THEN NULL ELSE y_pred END AS y_pred, CASE WHEN measurement_id % 401 = 0 THEN 0 ELSE n_segments END AS n_segments FROM u WHERE NOT (method = 'covariates' AND measurement_id % 113 = 0))"""
+ CASE WHEN method = 'signal' AND measurement_id % 211 = 0 THEN y_true + 1 ELSE y_true END AS y_true,
+ CASE WHEN measurement_id % 307 = 0 THEN NULL ELSE y_pred END AS y_pred, CASE WHEN measurement_id % 401 = 0 THEN 0 ELSE n_segments END AS n_segments
+ FROM u WHERE NOT (method = 'covariates' AND measurement_id % 113 = 0))"""
 
 
 def faulty_units(spark, d) -> DataFrame:
@@ -29,37 +31,57 @@ def faulty_units(spark, d) -> DataFrame:
     })
 
 
-@query(f"""WITH {_FAULTY}, per AS (SELECT cohort, subject_id, measurement_id, max(y_true) - min(y_true) AS range, count(DISTINCT n_segments) AS counts,
- count(*) FILTER (y_pred IS NULL) AS odd, count(*) FILTER (n_segments <= 0) AS empty FROM fu GROUP BY ALL)
-SELECT rule, count(*) AS n FROM (SELECT 'finite' AS rule FROM per WHERE odd > 0 UNION ALL SELECT 'one_truth' FROM per WHERE range > 1e-10 UNION ALL SELECT 'equal_counts' FROM per WHERE counts > 1
-UNION ALL SELECT 'counts_positive' FROM per WHERE empty > 0 UNION ALL SELECT 'one_fold' FROM fu GROUP BY cohort, subject_id HAVING count(DISTINCT fold) > 1) GROUP BY rule""")
+@query(f"""WITH {_FAULTY}, per AS (SELECT cohort, subject_id, measurement_id, max(y_true) - min(y_true) AS range,
+ count(DISTINCT n_segments) AS counts,
+ count(*) FILTER (y_pred IS NULL) AS odd, count(*) FILTER (n_segments <= 0) AS empty FROM fu
+ GROUP BY ALL)
+SELECT rule, count(*) AS n FROM (SELECT 'finite' AS rule FROM per WHERE odd > 0 UNION ALL SELECT 'one_truth'
+ FROM per WHERE range > 1e-10 UNION ALL SELECT 'equal_counts' FROM per WHERE counts > 1
+UNION ALL SELECT 'counts_positive' FROM per WHERE empty > 0 UNION ALL SELECT 'one_fold' FROM fu
+ GROUP BY cohort, subject_id HAVING count(DISTINCT fold) > 1) GROUP BY rule""")
 def unit_violations(spark, d):
     return _counted(rules.unit_violations(faulty_units(spark, d), ["cohort", "subject_id", "measurement_id"]))
 
 
-@query(f"""WITH {_FAULTY}, b AS (SELECT * FROM fu WHERE method = 'signal_plus'), o AS (SELECT * FROM fu WHERE method <> 'signal_plus') SELECT rule, count(*) AS n FROM (
-SELECT 'combination_present' AS rule FROM (SELECT r_regionkey AS cohort, method FROM region CROSS JOIN (VALUES ('signal'), ('covariates'), ('signal_plus'), ('absent')) e(method) EXCEPT SELECT cohort, method FROM fu)
-UNION ALL SELECT 'same_rows' FROM b CROSS JOIN (VALUES ('signal'), ('covariates')) m(method) LEFT JOIN o ON o.method = m.method AND o.cohort = b.cohort AND o.subject_id = b.subject_id AND o.measurement_id = b.measurement_id WHERE o.method IS NULL
-UNION ALL SELECT 'same_truth' FROM b JOIN o USING (cohort, subject_id, measurement_id) WHERE abs(b.y_true - o.y_true) > 1e-10) GROUP BY rule""")
+@query(f"""WITH {_FAULTY}, b AS (SELECT * FROM fu WHERE method = 'signal_plus'), o AS (SELECT *
+ FROM fu WHERE method <> 'signal_plus') SELECT rule, count(*) AS n FROM (
+SELECT 'combination_present' AS rule FROM (SELECT r_regionkey AS cohort, method FROM region
+ CROSS JOIN (VALUES ('signal'), ('covariates'), ('signal_plus'), ('absent')) e(method) EXCEPT SELECT cohort, method
+ FROM fu)
+UNION ALL SELECT 'same_rows' FROM b CROSS JOIN (VALUES ('signal'), ('covariates')) m(method)
+ LEFT JOIN o ON o.method = m.method AND o.cohort = b.cohort AND o.subject_id = b.subject_id AND o.measurement_id = b.measurement_id
+ WHERE o.method IS NULL
+UNION ALL SELECT 'same_truth' FROM b JOIN o USING (cohort, subject_id, measurement_id) WHERE abs(b.y_true - o.y_true) > 1e-10)
+ GROUP BY rule""")
 def matrix_completeness(spark, d):
     cohorts = table(spark, d, "region").select(F.col("r_regionkey").alias("cohort"))
     expected = cohorts.withColumn("method", F.explode(F.array(*map(F.lit, ("signal", "covariates", "signal_plus", "absent")))))
     return _counted(rules.matrix_violations(faulty_units(spark, d), expected, ["cohort", "subject_id", "measurement_id"], "signal_plus"))
 
 
-@query(f"""WITH {PRED}, {sql_units('cohort, method, seed', 'u')}, s AS (SELECT cohort, method, count(DISTINCT seed) AS seeds FROM u GROUP BY ALL), p AS (SELECT cohort, method, subject_id, measurement_id, count(DISTINCT seed) AS have, max(y_true) - min(y_true) AS range FROM u GROUP BY ALL)
-SELECT rule, count(*) AS n FROM (SELECT 'seed_missing' AS rule FROM p JOIN s USING (cohort, method) WHERE have < seeds UNION ALL SELECT 'seed_truth' FROM p WHERE range > 1e-10) GROUP BY rule""")
+@query(f"""WITH {PRED}, {sql_units('cohort, method, seed', 'u')}, s AS (SELECT cohort, method,
+ count(DISTINCT seed) AS seeds FROM u GROUP BY ALL), p AS (SELECT cohort, method, subject_id, measurement_id,
+ count(DISTINCT seed) AS have, max(y_true) - min(y_true) AS range FROM u GROUP BY ALL)
+SELECT rule, count(*) AS n FROM (SELECT 'seed_missing' AS rule FROM p JOIN s USING (cohort, method)
+ WHERE have < seeds UNION ALL SELECT 'seed_truth' FROM p WHERE range > 1e-10) GROUP BY rule""")
 def seed_pairing_violations(spark, d):
     units = scoring.scoring_units(predictions(spark, d), ["cohort", "method", "seed"])
     return _counted(rules.seed_pairing_violations(units, ["cohort", "subject_id", "measurement_id"]))
 
 
-_DECODED = """de AS (SELECT l_orderkey || '-' || l_linenumber AS segment_id, CASE WHEN l_orderkey % 97 = 0 THEN 'other' ELSE 'base' END AS condition, CASE WHEN l_linenumber % 2 = 0 THEN 'identity' ELSE 'z_score' END AS output_scale,
- CASE WHEN l_linenumber % 2 = 0 AND l_orderkey % 89 <> 0 THEN 0.0 ELSE 100.0 END AS decoder_mean, CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE 50.0 END AS decoder_sd, l_quantity AS estimator_output, l_extendedprice AS y_true FROM lineitem),
- dp AS (SELECT *, estimator_output * decoder_sd + decoder_mean + CASE WHEN hash_ THEN 5 ELSE 0 END AS y_pred FROM (SELECT *, CAST(split_part(segment_id, '-', 1) AS BIGINT) % 83 = 0 AS hash_ FROM de))"""
+_DECODED = """de AS (SELECT l_orderkey || '-' || l_linenumber AS segment_id, CASE WHEN l_orderkey % 97 = 0 THEN 'other' ELSE 'base' END AS condition,
+ CASE WHEN l_linenumber % 2 = 0 THEN 'identity' ELSE 'z_score' END AS output_scale,
+ CASE WHEN l_linenumber % 2 = 0 AND l_orderkey % 89 <> 0 THEN 0.0 ELSE 100.0 END AS decoder_mean,
+ CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE 50.0 END AS decoder_sd, l_quantity AS estimator_output, l_extendedprice AS y_true
+ FROM lineitem),
+ dp AS (SELECT *, estimator_output * decoder_sd + decoder_mean + CASE WHEN hash_ THEN 5 ELSE 0 END AS y_pred
+ FROM (SELECT *, CAST(split_part(segment_id, '-', 1) AS BIGINT) % 83 = 0 AS hash_ FROM de))"""
 
 
-@query(f"WITH {_DECODED} SELECT rule, count(*) AS n FROM (SELECT 'condition_known' AS rule FROM dp WHERE condition = 'other' UNION ALL SELECT 'identity_decoder' FROM dp WHERE output_scale = 'identity' AND (decoder_mean <> 0 OR decoder_sd <> 1) UNION ALL SELECT 'reproduced' FROM dp WHERE abs(estimator_output * decoder_sd + decoder_mean - y_pred) > 1e-3 + 1e-6 * abs(y_pred)) GROUP BY rule")
+@query(f"""WITH {_DECODED} SELECT rule, count(*) AS n FROM (SELECT 'condition_known' AS rule FROM dp
+ WHERE condition = 'other' UNION ALL SELECT 'identity_decoder' FROM dp WHERE output_scale = 'identity' AND (decoder_mean <> 0 OR decoder_sd <> 1)
+ UNION ALL SELECT 'reproduced' FROM dp WHERE abs(estimator_output * decoder_sd + decoder_mean - y_pred) > 1e-3 + 1e-6 * abs(y_pred))
+ GROUP BY rule""")
 def prediction_violations(spark, d):
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
     rows = table(spark, d, "lineitem").select(
@@ -69,7 +91,8 @@ def prediction_violations(spark, d):
     return _counted(rules.prediction_violations(rows, ["base"]))
 
 
-@query("SELECT rule, count(*) AS n FROM (SELECT 'key_unique' AS rule FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 UNION ALL SELECT 'finite_ratio' FROM lineitem WHERE l_discount = 0) GROUP BY rule")
+@query("""SELECT rule, count(*) AS n FROM (SELECT 'key_unique' AS rule FROM lineitem GROUP BY l_orderkey, l_linenumber
+ HAVING count(*) > 1 UNION ALL SELECT 'finite_ratio' FROM lineitem WHERE l_discount = 0) GROUP BY rule""")
 def output_violations(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_tax") / F.nullif(F.col("l_discount"), F.lit(0.0))).alias("ratio"))
     return _counted(rules.output_violations(rows, ["l_orderkey", "l_linenumber"], ["ratio"]))
@@ -82,8 +105,13 @@ def array_violations(spark, d):
     return _counted(rules.array_violations(rows, "vec_id", "v", 64))
 
 
-@query(f"""WITH ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), t AS (SELECT min(event_type) AS t FROM events), mk AS (SELECT *, event_type = (SELECT t FROM t) AND coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY n) <> (SELECT t FROM t), true) AS onset FROM ev),
-s AS ({ORACLE_SQL['session_derivation']}), j AS (SELECT mk.onset, s.* FROM mk JOIN s USING (event_id)) SELECT rule, count(*) AS n FROM (SELECT 'onset_place' AS rule FROM j WHERE onset AND session_position <> 3 UNION ALL SELECT 'position_in_session' FROM j WHERE session_position NOT BETWEEN 1 AND 7) GROUP BY rule""")
+@query(f"""WITH ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+ FROM events), t AS (SELECT min(event_type) AS t FROM events), mk AS (SELECT *, event_type = (SELECT t
+ FROM t) AND coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY n) <> (SELECT t FROM t), true) AS onset
+ FROM ev),
+s AS ({ORACLE_SQL['session_derivation']}), j AS (SELECT mk.onset, s.* FROM mk JOIN s USING (event_id))
+ SELECT rule, count(*) AS n FROM (SELECT 'onset_place' AS rule FROM j WHERE onset AND session_position <> 3
+ UNION ALL SELECT 'position_in_session' FROM j WHERE session_position NOT BETWEEN 1 AND 7) GROUP BY rule""")
 def session_violations(spark, d):
     rows = _ordered_events(spark, d)
     marked = sessions.onsets(rows, ["user_id"], "n", F.col("event_type") == rows.agg(F.min("event_type")).first()[0])
@@ -102,13 +130,15 @@ def stratum_counts(spark, d):
     return counts.crossJoin(F.broadcast(counts.agg(F.min("n").alias("smallest"))))  # one row
 
 
-@query("SELECT l_orderkey, round(max(l_extendedprice) - min(l_extendedprice), 4) AS range FROM lineitem GROUP BY l_orderkey HAVING max(l_extendedprice) - min(l_extendedprice) > 10000")
+@query("""SELECT l_orderkey, round(max(l_extendedprice) - min(l_extendedprice), 4) AS range FROM lineitem
+ GROUP BY l_orderkey HAVING max(l_extendedprice) - min(l_extendedprice) > 10000""")
 def range_checks(spark, d):
     spread = F.max("l_extendedprice") - F.min("l_extendedprice")
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(spread.alias("range")).where("range > 10000").withColumn("range", F.round("range", 4))
 
 
-@query("SELECT count(*) AS n_rows, count(*) FILTER (o_orderstatus = 'F') AS n_valid, count(DISTINCT o_custkey) AS n_subjects, count(DISTINCT o_custkey || '-' || o_orderpriority) AS n_sessions FROM orders")
+@query("""SELECT count(*) AS n_rows, count(*) FILTER (o_orderstatus = 'F') AS n_valid, count(DISTINCT o_custkey) AS n_subjects,
+ count(DISTINCT o_custkey || '-' || o_orderpriority) AS n_sessions FROM orders""")
 def selection_counters(spark, d):
     return table(spark, d, "orders").agg(F.count("*").alias("n_rows"), F.count_if(F.col("o_orderstatus") == "F").alias("n_valid"), F.countDistinct("o_custkey").alias("n_subjects"), F.countDistinct("o_custkey", "o_orderpriority").alias("n_sessions"))
 
@@ -128,8 +158,10 @@ def whole_folds(spark, d):
     return _counted(rules.whole_folds(rows, ["k"], 5))
 
 
-@query(f"""WITH {PRED}, h AS (SELECT DISTINCT cohort, method, seed FROM pred WHERE NOT (cohort = 2 AND method = 'signal' AND seed = 1)), w AS (SELECT cohort, method, string_agg(seed, ',' ORDER BY seed) AS have FROM h GROUP BY ALL)
-SELECT 'seeds_expected' AS rule, count(*) AS n FROM w WHERE have <> CASE method WHEN 'covariates' THEN '0' ELSE '0,1,2' END HAVING count(*) > 0""")
+@query(f"""WITH {PRED}, h AS (SELECT DISTINCT cohort, method, seed FROM pred WHERE NOT (cohort = 2 AND method = 'signal' AND seed = 1)),
+ w AS (SELECT cohort, method, string_agg(seed, ',' ORDER BY seed) AS have FROM h GROUP BY ALL)
+SELECT 'seeds_expected' AS rule, count(*) AS n FROM w WHERE have <> CASE method WHEN 'covariates' THEN '0' ELSE '0,1,2' END
+ HAVING count(*) > 0""")
 def seeds_per_method(spark, d):
     rows = predictions(spark, d).where("not (cohort = 2 and method = 'signal' and seed = 1)").withColumn("seed", F.col("seed").cast("int"))
     expected = spark.createDataFrame([("signal", [0, 1, 2]), ("signal_plus", [2, 1, 0]), ("covariates", [0])], "method string, seeds array<int>")

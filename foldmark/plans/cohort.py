@@ -30,14 +30,20 @@ def raw_manifest(spark, d) -> DataFrame:
     )
 
 
-_RAW = """raw AS (SELECT l.l_orderkey || '-' || l.l_linenumber AS segment_id, CAST(c.c_custkey AS VARCHAR) AS subject_id, CASE WHEN l.l_linenumber % 4 <> 0 THEN CAST(o.o_orderkey AS VARCHAR) END AS measurement_id,
+_RAW = """raw AS (SELECT l.l_orderkey || '-' || l.l_linenumber AS segment_id, CAST(c.c_custkey AS VARCHAR) AS subject_id,
+ CASE WHEN l.l_linenumber % 4 <> 0 THEN CAST(o.o_orderkey AS VARCHAR) END AS measurement_id,
  CASE WHEN l.l_linenumber % 2 = 0 THEN 'npy' ELSE 'text' END AS waveform_format, 125.0 AS sample_rate_hz, l.l_quantity AS n_samples, CAST(CAST(trunc(l.l_quantity) AS INTEGER) AS DOUBLE) AS sbp, CAST(l.l_linenumber * 7 AS DOUBLE) AS dbp,
- CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 'female' WHEN 'BUILDING' THEN 'male' WHEN 'FURNITURE' THEN 'female' WHEN 'HOUSEHOLD' THEN 'x' END AS sex, CASE WHEN c.c_custkey % 7 <> 0 THEN CAST(20 + c.c_custkey % 60 AS DOUBLE) END AS age,
+ CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 'female' WHEN 'BUILDING' THEN 'male' WHEN 'FURNITURE' THEN 'female' WHEN 'HOUSEHOLD' THEN 'x' END AS sex,
+ CASE WHEN c.c_custkey % 7 <> 0 THEN CAST(20 + c.c_custkey % 60 AS DOUBLE) END AS age,
  CASE WHEN c.c_custkey % 3 <> 0 THEN 18.0 + c.c_custkey % 20 WHEN c.c_custkey % 11 <> 0 THEN (50 + c.c_custkey % 60) / pow((150 + c.c_custkey % 50) / 100.0, 2) END AS bmi,
- l.l_linenumber % 5 <> 0 AS valid FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey)"""
+ l.l_linenumber % 5 <> 0 AS valid FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+ JOIN customer c ON o.o_custkey = c.c_custkey)"""
 
 
-@query(f"WITH {_RAW} SELECT segment_id, subject_id, coalesce(measurement_id, subject_id) AS measurement_id, waveform_format, n_samples, sbp, dbp, sex, age, round(bmi, 4) AS bmi, valid AS valid_for_analysis, round(n_samples / sample_rate_hz, 6) AS seconds, concat_ws(';', CASE WHEN sbp <= dbp THEN 'targets' END, CASE WHEN age IS NULL THEN 'age' END, CASE WHEN NOT valid THEN 'invalid' END) AS reasons FROM raw")
+@query(f"""WITH {_RAW} SELECT segment_id, subject_id, coalesce(measurement_id, subject_id) AS measurement_id, waveform_format, n_samples, sbp, dbp, sex, age,
+ round(bmi, 4) AS bmi, valid AS valid_for_analysis, round(n_samples / sample_rate_hz, 6) AS seconds, concat_ws(';',
+ CASE WHEN sbp <= dbp THEN 'targets' END, CASE WHEN age IS NULL THEN 'age' END, CASE WHEN NOT valid THEN 'invalid' END) AS reasons
+ FROM raw""")
 def manifest_canonical(spark, d):
     rows = manifest.canonical_manifest(raw_manifest(spark, d))
     why = X.reasons(targets=F.col("sbp") <= F.col("dbp"), age=F.col("age").isNull(), invalid=~F.col("valid_for_analysis"))
@@ -45,13 +51,16 @@ def manifest_canonical(spark, d):
 
 
 @query(f"""WITH {_RAW}, v AS (SELECT * FROM raw WHERE valid) SELECT rule, count(*) AS n FROM (
-SELECT 'segment_unique' AS rule FROM v GROUP BY segment_id HAVING count(*) > 1 UNION ALL SELECT 'category_known' FROM v WHERE sex = 'x' UNION ALL SELECT 'two_samples' FROM v WHERE n_samples < 2 UNION ALL SELECT 'targets_ordered' FROM v WHERE sbp <= dbp) GROUP BY rule""")
+SELECT 'segment_unique' AS rule FROM v GROUP BY segment_id HAVING count(*) > 1 UNION ALL SELECT 'category_known'
+ FROM v WHERE sex = 'x' UNION ALL SELECT 'two_samples' FROM v WHERE n_samples < 2 UNION ALL SELECT 'targets_ordered'
+ FROM v WHERE sbp <= dbp) GROUP BY rule""")
 def manifest_violations(spark, d):
     rows = manifest.valid_rows(manifest.canonical_manifest(raw_manifest(spark, d)))
     return rules.manifest_violations(rows).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT d.doc_id, d.lang, l.quality, l.toxic, CASE WHEN l.doc_id IS NULL THEN 'left_only' ELSE 'both' END AS side, abs(d.n_chars - length(d.text)) AS difference FROM documents d LEFT JOIN (SELECT DISTINCT ON (doc_id) * FROM labels ORDER BY doc_id) l ON d.doc_id = l.doc_id""")
+@query("""SELECT d.doc_id, d.lang, l.quality, l.toxic, CASE WHEN l.doc_id IS NULL THEN 'left_only' ELSE 'both' END AS side, abs(d.n_chars - length(d.text)) AS difference
+ FROM documents d LEFT JOIN (SELECT DISTINCT ON (doc_id) * FROM labels ORDER BY doc_id) l ON d.doc_id = l.doc_id""")
 def annotation_left_join(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     only = manifest.key_differences(docs, labels, "doc_id").where("side = 'left_only'")
@@ -59,8 +68,10 @@ def annotation_left_join(spark, d):
     return joined.select("doc_id", "lang", "quality", "toxic", F.coalesce("side", F.lit("both")).alias("side"), F.abs(F.col("n_chars") - F.char_length("text")).alias("difference"))
 
 
-@query("""SELECT c.c_custkey AS custkey, lpad(CAST(c.c_custkey AS VARCHAR), CAST(greatest(6, length(CAST(c.c_custkey AS VARCHAR))) AS INTEGER), '0') AS padded, regexp_replace(CAST(c.c_custkey AS VARCHAR) || '.0', '\\.0+$', '') AS token, CASE c.c_nationkey % 2 WHEN 0 THEN 'ear' ELSE 'finger' END AS site,
- trim(regexp_replace(lower(c.c_mktsegment || ' / ' || n.n_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug, coalesce(n.n_name, c.c_name) AS shown, 'S' || c.c_custkey || '-' || substr(c.c_mktsegment, 1, 3) AS label FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey""")
+@query("""SELECT c.c_custkey AS custkey, lpad(CAST(c.c_custkey AS VARCHAR), CAST(greatest(6, length(CAST(c.c_custkey AS VARCHAR))) AS INTEGER), '0') AS padded, regexp_replace(CAST(c.c_custkey AS VARCHAR) || '.0', '\\.0+$', '') AS token,
+ CASE c.c_nationkey % 2 WHEN 0 THEN 'ear' ELSE 'finger' END AS site,
+ trim(regexp_replace(lower(c.c_mktsegment || ' / ' || n.n_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug, coalesce(n.n_name, c.c_name) AS shown, 'S' || c.c_custkey || '-' || substr(c.c_mktsegment, 1, 3) AS label
+ FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey""")
 def id_and_token_normalise(spark, d):
     rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     key = F.col("c_custkey").cast("string")
@@ -68,8 +79,11 @@ def id_and_token_normalise(spark, d):
     return rows.select(F.col("c_custkey").alias("custkey"), X.padded_id(key, 6).alias("padded"), X.plain_token(F.concat(key, F.lit(".0"))).alias("token"), site.alias("site"), X.slug(F.concat_ws(" / ", "c_mktsegment", "n_name")).alias("slug"), F.coalesce(X.first_of(rows, ["absent", "n_name"]), F.col("c_name")).alias("shown"), F.concat(F.lit("S"), key, F.lit("-"), F.substring("c_mktsegment", 1, 3)).alias("label"))
 
 
-@query(f"""WITH {SUBJECTS}, f AS (SELECT cohort, concat_ws('/', CASE WHEN count(acctbal) > 0 THEN 'balance' END, CASE WHEN count(CASE WHEN cohort % 2 = 0 THEN segment END) > 0 THEN 'segment' END) AS fields FROM subjects GROUP BY cohort)
-SELECT f.cohort, CASE WHEN fields = '' THEN 'none' ELSE fields END AS fields, coalesce(CASE r.r_name WHEN 'ASIA' THEN 'overlap' WHEN 'EUROPE' THEN 'partial' END, 'none_known') AS overlap FROM f JOIN region r ON f.cohort = r.r_regionkey""")
+@query(f"""WITH {SUBJECTS}, f AS (SELECT cohort, concat_ws('/', CASE WHEN count(acctbal) > 0 THEN 'balance' END,
+ CASE WHEN count(CASE WHEN cohort % 2 = 0 THEN segment END) > 0 THEN 'segment' END) AS fields
+ FROM subjects GROUP BY cohort)
+SELECT f.cohort, CASE WHEN fields = '' THEN 'none' ELSE fields END AS fields, coalesce(CASE r.r_name WHEN 'ASIA' THEN 'overlap' WHEN 'EUROPE' THEN 'partial' END, 'none_known') AS overlap
+ FROM f JOIN region r ON f.cohort = r.r_regionkey""")
 def field_availability(spark, d):
     rows = subjects(spark, d).withColumn("segment", F.when(F.col("cohort") % 2 == 0, F.col("segment")))
     fields = manifest.available_fields(rows, ["cohort"], {"acctbal": "balance", "segment": "segment"})
@@ -78,9 +92,13 @@ def field_availability(spark, d):
     return manifest.lookup(named, F.broadcast(registry), ["r_name"], "overlap", "none_known").select("cohort", "fields", "overlap")  # two rows
 
 
-@query(f"""WITH {SUBJECTS}, o AS (SELECT s.cohort, s.subject_id, o.o_orderkey AS measurement_id, l.l_linenumber AS line FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN subjects s ON o.o_custkey = s.subject_id),
-m AS (SELECT cohort, subject_id, measurement_id, count(*) AS r FROM o GROUP BY ALL), s AS (SELECT cohort, subject_id, count(*) AS ms, sum(r) AS sr FROM m GROUP BY ALL), t AS (SELECT cohort, sum(sr) / count(*) AS sc FROM s GROUP BY cohort)
-SELECT m.cohort, m.subject_id, m.measurement_id, r AS n_rows, round(1.0 / sr, 8) AS subject_weight, round(sc / (r * ms), 8) AS measurement_weight FROM m JOIN s USING (cohort, subject_id) JOIN t USING (cohort)""")
+@query(f"""WITH {SUBJECTS}, o AS (SELECT s.cohort, s.subject_id, o.o_orderkey AS measurement_id, l.l_linenumber AS line
+ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN subjects s ON o.o_custkey = s.subject_id),
+m AS (SELECT cohort, subject_id, measurement_id, count(*) AS r FROM o GROUP BY ALL), s AS (SELECT cohort, subject_id,
+ count(*) AS ms, sum(r) AS sr FROM m GROUP BY ALL), t AS (SELECT cohort, sum(sr) / count(*) AS sc
+ FROM s GROUP BY cohort)
+SELECT m.cohort, m.subject_id, m.measurement_id, r AS n_rows, round(1.0 / sr, 8) AS subject_weight,
+ round(sc / (r * ms), 8) AS measurement_weight FROM m JOIN s USING (cohort, subject_id) JOIN t USING (cohort)""")
 def balanced_weights(spark, d):
     line, orders = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(subjects(spark, d), F.col("o_custkey") == F.col("subject_id")).select("cohort", "subject_id", F.col("o_orderkey").alias("measurement_id"))
@@ -88,7 +106,8 @@ def balanced_weights(spark, d):
     return made.groupBy("cohort", "subject_id", "measurement_id").agg(F.count("*").alias("n_rows"), F.round(F.max("subject_weight"), 8).alias("subject_weight"), F.round(F.max("measurement_weight"), 8).alias("measurement_weight"))
 
 
-@query("SELECT l_orderkey, l_returnflag, min(l_extendedprice) AS price, arg_min(l_quantity, struct_pack(a := l_extendedprice, b := l_quantity)) AS quantity FROM lineitem GROUP BY ALL")
+@query("""SELECT l_orderkey, l_returnflag, min(l_extendedprice) AS price, arg_min(l_quantity, struct_pack(a := l_extendedprice, b := l_quantity)) AS quantity
+ FROM lineitem GROUP BY ALL""")
 def label_units_dedup(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"))
     return reports.first_rows(rows, ["l_orderkey", "l_returnflag"], ["price", "quantity"])
@@ -110,9 +129,13 @@ def binned_subjects(spark, d) -> DataFrame:
     return out.drop("edges_o_totalprice", "edges_acctbal").withColumn("short", F.concat_ws("|", "segment", "price_bin")).withColumn("stratum", F.concat_ws("|", "segment", "price_bin", "acct_bin"))
 
 
-_BINNED = f"""{SUBJECTS}, st AS (SELECT s.cohort, s.subject_id, any_value(s.segment) AS segment, quantile_cont(o.o_totalprice, 0.5) AS o_totalprice, any_value(s.acctbal) AS acctbal, count(*) AS n_rows FROM orders o JOIN subjects s ON o.o_custkey = s.subject_id GROUP BY s.cohort, s.subject_id),
-ed AS (SELECT cohort, list_distinct(quantile_cont(o_totalprice, [0.25, 0.5, 0.75])) AS ep, list_distinct(quantile_cont(acctbal, [0.25, 0.5, 0.75])) AS ea FROM st GROUP BY cohort),
-binned AS (SELECT *, segment || '|' || price_bin AS short, segment || '|' || price_bin || '|' || acct_bin AS stratum FROM (SELECT st.*, CAST(len(list_filter(ep, lambda e: e < o_totalprice)) AS INTEGER) AS price_bin, CAST(len(list_filter(ea, lambda e: e < acctbal)) AS INTEGER) AS acct_bin FROM st JOIN ed USING (cohort)))"""
+_BINNED = f"""{SUBJECTS}, st AS (SELECT s.cohort, s.subject_id, any_value(s.segment) AS segment, quantile_cont(o.o_totalprice, 0.5) AS o_totalprice, any_value(s.acctbal) AS acctbal,
+ count(*) AS n_rows FROM orders o JOIN subjects s ON o.o_custkey = s.subject_id GROUP BY s.cohort, s.subject_id),
+ed AS (SELECT cohort, list_distinct(quantile_cont(o_totalprice, [0.25, 0.5, 0.75])) AS ep, list_distinct(quantile_cont(acctbal, [0.25, 0.5, 0.75])) AS ea
+ FROM st GROUP BY cohort),
+binned AS (SELECT *, segment || '|' || price_bin AS short, segment || '|' || price_bin || '|' || acct_bin AS stratum
+ FROM (SELECT st.*, CAST(len(list_filter(ep, lambda e: e < o_totalprice)) AS INTEGER) AS price_bin, CAST(len(list_filter(ea, lambda e: e < acctbal)) AS INTEGER) AS acct_bin
+ FROM st JOIN ed USING (cohort)))"""
 
 
 @query(f"WITH {_BINNED} SELECT cohort, subject_id, segment, round(o_totalprice, 4) AS o_totalprice, n_rows, price_bin, acct_bin, stratum FROM binned")
@@ -126,9 +149,12 @@ def stratified_sample(spark, d):
     return sampling.stratified_sample(rows, "stratum", 300, "20260715").select("subject_id", "stratum")
 
 
-_FOLDED = f"""{_BINNED}, pl AS (SELECT *, row_number() OVER (ORDER BY stratum, {sql_key('11', 'subject_id')}, subject_id) AS place FROM binned), tf AS (SELECT *, CAST((place - 1) % 5 AS INTEGER) AS test_fold FROM pl),
-ea2 AS (SELECT tf.*, CAST(f.fold AS INTEGER) AS fold FROM tf CROSS JOIN range(5) f(fold)), vp AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY short, ('0x' || substr(md5(CAST(11 + fold AS VARCHAR) || '|' || CAST(subject_id AS VARCHAR)), 1, 12))::BIGINT, subject_id) AS p FROM ea2 WHERE fold <> test_fold),
-splits AS (SELECT subject_id, fold, CASE WHEN (p + 4) // 5 > (p + 3) // 5 THEN 'validation' ELSE 'train' END AS role FROM vp UNION ALL SELECT subject_id, fold, 'test' FROM ea2 WHERE fold = test_fold)"""
+_FOLDED = f"""{_BINNED}, pl AS (SELECT *, row_number() OVER (ORDER BY stratum, {sql_key('11', 'subject_id')}, subject_id) AS place
+ FROM binned), tf AS (SELECT *, CAST((place - 1) % 5 AS INTEGER) AS test_fold FROM pl),
+ea2 AS (SELECT tf.*, CAST(f.fold AS INTEGER) AS fold FROM tf CROSS JOIN range(5) f(fold)), vp AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY short, ('0x' || substr(md5(CAST(11 + fold AS VARCHAR) || '|' || CAST(subject_id AS VARCHAR)), 1, 12))::BIGINT, subject_id) AS p
+ FROM ea2 WHERE fold <> test_fold),
+splits AS (SELECT subject_id, fold, CASE WHEN (p + 4) // 5 > (p + 3) // 5 THEN 'validation' ELSE 'train' END AS role
+ FROM vp UNION ALL SELECT subject_id, fold, 'test' FROM ea2 WHERE fold = test_fold)"""
 
 
 def _splits(spark, d) -> DataFrame:
@@ -140,7 +166,11 @@ def splits_manifest(spark, d):
     return _splits(spark, d).drop("dataset_fingerprint")
 
 
-@query(f"WITH {_FOLDED}, tr AS (SELECT subject_id FROM splits WHERE fold = 0 AND role = 'train'), va AS (SELECT subject_id FROM splits WHERE fold = 0 AND role = 'validation') SELECT c.c_mktsegment AS segment, count(*) FILTER (c_custkey IN (SELECT subject_id FROM tr)) AS n_train, count(*) FILTER (c_custkey IN (SELECT subject_id FROM tr UNION SELECT subject_id FROM va)) AS n_fit, count(*) FILTER (c_custkey NOT IN (SELECT subject_id FROM splits)) AS n_unsplit FROM customer c GROUP BY ALL")
+@query(f"""WITH {_FOLDED}, tr AS (SELECT subject_id FROM splits WHERE fold = 0 AND role = 'train'),
+ va AS (SELECT subject_id FROM splits WHERE fold = 0 AND role = 'validation') SELECT c.c_mktsegment AS segment,
+ count(*) FILTER (c_custkey IN (SELECT subject_id FROM tr)) AS n_train, count(*) FILTER (c_custkey IN (SELECT subject_id
+ FROM tr UNION SELECT subject_id FROM va)) AS n_fit, count(*) FILTER (c_custkey NOT IN (SELECT subject_id
+ FROM splits)) AS n_unsplit FROM customer c GROUP BY ALL""")
 def semi_anti_roles(spark, d):
     who = table(spark, d, "customer").select(F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("segment"))
     splits = _splits(spark, d)
@@ -153,34 +183,47 @@ def semi_anti_roles(spark, d):
     return out
 
 
-@query(f"""WITH {SUBJECTS}, g AS (SELECT s.cohort, s.subject_id, count(*) AS n_rows FROM orders o JOIN subjects s ON o.o_custkey = s.subject_id GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY n_rows DESC, subject_id) - 1 AS p, least(3, count(*) OVER (PARTITION BY cohort)) AS k FROM g)
-SELECT cohort, subject_id, n_rows, CAST(CASE WHEN (p // k) % 2 = 0 THEN p % k ELSE k - 1 - p % k END AS INTEGER) AS inner_fold FROM p""")
+@query(f"""WITH {SUBJECTS}, g AS (SELECT s.cohort, s.subject_id, count(*) AS n_rows FROM orders o
+ JOIN subjects s ON o.o_custkey = s.subject_id GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY n_rows DESC, subject_id) - 1 AS p, least(3,
+ count(*) OVER (PARTITION BY cohort)) AS k FROM g)
+SELECT cohort, subject_id, n_rows, CAST(CASE WHEN (p // k) % 2 = 0 THEN p % k ELSE k - 1 - p % k END AS INTEGER) AS inner_fold
+ FROM p""")
 def group_folds(spark, d):
     return sampling.group_folds(_subject_rows(spark, d), ["cohort"], "subject_id", 3)
 
 
-@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {sql_key('cap|1', 'o_orderkey')}, o_orderkey) AS p FROM orders) SELECT o_custkey, o_orderkey FROM r WHERE p <= 5")
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {sql_key('cap|1', 'o_orderkey')}, o_orderkey) AS p
+ FROM orders) SELECT o_custkey, o_orderkey FROM r WHERE p <= 5""")
 def seeded_cap(spark, d):
     return sampling.capped(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 5, "cap", 1)
 
 
-@query(f"WITH t AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY {sql_key('turn', 'o_orderkey')}, o_orderkey) AS turn FROM orders), p AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY turn, o_orderpriority, o_orderkey) AS p FROM t) SELECT o_custkey, o_orderpriority, o_orderkey FROM p WHERE p <= 6")
+@query(f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY {sql_key('turn', 'o_orderkey')}, o_orderkey) AS turn
+ FROM orders), p AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY turn, o_orderpriority, o_orderkey) AS p
+ FROM t) SELECT o_custkey, o_orderpriority, o_orderkey FROM p WHERE p <= 6""")
 def balanced_cap(spark, d):
     return sampling.round_robin_capped(table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey"), ["o_custkey"], "o_orderpriority", ["o_orderkey"], 6, "turn")
 
 
-@query("WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT o_custkey, o_orderkey FROM p WHERE n <= 4 OR p IN (0, (n - 1) // 3, 2 * (n - 1) // 3, n - 1)")
+@query("""WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY o_custkey) AS n
+ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT o_custkey, o_orderkey
+ FROM p WHERE n <= 4 OR p IN (0, (n - 1) // 3, 2 * (n - 1) // 3, n - 1)""")
 def even_spaced_pick(spark, d):
     return sampling.evenly_spaced(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 4)
 
 
-@query("""WITH s AS (SELECT o_custkey AS subject_id, quantile_cont(o_totalprice, 0.5) AS median_price, count(*) FILTER (o_orderstatus <> 'P') AS eligible, list_sort(list(o_orderkey) FILTER (o_orderstatus <> 'P')) AS ids FROM orders GROUP BY o_custkey) SELECT subject_id, round(median_price, 4) AS median_price, eligible, CAST(ids AS VARCHAR) AS ids FROM s WHERE eligible >= 2""")
+@query("""WITH s AS (SELECT o_custkey AS subject_id, quantile_cont(o_totalprice, 0.5) AS median_price,
+ count(*) FILTER (o_orderstatus <> 'P') AS eligible, list_sort(list(o_orderkey) FILTER (o_orderstatus <> 'P')) AS ids
+ FROM orders GROUP BY o_custkey) SELECT subject_id, round(median_price, 4) AS median_price, eligible, CAST(ids AS VARCHAR) AS ids
+ FROM s WHERE eligible >= 2""")
 def subject_scan_summary(spark, d):
     made = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("subject_id")).agg(F.percentile("o_totalprice", F.lit(0.5)).alias("m"), F.count_if(F.col("o_orderstatus") != "P").alias("eligible"), F.array_sort(F.collect_list(F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")))).alias("k"))
     return made.where("eligible >= 2").select("subject_id", rounded("m").alias("median_price"), "eligible", F.concat(F.lit("["), F.concat_ws(", ", F.col("k").cast("array<string>")), F.lit("]")).alias("ids"))
 
 
-@query("WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, count(*) AS n_lines, CAST(round(sum(l_quantity), 2) AS DOUBLE) AS quantity FROM p JOIN lineitem ON l_orderkey = o_orderkey WHERE n <= 2 OR p IN (0, n - 1) GROUP BY o_custkey")
+@query("""WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p,
+ count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, count(*) AS n_lines, CAST(round(sum(l_quantity), 2) AS DOUBLE) AS quantity
+ FROM p JOIN lineitem ON l_orderkey = o_orderkey WHERE n <= 2 OR p IN (0, n - 1) GROUP BY o_custkey""")
 def selected_segments(spark, d):
     picked = sampling.evenly_spaced(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 2)
     stored = picked.groupBy("o_custkey").agg(F.to_json(F.array_sort(F.collect_list("o_orderkey"))).alias("chosen"))
@@ -223,14 +266,19 @@ _EVENTS = "ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts,
 
 
 @query(f"""WITH {_EVENTS}, types AS (SELECT min(event_type) AS t FROM events),
-mk AS (SELECT *, event_type = (SELECT t FROM types) AND coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY n) <> (SELECT t FROM types), true) AS onset FROM ev),
+mk AS (SELECT *, event_type = (SELECT t FROM types) AND coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY n) <> (SELECT t
+ FROM types), true) AS onset FROM ev),
 b AS (SELECT user_id, min(n) AS lo, max(n) AS hi FROM mk GROUP BY user_id),
-s0 AS (SELECT user_id, lo AS s FROM b UNION SELECT m.user_id, m.n - 2 FROM mk m JOIN b USING (user_id) WHERE onset AND m.n - 2 >= lo),
+s0 AS (SELECT user_id, lo AS s FROM b UNION SELECT m.user_id, m.n - 2 FROM mk m JOIN b USING (user_id)
+ WHERE onset AND m.n - 2 >= lo),
 l AS (SELECT user_id, max(s) AS last FROM s0 GROUP BY user_id),
-st AS (SELECT user_id, s FROM s0 UNION SELECT user_id, unnest(range(last, greatest(last, hi) + 1, 7)) FROM l JOIN b USING (user_id)),
-j AS (SELECT m.user_id, m.event_id, m.n, count(*) AS session_index, max(s) AS s FROM mk m JOIN st ON m.user_id = st.user_id AND st.s <= m.n GROUP BY ALL)
+st AS (SELECT user_id, s FROM s0 UNION SELECT user_id, unnest(range(last, greatest(last, hi) + 1, 7))
+ FROM l JOIN b USING (user_id)),
+j AS (SELECT m.user_id, m.event_id, m.n, count(*) AS session_index, max(s) AS s FROM mk m JOIN st ON m.user_id = st.user_id AND st.s <= m.n
+ GROUP BY ALL)
 SELECT user_id, event_id, CAST(session_index AS INTEGER) AS session_index, CAST(n - s + 1 AS INTEGER) AS session_position,
- user_id || '-session-' || CASE WHEN session_index < 10 THEN '0' ELSE '' END || session_index AS session_id FROM j""")
+ user_id || '-session-' || CASE WHEN session_index < 10 THEN '0' ELSE '' END || session_index AS session_id
+ FROM j""")
 def session_derivation(spark, d):
     rows = _ordered_events(spark, d)
     token = rows.agg(F.min("event_type")).first()[0]
@@ -238,17 +286,27 @@ def session_derivation(spark, d):
     return sessions.derived_sessions(marked, ["user_id"], "n", 7, 3).select("user_id", "event_id", "session_index", "session_position", "session_id")
 
 
-@query(f"WITH {_EVENTS}, types AS (SELECT min(event_type) AS a, max(event_type) AS b FROM events), w AS (SELECT *, last_value(CASE WHEN event_type = (SELECT b FROM types) THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_value, first_value(CASE WHEN event_type = (SELECT b FROM types) THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_value FROM ev) SELECT user_id, event_id, previous_value, next_value FROM w WHERE event_type = (SELECT a FROM types)")
+@query(f"""WITH {_EVENTS}, types AS (SELECT min(event_type) AS a, max(event_type) AS b FROM events),
+ w AS (SELECT *, last_value(CASE WHEN event_type = (SELECT b FROM types) THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_value, first_value(CASE WHEN event_type = (SELECT b
+ FROM types) THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_value
+ FROM ev) SELECT user_id, event_id, previous_value, next_value FROM w WHERE event_type = (SELECT a
+ FROM types)""")
 def nearest_prev_next(spark, d):
     rows = _ordered_events(spark, d)
     here, mark = rows.agg(F.min("event_type"), F.max("event_type")).first()
     return sessions.nearest(rows, ["user_id"], ["n"], F.col("event_type") == here, F.col("event_type") == mark, "value").select("user_id", "event_id", "previous_value", "next_value")
 
 
-@query(f"""WITH {_EVENTS}, a AS (SELECT user_id, n, value, min(value) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lv FROM ev), b AS (SELECT *, max(CASE WHEN lv IS NULL OR value < lv THEN n END) OVER (PARTITION BY user_id ORDER BY n) AS li FROM a),
-c AS (SELECT *, min(CASE WHEN n - li >= 8 THEN n END) OVER (PARTITION BY user_id) AS st FROM b), s AS (SELECT * FROM c WHERE st IS NULL OR n <= st), e AS (SELECT user_id, arg_min(n, struct_pack(v := value, n := n)) AS best_epoch, min(value) AS best_score, max(n) AS stopped_epoch FROM s GROUP BY user_id),
-g AS (SELECT user_id % 10 AS grp, arg_min(user_id, struct_pack(s := best_score, u := user_id)) AS chosen FROM e GROUP BY 1)
-SELECT e.user_id, CAST(best_epoch AS INTEGER) AS best_epoch, round(best_score, 6) AS best_score, CAST(stopped_epoch AS INTEGER) AS stopped_epoch, e.user_id = g.chosen AS chosen FROM e JOIN g ON e.user_id % 10 = g.grp""")
+@query(f"""WITH {_EVENTS}, a AS (SELECT user_id, n, value, min(value) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lv
+ FROM ev), b AS (SELECT *, max(CASE WHEN lv IS NULL OR value < lv THEN n END) OVER (PARTITION BY user_id ORDER BY n) AS li
+ FROM a),
+c AS (SELECT *, min(CASE WHEN n - li >= 8 THEN n END) OVER (PARTITION BY user_id) AS st FROM b),
+ s AS (SELECT * FROM c WHERE st IS NULL OR n <= st), e AS (SELECT user_id, arg_min(n, struct_pack(v := value, n := n)) AS best_epoch, min(value) AS best_score, max(n) AS stopped_epoch
+ FROM s GROUP BY user_id),
+g AS (SELECT user_id % 10 AS grp, arg_min(user_id, struct_pack(s := best_score, u := user_id)) AS chosen
+ FROM e GROUP BY 1)
+SELECT e.user_id, CAST(best_epoch AS INTEGER) AS best_epoch, round(best_score, 6) AS best_score, CAST(stopped_epoch AS INTEGER) AS stopped_epoch, e.user_id = g.chosen AS chosen
+ FROM e JOIN g ON e.user_id % 10 = g.grp""")
 def epoch_selection(spark, d):
     epochs = sessions.selected_epochs(_ordered_events(spark, d), ["user_id"], "n", "value", 8).withColumn("grp", F.col("user_id") % 10)
     rates = sessions.selected_rate(epochs, ["grp"], "user_id").select("grp", F.col("user_id").alias("rate"))

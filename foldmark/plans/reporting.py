@@ -17,14 +17,17 @@ def _round(df: DataFrame, names, digits: int = 4) -> DataFrame:
     return df.withColumns({n: rounded(n, digits) for n in names})
 
 
-_SUBJECT_MEANS = f"{_ORDER_UNITS}, sm AS (SELECT cohort, subject_id, avg(y_true) AS y FROM ou GROUP BY ALL), sj AS (SELECT sm.*, s.acctbal, s.segment FROM sm JOIN subjects s USING (cohort, subject_id))"
+_SUBJECT_MEANS = f"""{_ORDER_UNITS}, sm AS (SELECT cohort, subject_id, avg(y_true) AS y FROM ou
+ GROUP BY ALL), sj AS (SELECT sm.*, s.acctbal, s.segment FROM sm JOIN subjects s USING (cohort, subject_id))"""
 
 
 def _subject_means(spark, d) -> DataFrame:
     return _order_units(spark, d).groupBy("cohort", "subject_id").agg(F.avg("y_true").alias("y")).join(subjects(spark, d), ["cohort", "subject_id"])
 
 
-_SPEARMAN = f"{_SUBJECT_MEANS}, rk AS (SELECT cohort, rank() OVER (PARTITION BY cohort ORDER BY acctbal) + (count(*) OVER (PARTITION BY cohort, acctbal) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY cohort ORDER BY round(y, 6)) + (count(*) OVER (PARTITION BY cohort, round(y, 6)) - 1) / 2.0 AS ry FROM sj WHERE acctbal IS NOT NULL), sp AS (SELECT cohort, count(*) AS n, CASE WHEN count(*) >= 3 THEN corr(rx, ry) END AS rho FROM rk GROUP BY cohort)"
+_SPEARMAN = f"""{_SUBJECT_MEANS}, rk AS (SELECT cohort, rank() OVER (PARTITION BY cohort ORDER BY acctbal) + (count(*) OVER (PARTITION BY cohort, acctbal) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY cohort ORDER BY round(y, 6)) + (count(*) OVER (PARTITION BY cohort,
+ round(y, 6)) - 1) / 2.0 AS ry FROM sj WHERE acctbal IS NOT NULL), sp AS (SELECT cohort, count(*) AS n,
+ CASE WHEN count(*) >= 3 THEN corr(rx, ry) END AS rho FROM rk GROUP BY cohort)"""
 
 
 @query(f"WITH {_SPEARMAN} SELECT cohort, n, round(rho, 6) + 0.0 AS rho FROM sp")
@@ -32,7 +35,10 @@ def spearman_association(spark, d):
     return _round(reports.spearman(_subject_means(spark, d).withColumn("y", F.round("y", 6)), ["cohort"], "acctbal", "y"), ["rho"], 6)
 
 
-@query(f"WITH {_SPEARMAN}, df AS (SELECT cohort, avg(y) FILTER (segment = 'BUILDING') - avg(y) FILTER (segment = 'MACHINERY') AS difference, count(*) FILTER (segment = 'BUILDING') AS n_first, count(*) FILTER (segment = 'MACHINERY') AS n_second FROM sj GROUP BY cohort) SELECT cohort, n, round(rho, 6) + 0.0 AS rho, round(difference, 4) + 0.0 AS difference, n_first, n_second FROM sp JOIN df USING (cohort)")
+@query(f"""WITH {_SPEARMAN}, df AS (SELECT cohort, avg(y) FILTER (segment = 'BUILDING') - avg(y) FILTER (segment = 'MACHINERY') AS difference,
+ count(*) FILTER (segment = 'BUILDING') AS n_first, count(*) FILTER (segment = 'MACHINERY') AS n_second
+ FROM sj GROUP BY cohort) SELECT cohort, n, round(rho, 6) + 0.0 AS rho, round(difference, 4) + 0.0 AS difference, n_first, n_second
+ FROM sp JOIN df USING (cohort)""")
 def association_report(spark, d):
     rows = _subject_means(spark, d)
     made = reports.group_difference(rows, ["cohort"], "y", "segment", "BUILDING", "MACHINERY")
@@ -44,13 +50,17 @@ def association_p_values(spark, d):
     return _round(reports.with_p_values(spearman_association(spark, d)), ["p"], 8)
 
 
-@query(f"WITH {SUBJECTS} SELECT cohort, count(acctbal) AS n, round(avg(acctbal), 4) + 0.0 AS mean, min(acctbal) AS least, round(quantile_cont(acctbal, 0.5), 4) + 0.0 AS median, max(acctbal) AS greatest, count(DISTINCT segment) AS n_categories, count(*) FILTER (acctbal IS NULL) AS n_missing FROM subjects GROUP BY cohort")
+@query(f"""WITH {SUBJECTS} SELECT cohort, count(acctbal) AS n, round(avg(acctbal), 4) + 0.0 AS mean, min(acctbal) AS least,
+ round(quantile_cont(acctbal, 0.5), 4) + 0.0 AS median, max(acctbal) AS greatest, count(DISTINCT segment) AS n_categories,
+ count(*) FILTER (acctbal IS NULL) AS n_missing FROM subjects GROUP BY cohort""")
 def distribution_report(spark, d):
     return _round(reports.distribution(subjects(spark, d), ["cohort"], "acctbal", "segment"), ["mean", "median"])
 
 
-@query(f"""WITH {SUBJECTS}, r AS (SELECT s.*, o.o_orderkey AS measurement_id, o.o_totalprice AS price FROM orders o JOIN subjects s ON o.o_custkey = s.subject_id)
-SELECT cohort, count(*) AS n_rows, count(DISTINCT subject_id) AS n_subjects, count(DISTINCT measurement_id) AS n_measurements, {', '.join(f'round(avg({c}), 4) + 0.0 AS {c}_mean, round(stddev_pop({c}), 4) AS {c}_sd, min({c}) AS {c}_min, max({c}) AS {c}_max, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS {c}_missing' for c in ('price', 'acctbal'))}, count(DISTINCT segment) AS n_segment FROM r GROUP BY cohort""")
+@query(f"""WITH {SUBJECTS}, r AS (SELECT s.*, o.o_orderkey AS measurement_id, o.o_totalprice AS price
+ FROM orders o JOIN subjects s ON o.o_custkey = s.subject_id)
+SELECT cohort, count(*) AS n_rows, count(DISTINCT subject_id) AS n_subjects, count(DISTINCT measurement_id) AS n_measurements, {', '.join(f'round(avg({c}), 4) + 0.0 AS {c}_mean, round(stddev_pop({c}), 4) AS {c}_sd, min({c}) AS {c}_min, max({c}) AS {c}_max, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS {c}_missing' for c in ('price', 'acctbal'))},
+ count(DISTINCT segment) AS n_segment FROM r GROUP BY cohort""")
 def cohort_summary(spark, d):
     orders = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("measurement_id"), F.col("o_totalprice").alias("price"))
     rows = orders.join(subjects(spark, d), F.col("o_custkey") == F.col("subject_id"))
@@ -61,7 +71,8 @@ _SEGMENTS = """sg AS (SELECT n.n_regionkey AS cohort, o.o_custkey AS subject_id,
  CAST(CASE WHEN l.l_linenumber % 2 = 0 THEN 125 ELSE 50 END AS DOUBLE) AS sample_rate_hz, CAST(l.l_quantity * 100 AS DOUBLE) AS n_samples, CAST(100 + l.l_quantity AS DOUBLE) AS sbp, CAST(50 + l.l_linenumber AS DOUBLE) AS dbp,
  CASE WHEN o.o_custkey % 6 <> 0 THEN CAST(20 + o.o_custkey % 60 AS DOUBLE) END AS age, CASE o.o_custkey % 4 WHEN 0 THEN 'female' WHEN 1 THEN 'Male' WHEN 2 THEN 'unknown' END AS sex,
  CASE WHEN o.o_custkey % 5 <> 0 THEN CAST(20 + l.l_linenumber AS DOUBLE) END AS bmi
- FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+ JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
 
 
 def _segments(spark, d) -> DataFrame:
@@ -77,45 +88,63 @@ def _segments(spark, d) -> DataFrame:
     )
 
 
-@query(f"""WITH {_SEGMENTS}, w AS (SELECT cohort, count(DISTINCT subject_id) AS subjects, count(DISTINCT measurement_id) AS measurements, count(*) AS segments,
+@query(f"""WITH {_SEGMENTS}, w AS (SELECT cohort, count(DISTINCT subject_id) AS subjects, count(DISTINCT measurement_id) AS measurements,
+ count(*) AS segments,
  array_to_string(list_sort(list(DISTINCT sample_rate_hz)), ',') AS sample_rates_hz, quantile_cont(n_samples / sample_rate_hz, 0.5) AS duration_median,
  min(n_samples / sample_rate_hz) AS duration_min, max(n_samples / sample_rate_hz) AS duration_max, avg(CASE WHEN age IS NULL THEN 1.0 ELSE 0.0 END) AS age_missing,
- avg(CASE WHEN sex IS NULL OR lower(sex) = 'unknown' THEN 1.0 ELSE 0.0 END) AS sex_missing, avg(CASE WHEN bmi IS NULL THEN 1.0 ELSE 0.0 END) AS bmi_missing FROM sg GROUP BY cohort),
-u AS (SELECT cohort, m.sbp, m.dbp FROM (SELECT cohort, subject_id, measurement_id, min(struct_pack(i := segment_id, sbp := sbp, dbp := dbp)) AS m FROM sg GROUP BY ALL)),
-l AS (SELECT cohort, count(*) AS label_units, {', '.join(f'round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_sd, min({c}) AS {c}_min, max({c}) AS {c}_max' for c in ('sbp', 'dbp'))} FROM u GROUP BY cohort),
-p AS (SELECT cohort, count(*) FILTER (s = 'female') AS female_subjects, count(*) FILTER (s = 'male') AS male_subjects FROM (SELECT cohort, subject_id, lower(min(sex)) AS s FROM sg GROUP BY ALL) GROUP BY cohort)
-SELECT * REPLACE (round(duration_median, 6) AS duration_median, round(duration_min, 6) AS duration_min, round(duration_max, 6) AS duration_max, round(age_missing, 6) AS age_missing, round(sex_missing, 6) AS sex_missing, round(bmi_missing, 6) AS bmi_missing)
+ avg(CASE WHEN sex IS NULL OR lower(sex) = 'unknown' THEN 1.0 ELSE 0.0 END) AS sex_missing, avg(CASE WHEN bmi IS NULL THEN 1.0 ELSE 0.0 END) AS bmi_missing
+ FROM sg GROUP BY cohort),
+u AS (SELECT cohort, m.sbp, m.dbp FROM (SELECT cohort, subject_id, measurement_id, min(struct_pack(i := segment_id, sbp := sbp, dbp := dbp)) AS m
+ FROM sg GROUP BY ALL)),
+l AS (SELECT cohort, count(*) AS label_units, {', '.join(f'round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_sd, min({c}) AS {c}_min, max({c}) AS {c}_max' for c in ('sbp', 'dbp'))}
+ FROM u GROUP BY cohort),
+p AS (SELECT cohort, count(*) FILTER (s = 'female') AS female_subjects, count(*) FILTER (s = 'male') AS male_subjects
+ FROM (SELECT cohort, subject_id, lower(min(sex)) AS s FROM sg GROUP BY ALL) GROUP BY cohort)
+SELECT * REPLACE (round(duration_median, 6) AS duration_median, round(duration_min, 6) AS duration_min,
+ round(duration_max, 6) AS duration_max, round(age_missing, 6) AS age_missing, round(sex_missing, 6) AS sex_missing,
+ round(bmi_missing, 6) AS bmi_missing)
 FROM w JOIN l USING (cohort) JOIN p USING (cohort)""")
 def manifest_summary(spark, d):
     names = ["duration_median", "duration_min", "duration_max", "age_missing", "sex_missing", "bmi_missing", "sbp_mean", "sbp_sd", "dbp_mean", "dbp_sd"]
     return _round(reports.manifest_summary(_segments(spark, d), ["cohort"]), names, 6)
 
 
-@query(f"""WITH {_SEGMENTS}, b AS (SELECT cohort, subject_id, max(age) AS age, coalesce(lower(max(sex)), 'unknown') AS sex, list_sort(list(DISTINCT bmi) FILTER (bmi IS NOT NULL)) AS v FROM sg GROUP BY ALL)
-SELECT cohort, subject_id, age, sex, list_median(v) AS bmi, CAST(coalesce(len(v), 0) AS INTEGER) AS bmi_values FROM b""")
+@query(f"""WITH {_SEGMENTS}, b AS (SELECT cohort, subject_id, max(age) AS age, coalesce(lower(max(sex)), 'unknown') AS sex, list_sort(list(DISTINCT bmi) FILTER (bmi IS NOT NULL)) AS v
+ FROM sg GROUP BY ALL)
+SELECT cohort, subject_id, age, sex, list_median(v) AS bmi, CAST(coalesce(len(v), 0) AS INTEGER) AS bmi_values
+ FROM b""")
 def canonical_covariates(spark, d):
     return reports.canonical_covariates(_segments(spark, d), ["cohort"])
 
 
-@query(f"WITH {PRED}, {sql_units('cohort, method')}, s AS (SELECT cohort, method, subject_id, avg(y_true) AS y, avg(y_pred) AS p FROM units GROUP BY ALL) SELECT cohort, method, round(stddev_samp(p), 4) AS prediction_sd, round(stddev_samp(y), 4) AS truth_sd, count(*) AS n_subjects, round(stddev_samp(p) / nullif(stddev_samp(y), 0), 6) AS ratio FROM s GROUP BY ALL")
+@query(f"""WITH {PRED}, {sql_units('cohort, method')}, s AS (SELECT cohort, method, subject_id, avg(y_true) AS y, avg(y_pred) AS p
+ FROM units GROUP BY ALL) SELECT cohort, method, round(stddev_samp(p), 4) AS prediction_sd,
+ round(stddev_samp(y), 4) AS truth_sd, count(*) AS n_subjects, round(stddev_samp(p) / nullif(stddev_samp(y), 0), 6) AS ratio
+ FROM s GROUP BY ALL""")
 def spread_ratio(spark, d):
     made = reports.prediction_spread(scoring.scoring_units(predictions(spark, d), ["cohort", "method"]), ["cohort", "method"])
     return _round(_round(made, ["prediction_sd", "truth_sd"]), ["ratio"], 6)
 
 
-@query(f"WITH {PRED}, {sql_units('cohort, method')} SELECT cohort, method, round(avg(y_pred - y_true), 4) + 0.0 AS bias, round(avg(y_pred - y_true) - 1.96 * stddev_samp(y_pred - y_true), 4) + 0.0 AS lower, round(avg(y_pred - y_true) + 1.96 * stddev_samp(y_pred - y_true), 4) + 0.0 AS upper, round(avg((y_pred + y_true) / 2), 4) AS mean_level, count(*) AS n FROM units GROUP BY ALL")
+@query(f"""WITH {PRED}, {sql_units('cohort, method')} SELECT cohort, method, round(avg(y_pred - y_true), 4) + 0.0 AS bias,
+ round(avg(y_pred - y_true) - 1.96 * stddev_samp(y_pred - y_true), 4) + 0.0 AS lower, round(avg(y_pred - y_true) + 1.96 * stddev_samp(y_pred - y_true), 4) + 0.0 AS upper,
+ round(avg((y_pred + y_true) / 2), 4) AS mean_level, count(*) AS n FROM units GROUP BY ALL""")
 def bland_altman(spark, d):
     return _round(reports.agreement(scoring.scoring_units(predictions(spark, d), ["cohort", "method"]), ["cohort", "method"]), ["bias", "lower", "upper", "mean_level"])
 
 
-@query(f"WITH {PRED}, {sql_units('cohort, method')} SELECT cohort, method, round(regr_slope(y_pred, y_true), 8) + 0.0 AS slope, round(regr_intercept(y_pred, y_true), 4) + 0.0 AS intercept FROM units GROUP BY ALL")
+@query(f"""WITH {PRED}, {sql_units('cohort, method')} SELECT cohort, method, round(regr_slope(y_pred, y_true), 8) + 0.0 AS slope,
+ round(regr_intercept(y_pred, y_true), 4) + 0.0 AS intercept FROM units GROUP BY ALL""")
 def trend(spark, d):
     made = reports.trend(scoring.scoring_units(predictions(spark, d), ["cohort", "method"]), ["cohort", "method"])
     return _round(_round(made, ["slope"], 8), ["intercept"])
 
 
-@query(f"""WITH {_ORDER_UNITS}, w AS (SELECT cohort, y_true, 1.0 / count(*) OVER (PARTITION BY cohort, subject_id) AS w FROM ou), b AS (SELECT cohort, CAST(least(greatest(floor((y_true - 0.0) / (500000.0 / 25)) + 1, 1), 25) AS INTEGER) AS bin, sum(w) AS weight FROM w GROUP BY ALL)
-SELECT cohort, bin, round(weight, 6) AS weight, round(weight / sum(weight) OVER (PARTITION BY cohort) / (500000.0 / 25), 10) AS density FROM b""")
+@query(f"""WITH {_ORDER_UNITS}, w AS (SELECT cohort, y_true, 1.0 / count(*) OVER (PARTITION BY cohort, subject_id) AS w
+ FROM ou), b AS (SELECT cohort, CAST(least(greatest(floor((y_true - 0.0) / (500000.0 / 25)) + 1, 1), 25) AS INTEGER) AS bin, sum(w) AS weight
+ FROM w GROUP BY ALL)
+SELECT cohort, bin, round(weight, 6) AS weight, round(weight / sum(weight) OVER (PARTITION BY cohort) / (500000.0 / 25), 10) AS density
+ FROM b""")
 def histograms(spark, d):
     rows = _order_units(spark, d)
     counts = rows.groupBy("cohort", "subject_id").agg(F.count("*").alias("n"))
@@ -124,7 +153,9 @@ def histograms(spark, d):
 
 
 @query(f"""WITH {PRED}, {sql_units('cohort, method')}, {sql_moments('cohort, method', 'units')}, {sql_metrics('cohort, method', 'moments')}
-SELECT cohort, method, CASE WHEN method = 'signal_plus' THEN 'signal + balance/segment' WHEN method = 'covariates' THEN 'only balance/segment' ELSE method END AS label, round(mae, 2) AS mae, CAST(rank() OVER (PARTITION BY cohort ORDER BY round(mae, 6)) AS INTEGER) AS rank, CASE method WHEN 'covariates' THEN 1 WHEN 'signal' THEN 2 ELSE 3 END AS presentation FROM metrics""")
+SELECT cohort, method, CASE WHEN method = 'signal_plus' THEN 'signal + balance/segment' WHEN method = 'covariates' THEN 'only balance/segment' ELSE method END AS label,
+ round(mae, 2) AS mae, CAST(rank() OVER (PARTITION BY cohort ORDER BY round(mae, 6)) AS INTEGER) AS rank,
+ CASE method WHEN 'covariates' THEN 1 WHEN 'signal' THEN 2 ELSE 3 END AS presentation FROM metrics""")
 def report_rows(spark, d):
     metrics = scoring.balanced_metrics(scoring.scoring_units(predictions(spark, d), ["cohort", "method"]), ["cohort", "method"]).withColumn("mae", F.round("mae", 6))
     fields = manifest.available_fields(subjects(spark, d), ["cohort"], {"acctbal": "balance", "segment": "segment"})
@@ -133,7 +164,9 @@ def report_rows(spark, d):
     return rows.select("cohort", "method", reports.method_label(F.col("method"), F.col("fields")).alias("label"), F.round("mae", 2).alias("mae"), "rank", "presentation")
 
 
-@query(f"""WITH inner_ AS ({_ORACLE['paired_bootstrap_ci']}) SELECT contrast, count(*) FILTER (delta < 0) AS n_improved, count(*) FILTER (ci_high < 0) AS n_certain, count(*) AS n, round(max(greatest(0.0, delta - ci_low)), 4) AS widest_low, round(max(greatest(0.0, ci_high - delta)), 4) AS widest_high FROM inner_ GROUP BY contrast""")
+@query(f"""WITH inner_ AS ({_ORACLE['paired_bootstrap_ci']}) SELECT contrast, count(*) FILTER (delta < 0) AS n_improved,
+ count(*) FILTER (ci_high < 0) AS n_certain, count(*) AS n, round(max(greatest(0.0, delta - ci_low)), 4) AS widest_low,
+ round(max(greatest(0.0, ci_high - delta)), 4) AS widest_high FROM inner_ GROUP BY contrast""")
 def improving_contrasts(spark, d):
     made = paired_bootstrap_ci(spark, d)
     low, high = reports.error_bars(F.col("delta"), F.col("ci_low"), F.col("ci_high"))
@@ -141,20 +174,24 @@ def improving_contrasts(spark, d):
     return reports.improving(made, ["contrast"]).join(bars, "contrast")
 
 
-@query(f"WITH {PRED}, {sql_units('cohort, method')}, {sql_moments('cohort, method', 'units')}, {sql_metrics('cohort, method', 'moments')} SELECT cohort, {', '.join(f'round(max(mae) FILTER (method = {m!r}), 4) AS {m}_mae' for m in ('signal', 'covariates', 'signal_plus'))} FROM metrics GROUP BY cohort")
+@query(f"""WITH {PRED}, {sql_units('cohort, method')}, {sql_moments('cohort, method', 'units')}, {sql_metrics('cohort, method', 'moments')} SELECT cohort, {', '.join(f'round(max(mae) FILTER (method = {m!r}), 4) AS {m}_mae' for m in ('signal', 'covariates', 'signal_plus'))}
+ FROM metrics GROUP BY cohort""")
 def wide_metrics(spark, d):
     metrics = scoring.balanced_metrics(scoring.scoring_units(predictions(spark, d), ["cohort", "method"]), ["cohort", "method"])
     wide = metrics.groupBy("cohort").pivot("method", ["signal", "covariates", "signal_plus"]).agg(F.first("mae"))
     return wide.select("cohort", *(rounded(m).alias(f"{m}_mae") for m in ("signal", "covariates", "signal_plus")))
 
 
-@query(f"""WITH w AS ({_ORACLE['wide_metrics']}), c AS (SELECT * FROM ({_ORACLE['constant_contrast']}) WHERE constant = 'median_constant'), l AS ({_ORACLE['complementarity']}) SELECT w.*, c.delta AS constant_delta, l.first_lift, l.second_lift, l.better_than_both FROM w LEFT JOIN c USING (cohort) LEFT JOIN l USING (cohort)""")
+@query(f"""WITH w AS ({_ORACLE['wide_metrics']}), c AS (SELECT * FROM ({_ORACLE['constant_contrast']})
+ WHERE constant = 'median_constant'), l AS ({_ORACLE['complementarity']}) SELECT w.*, c.delta AS constant_delta, l.first_lift, l.second_lift, l.better_than_both
+ FROM w LEFT JOIN c USING (cohort) LEFT JOIN l USING (cohort)""")
 def information_source_table(spark, d):
     metrics = scoring.balanced_metrics(scoring.scoring_units(predictions(spark, d), ["cohort", "method"]), ["cohort", "method"]).withColumn("mae", rounded("mae"))
     return reports.information_sources(metrics, constant_contrast(spark, d).where("constant = 'median_constant'"), complementarity(spark, d), ["cohort"], ["signal", "covariates", "signal_plus"])
 
 
-@query(f"WITH {_ORDER_UNITS} SELECT cohort, subject_id, measurement_id, round(y_true - avg(y_true) OVER (PARTITION BY cohort, subject_id) + {OFF_EDGE}, 7) + 0.0 AS deviation FROM ou")
+@query(f"""WITH {_ORDER_UNITS} SELECT cohort, subject_id, measurement_id, round(y_true - avg(y_true) OVER (PARTITION BY cohort, subject_id) + {OFF_EDGE}, 7) + 0.0 AS deviation
+ FROM ou""")
 def join_back_means(spark, d):
     rows = scoring.with_subject_mean(_order_units(spark, d), ["cohort"], "y_true", "mean")
     return rows.select("cohort", "subject_id", "measurement_id", rounded(F.col("y_true") - F.col("mean") + OFF_EDGE, 7).alias("deviation"))
@@ -165,7 +202,10 @@ def covariate_join(spark, d):
     return _subject_means(spark, d).select("cohort", "subject_id", rounded(F.col("y") + OFF_EDGE, 7).alias("mean"), "acctbal", "segment")
 
 
-@query("WITH a AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT s, sum(n) AS total FROM a GROUP BY s) SELECT a.s AS status, a.p AS priority, a.n, CAST(b.total AS BIGINT) AS total FROM a JOIN b ON a.s IS NOT DISTINCT FROM b.s")
+@query("""WITH a AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS s, o_orderpriority AS p,
+ count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT s, sum(n) AS total FROM a GROUP BY s)
+ SELECT a.s AS status, a.p AS priority, a.n, CAST(b.total AS BIGINT) AS total FROM a JOIN b ON a.s IS NOT DISTINCT
+ FROM b.s""")
 def null_safe_match(spark, d):
     status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
     a = table(spark, d, "orders").groupBy(status.alias("s"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
@@ -175,7 +215,8 @@ def null_safe_match(spark, d):
 
 # ---- transforms
 
-_POOL = "po AS (SELECT CAST(c_custkey % 5 AS INTEGER) AS pool, c_custkey AS k, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END AS a, CAST(c_nationkey AS DOUBLE) AS b, c_mktsegment AS seg, 1.0 + c_custkey % 3 AS w FROM customer)"
+_POOL = """po AS (SELECT CAST(c_custkey % 5 AS INTEGER) AS pool, c_custkey AS k, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END AS a, CAST(c_nationkey AS DOUBLE) AS b, c_mktsegment AS seg, 1.0 + c_custkey % 3 AS w
+ FROM customer)"""
 
 
 def _pool(spark, d) -> DataFrame:
@@ -183,18 +224,30 @@ def _pool(spark, d) -> DataFrame:
     return table(spark, d, "customer").select((k % 5).cast("int").alias("pool"), k.alias("k"), F.when(k % 9 != 0, F.col("c_acctbal")).alias("a"), F.col("c_nationkey").cast("double").alias("b"), F.col("c_mktsegment").alias("seg"), (1.0 + k % 3).alias("w"))
 
 
-@query(f"""WITH {_POOL}, lo AS (SELECT pool, k, w, 'a' AS feature, a AS value FROM po UNION ALL SELECT pool, k, w, 'b', b FROM po), mg AS (SELECT pool, feature, value, sum(w) AS w FROM lo WHERE value IS NOT NULL GROUP BY ALL), cu AS (SELECT *, sum(w) OVER (PARTITION BY pool, feature ORDER BY value) AS c, sum(w) OVER (PARTITION BY pool, feature) AS t FROM mg),
-me AS (SELECT pool, feature, min(value) AS median FROM cu WHERE c >= t / 2 - 1e-12 * t GROUP BY ALL), fi AS (SELECT lo.*, median, coalesce(value, median, 0.0) AS x, CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END AS g FROM lo LEFT JOIN me USING (pool, feature)),
-pr AS (SELECT pool, feature, sum(x * w) / sum(w) AS m, sum(x * x * w) / sum(w) AS x2, sum(g * w) / sum(w) AS gm, max(g) AS hg FROM fi GROUP BY ALL), ps AS (SELECT *, CASE WHEN sqrt(greatest(0.0, x2 - m * m)) > 1e-8 THEN sqrt(greatest(0.0, x2 - m * m)) ELSE 1.0 END AS s, CASE WHEN sqrt(greatest(0.0, gm * (1 - gm))) > 1e-8 THEN sqrt(gm * (1 - gm)) ELSE 1.0 END AS gs FROM pr)
-SELECT pool, k, feature, round((x - m) / s, 6) + 0.0 AS value, CASE WHEN hg > 0 THEN round((g - gm) / gs, 6) + 0.0 END AS indicator FROM fi JOIN ps USING (pool, feature)""")
+@query(f"""WITH {_POOL}, lo AS (SELECT pool, k, w, 'a' AS feature, a AS value FROM po UNION ALL SELECT pool, k, w, 'b', b
+ FROM po), mg AS (SELECT pool, feature, value, sum(w) AS w FROM lo WHERE value IS NOT NULL GROUP BY ALL),
+ cu AS (SELECT *, sum(w) OVER (PARTITION BY pool, feature ORDER BY value) AS c, sum(w) OVER (PARTITION BY pool, feature) AS t
+ FROM mg),
+me AS (SELECT pool, feature, min(value) AS median FROM cu WHERE c >= t / 2 - 1e-12 * t GROUP BY ALL),
+ fi AS (SELECT lo.*, median, coalesce(value, median, 0.0) AS x, CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END AS g
+ FROM lo LEFT JOIN me USING (pool, feature)),
+pr AS (SELECT pool, feature, sum(x * w) / sum(w) AS m, sum(x * x * w) / sum(w) AS x2, sum(g * w) / sum(w) AS gm, max(g) AS hg
+ FROM fi GROUP BY ALL), ps AS (SELECT *, CASE WHEN sqrt(greatest(0.0, x2 - m * m)) > 1e-8 THEN sqrt(greatest(0.0, x2 - m * m)) ELSE 1.0 END AS s,
+ CASE WHEN sqrt(greatest(0.0, gm * (1 - gm))) > 1e-8 THEN sqrt(gm * (1 - gm)) ELSE 1.0 END AS gs
+ FROM pr)
+SELECT pool, k, feature, round((x - m) / s, 6) + 0.0 AS value, CASE WHEN hg > 0 THEN round((g - gm) / gs, 6) + 0.0 END AS indicator
+ FROM fi JOIN ps USING (pool, feature)""")
 def feature_transform(spark, d):
     rows = _pool(spark, d)
     made = transforms.apply_numeric(rows, transforms.fit_numeric(rows, ["pool"], ["a", "b"], "w"), ["pool"], ["k"], ["a", "b"])
     return _round(made, ["value", "indicator"], 6)
 
 
-@query(f"""WITH {_ORDER_UNITS}, w AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY cohort, subject_id) AS w FROM ou), p AS (SELECT fold, sum(y_true * w) / sum(w) AS m, sum(y_true * y_true * w) / sum(w) AS y2 FROM w GROUP BY fold)
-SELECT fold, measurement_id, round((y_true - m) / sqrt(y2 - m * m), 6) + 0.0 AS encoded, round(y_true, 3) AS decoded FROM w JOIN p USING (fold)""")
+@query(f"""WITH {_ORDER_UNITS}, w AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY cohort, subject_id) AS w
+ FROM ou), p AS (SELECT fold, sum(y_true * w) / sum(w) AS m, sum(y_true * y_true * w) / sum(w) AS y2
+ FROM w GROUP BY fold)
+SELECT fold, measurement_id, round((y_true - m) / sqrt(y2 - m * m), 6) + 0.0 AS encoded, round(y_true, 3) AS decoded
+ FROM w JOIN p USING (fold)""")
 def decode_outputs(spark, d):
     rows = _order_units(spark, d)
     rows = rows.join(rows.groupBy("cohort", "subject_id").agg((1 / F.count("*")).alias("w")), ["cohort", "subject_id"])
@@ -202,8 +255,11 @@ def decode_outputs(spark, d):
     return both.select("fold", "measurement_id", rounded("z", 6).alias("encoded"), F.round(transforms.decoded(F.col("z"), F.col("decoder_mean"), F.col("decoder_sd")), 3).alias("decoded"))
 
 
-@query("""WITH e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), p AS (SELECT label, dim, avg(x) AS m, greatest(sqrt(greatest(0.0, avg(x * x) - avg(x) * avg(x))), 1e-6) AS s FROM e GROUP BY ALL)
-SELECT vec_id, round(sum((x - m) / s), 4) + 0.0 AS total, round(max(abs((x - m) / s)), 4) AS largest, count(*) AS n FROM e JOIN p USING (label, dim) GROUP BY vec_id""")
+@query("""WITH e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x
+ FROM embeddings), p AS (SELECT label, dim, avg(x) AS m, greatest(sqrt(greatest(0.0, avg(x * x) - avg(x) * avg(x))), 1e-6) AS s
+ FROM e GROUP BY ALL)
+SELECT vec_id, round(sum((x - m) / s), 4) + 0.0 AS total, round(max(abs((x - m) / s)), 4) AS largest,
+ count(*) AS n FROM e JOIN p USING (label, dim) GROUP BY vec_id""")
 def vector_standardisation(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"), F.lit(1.0).alias("w"))
     params = transforms.fit_vectors(rows, ["label"], "v", "w")
@@ -212,7 +268,8 @@ def vector_standardisation(spark, d):
     return z.select("vec_id", rounded(total).alias("total"), F.round(F.array_max(F.transform("z", lambda x: F.abs(x))), 4).alias("largest"), F.size("z").cast("long").alias("n"))
 
 
-@query("SELECT e.vec_id, len(e.embedding) + 4 AS n_features, round(CAST(e.embedding[1] AS DOUBLE) + c.c_acctbal, 4) + 0.0 AS first_plus_last, c.c_mktsegment = 'BUILDING' AS first_category FROM embeddings e JOIN customer c ON e.vec_id + 1 = c.c_custkey")
+@query("""SELECT e.vec_id, len(e.embedding) + 4 AS n_features, round(CAST(e.embedding[1] AS DOUBLE) + c.c_acctbal, 4) + 0.0 AS first_plus_last, c.c_mktsegment = 'BUILDING' AS first_category
+ FROM embeddings e JOIN customer c ON e.vec_id + 1 = c.c_custkey""")
 def feature_assembly(spark, d):
     rows = table(spark, d, "embeddings").join(table(spark, d, "customer"), F.col("vec_id") + 1 == F.col("c_custkey"))
     hot = transforms.one_hot(F.col("c_mktsegment"), ("BUILDING", "MACHINERY"))
@@ -245,8 +302,10 @@ def ridge_tuning(spark, d):
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(vec_id % 97 % 5 AS INTEGER) AS fold, [1.0, CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE), CAST(embedding[3] AS DOUBLE), CAST(label AS DOUBLE)] AS z,
- 1.0 / count(*) OVER (PARTITION BY vec_id % 97) AS w FROM embeddings), ij AS (SELECT fold, w, i, j, z[i + 1] * z[j + 1] AS product FROM e, range(5) a(i), range(5) b(j))
-SELECT fold, CAST(i * 5 + j + 1 AS INTEGER) AS place, round(sum(w * product), 6) + 0.0 AS moment FROM ij GROUP BY ALL UNION ALL SELECT fold, 0, CAST(count(*) AS DOUBLE) FROM e GROUP BY fold""")
+ 1.0 / count(*) OVER (PARTITION BY vec_id % 97) AS w FROM embeddings), ij AS (SELECT fold, w, i, j, z[i + 1] * z[j + 1] AS product
+ FROM e, range(5) a(i), range(5) b(j))
+SELECT fold, CAST(i * 5 + j + 1 AS INTEGER) AS place, round(sum(w * product), 6) + 0.0 AS moment
+ FROM ij GROUP BY ALL UNION ALL SELECT fold, 0, CAST(count(*) AS DOUBLE) FROM e GROUP BY fold""")
 def ridge_cell_moments(spark, d):
     rows = ridge.weighted(_vector_rows(spark, d)).withColumn("z", F.slice("features", 1, 3)).withColumn("ys", F.array("y"))
     cells = ridge.cell_moments(rows, ["fold"])
@@ -255,7 +314,8 @@ def ridge_cell_moments(spark, d):
 
 # ---- records as arrays
 
-_ARRAYS = "ar AS (SELECT user_id, list(value ORDER BY ts, event_id) AS x FROM events GROUP BY user_id), el AS (SELECT user_id, generate_subscripts(x, 1) AS i, unnest(x) AS v, len(x) AS n FROM ar)"
+_ARRAYS = """ar AS (SELECT user_id, list(value ORDER BY ts, event_id) AS x FROM events GROUP BY user_id),
+ el AS (SELECT user_id, generate_subscripts(x, 1) AS i, unnest(x) AS v, len(x) AS n FROM ar)"""
 
 
 def _records(spark, d) -> DataFrame:
@@ -269,18 +329,26 @@ def _record_sizes(spark, d) -> DataFrame:
     return table(spark, d, "events").groupBy(F.col("user_id").alias("segment_id")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_ARRAYS}, m AS (SELECT user_id, avg(v) AS m, stddev_pop(v) AS s, max(v) - min(v) AS r, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS q, count(*) AS n FROM el GROUP BY user_id),
-c AS (SELECT user_id, avg(pow(v - m, 3)) AS m3, avg(pow(v - m, 4)) AS m4 FROM el JOIN m USING (user_id) GROUP BY user_id)
-SELECT user_id, round(m, 6) AS mean, round(s, 6) AS std, round(r, 6) AS range, round(q, 6) AS iqr, round(CASE WHEN m.n > 2 AND s > 1e-12 THEN sqrt(m.n * (m.n - 1.0)) / (m.n - 2) * m3 / pow(s, 3) END, 5) + 0.0 AS skew,
- round(CASE WHEN m.n > 3 AND s > 1e-12 THEN (m.n - 1.0) / ((m.n - 2.0) * (m.n - 3)) * ((m.n + 1) * (m4 / pow(s, 4) - 3) + 6) END, 5) + 0.0 AS kurtosis FROM m JOIN c USING (user_id)""")
+@query(f"""WITH {_ARRAYS}, m AS (SELECT user_id, avg(v) AS m, stddev_pop(v) AS s, max(v) - min(v) AS r, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS q,
+ count(*) AS n FROM el GROUP BY user_id),
+c AS (SELECT user_id, avg(pow(v - m, 3)) AS m3, avg(pow(v - m, 4)) AS m4 FROM el JOIN m USING (user_id)
+ GROUP BY user_id)
+SELECT user_id, round(m, 6) AS mean, round(s, 6) AS std, round(r, 6) AS range, round(q, 6) AS iqr,
+ round(CASE WHEN m.n > 2 AND s > 1e-12 THEN sqrt(m.n * (m.n - 1.0)) / (m.n - 2) * m3 / pow(s, 3) END, 5) + 0.0 AS skew,
+ round(CASE WHEN m.n > 3 AND s > 1e-12 THEN (m.n - 1.0) / ((m.n - 2.0) * (m.n - 3)) * ((m.n + 1) * (m4 / pow(s, 4) - 3) + 6) END, 5) + 0.0 AS kurtosis
+ FROM m JOIN c USING (user_id)""")
 def waveform_stats(spark, d):
     stats = waveform.statistics(F.col("samples"))
     made = _records(spark, d).select(F.col("segment_id").alias("user_id"), *(c.alias(n) for n, c in stats.items()))
     return _round(_round(made, ["mean", "std", "range", "iqr"], 6), ["skew", "kurtosis"], 5)
 
 
-@query(f"""WITH {_ARRAYS}, dd AS (SELECT user_id, v - lag(v) OVER (PARTITION BY user_id ORDER BY i) AS d FROM el), q AS (SELECT user_id, count(*) AS n, min(v) AS lo, max(v) AS hi FROM el GROUP BY user_id), f AS (SELECT user_id, count(*) FILTER (d = 0) / nullif(count(d), 0) AS flat, avg(abs(d)) AS step FROM dd GROUP BY user_id)
-SELECT user_id, 1.0::DOUBLE AS finite_share, round(flat, 8) AS flat_share, concat_ws(';', CASE WHEN n < 2 THEN 'too_short' END, CASE WHEN lo = hi THEN 'constant' END) AS reasons, round(step, 6) AS mean_step FROM q JOIN f USING (user_id)""")
+@query(f"""WITH {_ARRAYS}, dd AS (SELECT user_id, v - lag(v) OVER (PARTITION BY user_id ORDER BY i) AS d
+ FROM el), q AS (SELECT user_id, count(*) AS n, min(v) AS lo, max(v) AS hi FROM el GROUP BY user_id),
+ f AS (SELECT user_id, count(*) FILTER (d = 0) / nullif(count(d), 0) AS flat, avg(abs(d)) AS step
+ FROM dd GROUP BY user_id)
+SELECT user_id, 1.0::DOUBLE AS finite_share, round(flat, 8) AS flat_share, concat_ws(';', CASE WHEN n < 2 THEN 'too_short' END,
+ CASE WHEN lo = hi THEN 'constant' END) AS reasons, round(step, 6) AS mean_step FROM q JOIN f USING (user_id)""")
 def signal_qc(spark, d):
     x = F.col("samples")
     q = waveform.quality(x)
@@ -288,7 +356,9 @@ def signal_qc(spark, d):
     return _records(spark, d).select(F.col("segment_id").alias("user_id"), q["finite_share"].alias("finite_share"), F.round(q["flat_share"], 8).alias("flat_share"), q["reasons"].alias("reasons"), F.round(step, 6).alias("mean_step"))
 
 
-@query(f"WITH {_ARRAYS}, s AS (SELECT user_id, len(x) AS n, CAST(ceil(len(x) * 20 / 30.0) AS INTEGER) AS r FROM ar) SELECT user_id, CAST(n AS INTEGER) AS raw_length, r AS resampled_length, greatest(r, 50) AS padded_length, r < 50 AS padded FROM s")
+@query(f"""WITH {_ARRAYS}, s AS (SELECT user_id, len(x) AS n, CAST(ceil(len(x) * 20 / 30.0) AS INTEGER) AS r
+ FROM ar) SELECT user_id, CAST(n AS INTEGER) AS raw_length, r AS resampled_length, greatest(r, 50) AS padded_length, r < 50 AS padded
+ FROM s""")
 def nested_step_flag(spark, d):
     steps = _record_sizes(spark, d).select("segment_id", waveform.stage_trace(F.col("n").cast("int"), F.lit(30), 20, 50).alias("steps"))
     at = lambda k: F.col("steps")[k]["length"]
