@@ -3,7 +3,7 @@
 A text is cut into chunks at those ends of words where a rolling hash of the last eight bytes says so (one of MEAN_WORDS ends), so a passage is
 cut the same way in every document. Chunks begin with their white space and tile the text.
 
-1. Keys of all chunks are counted. Those that occur twice or more go into a bit map of sixteen bits for each, FILTER_BITS at most whatever the
+1. Keys of all chunks are counted. Those that occur twice or more go into a bit map of MAP_BITS for each, FILTER_BITS at most whatever the
    input's size is; a wrong "yes" of the map costs a little work and changes nothing.
 2. Documents without repeated chunks are encoded where they are read; of the others a table keeps the compressed text and the keys of such chunks.
 3. Each chunk that occurs again is encoded once for the whole table: (key, ids), the ids packed into two or four bytes each.
@@ -45,8 +45,8 @@ from . import common
 MEAN_WORDS = 128
 #: Chunks up to this length are looked for in other documents; longer ones are encoded where they are.
 SHARED_BYTES = 1 << 16
-#: Most bits of the map of repeated chunks (128 MB).
-FILTER_BITS = 1 << 30
+#: Bits of the map for each repeated chunk, and most bits of the map (32 MB).
+MAP_BITS, FILTER_BITS = 64, 1 << 28
 #: Words, and joins found good, that a worker remembers.
 STORE_WORDS, STORE_WORD_BYTES, STORE_JOINS = 150_000, 512, 200_000
 #: New words that are encoded in one call.
@@ -291,7 +291,7 @@ def _counted(path: str):
 def repeated_chunks(rows: DataFrame, path: str) -> np.ndarray:
     """The bit map of the chunks that occur twice or more: at most FILTER_BITS / 8 bytes reach the driver."""
     twice = common.written(rows.select("text").mapInArrow(_counted(path), "key long").groupBy("key").count().where("count > 1").select("key"), "repeated")
-    size, wanted = _BUCKET_BITS, min(FILTER_BITS, 16 * twice.count())
+    size, wanted = _BUCKET_BITS, min(FILTER_BITS, MAP_BITS * twice.count())
     while size < wanted:
         size *= 2
     place = F.pmod(F.col("key"), F.lit(size)) + 1  # the key's unsigned remainder, for the size is a power of two; Spark's maps count from one
