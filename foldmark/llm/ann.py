@@ -31,6 +31,8 @@ SAMPLE, MOST_LISTS, BLOCKS = 20_000, 4096, 4
 #: Share of the sample's nearest neighbours that must lie in probed lists, and the sample's rows that are asked for it.
 FOUND, ASKED = 0.97, 512
 CHUNK_ROWS = 4096
+#: Candidates of a list that are measured in full, so that there is a k-th distance to test the next ones against; each further block is twice as long.
+FIRST = 16
 #: How many standard errors a partial distance must lie beyond the k-th distance.
 EPSILON = 2.1
 
@@ -108,8 +110,10 @@ def _scan(query: np.ndarray, rotated: np.ndarray, originals: np.ndarray, target:
     size = rotated.shape[1]
     alive, kth = np.arange(0), np.inf
     best_rows, best = np.zeros(0, np.int64), np.zeros(0)
-    for begin in range(0, len(rotated), 512):
-        alive = np.arange(begin, min(begin + 512, len(rotated)))
+    begin, step = 0, FIRST
+    while begin < len(rotated):
+        alive = np.arange(begin, min(begin + step, len(rotated)))
+        begin, step = begin + step, min(2 * step, 512)
         partial, done = np.zeros(len(alive)), 0
         for end in cuts:
             partial += ((rotated[alive, done:end] - query[done:end]) ** 2).sum(axis=1)
