@@ -71,23 +71,26 @@ def bounded(df: DataFrame, most: int, *keys: Column) -> DataFrame:
 
 
 #: A key on more than one of HEAVY_SHARE rows is heavy, so there are at most HEAVY_SHARE heavy keys, whatever the input's size is.
-HEAVY_SHARE, HEAVY_ROWS, SALTS = 1000, 64, 32
+HEAVY_SHARE, HEAVY_ROWS = 1000, 64
 
 
 def joined_unevenly(left: DataFrame, right: DataFrame, key: str, counted: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """left joined (inner or left) with right, which has each key at most once, where one key may be on a large share of left's rows.
 
-    Rows of heavy keys are dealt to SALTS parts by a hash of their other columns, and right's rows of these keys repeated for each part.
+    Rows of a heavy key are dealt by a hash of their other columns to as many parts as leave each about a thousandth of left's rows, and
+    right's row of the key is repeated for each part. All heavy keys together have 2 * HEAVY_SHARE parts at most.
     counted: a cheaper frame with left's keys, to find the heavy ones in.
     """
-    heavy_key, salt = unused([*left.columns, *right.columns], "heavy", "salt")
+    heavy_key, parts, salt = unused([*left.columns, *right.columns], "heavy", "parts", "salt")
     keys = (left if counted is None else counted).select(key)
     least = max(HEAVY_ROWS, keys.count() // HEAVY_SHARE)
-    heavy = F.broadcast(written(keys.groupBy(key).count().where(F.col("count") > least).select(F.col(key).alias(heavy_key)), "heavy-keys"))  # HEAVY_SHARE keys at most
+    found = keys.groupBy(key).count().where(F.col("count") > least)
+    heavy = F.broadcast(written(found.select(F.col(key).alias(heavy_key), F.ceil(F.col("count") / least).cast("int").alias(parts)), "heavy-keys"))  # HEAVY_SHARE keys at most
     others = [f.name for f in left.schema.fields if f.name != key and "map<" not in f.dataType.simpleString()]
-    dealt = left.join(heavy, F.col(key) == F.col(heavy_key), "left").withColumn(salt, F.when(F.col(heavy_key).isNotNull(), F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")).otherwise(0)).drop(heavy_key)
-    parts = F.when(F.col(heavy_key).isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(heavy, F.col(key) == F.col(heavy_key), "left").withColumn(salt, F.explode(parts)).drop(heavy_key)
+    place = F.pmod(F.xxhash64(*others), F.col(parts)).cast("int")
+    dealt = left.join(heavy, F.col(key) == F.col(heavy_key), "left").withColumn(salt, F.coalesce(place, F.lit(0))).drop(heavy_key, parts)
+    places = F.when(F.col(parts).isNotNull(), F.sequence(F.lit(0), F.col(parts) - 1)).otherwise(F.array(F.lit(0)))
+    repeated = right.join(heavy, F.col(key) == F.col(heavy_key), "left").withColumn(salt, F.explode(places)).drop(heavy_key, parts)
     return dealt.join(repeated, [key, salt], how).drop(salt)
 
 

@@ -9,9 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, common, media, mixing, pii, quality, simhash, substring, toxicity, urls
+from . import align, ann, bpe, byte_bpe, common, media, mixing, periodic, pii, quality, simhash, substring, toxicity, urls
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+LETTERS, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SURROGATE_KEY = b"a key of the caller's; queries use this one"
 
 
@@ -64,7 +66,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ann, op3_media, op4_mixing, op5_substring_dedup, op6_urls, op7_simhash, op8_bpe, op9_surrogates, op10_quality)}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encoded_digests(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(_table(spark, sf_dir, "documents"), LETTERS, PATTERN, PIECES)
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """documents whose texts have loops by the contract's rule: one id of ten repeats the words from some place on with some period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), (h % 10 == 0).alias("chosen"))
+    docs = docs.withColumn("words", F.when(F.col("chosen"), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    n = F.size("words")
+    docs = docs.withColumn("n", n).withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", F.when(n > 0, 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))))
+    place = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
+    made = F.array_join(F.transform(place, lambda i: F.get("words", i.cast("int"))), " ")
+    return docs.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(looped(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ann, op3_media, op4_mixing, op5_substring_dedup, op6_urls, op7_simhash, op8_bpe, op9_surrogates, op10_quality, op11_byte_bpe, op12_alignment, op13_periodic_runs)}
 
 _OP5 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i : md5(array_to_string(w[i : i + 49], ' ')))) AS k FROM d WHERE len(w) >= 50),
