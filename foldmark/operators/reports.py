@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import safe_ratio
+from .scans import exact_quantiles, running
 
 
 def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -17,14 +18,15 @@ def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def distribution(rows: DataFrame, keys: list[str], value: str, category: str) -> DataFrame:
     """n, mean, least, median, greatest of a value, and counts of categories as columns of a map-free report."""
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.percentile(value, F.lit(0.5)).alias("median"), F.max(value).alias("greatest"), F.countDistinct(category).alias("n_categories"), F.count_if(F.col(value).isNull()).alias("n_missing"))
+    made = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.countDistinct(category).alias("n_categories"), F.count_if(F.col(value).isNull()).alias("n_missing"))
+    median = exact_quantiles(rows, keys, value, [0.5])
+    return made.join(median.select(*keys, F.col("quantiles")[0].alias("median")), keys, "left")
 
 
 def average_ranks(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Ranks with ties at their mean. Equal values are counted first, so a tie of a third of all rows is one row of the window."""
-    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(counted.select(*keys, value, (before + (F.col("_n") + 1) / 2).alias(out)), [*keys, value])
+    """Ranks with ties at their mean. Equal values are counted first, and the counts run in many tasks where a group has many different values."""
+    counted = running(rows.groupBy(*keys, value).agg(F.count("*").alias("_n")), keys, [value], F.col("_n"), "_before")
+    return rows.join(counted.select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out)), [*keys, value])
 
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -141,7 +143,7 @@ def manifest_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     whole = rows.groupBy(*keys).agg(
         F.countDistinct("subject_id").alias("subjects"), F.countDistinct("measurement_id").alias("measurements"), F.count("*").alias("segments"),
         F.concat_ws(",", F.transform(F.array_sort(F.collect_set("sample_rate_hz")), lambda x: x.cast("string"))).alias("sample_rates_hz"),
-        F.percentile(duration, F.lit(0.5)).alias("duration_median"), F.min(duration).alias("duration_min"), F.max(duration).alias("duration_max"),
+        F.min(duration).alias("duration_min"), F.max(duration).alias("duration_max"),
         share(F.col("age").isNull(), "age_missing"), share(F.coalesce(F.lower("sex") == "unknown", F.lit(True)), "sex_missing"), share(F.col("bmi").isNull(), "bmi_missing"),
     )
     units = rows.groupBy(*keys, "subject_id", "measurement_id").agg(F.min(F.struct("segment_id", "sbp", "dbp")).alias("u")).select(*keys, "u.sbp", "u.dbp")
@@ -149,6 +151,8 @@ def manifest_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     labels = units.groupBy(*keys).agg(F.count("*").alias("label_units"), *spread)
     sex = rows.groupBy(*keys, "subject_id").agg(F.lower(F.min_by("sex", F.when(F.col("sex").isNotNull(), F.col("segment_id")))).alias("s"))
     people = sex.groupBy(*keys).agg(F.count_if(F.col("s") == "female").alias("female_subjects"), F.count_if(F.col("s") == "male").alias("male_subjects"))
+    median = exact_quantiles(rows.withColumn("_seconds", duration), keys, "_seconds", [0.5])
+    whole = whole.join(median.select(*keys, F.col("quantiles")[0].alias("duration_median")), keys, "left")
     return whole.join(labels, keys).join(people, keys)
 
 

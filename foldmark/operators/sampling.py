@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import order_key
+from .scans import exact_quantiles, numbered_from
 
 
 def quantile_edges(rows: DataFrame, keys: list[str], columns: list[str], bins: int) -> DataFrame:
-    """(keys, edges_<column>): the different interior quantiles."""
-    parts = F.array(*(F.lit(k / bins) for k in range(1, bins)))
-    return rows.groupBy(*keys).agg(*(F.array_distinct(F.percentile(c, parts)).alias(f"edges_{c}") for c in columns))
+    """(keys, edges_<column>): the different interior quantiles; no buffer holds a group's values. Empty where a group has no value."""
+    shares, out = [k / bins for k in range(1, bins)], rows.select(*keys).distinct()
+    for c in columns:
+        edges = exact_quantiles(rows, keys, c, shares, "_edges").select(*keys, F.array_distinct("_edges").alias(f"edges_{c}"))
+        out = out.join(edges, keys, "left").withColumn(f"edges_{c}", F.coalesce(f"edges_{c}", F.array().cast("array<double>")))
+    return out
 
 
 def bin_of(value: Column, edges: Column, missing: int | None = -1) -> Column:
@@ -140,11 +144,10 @@ def refreshed(splits: DataFrame, fingerprint: str) -> DataFrame:
 
 def group_folds(rows: DataFrame, pool: list[str], group: str, folds: int) -> DataFrame:
     """(pool, group, n_rows, inner_fold): groups by size, largest first, dealt to min(folds, groups) folds forth and back."""
-    sizes = rows.groupBy(*pool, group).agg(F.count("*").alias("n_rows"))
-    own = Window.partitionBy(*pool)
-    placed = sizes.withColumn("_p", F.row_number().over(own.orderBy(F.desc("n_rows"), group)) - 1).withColumn("_k", F.least(F.lit(folds), F.count("*").over(own)).cast("int"))
+    sizes = rows.groupBy(*pool, group).agg(F.count("*").alias("n_rows")).withColumn("_less", -F.col("n_rows"))
+    placed = numbered_from(sizes, pool, ["_less", group], "_p").join(sizes.groupBy(*pool).agg(F.least(F.lit(folds), F.count("*")).cast("int").alias("_k")), pool)
     turn, step = F.floor(F.col("_p") / F.col("_k")).cast("int"), F.pmod(F.col("_p"), F.col("_k"))
-    return placed.withColumn("inner_fold", F.when(turn % 2 == 0, step).otherwise(F.col("_k") - 1 - step).cast("int")).drop("_p", "_k")
+    return placed.withColumn("inner_fold", F.when(turn % 2 == 0, step).otherwise(F.col("_k") - 1 - step).cast("int")).drop("_p", "_k", "_less")
 
 
 def rows_for_role(rows: DataFrame, splits: DataFrame, fold: int, role: str) -> DataFrame:

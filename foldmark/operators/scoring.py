@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import safe_ratio
+from .scans import running
 
 MOMENTS = ("abs_error", "square_error", "error", "y", "y2", "p", "p2", "yp")
 
@@ -108,12 +109,13 @@ def between_within(units: DataFrame, keys: list[str]) -> DataFrame:
 def lower_weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """(keys, median): the smallest value at which the cumulative weight reaches half.
 
-    Values are merged first, so the window sees different values only.
+    Values are merged first, so the running weights see different values only; heavy groups run in many tasks.
     """
     merged = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    run = Window.partitionBy(*keys).orderBy(value)
-    cum = merged.withColumn("_cum", F.sum("_w").over(run)).withColumn("_all", F.sum("_w").over(Window.partitionBy(*keys)))
-    return cum.where(F.col("_cum") >= F.col("_all") / 2 - 1e-12 * F.col("_all")).groupBy(*keys).agg(F.min(value).alias("median"))
+    half = merged.groupBy(*keys).agg(((0.5 - 1e-12) * F.sum("_w")).alias("_half"))
+    cum = running(merged, keys, [value], F.col("_w"), "_before")
+    cum = cum.join(half, keys) if keys else cum.crossJoin(F.broadcast(half))  # one row
+    return cum.where(F.col("_before") + F.col("_w") >= F.col("_half")).groupBy(*keys).agg(F.min(value).alias("median"))
 
 
 def balanced_weights(rows: DataFrame, keys: list[str]) -> DataFrame:

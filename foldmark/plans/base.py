@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.bootstrap import LIMITS
+from ..operators.bootstrap import DRAWS, LIMITS
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,9 +92,11 @@ def sql_round(names, digits: int = 4) -> str:
 
 
 def sql_draws(group: str, source: str, replicates: int, seed: str) -> str:
-    """CTEs ids, keyed and drawn: how often each replicate draws each subject."""
-    key = sql_key(seed, *group.split(", "), "replicate", "subject_id")
+    """CTEs ids, keyed and drawn: how often each replicate draws each subject; a digest of a subject's stream serves DRAWS replicates."""
+    digest = "md5(" + " || '|' || ".join([f"'{seed}'", *(f"CAST({p} AS VARCHAR)" for p in [*group.split(", "), "subject_id", f"replicate // {DRAWS}"])]) + ")"
+    width = 32 // DRAWS
     times = " + ".join(f"CAST(k >= {limit} AS INTEGER)" for limit in LIMITS)
     return f"""ids AS (SELECT DISTINCT {group}, subject_id FROM {source}),
- keyed AS (SELECT *, {key} AS k FROM ids CROSS JOIN (SELECT unnest(range({replicates})) AS replicate)),
+ keyed AS (SELECT *, ('0x' || substr({digest}, 1 + {width} * (replicate % {DRAWS}), {width}))::BIGINT AS k
+ FROM ids CROSS JOIN (SELECT unnest(range({replicates})) AS replicate)),
  drawn AS (SELECT {group}, replicate, subject_id, {times} AS times FROM keyed WHERE k >= {LIMITS[0]})"""

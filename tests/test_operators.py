@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foldmark.functions import SEX_TOKENS, category, number_pair, number_text, plain_token, slug
 from foldmark.functions.fingerprints import fingerprint
-from foldmark.operators import bootstrap, contrasts, manifest, reports, ridge, rules, sampling, scoring, sessions, transforms, waveform
+from foldmark.operators import bootstrap, contrasts, manifest, reports, ridge, rules, sampling, scans, scoring, sessions, transforms, waveform
 
 
 def units(spark):
@@ -44,12 +44,64 @@ def test_interval_of_equal_deltas_is_a_point(spark):
     assert (made["ci_low"], made["ci_high"], made["p_below_zero"]) == (-2.0, -2.0, 1.0)
 
 
-def test_draws_are_poisson_and_the_same_for_every_method(spark):
-    rows = spark.createDataFrame([("c", m, f"s{k}") for k in range(300) for m in "ab"], "cohort string, method string, subject_id string")
-    made = bootstrap.drawn(rows, ["cohort"], 50).groupBy("subject_id", "replicate").agg(F.min("times").alias("a"), F.max("times").alias("b"), F.count("*").alias("n")).collect()
-    assert all(r["a"] == r["b"] and r["n"] == 2 for r in made)
-    times = np.array([r["a"] for r in made] + [0] * (300 * 50 - len(made)))
-    assert abs(times.mean() - 1) < 0.03 and abs(times.var() - 1) < 0.05 and abs((times == 0).mean() - math.exp(-1)) < 0.015
+def test_draws_are_poisson():
+    times = bootstrap.times_drawn([f"boot|c|s{k}" for k in range(300)], 51)
+    assert times.shape == (300, 51) and abs(times.mean() - 1) < 0.03 and abs(times.var() - 1) < 0.05 and abs((times == 0).mean() - math.exp(-1)) < 0.015
+    assert (bootstrap.times_drawn(["boot|c|s7"], 20) == times[7, :20]).all()
+
+
+def test_replicate_sums_use_the_same_draws_for_every_method(spark):
+    rows = [("c", m, f"s{k}", float(k), float(m == "b")) for k in range(150) for m in "ab"] + [("d", "a", "s1", 4.0, 5.0), ("d", "a", "s2", None, 5.0)]
+    frame = spark.createDataFrame(rows, "cohort string, method string, subject_id string, x double, y double")
+    made = {(r["cohort"], r["method"], r["replicate"]): (r["times"], r["x"], r["y"]) for r in bootstrap.replicate_sums(frame, ["cohort"], ["cohort", "method"], ["x", "y"], 30).collect()}
+    times = bootstrap.times_drawn([f"boot|c|s{k}" for k in range(150)], 30)
+    for m in "ab":
+        for k in range(30):
+            assert made["c", m, k] == pytest.approx((times[:, k].sum(), (times[:, k] * np.arange(150)).sum(), (m == "b") * times[:, k].sum()))
+    alone = bootstrap.times_drawn(["boot|d|s1"], 30)[0]
+    assert {k: v for k, v in made.items() if k[0] == "d"} == {("d", "a", k): (t, 4 * t, 5 * t) for k, t in enumerate(alone.tolist()) if t}
+    assert bootstrap.replicate_sums(frame.where("false"), ["cohort"], ["cohort", "method"], ["x", "y"], 30).count() == 0
+
+
+def test_many_replicates_multiply_no_rows(spark):
+    frame = spark.range(200).select(F.lit("c").alias("cohort"), F.col("id").alias("subject_id"), F.rand(1).alias("delta"))
+    made = bootstrap.mean_intervals(frame, ["cohort"], ["cohort"], 10_000)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "md5" not in plan
+    row = made.first()
+    sd = float(np.std([r["delta"] for r in frame.collect()])) / math.sqrt(200)
+    assert row["ci_high"] - row["ci_low"] == pytest.approx(2 * 1.96 * sd, rel=0.1)
+
+
+@pytest.mark.parametrize("small", [3, 1 << 16])
+def test_exact_quantiles_are_those_of_percentile(spark, small, monkeypatch):
+    """Ties, nulls, skewed and far values, one value, no value; with ranges refined to three rows, and at once."""
+    monkeypatch.setattr(scans, "PARTS", 8)
+    r = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in r.normal(size=300)] + [("b", float(x)) for x in r.integers(0, 4, 200)] + [("c", 7.0), ("d", None), (None, 2.0), (None, 3.0)]
+    rows += [("e", float(x)) for x in 10.0 ** r.integers(-300, 300, 60)] + [("a", None), ("f", -0.0), ("f", 0.0), ("g", 1e308), ("g", -1e308), ("g", 5.0)]
+    frame, shares = spark.createDataFrame(rows, "k string, v double"), [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {x["k"]: x["quantiles"] for x in scans.exact_quantiles(frame, ["k"], "v", shares, small=small).collect()}
+    want = {x["k"]: x["q"] for x in frame.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect() if x["q"]}
+    assert got == want and "d" not in got
+
+
+@pytest.mark.parametrize("most", [5, 1 << 20])
+def test_running_totals_inside_heavy_groups(spark, most):
+    r = np.random.default_rng(4)
+    rows = [(k, f"{i:05d}" if i else None, int(w)) for k, n in (("a", 900), (None, 60), ("c", 1), ("d", 4)) for i, w in enumerate(r.integers(0, 9, n))]
+    frame = spark.createDataFrame(rows, "k string, o string, w int").repartition(3)
+    got = {(x["k"], x["o"]): (x["before"], x["w"]) for x in scans.running(frame, ["k"], ["o"], F.col("w"), "before", most).collect()}
+    want, total = {}, {}
+    for k, o, w in rows:  # the rows come in their order
+        want[k, o] = (total.get(k, 0), w)
+        total[k] = total.get(k, 0) + w
+    assert got == want
+    assert sorted(x["n"] for x in scans.numbered_from(frame, [], ["k", "o"], "n", most).collect()) == list(range(965))
+    if most == 5:
+        cut = scans.ranges(frame, ["k"], ["o"], most)
+        sizes = [x["count"] for x in cut.groupBy("k", "_range").count().collect()]
+        assert len(sizes) > 60 and max(sizes) < 60
 
 
 def test_best_alpha_takes_the_largest_of_ties(spark):
