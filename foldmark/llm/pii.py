@@ -1,8 +1,10 @@
 """Surrogates for personal data: keyed, type-consistent replacements that keep distinctness and coreference.
 
 Detected are e-mail addresses, telephone numbers, payment-card and other long account numbers, IPv4 addresses, social-security numbers, IBANs,
-access keys, long hexadecimal strings, values assigned to names such as token or password, and persons named with a title (and the
-same names without it in the text). An entity is its kind and canonical form (letters folded, separators of numbers left
+access keys, long hexadecimal strings, values assigned to names such as token or password (after a colon no plain words), and persons named with
+a title, with the other uses of these names in the text in any letter case. The search for titles goes on where a name ends, so `Mr. and Mrs. Green` and
+`Mr. Brown and Mrs. Green` are found; names that are ordinary words too (ORDINARY) count without a title only beside another word of a name. Names without any
+title in their text are not looked for. Versions before which it says so and ISBNs are no addresses or accounts. An entity is its kind and canonical form (letters folded, separators of numbers left
 out), so all spellings of it get one surrogate, in every document. The surrogate is drawn from an HMAC of the entity under a key and
 keeps the entity's form: digits stay digits, letters letters of the same case, separators stay, numbers that pass their check sum
 get surrogates that pass it, addresses stay in reserved domains, given names keep gender and script, family names their script.
@@ -81,7 +83,19 @@ _PATTERN = re.compile(
 )
 _SHOUTED = {t.upper(): g for t, g in TITLES.items() if t.upper() not in TITLES and t.endswith(".")}
 _GENDER = {**TITLES, **_SHOUTED}
-_PERSON = re.compile(rf"(?<!\w)(?P<title>{'|'.join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True))})[ ]+(?P<name>[^\W\d_][\w'’-]+(?:[ ][^\W\d_][\w'’-]+){{0,2}})")
+_TITLE = re.compile(rf"(?<!\w)(?P<title>{'|'.join(re.escape(t) for t in sorted(_GENDER, key=len, reverse=True))})(?=[ ])")
+#: A word of a name, without a possessive ending; an initial; a particle, which stays.
+_NAME_WORD = re.compile(r"[ ]+(?P<word>(?!\w+['’]s(?!\w))[^\W\d_][\w'’-]*[\w]|[^\W\d_][\w-]*[\w](?=['’]s(?!\w)))")
+_INITIAL, _PARTICLE = re.compile(r"[ ]+[^\W\d_]\."), re.compile(r"[ ]+(?:von|van|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|al|ter|zu)(?=[ ])")
+#: Words of a name at most.
+_NAME_WORDS = 5
+# Words of a text that are names too; alone and without a title they are left as they are.
+ORDINARY = frozenset(
+    "will may mark bill rose grant hope faith joy grace april june august summer autumn winter day week brown green white black gray grey young long short little strong "
+    "sharp wise good best bright north south east west page price rice art drew frank gene max pat ray rich rob skip guy iris lily dawn violet ruby pearl amber ivy penny sandy "
+    "rusty sunny chance chase case close cope best bean berry church temple house hall park field hill lake wood stone street town city king bishop duke earl prince judge major "
+    "neu klein gross lang kurz alt jung weiss schwarz braun rot sommer herbst winter berg wald stein blanc noir rouge petit grand".split()
+)
 _PERSON_BEFORE = re.compile(rf"(?P<family>[{FAMILY_SIGNS}])(?P<given>[\u4e00-\u9fff]{{0,2}}?)(?P<title>{'|'.join(TITLES_AFTER)})")
 _CASELESS_WORDS = 2
 #: What every entity but a person's name holds or starts with.
@@ -110,22 +124,76 @@ def _script(word: str) -> str:
     return "latin"
 
 
-def _names(text: str) -> dict[str, str]:
-    """The names that stand by a title, with their kinds name:use:script; the first use in the text counts."""
-    names: dict[str, str] = {}
-    for m in _PERSON.finditer(text) if any(t in text for t in _GENDER) else ():
-        words = []
-        for w in m["name"].split(" "):
-            caseless = w[0].lower() == w[0].upper()
-            if not (w[0].isupper() or caseless and len(words) < _CASELESS_WORDS):
+def _titled(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, word, kind) of the words of names that stand by a title; the search goes on where the name ends."""
+    found, at = [], 0
+    while m := _TITLE.search(text, at):
+        at, words = m.end(), []
+        while len(words) < _NAME_WORDS:
+            step = _INITIAL.match(text, at) or words and _PARTICLE.match(text, at)
+            if step:
+                at = step.end()
+                continue
+            step = _NAME_WORD.match(text, at)
+            word = step["word"] if step else ""
+            caseless = word[:1].lower() == word[:1].upper()
+            if not step or not (word[0].isupper() or caseless and len(words) < _CASELESS_WORDS) or word in _GENDER or f"{word}." in _GENDER and text[step.end() : step.end() + 1] == ".":
                 break
-            words.append(w)
-        for k, w in enumerate(words):
-            names.setdefault(w, f"name:{'s' if k == len(words) - 1 else _GENDER[m['title']]}:{_script(w)}")
-    for m in _PERSON_BEFORE.finditer(text) if any(t in text for t in TITLES_AFTER) else ():
-        if m["given"]:
-            names.setdefault(m["family"] + m["given"], f"name:{TITLES_AFTER[m['title']]}:han")
-    return names
+            words.append((step.start("word"), step.end()))
+            at = step.end()
+        for k, (start, end) in enumerate(words):
+            found.append((start, end, text[start:end], f"name:{'s' if k == len(words) - 1 else _GENDER[m['title']]}:{_script(text[start:end])}"))
+        at = max(at, m.end())
+    return found
+
+
+def _people(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, canonical form) of names: those by a title, and their other uses in the text in any letter case.
+
+    A word of ORDINARY counts elsewhere only beside another word of a name. The first use by a title gives a name's kind.
+    """
+    titled = _titled(text) if any(t in text for t in _GENDER) else []
+    names: dict[str, str] = {}
+    for _, _, word, kind in titled:
+        names.setdefault(canonical("name", word), kind)
+    found = [(start, end, names[canonical("name", word)], canonical("name", word)) for start, end, word, _ in titled]
+    if names:
+        whole = {a for a, *_ in found}
+        others = [(m.start(), m.end(), m[0]) for m in re.finditer(rf"(?<![\w'’-])(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?![\w-]|['’](?!s(?!\w))\w)", text, re.I)]
+        others = [x for x in others if x[0] not in whole and not x[2][0].islower()]
+        ends, starts = {e for _, e, *_ in (*found, *others)}, {a for a, *_ in (*found, *others)}
+        for start, end, word in others:
+            form = canonical("name", word)
+            beside = text[start - 1 : start] == " " and start - 1 in ends or text[end : end + 1] == " " and end + 1 in starts
+            if form in names and (form not in ORDINARY or beside):
+                found.append((start, end, names[form], form))
+    if any(t in text for t in TITLES_AFTER):
+        signs: dict[str, str] = {}
+        for m in _PERSON_BEFORE.finditer(text):
+            if m["given"]:
+                signs.setdefault(m["family"] + m["given"], f"name:{TITLES_AFTER[m['title']]}:han")
+        if signs:
+            found += [(m.start(), m.end(), signs[m[0]], m[0]) for m in re.finditer("|".join(map(re.escape, sorted(signs, key=len, reverse=True))), text)]
+    return found
+
+
+#: What stands before numbers that are no addresses or accounts.
+_VERSION, _BOOK = re.compile(r"(?i)(?:\bv|\b(?:version|release|build|firmware|revision)\b)[ .:]*\Z"), re.compile(r"(?i)\bISBN(?:-1[03])?[ :]*\Z")
+_PLAIN_WORD = re.compile(r"[^\W\d_]?[^\W\d_]+[.!?)\]]*")
+
+
+def _private(m: re.Match) -> bool:
+    """Whether a match is personal: not a version, a book's number, or a plain word after a colon."""
+    kind, text, start = m.lastgroup, m.string, m.start(m.lastgroup)
+    before = text[max(0, start - 24) : start]
+    if kind == "ip":
+        return not _VERSION.search(before)
+    if kind == "card":
+        return not _BOOK.search(before)
+    if kind == "secret" and "=" not in text[m.start() : start]:
+        value = m["secret"]
+        return not (_PLAIN_WORD.fullmatch(value) and value[1:] == value[1:].lower())
+    return True
 
 
 def _starts(text: str) -> list[tuple[int, int]]:
@@ -180,13 +248,8 @@ def _matches(text: str):
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form), in order and apart from each other."""
-    found = [(m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup, canonical(m.lastgroup, m[m.lastgroup])) for m in _matches(text)]
-    names = _names(text)
-    if names:
-        signs = [re.escape(n) for n in names if _script(n) == "han"]
-        spelt = [re.escape(n) for n in names if _script(n) != "han"]
-        ways = ([r"(?<!\w)(?:" + "|".join(sorted(spelt, key=len, reverse=True)) + r")(?!\w)"] if spelt else []) + ["|".join(sorted(signs, key=len, reverse=True))] * bool(signs)
-        found += [(m.start(), m.end(), names[m[0]], canonical("name", m[0])) for m in re.finditer("|".join(ways), text)]
+    found = [(m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup, canonical(m.lastgroup, m[m.lastgroup])) for m in _matches(text) if _private(m)]
+    found += _people(text)
     found.sort()
     apart, last = [], 0
     for x in found:
