@@ -120,8 +120,15 @@ def replicate_sums(rows: DataFrame, group: list[str], keys: list[str], values: l
 
 def replicate_metrics(moments: DataFrame, group: list[str], keys: list[str], replicates: int, seed: str = "boot") -> DataFrame:
     """Metrics of every replicate for each of the keys (which contain the group)."""
-    sums = replicate_sums(moments, group, keys, list(MOMENTS), replicates, seed)
-    means = sums.select(*keys, "replicate", *(safe_ratio(F.col(m), F.col("times")).alias(m) for m in MOMENTS))
+    # about the keys' own level, so that no large squares are subtracted
+    level = moments.groupBy(*keys).agg(F.avg("y").alias("_cy"), F.avg("p").alias("_cp"))
+    y, p = F.col("y") - F.col("_cy"), F.col("p") - F.col("_cp")
+    squares = {"var_y": F.col("var_y") + y * y, "var_p": F.col("var_p") + p * p, "cov": F.col("cov") + y * p, "y": y, "p": p}
+    about = moments.join(level, keys).withColumns(squares)
+    sums = replicate_sums(about, group, keys, list(MOMENTS), replicates, seed)
+    means = sums.select(*keys, "replicate", *(safe_ratio(F.col(m), F.col("times")).alias(m) for m in MOMENTS)).join(level, keys)
+    y, p = F.col("y"), F.col("p")
+    means = means.withColumns({"var_y": F.col("var_y") - y * y, "var_p": F.col("var_p") - p * p, "cov": F.col("cov") - y * p, "y": y + F.col("_cy"), "p": p + F.col("_cp")})
     return means.select(*keys, "replicate", *(c.alias(n) for n, c in metric_columns().items()))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,30 +28,43 @@ def subject_table(rows: DataFrame, keys: list[str], values: list[str], first: st
     return rows.groupBy(*keys, "subject_id").agg(F.min_by(first, by).alias(first), *(F.percentile(v, F.lit(0.5)).alias(v) for v in values), F.count("*").alias("n_rows"))
 
 
-def allocate(strata: list[tuple[str, int]], limit: int) -> dict[str, int]:
-    """Subjects for each stratum: the floor of its share, at least 1 where strata allow it, then by largest remainder with lexical ties, never more than it has."""
-    total = sum(n for _, n in strata)
-    if limit >= total:
-        return dict(strata)
-    ideal = {s: limit * n / total for s, n in strata}
-    least = 1 if len(strata) <= limit else 0
-    out = {s: min(n, max(least, math.floor(ideal[s]))) for s, n in strata}
-    size = dict(strata)
-    while sum(out.values()) > limit:
-        s = min((s for s in out if out[s] > least), key=lambda s: (ideal[s] - out[s], s))
-        out[s] -= 1
-    while sum(out.values()) < limit:
-        s = min((s for s in out if out[s] < size[s]), key=lambda s: (out[s] - ideal[s], s))
-        out[s] += 1
-    return out
-
+def allocation(subjects: DataFrame, stratum: str, limit: int) -> DataFrame:
+    """(stratum, n, quota): how many of each stratum's subjects a sample of `limit` takes; all where there are no more.
 
-def stratified_sample(subjects: DataFrame, stratum: str, limit: int, seed: str) -> DataFrame:
-    """`limit` subjects, strata in proportion, chosen inside a stratum by the seeded order. One row for each stratum reaches the driver."""
-    counts = [(x[0], x[1]) for x in subjects.groupBy(F.col(stratum).cast("string")).count().collect()]
-    quota = F.broadcast(subjects.sparkSession.createDataFrame(sorted(allocate(counts, limit).items()), "_stratum string, _quota int"))  # a row for each stratum
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(order_key(seed, "subject_id"), "subject_id"))
-    return subjects.withColumn("_place", place).join(quota, F.col(stratum).cast("string") == F.col("_stratum")).where("_place <= _quota").drop("_place", "_stratum", "_quota")
+    The floor of its share each, at least 1 where the strata allow that. What is then too much goes one by one from the stratum whose quota is furthest above
+    its share and over 1, what is missing to the one furthest below; of equal ones the first by name. As each step moves a stratum by one place in that
+    order, the steps are the first rows of all possible ones in the order: a window over at most `limit` rows, no loop.
+    """
+    sizes = subjects.groupBy(F.coalesce(F.col(stratum).cast("string"), F.lit("<NA>")).alias("stratum")).agg(F.count("*").alias("n"))
+    whole = sizes.agg(F.sum("n").alias("_all"), F.count("*").alias("_strata"))
+    ideal = F.col("n") * (F.lit(float(limit)) / F.col("_all"))
+    shares = sizes.crossJoin(F.broadcast(whole)).withColumn("_ideal", ideal)  # one row
+    floor = F.floor("_ideal").cast("long")
+    first = shares.withColumn("_first", F.when(F.col("_all") <= limit, F.col("n")).when((floor == 0) & (F.col("_strata") <= limit), 1).otherwise(floor))
+    moves = first.crossJoin(F.broadcast(first.agg((F.sum("_first") - F.least(F.max("_all"), F.lit(limit))).alias("_over"))))
+    down = moves.where("_over > 0 and _first > 1").withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_first") - 2, F.col("_over") - 1)))).withColumn("_rank", F.col("_ideal") - F.col("_first") + F.col("_step"))
+    up = moves.where("_over < 0 and _first < n").withColumn("_step", F.lit(0).cast("long")).withColumn("_rank", F.col("_first") - F.col("_ideal"))
+    taken = down.unionByName(up).withColumn("_place", F.row_number().over(Window.orderBy("_rank", "stratum"))).where("_place <= abs(_over)")
+    change = taken.groupBy("stratum").agg(F.sum(-F.signum("_over")).cast("long").alias("_change"))
+    return moves.join(change, "stratum", "left").select("stratum", "n", (F.col("_first") + F.coalesce("_change", F.lit(0).cast("long"))).alias("quota"))
+
+
+def stratified_sample(subjects: DataFrame, stratum: str, limit: int, seed: str, eligible: Column | None = None) -> DataFrame:
+    """`limit` of the eligible subjects, strata in proportion (see allocation), chosen inside a stratum by the seeded order.
+
+    Raises where a subject is there twice, and where fewer than `limit` are eligible.
+    """
+    rows = subjects if eligible is None else subjects.where(eligible)
+    n, different = rows.agg(F.count("*"), F.count_distinct("subject_id")).first()
+    if n != different:
+        raise ValueError(f"stratified_sample: {n - different} of {n} rows repeat a subject")
+    if n < limit:
+        raise ValueError(f"stratified_sample: {limit} subjects are asked for, {n} are eligible")
+    label = F.coalesce(F.col(stratum).cast("string"), F.lit("<NA>"))
+    keyed = rows.withColumn("_label", label).withColumn("_key", order_key(seed, "subject_id"))
+    placed = numbered_from(keyed, ["_label"], ["_key", "subject_id"], "_place")
+    quotas = allocation(rows, stratum, limit).select(F.col("stratum").alias("_label"), "quota")
+    return placed.join(quotas, "_label").where("_place < quota").drop("_place", "_label", "_key", "quota")
 
 
 def evenly_spaced(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Running totals and exact quantiles inside groups of any size, each over many tasks.
+"""Running totals, nearest values and exact quantiles inside groups of any size, each over many tasks.
 
 A window over one group runs in one task. Here a heavy group is cut into ranges of its order first: its bounds come from a sample of the ordering
 values, each range has its own window, and what stands before a range is the sum of the ranges before it (a scan of two levels). Quantiles need no
@@ -73,6 +73,25 @@ def numbered_from(rows: DataFrame, keys: list[str], order: list[str], out: str,
     return running(rows, keys, order, F.lit(1), out, most)
 
 
+def carried(rows: DataFrame, keys: list[str], order: list[str], value: Column, out: str, later: bool = False, here: bool = False, most: int | None = None) -> DataFrame:
+    """The rows with `out`: the value of the nearest row before (or after: later) in the order within the keys that has one; here: the row's own counts.
+
+    Heavy groups are cut into ranges; what a range has last (or first) is carried over those after (before) it, so no task holds a group.
+    """
+    cut = ranges(rows, keys, order, most).withColumn("_value", value)
+    place, pick = F.struct(*(F.col(c) for c in order)), F.min_by if later else F.max_by
+    ends = cut.where(F.col("_value").isNotNull()).groupBy(*keys, "_range").agg(pick("_value", place).alias("_end"))
+    # a row for each range, so that ranges without a value take it over too
+    every = cut.select(*keys, "_range").distinct().join(ends.withColumnRenamed("_range", "_r0").select(*(F.col(k).alias(f"_e_{k}") for k in keys), "_r0", "_end"), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys], F.col("_range") == F.col("_r0")), "left")
+    over = Window.partitionBy(*keys).orderBy(F.desc("_range") if later else F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = every.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_range").alias("_r"), F.last("_end", ignorenulls=True).over(over).alias("_carried")).where("_carried is not null")  # ranges of heavy groups: 2 * RANGES at most
+    own = Window.partitionBy(*keys, "_range").orderBy(*(F.desc(c) if later else F.asc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0 if here else -1)
+    near = F.last("_value", ignorenulls=True).over(own)
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_range") == F.col("_r"))
+    found = cut.withColumn("_near", near).join(F.broadcast(offsets), on, "left")
+    return found.withColumn(out, F.coalesce("_near", "_carried")).drop("_range", "_value", "_near", "_carried", "_r", *(f"_k_{k}" for k in keys))
+
+
 #: A range of this many rows is sorted instead of counted again; ranges that one count makes of a range.
 SORTED, PARTS = 1 << 16, 1 << 10
 #: Refinements at most; each leaves a range's rows in PARTS parts of its width, so a few do. What is larger then is sorted in one task.
@@ -126,4 +145,4 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[f
     return each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "_q"))).alias("_all")).select(*keys, F.col("_all._q").alias(out))
 
 
-__all__ = ["exact_quantiles", "numbered_from", "ranges", "running"]
+__all__ = ["carried", "exact_quantiles", "numbered_from", "ranges", "running"]

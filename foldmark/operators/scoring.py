@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 from ..functions import safe_ratio
 from .scans import running
 
-MOMENTS = ("abs_error", "square_error", "error", "y", "y2", "p", "p2", "yp")
+#: A subject's means, and the variances and covariance of its units about them.
+MEANS, SPREADS = ("abs_error", "square_error", "error", "y", "p"), ("var_y", "var_p", "cov")
+MOMENTS = (*MEANS, *SPREADS)
+#: A variance below this part of the squared level is what rounding leaves of a constant.
+NOISE = 1e-24
 
 
-def scoring_units(predictions: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each of the keys, subject and measurement: mean truth, mean prediction, number of rows."""
-    return predictions.groupBy(*keys, "subject_id", "measurement_id").agg(F.avg("y_true").alias("y_true"), F.avg("y_pred").alias("y_pred"), F.count("*").alias("n_segments"))
+def scoring_units(predictions: DataFrame, keys: list[str], segment: str | None = None) -> DataFrame:
+    """One row for each of the keys, subject and measurement: mean truth, mean prediction, number of rows (of different segments, where their column is given)."""
+    n = F.count("*") if segment is None else F.count_distinct(segment)
+    return predictions.groupBy(*keys, "subject_id", "measurement_id").agg(F.avg("y_true").alias("y_true"), F.avg("y_pred").alias("y_pred"), n.alias("n_segments"))
 
 
 def across_seeds(units: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,32 +37,35 @@ def with_subject_mean(rows: DataFrame, keys: list[str], value: str, out: str) ->
 
 
 def subject_moments(units: DataFrame, keys: list[str]) -> DataFrame:
-    """Eight mean moments of each subject, and its number of units."""
+    """Means of each subject's units, their variances and covariance about them, and the number of units."""
     e, y, p = F.col("y_pred") - F.col("y_true"), F.col("y_true"), F.col("y_pred")
-    values = (F.abs(e), e * e, e, y, y * y, p, p * p, y * p)
-    return units.groupBy(*keys, "subject_id").agg(*(F.avg(v).alias(n) for v, n in zip(values, MOMENTS, strict=True)), F.count("*").alias("n_units"))
+    means = [F.avg(v).alias(n) for v, n in zip((F.abs(e), e * e, e, y, p), MEANS, strict=True)]
+    spreads = [F.var_pop(y).alias("var_y"), F.var_pop(p).alias("var_p"), F.covar_pop(y, p).alias("cov")]
+    return units.groupBy(*keys, "subject_id").agg(*means, *spreads, F.count("*").alias("n_units"))
 
 
 def metric_columns() -> dict:
-    """The metrics as expressions of the mean moments; null where undefined."""
+    """The metrics as expressions of the moments over subjects; null where undefined."""
     m = {n: F.col(n) for n in MOMENTS}
-    var_y, var_p, cov = m["y2"] - m["y"] * m["y"], m["p2"] - m["p"] * m["p"], m["yp"] - m["y"] * m["p"]
-    some_y, some_p = F.when(var_y > 1e-9 * m["y2"], var_y), F.when(var_p > 1e-9 * m["p2"], var_p)
-    slope = cov / some_p
+    some_y, some_p = (F.when(m[f"var_{x}"] > NOISE * m[x] * m[x], m[f"var_{x}"]) for x in ("y", "p"))
+    slope = m["cov"] / some_p
     return {
         "mae": m["abs_error"], "rmse": F.sqrt(m["square_error"]), "bias": m["error"], "error_std": F.sqrt(F.greatest(F.lit(0.0), m["square_error"] - m["error"] * m["error"])),
-        "r2": 1 - m["square_error"] / some_y, "correlation": cov / F.sqrt(some_y * some_p), "calibration_slope": slope, "calibration_intercept": m["y"] - slope * m["p"],
+        "r2": 1 - m["square_error"] / some_y, "correlation": m["cov"] / F.sqrt(some_y * some_p), "calibration_slope": slope, "calibration_intercept": m["y"] - slope * m["p"],
     }
 
 
 METRICS = ("mae", "rmse", "bias", "error_std", "r2", "correlation", "calibration_slope", "calibration_intercept")
 
 
-def metrics_of_moments(moments: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """Metrics of each of the keys from subjects' moments, each subject counting once (or `weight` times)."""
-    mean = (lambda n: F.avg(n)) if weight is None else (lambda n: safe_ratio(F.sum(F.col(n) * F.col(weight)), F.sum(weight)))
-    counted = F.count("*") if weight is None else F.sum(weight)
-    means = moments.groupBy(*keys).agg(*(mean(n).alias(n) for n in MOMENTS), counted.alias("n_subjects"), F.sum("n_units").alias("n_measurements"))
+def metrics_of_moments(moments: DataFrame, keys: list[str]) -> DataFrame:
+    """Metrics of each of the keys from subjects' moments, each subject counting once.
+
+    A variance over all is the mean of the subjects' own plus that of their means, neither a difference of large squares.
+    """
+    between = {"var_y": F.var_pop("y"), "var_p": F.var_pop("p"), "cov": F.covar_pop("y", "p")}
+    parts = [F.avg(n).alias(n) for n in MEANS] + [(F.avg(n) + between[n]).alias(n) for n in SPREADS]
+    means = moments.groupBy(*keys).agg(*parts, F.count("*").alias("n_subjects"), F.sum("n_units").alias("n_measurements"))
     return means.select(*keys, "n_subjects", "n_measurements", *(c.alias(n) for n, c in metric_columns().items()))
 
 

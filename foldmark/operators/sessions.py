@@ -2,39 +2,47 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import padded_id
+from .scans import carried, running
 
 
 def onsets(rows: DataFrame, keys: list[str], order: str, token: Column) -> DataFrame:
     """With `onset`: the token holds here and did not at the record before."""
-    now = F.coalesce(token, F.lit(False))
-    return rows.withColumn("_now", now).withColumn("onset", F.col("_now") & ~F.coalesce(F.lag("_now").over(Window.partitionBy(*keys).orderBy(order)), F.lit(False))).drop("_now")
+    marked = carried(rows.withColumn("_now", F.coalesce(token, F.lit(False))), keys, [order], F.col("_now"), "_was")
+    return marked.withColumn("onset", F.col("_now") & ~F.coalesce(F.col("_was"), F.lit(False))).drop("_now", "_was")
 
 
 def session_starts(marked: DataFrame, keys: list[str], order: str, length: int, place: int) -> DataFrame:
-    """(keys, starts array<int>): where sessions begin.
+    """(keys, start): where sessions begin, a row for each.
 
     Onsets are protocol marks: a session begins `place` - 1 records before each, if that isn't before the first record, and at the first record. Several
     such starts are trusted as they are; with one alone a session begins every `length` records. The last session is cut into pieces of `length`.
     """
-    at = F.sort_array(F.collect_set(F.when(F.col("onset"), F.col(order) - (place - 1))))
-    bounds = marked.groupBy(*keys).agg(F.min(order).alias("lo"), F.max(order).alias("hi"), at.alias("at"))
-    given = F.array_distinct(F.concat(F.array("lo"), F.filter("at", lambda s: s >= F.col("lo"))))
-    last = F.element_at("given", -1)
-    pieces = F.sequence(last, F.greatest(last, F.col("hi")), F.lit(length))
-    before = F.expr("slice(given, 1, size(given) - 1)")
-    return bounds.withColumn("given", given).select(*keys, F.concat(before, pieces).alias("starts"))
+    bounds = marked.groupBy(*keys).agg(F.min(order).alias("_low"), F.max(order).alias("_high"), F.max(F.when(F.col("onset"), F.col(order) - (place - 1))).alias("_at"))
+    last = F.greatest("_low", F.coalesce("_at", "_low"))
+    pieces = bounds.select(*keys, F.explode(F.sequence(last, F.greatest(last, F.col("_high")), F.lit(length))).alias("start"))
+    low = bounds.select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_low")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    marks = marked.where("onset").select(*keys, (F.col(order) - (place - 1)).alias("start")).join(low, same).where(F.col("start") >= F.col("_low")).select(*keys, "start")
+    return marks.unionByName(pieces).unionByName(bounds.select(*keys, F.col("_low").alias("start"))).distinct()
 
 
 def derived_sessions(marked: DataFrame, keys: list[str], order: str, length: int, place: int) -> DataFrame:
-    """The records with session_index (from 1), session_position (from 1) and session_id."""
-    joined = marked.join(session_starts(marked, keys, order, length, place), keys)
-    before = F.filter("starts", lambda s: s <= F.col(order))
-    out = joined.withColumn("session_index", F.size(before)).withColumn("session_position", (F.col(order) - F.element_at(before, -1) + 1).cast("int"))
-    return out.withColumn("session_id", F.concat_ws("-session-", F.concat_ws("-", *(F.col(k).cast("string") for k in keys)), padded_id(F.col("session_index").cast("string"), 2))).drop("starts")
+    """The records with session_index (from 1), session_position (from 1) and session_id.
+
+    Starts and records are put into one order, in which each record takes the last start and the number of starts: no record meets all starts of its key.
+    """
+    starts = session_starts(marked, keys, order, length, place).select(*keys, F.col("start").alias(order)).withColumn("_start", F.lit(True))
+    both = marked.withColumn("_start", F.lit(False)).unionByName(starts, allowMissingColumns=True).withColumn("_second", (~F.col("_start")).cast("int"))
+    counted = running(both, keys, [order, "_second"], F.col("_start").cast("int"), "session_index")
+    placed = carried(counted, keys, [order, "_second"], F.when(F.col("_start"), F.col(order)), "_from").where(~F.col("_start"))
+    out = placed.withColumn("session_index", F.col("session_index").cast("int")).withColumn("session_position", (F.col(order) - F.col("_from") + 1).cast("int")).drop("_start", "_second", "_from")
+    return out.withColumn("session_id", F.concat_ws("-session-", F.concat_ws("-", *(F.col(k).cast("string") for k in keys)), padded_id(F.col("session_index").cast("string"), 2)))
 
 
 def session_errors(sessions: DataFrame, keys: list[str], length: int, place: int) -> DataFrame:
@@ -54,10 +62,9 @@ def checked_sessions(sessions: DataFrame, keys: list[str], length: int, place: i
 
 def nearest(rows: DataFrame, keys: list[str], order: list[str], here: Column, mark: Column, value: str) -> DataFrame:
     """Rows where `here` holds, with the value of the nearest earlier and later row where `mark` holds."""
-    own = Window.partitionBy(*keys).orderBy(*order)
-    found = rows.withColumn("previous_value", F.last(F.when(mark, F.col(value)), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)))
-    found = found.withColumn("next_value", F.first(F.when(mark, F.col(value)), ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing)))
-    return found.where(here)
+    marked = F.when(mark, F.col(value))
+    found = carried(rows, keys, order, marked, "previous_value")
+    return carried(found, keys, order, marked, "next_value", later=True).where(here)
 
 
 def selected_epochs(history: DataFrame, run: list[str], epoch: str, score: str, patience: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,14 @@ from ..functions import weighted_mean
 from .scoring import lower_weighted_median
 
 
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+
+
+def _gap(x: Column) -> Column:
+    return (x.isNull() | F.isnan(x)).cast("double")
+
+
 def long_values(rows: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
     """(keep, feature, value): one row for each of the columns."""
     pairs = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns))
@@ -18,16 +28,18 @@ def long_values(rows: DataFrame, keep: list[str], columns: list[str]) -> DataFra
 def fit_numeric(rows: DataFrame, pool: list[str], columns: list[str], weight: str, scale_indicators: bool = True, whole_table: bool = False) -> DataFrame:
     """(pool, feature, median, mean, scale, has_gap, gap_mean, gap_scale): train-only parameters of each pool and feature.
 
-    Gaps are filled with the lower weighted median before mean and population deviation are taken; a deviation of (nearly) 0 counts as 1.
+    Values that are not finite are filled with the lower weighted median before mean and population deviation are taken; nulls and NaN are gaps, which an
+    indicator tells (infinities are filled only). A deviation up to the precision of a double counts as 1. A feature without a finite value is filled with 0.
     whole_table: a feature has an indicator in every pool if it has a gap in any.
     """
     values = long_values(rows, [*pool, weight], columns)
-    medians = lower_weighted_median(values, [*pool, "feature"], "value", weight)
-    filled = values.join(medians, [*pool, "feature"], "left").withColumn("x", F.coalesce("value", "median", F.lit(0.0))).withColumn("g", F.col("value").isNull().cast("double"))
-    w = F.col(weight)
-    out = filled.groupBy(*pool, "feature").agg(F.max("median").alias("median"), weighted_mean(F.col("x"), w).alias("mean"), weighted_mean(F.col("x") * F.col("x"), w).alias("_x2"), weighted_mean(F.col("g"), w).alias("gap_mean"), F.max("g").alias("_gap"))
-    deviation = lambda v: F.when(F.sqrt(F.greatest(F.lit(0.0), v)) > 1e-8, F.sqrt(F.greatest(F.lit(0.0), v))).otherwise(1.0)
-    out = out.withColumn("scale", deviation(F.col("_x2") - F.col("mean") * F.col("mean"))).withColumn("gap_scale", deviation(F.col("gap_mean") * (1 - F.col("gap_mean"))))
+    medians = lower_weighted_median(values.where(_finite(F.col("value"))), [*pool, "feature"], "value", weight)
+    x, w = F.coalesce(F.when(_finite(F.col("value")), F.col("value")), F.col("median"), F.lit(0.0)), F.col(weight)
+    # differences to the median: a feature of one value has deviation 0 exactly, whatever its level
+    filled = values.join(medians, [*pool, "feature"], "left").withColumn("d", x - F.coalesce("median", F.lit(0.0))).withColumn("g", _gap(F.col("value")))
+    out = filled.groupBy(*pool, "feature").agg(F.max("median").alias("median"), weighted_mean(F.col("d"), w).alias("_d"), weighted_mean(F.col("d") * F.col("d"), w).alias("_d2"), weighted_mean(F.col("g"), w).alias("gap_mean"), F.max("g").alias("_gap"))
+    deviation = lambda v: F.when(F.sqrt(F.greatest(F.lit(0.0), v)) > sys.float_info.epsilon, F.sqrt(F.greatest(F.lit(0.0), v))).otherwise(1.0)
+    out = out.withColumn("mean", F.coalesce("median", F.lit(0.0)) + F.col("_d")).withColumn("scale", deviation(F.col("_d2") - F.col("_d") * F.col("_d"))).withColumn("gap_scale", deviation(F.col("gap_mean") * (1 - F.col("gap_mean"))))
     if whole_table:
         out = out.drop("_gap").join(out.groupBy("feature").agg(F.max("_gap").alias("_gap")), "feature")
     if not scale_indicators:
@@ -38,8 +50,8 @@ def fit_numeric(rows: DataFrame, pool: list[str], columns: list[str], weight: st
 def apply_numeric(rows: DataFrame, params: DataFrame, pool: list[str], key: list[str], columns: list[str]) -> DataFrame:
     """(pool, key, feature, value, indicator): z-scored values; the indicator is null for features without gaps in the fit."""
     values = long_values(rows, [*pool, *key], columns).join(params, [*pool, "feature"])
-    z = (F.coalesce("value", "median", F.lit(0.0)) - F.col("mean")) / F.col("scale")
-    gap = F.when(F.col("has_gap"), (F.col("value").isNull().cast("double") - F.col("gap_mean")) / F.col("gap_scale"))
+    z = (F.coalesce(F.when(_finite(F.col("value")), F.col("value")), F.col("median"), F.lit(0.0)) - F.col("mean")) / F.col("scale")
+    gap = F.when(F.col("has_gap"), (_gap(F.col("value")) - F.col("gap_mean")) / F.col("gap_scale"))
     return values.select(*pool, *key, "feature", z.alias("value"), gap.alias("indicator"))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import carried, numbered_from
+
 
 def _sum(x: Column, f=lambda v: v) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + f(v))
@@ -36,14 +40,6 @@ def moments_of(x: Column) -> Column:
     return F.get(F.transform(F.array(_power_sums(x)), central), F.lit(0))
 
 
-def mean_of(x: Column) -> Column:
-    return moments_of(x)["mean"]
-
-
-def deviation_of(x: Column) -> Column:
-    return F.sqrt(moments_of(x)["variance"])
-
-
 def differences(x: Column) -> Column:
     """x[i + 1] - x[i]; empty for fewer than two."""
     n = F.size(x)
@@ -127,3 +123,39 @@ def encoded(rows: DataFrame, encoder, size: int, batch: int = 256, keep: tuple[s
                 yield part[list(keep)].assign(features=list(made))
 
     return rows.select(*keep, "rate", "samples").mapInPandas(run, schema)
+
+
+def peaks(rows: DataFrame, keys: list[str], order: list[str], value: str, least: Column | None = None) -> DataFrame:
+    """The rows that are peaks, with `place` (from 0 in the record): higher than the row before, not lower than the row after, and with `least` at least that high.
+
+    rows: a record's samples as rows in an order; the first and last of a record are no peaks. Records of any length run in many tasks.
+    """
+    placed = numbered_from(rows, keys, order, "place")
+    both = carried(carried(placed, keys, order, F.col(value), "_before"), keys, order, F.col(value), "_after", later=True)
+    high = F.lit(True) if least is None else F.col(value) >= least
+    return both.where((F.col(value) > F.col("_before")) & (F.col(value) >= F.col("_after")) & high).drop("_before", "_after")
+
+
+def peak_intervals(found: DataFrame, keys: list[str], rate: float) -> DataFrame:
+    """(keys, n_peaks, interval_mean, interval_sd, interval_rmssd, per_minute) of peaks(): seconds between neighbours, their sample deviation, the root mean
+    square of the differences of neighbouring intervals, and peaks a minute; null where there are too few peaks.
+    """
+    step = carried(found, keys, ["place"], F.col("place"), "_last").withColumn("_interval", (F.col("place") - F.col("_last")) / F.lit(float(rate)))
+    change = carried(step, keys, ["place"], F.col("_interval"), "_previous").withColumn("_change", F.col("_interval") - F.col("_previous"))
+    out = change.groupBy(*keys).agg(F.count("*").alias("n_peaks"), F.avg("_interval").alias("interval_mean"), F.stddev_samp("_interval").alias("interval_sd"), F.sqrt(F.avg(F.col("_change") * F.col("_change"))).alias("interval_rmssd"))
+    return out.withColumn("per_minute", 60 / F.nullif(F.col("interval_mean"), F.lit(0.0)))
+
+
+def band_peak(placed: DataFrame, keys: list[str], place: str, value: str, rate: float, frequencies: list[float]) -> DataFrame:
+    """(keys, n, peak_hz, peak_power): the frequency of the given ones at which a record's Fourier sum is largest (the lowest of equal ones), and its power.
+
+    All sums are aggregates of one partially aggregated grouping, so no record is collected and no row is multiplied; frequencies are a short list. The level
+    of a record is taken out by its own Fourier sum of ones.
+    """
+    x, angle = F.col(value), lambda f: F.col(place) * F.lit(2 * math.pi * f / rate)
+    sums = [g(angle(f)) * v for f in frequencies for g in (F.cos, F.sin) for v in (x, F.lit(1.0))]
+    found = placed.where(x.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("_mean"), *(F.sum(s).alias(f"_s{k}") for k, s in enumerate(sums)))
+    part = lambda k: F.col(f"_s{k}") - F.col("_mean") * F.col(f"_s{k + 1}")
+    power = [(part(4 * k) * part(4 * k) + part(4 * k + 2) * part(4 * k + 2)) / F.col("n") for k in range(len(frequencies))]
+    best = F.array_max(F.array(*(F.struct(p.alias("p"), F.lit(-float(f)).alias("f")) for p, f in zip(power, frequencies, strict=True))))
+    return found.select(*keys, "n", (-best["f"]).alias("peak_hz"), best["p"].alias("peak_power"))

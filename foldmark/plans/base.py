@@ -30,8 +30,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-#: What is added to means of cents before they are rounded to seven digits, for engines that add in another order.
-OFF_EDGE = 0.2317e-7
 METRIC_NAMES = ("mae", "rmse", "bias", "error_std", "r2", "correlation", "calibration_slope", "calibration_intercept")
 
 
@@ -42,17 +40,17 @@ def subjects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """(cohort, subject_id, measurement_id, seed, fold, y_true, method, y_pred)"""
+    """(cohort, subject_id, measurement_id, segment_id, seed, fold, y_true, method, y_pred)"""
     part = table(spark, d, "part").select("p_partkey", "p_retailprice")
     line = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(subjects(spark, d).select("cohort", "subject_id"), F.col("o_custkey") == F.col("subject_id")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     signal, covariates = F.col("p_retailprice") * F.col("l_quantity"), 1500.0 * F.col("l_quantity")
     made = F.explode(F.create_map(F.lit("signal"), signal, F.lit("covariates"), covariates, F.lit("signal_plus"), 0.5 * (signal + covariates))).alias("method", "y_pred")
-    return rows.select("cohort", "subject_id", F.col("o_orderkey").alias("measurement_id"), (F.col("l_linenumber") % 3).alias("seed"), (F.col("subject_id") % 5).cast("int").alias("fold"), F.col("l_extendedprice").alias("y_true"), made)
+    return rows.select("cohort", "subject_id", F.col("o_orderkey").alias("measurement_id"), F.col("l_linenumber").alias("segment_id"), (F.col("l_linenumber") % 3).alias("seed"), (F.col("subject_id") % 5).cast("int").alias("fold"), F.col("l_extendedprice").alias("y_true"), made)
 
 
-PRED = """pred AS (SELECT n.n_regionkey AS cohort, o.o_custkey AS subject_id, o.o_orderkey AS measurement_id, l.l_linenumber % 3 AS seed,
+PRED = """pred AS (SELECT n.n_regionkey AS cohort, o.o_custkey AS subject_id, o.o_orderkey AS measurement_id, l.l_linenumber AS segment_id, l.l_linenumber % 3 AS seed,
  CAST(o.o_custkey % 5 AS INTEGER) AS fold, l.l_extendedprice AS y_true, m.method,
  CASE m.method WHEN 'signal' THEN p.p_retailprice * l.l_quantity WHEN 'covariates' THEN 1500.0 * l.l_quantity ELSE 0.5 * (p.p_retailprice * l.l_quantity + 1500.0 * l.l_quantity) END AS y_pred
  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
@@ -68,19 +66,19 @@ def sql_units(keys: str, name: str = "units") -> str:
 
 def sql_moments(keys: str, source: str, name: str = "moments") -> str:
     return f"""{name} AS (SELECT {keys}, subject_id, avg(abs(y_pred - y_true)) AS abs_error, avg((y_pred - y_true) * (y_pred - y_true)) AS square_error, avg(y_pred - y_true) AS error,
- avg(y_true) AS y, avg(y_true * y_true) AS y2, avg(y_pred) AS p, avg(y_pred * y_pred) AS p2, avg(y_true * y_pred) AS yp,
+ avg(y_true) AS y, avg(y_pred) AS p, var_pop(y_true) AS var_y, var_pop(y_pred) AS var_p, covar_pop(y_true, y_pred) AS cov,
  count(*) AS n_units FROM {source} GROUP BY ALL)"""
 
 
 def sql_metrics(keys: str, source: str, name: str = "metrics", weight: str | None = None) -> str:
     mean = lambda c: f"avg({c})" if weight is None else f"sum({c} * {weight}) / sum({weight})"
-    means = ", ".join(f"{mean(c)} AS {c}" for c in ("abs_error", "square_error", "error", "y", "y2", "p", "p2", "yp"))
+    means = ", ".join(f"{mean(c)} AS {c}" for c in ("abs_error", "square_error", "error", "y", "p"))
+    second = {"vy": ("var_y", "y", "y"), "vp": ("var_p", "p", "p"), "cov": ("cov", "y", "p")}
+    spreads = ", ".join((f"avg({v}) + covar_pop({a}, {b}) AS {n}" if weight is None else f"{mean(f'({v} + {a} * {b})')} - {mean(a)} * {mean(b)} AS {n}") for n, (v, a, b) in second.items())
     count = "count(*)" if weight is None else f"sum({weight})"
     return f"""{name} AS (SELECT {keys}, CAST(n_subjects AS BIGINT) AS n_subjects, CAST(n_measurements AS BIGINT) AS n_measurements, abs_error AS mae, sqrt(square_error) AS rmse, error AS bias, sqrt(greatest(0.0, square_error - error * error)) AS error_std,
- 1 - square_error / vy AS r2, cov / sqrt(vy * vp) AS correlation, cov / vp AS calibration_slope, y - cov / vp * p AS calibration_intercept
- FROM (SELECT *, CASE WHEN y2 - y * y > 1e-9 * y2 THEN y2 - y * y END AS vy, CASE WHEN p2 - p * p > 1e-9 * p2 THEN p2 - p * p END AS vp, yp - y * p AS cov
-  FROM (SELECT {keys}, {means}, {count} AS n_subjects, sum(n_units) AS n_measurements FROM {source}
- GROUP BY {keys})))"""
+ 1 - square_error / nullif(vy, 0) AS r2, cov / sqrt(nullif(vy * vp, 0)) AS correlation, cov / nullif(vp, 0) AS calibration_slope, y - cov / nullif(vp, 0) * p AS calibration_intercept
+ FROM (SELECT {keys}, {means}, {spreads}, {count} AS n_subjects, sum(n_units) AS n_measurements FROM {source} GROUP BY {keys}))"""
 
 
 def sql_key(seed: str, *parts: str) -> str:

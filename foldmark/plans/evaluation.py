@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rounded
 from ..operators import bootstrap, contrasts, scoring
-from .base import METRIC_NAMES, OFF_EDGE, PRED, SUBJECTS, predictions, query, sql_draws, sql_metrics, sql_moments, sql_round, sql_units, subjects, table
+from .base import METRIC_NAMES, PRED, SUBJECTS, predictions, query, sql_draws, sql_metrics, sql_moments, sql_round, sql_units, subjects, table
 
 REPLICATES = 200
 
@@ -20,10 +20,12 @@ def units(spark: SparkSession, d: str, seeds: bool = True) -> DataFrame:
     return scoring.scoring_units(predictions(spark, d), ["cohort", "fold", "method", *(["seed"] if seeds else [])])
 
 
-@query(f"""WITH {PRED}, {sql_units('cohort, fold, seed, method')} SELECT cohort, fold, seed, method, subject_id, measurement_id, {sql_round(['y_true', 'y_pred'], 5)}, n_segments
- FROM units""")
+@query(f"""WITH {PRED}, {sql_units('cohort, fold, seed, method')}, sg AS (SELECT cohort, fold, seed, method, subject_id, measurement_id, count(DISTINCT segment_id) AS n_segments FROM pred GROUP BY ALL)
+SELECT cohort, fold, seed, method, subject_id, measurement_id, {sql_round(['y_true', 'y_pred'], 5)}, sg.n_segments
+ FROM units JOIN sg USING (cohort, fold, seed, method, subject_id, measurement_id)""")
 def scoring_units(spark, d):
-    return _round(units(spark, d), ["y_true", "y_pred"], 5)
+    made = scoring.scoring_units(predictions(spark, d), ["cohort", "fold", "method", "seed"], "segment_id")
+    return _round(made, ["y_true", "y_pred"], 5)
 
 
 @query(f"""WITH {PRED}, {sql_units('cohort, fold, method')}, {sql_moments('cohort, method', 'units')}, {sql_metrics('cohort, method', 'moments')} SELECT cohort, method, n_subjects, n_measurements, {sql_round(METRIC_NAMES)}
@@ -286,16 +288,24 @@ def benchmark_summary(spark, d):
     return _round(summary, [*METRIC_NAMES, *(f"{m}_seed_sd" for m in METRIC_NAMES)]).join(intervals, ["cohort", "method"])
 
 
-#: Digits of the shown moments. Means of cents lie on the edges of rounding, so a fraction of the last digit is added to them; squares are shown in thousands.
-_MOMENT_DIGITS = {"abs_error": 7, "square_error": -3, "error": 7, "y": 7, "y2": -3, "p": 7, "p2": -3, "yp": -3}
+#: Moments of subjects whose units are single lines: their sums are sums of cents, exact as decimals; spreads are shown as deviations and a slope.
+_EXACT = ("abs_error", "error", "y", "p")
 
 
-@query(f"""WITH {PRED}, {sql_units('cohort, method')}, {sql_moments('cohort, method', 'units')},
+@query(f"""WITH {PRED}, lines AS (SELECT cohort, method, subject_id, y_true, y_pred FROM pred),
+{sql_moments('cohort, method', 'lines')}, x AS (SELECT cohort, method, subject_id, {', '.join(f'CAST(sum(CAST({e} AS DECIMAL(18, 4))) AS DOUBLE) / count(*) AS {n}' for n, e in (('abs_error', 'abs(y_pred - y_true)'), ('error', 'y_pred - y_true'), ('y', 'y_true'), ('p', 'y_pred')))}
+ FROM lines GROUP BY ALL),
 n AS (SELECT cohort, subject_id, row_number() OVER (PARTITION BY cohort ORDER BY CAST(subject_id AS VARCHAR)) - 1 AS idx
  FROM (SELECT DISTINCT cohort, subject_id FROM moments))
-SELECT cohort, method, subject_id, CAST(idx AS INTEGER) AS idx, {', '.join(f'round({m} + {OFF_EDGE}, {k}) + 0.0 AS {m}' for m, k in _MOMENT_DIGITS.items())}, n_units
-FROM moments JOIN n USING (cohort, subject_id)""")
+SELECT cohort, method, subject_id, CAST(idx AS INTEGER) AS idx, {', '.join(f'x.{m} AS {m}' for m in _EXACT)}, round(sqrt(m.square_error), 2) AS rms_error, round(sqrt(var_y), 2) AS sd_y,
+ round(sqrt(var_p), 2) AS sd_p, round(cov / nullif(sqrt(var_y * var_p), 0), 6) AS correlation, n_units
+FROM moments m JOIN x USING (cohort, method, subject_id) JOIN n USING (cohort, subject_id)""")
 def subject_moments(spark, d):
-    moments = scoring.subject_moments(scoring.scoring_units(predictions(spark, d), ["cohort", "method"]), ["cohort", "method"])
+    lines = predictions(spark, d)
+    moments = scoring.subject_moments(lines, ["cohort", "method"])
     index = bootstrap.indexed(moments, ["cohort"]).select("cohort", "subject_id", "idx")
-    return moments.withColumns({m: rounded(F.col(m) + OFF_EDGE, k) for m, k in _MOMENT_DIGITS.items()}).join(index, ["cohort", "subject_id"])
+    # means of doubles differ in their last digits from engine to engine; a mean of cents is shown as the double next to it
+    cents = {m: (F.round(F.col(m) * F.col("n_units"), 3).cast("decimal(28, 3)").cast("double") / F.col("n_units")) for m in _EXACT}
+    spreads = {"rms_error": F.round(F.sqrt("square_error"), 2), "sd_y": F.round(F.sqrt("var_y"), 2), "sd_p": F.round(F.sqrt("var_p"), 2), "correlation": F.round(F.col("cov") / F.nullif(F.sqrt(F.col("var_y") * F.col("var_p")), F.lit(0.0)), 6)}
+    shown = moments.select("cohort", "method", "subject_id", *(c.alias(n) for n, c in {**cents, **spreads}.items()), "n_units")
+    return shown.join(index, ["cohort", "subject_id"])

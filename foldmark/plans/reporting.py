@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rounded
-from ..operators import manifest, reports, ridge, scoring, transforms, waveform
-from .base import OFF_EDGE, PRED, SUBJECTS, predictions, query, sql_metrics, sql_moments, sql_units, subjects, table
+from ..operators import manifest, reports, ridge, scans, scoring, transforms, waveform
+from .base import PRED, SUBJECTS, predictions, query, sql_metrics, sql_moments, sql_units, subjects, table
 from .evaluation import _ORDER_UNITS, _order_units, complementarity, constant_contrast, paired_bootstrap_ci
 from .base import ORACLE_SQL as _ORACLE
 
@@ -190,16 +190,26 @@ def information_source_table(spark, d):
     return reports.information_sources(metrics, constant_contrast(spark, d).where("constant = 'median_constant'"), complementarity(spark, d), ["cohort"], ["signal", "covariates", "signal_plus"])
 
 
-@query(f"""WITH {_ORDER_UNITS} SELECT cohort, subject_id, measurement_id, round(y_true - avg(y_true) OVER (PARTITION BY cohort, subject_id) + {OFF_EDGE}, 7) + 0.0 AS deviation
- FROM ou""")
+# means of cents as exact decimals with six digits, in SQL by whole numbers of cents and millionths
+_MICRO = "(2 * CAST(sum(CAST(round(y_true * 100) AS BIGINT)) AS HUGEINT) * 10000 + count(*)) // (2 * count(*))"
+
+
+def _cents(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("y_true", F.col("y_true").cast("decimal(18, 2)"))
+
+
+@query(f"""WITH {_ORDER_UNITS}, m AS (SELECT cohort, subject_id, {_MICRO} AS micro FROM ou GROUP BY ALL)
+SELECT cohort, subject_id, measurement_id, CAST(CAST(round(y_true * 100) AS BIGINT) * 10000 - micro AS DOUBLE) / 1e6 AS deviation FROM ou JOIN m USING (cohort, subject_id)""")
 def join_back_means(spark, d):
-    rows = scoring.with_subject_mean(_order_units(spark, d), ["cohort"], "y_true", "mean")
-    return rows.select("cohort", "subject_id", "measurement_id", rounded(F.col("y_true") - F.col("mean") + OFF_EDGE, 7).alias("deviation"))
+    rows = scoring.with_subject_mean(_cents(_order_units(spark, d)), ["cohort"], "y_true", "mean")
+    return rows.select("cohort", "subject_id", "measurement_id", (F.col("y_true") - F.col("mean")).cast("double").alias("deviation"))
 
 
-@query(f"WITH {_SUBJECT_MEANS} SELECT cohort, subject_id, round(y + {OFF_EDGE}, 7) AS mean, acctbal, segment FROM sj")
+@query(f"""WITH {_ORDER_UNITS}, m AS (SELECT cohort, subject_id, CAST({_MICRO} AS DOUBLE) / 1e6 AS mean FROM ou GROUP BY ALL)
+SELECT cohort, subject_id, mean, s.acctbal, s.segment FROM m JOIN subjects s USING (cohort, subject_id)""")
 def covariate_join(spark, d):
-    return _subject_means(spark, d).select("cohort", "subject_id", rounded(F.col("y") + OFF_EDGE, 7).alias("mean"), "acctbal", "segment")
+    means = _cents(_order_units(spark, d)).groupBy("cohort", "subject_id").agg(F.avg("y_true").cast("double").alias("mean"))
+    return means.join(subjects(spark, d), ["cohort", "subject_id"])
 
 
 @query("""WITH a AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS s, o_orderpriority AS p,
@@ -378,3 +388,33 @@ def _halves(samples, rates) -> np.ndarray:
 def apply_encoder(spark, d):
     return waveform.encoded(_records(spark, d), _halves, 3).select("segment_id", *(rounded(F.col("features")[k], 6).alias(f"f{k}") for k in range(3)))
 
+
+def _samples(spark, d) -> DataFrame:
+    return table(spark, d, "events").select("user_id", "ts", "event_id", "value")
+
+
+_PLACED = """pl AS (SELECT user_id, value AS v, row_number() OVER w - 1 AS place, lag(value) OVER w AS b, lead(value) OVER w AS a
+ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+
+
+@query(f"""WITH {_PLACED}, pk AS (SELECT user_id, place, (place - lag(place) OVER (PARTITION BY user_id ORDER BY place)) / 30.0::DOUBLE AS i
+ FROM pl WHERE v > b AND v >= a), ch AS (SELECT *, i - lag(i) OVER (PARTITION BY user_id ORDER BY place) AS c FROM pk)
+SELECT user_id, count(*) AS n_peaks, round(avg(i), 6) AS interval_mean, round(stddev_samp(i), 6) AS interval_sd, round(sqrt(avg(c * c)), 6) AS interval_rmssd,
+ round(60 / avg(i), 4) AS per_minute FROM ch GROUP BY user_id""")
+def peak_intervals(spark, d):
+    found = waveform.peaks(_samples(spark, d), ["user_id"], ["ts", "event_id"], "value")
+    return _round(_round(waveform.peak_intervals(found, ["user_id"], 30.0), ["interval_mean", "interval_sd", "interval_rmssd"], 6), ["per_minute"])
+
+
+#: Frequencies of the band in which the strongest is sought, in Hz.
+BAND = [0.5 + 0.25 * k for k in range(15)]
+
+
+@query(f"""WITH {_PLACED}, lv AS (SELECT user_id, avg(v) AS m FROM pl GROUP BY user_id),
+fs AS (SELECT user_id, f, count(*) AS n, sum(cos(place * (2 * pi() * f / 30)) * (v - m)) AS c, sum(sin(place * (2 * pi() * f / 30)) * (v - m)) AS s
+ FROM pl JOIN lv USING (user_id), (SELECT unnest({BAND})::DOUBLE AS f) GROUP BY user_id, f),
+pw AS (SELECT *, (c * c + s * s) / n AS p FROM fs)
+SELECT user_id, n, arg_max(f, struct_pack(p := p, g := -f)) AS peak_hz, round(max(p), 4) AS peak_power FROM pw GROUP BY user_id, n""")
+def spectral_argmax(spark, d):
+    placed = scans.numbered_from(_samples(spark, d), ["user_id"], ["ts", "event_id"], "place")
+    return _round(waveform.band_peak(placed, ["user_id"], "place", "value", 30.0, BAND), ["peak_power"])

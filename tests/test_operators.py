@@ -205,11 +205,84 @@ def test_nested_predictions_are_those_of_plain_loops(spark):
             assert sorted(got[(fold, name)]) == pytest.approx(sorted(b + make(x[tested]) @ c))
 
 
-def test_allocation_adds_up_and_respects_sizes():
-    strata = [("a", 50), ("b", 3), ("c", 1), ("d", 46)]
-    for limit in (4, 10, 37, 99, 100, 500):
-        got = sampling.allocate(strata, limit)
-        assert sum(got.values()) == min(limit, 100) and all(got[s] <= n for s, n in strata) and all(got[s] >= 1 for s, _ in strata)
+def plain_allocation(sizes, limit):
+    """One subject at a time, from the stratum furthest above its share or to the one furthest below."""
+    total = sum(sizes.values())
+    if limit >= total:
+        return dict(sizes)
+    ideal = {k: n * (limit / total) for k, n in sizes.items()}
+    out = {k: int(x) or (1 if len(sizes) <= limit else 0) for k, x in ideal.items()}
+    while sum(out.values()) > limit:
+        out[min((k for k in out if out[k] > 1), key=lambda k: (ideal[k] - out[k], k))] -= 1
+    while sum(out.values()) < limit:
+        out[min((k for k in out if out[k] < sizes[k]), key=lambda k: (out[k] - ideal[k], k))] += 1
+    return out
+
+
+def test_allocation_adds_up_and_respects_sizes(spark):
+    r = np.random.default_rng(8)
+    for sizes, limits in (({"a": 50, "b": 3, "c": 1, "d": 46}, (1, 4, 10, 37, 99, 100, 500)), ({f"s{k:03d}": int(n) for k, n in enumerate(r.geometric(0.2, 60))} | {"big": 900}, (20, 61, 75, 300))):
+        frame = spark.createDataFrame([(f"{k}-{i}", k) for k, n in sizes.items() for i in range(n)], "subject_id string, g string")
+        for limit in limits:
+            got = {x["stratum"]: x["quota"] for x in sampling.allocation(frame, "g", limit).collect()}
+            assert got == plain_allocation(sizes, limit) and sum(got.values()) == min(limit, sum(sizes.values()))
+
+
+def test_stratified_sample_says_what_is_wrong(spark):
+    who = spark.createDataFrame([(k, "ab"[k % 3 == 0], k) for k in range(30)], "subject_id int, g string, n int")
+    made = sampling.stratified_sample(who, "g", 9, "s", F.col("n") >= 12)
+    assert made.columns == who.columns and made.groupBy("g").count().orderBy("g").collect() == [("a", 6), ("b", 3)] and made.agg(F.min("n")).first()[0] >= 12
+    with pytest.raises(ValueError, match="18 are eligible"):
+        sampling.stratified_sample(who, "g", 19, "s", F.col("n") >= 12)
+    with pytest.raises(ValueError, match="repeat"):
+        sampling.stratified_sample(who.unionByName(who.limit(1)), "g", 9, "s")
+
+
+def test_gaps_of_every_kind(spark):
+    """NaN is a gap as null is; infinities are filled without an indicator; a constant of any level has scale 1."""
+    rows = [(1, 1.0, 1.0, 1e9 + 0.1, 1.0), (2, float("nan"), float("inf"), 1e9 + 0.1, 1.0), (3, 3.0, 5.0, 1e9 + 0.1, 2.0), (4, None, 7.0, 1e9 + 0.1, 1.0)]
+    frame = spark.createDataFrame(rows, "id int, x double, y double, z double, w double").withColumn("k", F.lit(0))
+    fit = {r["feature"]: r for r in transforms.fit_numeric(frame, ["k"], ["x", "y", "z"], "w").collect()}
+    x, y, z = fit["x"], fit["y"], fit["z"]
+    assert (x["median"], x["has_gap"], x["mean"], x["gap_mean"]) == (3.0, True, 2.6, 0.4) and x["scale"] == pytest.approx(0.8)
+    assert (y["median"], y["has_gap"]) == (5.0, False) and y["mean"] == pytest.approx((1 + 5 + 10 + 7) / 5)
+    assert z["scale"] == 1.0 and z["mean"] == pytest.approx(1e9 + 0.1)
+    made = {(r["id"], r["feature"]): r for r in transforms.apply_numeric(frame, transforms.fit_numeric(frame, ["k"], ["x", "y", "z"], "w"), ["k"], ["id"], ["x", "y", "z"]).collect()}
+    assert made[2, "x"]["value"] == pytest.approx(0.5) and made[2, "x"]["indicator"] == pytest.approx((1 - 0.4) / math.sqrt(0.24)) and made[2, "y"]["indicator"] is None
+    assert all(math.isfinite(r["value"]) for r in made.values())
+
+
+def test_small_spread_at_a_large_level_counts(spark):
+    rows = [(f"s{k % 3}", f"m{k}", 1e6 + 0.001 * k, 1e6 + 0.001 * k) for k in range(9)]
+    frame = spark.createDataFrame(rows, "subject_id string, measurement_id string, y_true double, y_pred double").withColumn("k", F.lit(1))
+    made = scoring.balanced_metrics(frame, ["k"]).first()
+    assert made["r2"] == pytest.approx(1) and made["correlation"] == pytest.approx(1) and made["calibration_slope"] == pytest.approx(1)
+    moments = scoring.subject_moments(frame, ["k"])
+    many = bootstrap.replicate_metrics(moments, ["k"], ["k"], 20).collect()
+    assert [r["correlation"] for r in many if r["correlation"] is not None] == pytest.approx([1.0] * len([r for r in many if r["correlation"] is not None]))
+
+
+@pytest.mark.parametrize("most", [4, 1 << 20])
+def test_nearest_values_inside_heavy_groups(spark, most):
+    r = np.random.default_rng(6)
+    rows = [(k, i, None if r.random() < 0.8 else float(i)) for k, n in (("a", 400), (None, 30), ("c", 1)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "k string, o int, v double").repartition(3)
+    both = scans.carried(scans.carried(frame, ["k"], ["o"], F.col("v"), "back", most=most), ["k"], ["o"], F.col("v"), "ahead", later=True, here=True, most=most)
+    for x in both.collect():
+        own = [(o, v) for k, o, v in rows if k == x["k"] and v is not None]
+        assert x["back"] == max((v for o, v in own if o < x["o"]), default=None) and x["ahead"] == min((v for o, v in own if o >= x["o"]), default=None)
+
+
+def test_peaks_and_band(spark):
+    n, rate = 600, 50.0
+    rows = [("p", k, math.sin(2 * math.pi * 1.25 * k / rate) + 3) for k in range(n)] + [("flat", k, 1.0) for k in range(9)] + [("one", 0, 1.0)]
+    frame = spark.createDataFrame(rows, "id string, o int, v double")
+    found = waveform.peaks(frame, ["id"], ["o"], "v")
+    made = waveform.peak_intervals(found, ["id"], rate).collect()
+    assert [r["id"] for r in made] == ["p"] and made[0]["n_peaks"] == 15 and made[0]["interval_mean"] == pytest.approx(0.8) and made[0]["per_minute"] == pytest.approx(75)
+    band = {r["id"]: r for r in waveform.band_peak(frame, ["id"], "o", "v", rate, [0.5, 1.0, 1.25, 1.5, 3.0]).collect()}
+    assert band["p"]["peak_hz"] == 1.25 and band["p"]["peak_power"] == pytest.approx(n / 4, rel=1e-3)
+    assert waveform.peaks(frame, ["id"], ["o"], "v", F.lit(9.0)).count() == 0
 
 
 def test_splits_are_disjoint_and_cover(spark):
