@@ -9,7 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scans import carried, numbered_from
+from .scans import carried, exact_quantiles, numbered_from
+
+
+def _is_finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
 def _sum(x: Column, f=lambda v: v) -> Column:
@@ -125,6 +129,43 @@ def encoded(rows: DataFrame, encoder, size: int, batch: int = 256, keep: tuple[s
     return rows.select(*keep, "rate", "samples").mapInPandas(run, schema)
 
 
+def row_statistics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, mean, std, range, iqr, skew, kurtosis) as statistics() has them, of records whose samples are rows: merged moments and ranges of values, so
+    a record of any length runs in many tasks. Samples that are not finite are left out.
+    """
+    x = F.col(value).cast("double")
+    known = rows.where(_is_finite(x)).withColumn("_x", x)
+    sums = known.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"), (F.max("_x") - F.min("_x")).alias("range"), F.skewness("_x").alias("_g1"), F.kurtosis("_x").alias("_g2"))
+    quartiles = exact_quantiles(known, keys, "_x", [0.25, 0.75]).select(*keys, (F.col("quantiles")[1] - F.col("quantiles")[0]).alias("iqr"))
+    n, some = F.col("n"), F.col("std") > 1e-12
+    skew = F.when((n > 2) & some, F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)) * F.col("_g1"))
+    kurt = F.when((n > 3) & some, (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * F.col("_g2") + 6))
+    return sums.join(quartiles, keys).select(*keys, n.cast("long").alias("n"), "mean", "std", "range", "iqr", skew.alias("skew"), kurt.alias("kurtosis"))
+
+
+def row_quality(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """(keys, n, finite_share, flat_share, mean_step, reasons) as quality() has them, of records whose samples are rows in an order; steps are between
+    neighbouring finite samples.
+    """
+    x = F.col(value).cast("double")
+    marked = carried(rows.withColumn("_x", F.when(_is_finite(x), x)), keys, order, F.col("_x"), "_before").withColumn("_step", F.col("_x") - F.col("_before"))
+    out = marked.groupBy(*keys).agg(F.count("*").alias("n"), (F.count("_x") / F.count("*")).alias("finite_share"), (F.count_if(F.col("_step") == 0) / F.nullif(F.count("_step"), F.lit(0))).alias("flat_share"), F.avg(F.abs("_step")).alias("mean_step"), (F.min("_x") == F.max("_x")).alias("_constant"))
+    why = F.concat_ws(";", F.when(F.col("n") < 2, "too_short"), F.when(F.col("finite_share") < 1, "not_finite"), F.when(F.col("_constant"), "constant"))
+    return out.withColumn("reasons", why).drop("_constant")
+
+
+def derivatives(rows: DataFrame, keys: list[str], order: list[str], value: str, rate: float) -> DataFrame:
+    """The rows with `slope`, the difference to the sample before times the rate, and `curve`, the difference of slopes times the rate; null where there is none."""
+    first = carried(rows, keys, order, F.col(value), "_b").withColumn("slope", (F.col(value) - F.col("_b")) * F.lit(float(rate)))
+    return carried(first, keys, order, F.col("slope"), "_s").withColumn("curve", (F.col("slope") - F.col("_s")) * F.lit(float(rate))).drop("_b", "_s")
+
+
+def segments(rows: DataFrame, keys: list[str], order: list[str], value: str, length: int) -> DataFrame:
+    """(keys, segment, samples): records cut into arrays of `length` samples in their order, the last one shorter; so no array holds a whole record."""
+    placed = numbered_from(rows, keys, order, "_place").withColumn("segment", F.floor(F.col("_place") / length).cast("long"))
+    return placed.groupBy(*keys, "segment").agg(F.transform(F.sort_array(F.collect_list(F.struct("_place", F.col(value).alias("_v")))), lambda x: x["_v"]).alias("samples"))  # `length` at most
+
+
 def peaks(rows: DataFrame, keys: list[str], order: list[str], value: str, least: Column | None = None) -> DataFrame:
     """The rows that are peaks, with `place` (from 0 in the record): higher than the row before, not lower than the row after, and with `least` at least that high.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as X
 from ..functions import fingerprints, rounded
-from ..operators import manifest, reports, rules, sampling, scoring, sessions
+from ..operators import manifest, reports, rules, sampling, scoring, sessions, table_functions
 from .base import SUBJECTS, query, sql_key, subjects, table
 
 # ---- manifests
@@ -175,6 +175,25 @@ def splits_manifest(spark, d):
     return _splits(spark, d).drop("dataset_fingerprint")
 
 
+#: Strata from full to short, of which benchmark_splits takes the first that the subjects allow.
+_LABELS = ("stratum", "short", "segment")
+_PICK = lambda m: f"CASE {m} " + " ".join(f"WHEN '{x}' THEN {x}" for x in _LABELS) + " ELSE '' END"
+
+
+@query(f"""WITH {_BINNED}, o AS (SELECT CASE {' '.join(f"WHEN (SELECT min(n) FROM (SELECT count(*) AS n FROM binned GROUP BY {x})) >= 5 THEN '{x}'" for x in _LABELS)} ELSE 'none' END AS om),
+pl AS (SELECT *, row_number() OVER (ORDER BY {_PICK('om')}, {sql_key('11', 'subject_id')}, subject_id) AS place FROM binned, o), tf AS (SELECT *, CAST((place - 1) % 5 AS INTEGER) AS test_fold FROM pl),
+lc AS ({' UNION ALL '.join(f"SELECT '{x}' AS l, {k} AS rank, {x} AS v, test_fold, count(*) AS n FROM tf GROUP BY ALL" for k, x in enumerate(_LABELS))}),
+ok AS (SELECT l, rank FROM (SELECT *, sum(n) OVER (PARTITION BY l, v) AS total FROM lc) GROUP BY l, rank HAVING min(total) >= 2 AND coalesce(min(CASE WHEN total > n THEN total - n END), 2) >= 2),
+im AS (SELECT coalesce((SELECT l FROM ok ORDER BY rank LIMIT 1), 'none') AS im), ea2 AS (SELECT tf.*, im, CAST(f.fold AS INTEGER) AS fold FROM tf, im, range(5) f(fold)),
+vp AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {_PICK('im')}, ('0x' || substr(md5(CAST(11 + fold AS VARCHAR) || '|' || CAST(subject_id AS VARCHAR)), 1, 12))::BIGINT, subject_id) AS p FROM ea2 WHERE fold <> test_fold)
+SELECT subject_id, fold, CASE WHEN (p + 4) // 5 > (p + 3) // 5 THEN 'validation' ELSE 'train' END AS role, om AS outer_method, im AS validation_method FROM vp
+ UNION ALL SELECT subject_id, fold, 'test', om, im FROM ea2 WHERE fold = test_fold""")
+def benchmark_splits(spark, d):
+    """Splits whose strata are the fullest that the subjects allow."""
+    made = sampling.benchmark_splits(binned_subjects(spark, d), list(_LABELS), 5, 11)
+    return made.select("subject_id", "fold", "role", "outer_method", "validation_method")
+
+
 @query(f"""WITH {_FOLDED}, tr AS (SELECT subject_id FROM splits WHERE fold = 0 AND role = 'train'),
  va AS (SELECT subject_id FROM splits WHERE fold = 0 AND role = 'validation') SELECT c.c_mktsegment AS segment,
  count(*) FILTER (c_custkey IN (SELECT subject_id FROM tr)) AS n_train, count(*) FILTER (c_custkey IN (SELECT subject_id
@@ -320,3 +339,14 @@ def epoch_selection(spark, d):
     epochs = sessions.selected_epochs(_ordered_events(spark, d), ["user_id"], "n", "value", 8).withColumn("grp", F.col("user_id") % 10)
     rates = sessions.selected_rate(epochs, ["grp"], "user_id").select("grp", F.col("user_id").alias("rate"))
     return epochs.join(rates, "grp").select("user_id", "best_epoch", F.round("best_score", 6).alias("best_score"), "stopped_epoch", (F.col("user_id") == F.col("rate")).alias("chosen"))
+
+
+@query("""WITH g AS (SELECT user_id, event_id, epoch(ts) AS sec, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER w <= 3600 THEN 0 ELSE 1 END AS opens
+ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch(ts), event_id)), n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS UNBOUNDED PRECEDING) AS session_index FROM g)
+SELECT user_id, event_id, CAST(session_index AS BIGINT) AS session_index, row_number() OVER (PARTITION BY user_id, session_index ORDER BY sec, event_id) AS session_position FROM n""")
+def gap_sessions(spark, d):
+    """Sessions that end at a gap of an hour, by the registered table function."""
+    table_functions.register(spark)
+    table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("at")).createOrReplaceTempView("events_at")
+    made = spark.sql("SELECT * FROM gap_sessions(TABLE(SELECT user_id, event_id, at FROM events_at) PARTITION BY user_id ORDER BY (at, event_id), 'at', 3600)")
+    return made.select("user_id", "event_id", "session_index", "session_position")

@@ -328,12 +328,6 @@ _ARRAYS = """ar AS (SELECT user_id, list(value ORDER BY ts, event_id) AS x FROM
  el AS (SELECT user_id, generate_subscripts(x, 1) AS i, unnest(x) AS v, len(x) AS n FROM ar)"""
 
 
-def _records(spark, d) -> DataFrame:
-    """(segment_id, samples, rate): each user's values in order."""
-    made = table(spark, d, "events").groupBy(F.col("user_id").alias("segment_id")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("r"))
-    return made.select("segment_id", F.col("r.value").alias("samples"), F.lit(30).alias("rate"))
-
-
 def _record_sizes(spark, d) -> DataFrame:
     """(segment_id, n): how many values each user has."""
     return table(spark, d, "events").groupBy(F.col("user_id").alias("segment_id")).agg(F.count("*").alias("n"))
@@ -348,22 +342,24 @@ SELECT user_id, round(m, 6) AS mean, round(s, 6) AS std, round(r, 6) AS range, r
  round(CASE WHEN m.n > 3 AND s > 1e-12 THEN (m.n - 1.0) / ((m.n - 2.0) * (m.n - 3)) * ((m.n + 1) * (m4 / pow(s, 4) - 3) + 6) END, 5) + 0.0 AS kurtosis
  FROM m JOIN c USING (user_id)""")
 def waveform_stats(spark, d):
-    stats = waveform.statistics(F.col("samples"))
-    made = _records(spark, d).select(F.col("segment_id").alias("user_id"), *(c.alias(n) for n, c in stats.items()))
+    made = waveform.row_statistics(_samples(spark, d), ["user_id"], "value").drop("n")
     return _round(_round(made, ["mean", "std", "range", "iqr"], 6), ["skew", "kurtosis"], 5)
 
 
-@query(f"""WITH {_ARRAYS}, dd AS (SELECT user_id, v - lag(v) OVER (PARTITION BY user_id ORDER BY i) AS d
- FROM el), q AS (SELECT user_id, count(*) AS n, min(v) AS lo, max(v) AS hi FROM el GROUP BY user_id),
- f AS (SELECT user_id, count(*) FILTER (d = 0) / nullif(count(d), 0) AS flat, avg(abs(d)) AS step
- FROM dd GROUP BY user_id)
-SELECT user_id, 1.0::DOUBLE AS finite_share, round(flat, 8) AS flat_share, concat_ws(';', CASE WHEN n < 2 THEN 'too_short' END,
- CASE WHEN lo = hi THEN 'constant' END) AS reasons, round(step, 6) AS mean_step FROM q JOIN f USING (user_id)""")
+def _noisy(spark, d) -> DataFrame:
+    """Samples of which some are not finite, by rule."""
+    x = F.when(F.col("event_id") % 23 == 0, F.lit(float("nan"))).when(F.col("event_id") % 29 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    return _samples(spark, d).withColumn("value", x)
+
+
+@query("""WITH q AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_id % 23 <> 0 AND event_id % 29 <> 0) AS k FROM events GROUP BY user_id),
+ dd AS (SELECT user_id, value AS v, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events WHERE event_id % 23 <> 0 AND event_id % 29 <> 0),
+ f AS (SELECT user_id, count(*) FILTER (d = 0) / nullif(count(d), 0) AS flat, avg(abs(d)) AS step, min(v) = max(v) AS same FROM dd GROUP BY user_id)
+SELECT user_id, n, k / n AS finite_share, round(flat, 8) AS flat_share, round(step, 6) AS mean_step,
+ concat_ws(';', CASE WHEN n < 2 THEN 'too_short' END, CASE WHEN k < n THEN 'not_finite' END, CASE WHEN same THEN 'constant' END) AS reasons FROM q LEFT JOIN f USING (user_id)""")
 def signal_qc(spark, d):
-    x = F.col("samples")
-    q = waveform.quality(x)
-    step = F.aggregate(waveform.differences(x), F.lit(0.0), lambda s, v: s + F.abs(v)) / F.nullif(F.size(x) - 1, F.lit(0))
-    return _records(spark, d).select(F.col("segment_id").alias("user_id"), q["finite_share"].alias("finite_share"), F.round(q["flat_share"], 8).alias("flat_share"), q["reasons"].alias("reasons"), F.round(step, 6).alias("mean_step"))
+    made = waveform.row_quality(_noisy(spark, d), ["user_id"], ["ts", "event_id"], "value")
+    return made.withColumns({"flat_share": F.round("flat_share", 8), "mean_step": F.round("mean_step", 6)})
 
 
 @query(f"""WITH {_ARRAYS}, s AS (SELECT user_id, len(x) AS n, CAST(ceil(len(x) * 20 / 30.0) AS INTEGER) AS r
@@ -384,9 +380,26 @@ def _halves(samples, rates) -> np.ndarray:
     return np.array([[x[: len(x) // 2].mean() if len(x) > 1 else x.mean(), x[len(x) // 2 :].mean(), r] for x, r in zip(samples, rates, strict=True)])
 
 
-@query()
+#: Samples of a segment that the user's encoder gets.
+SEGMENT = 32
+
+
+@query(f"""WITH pl AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p FROM events),
+ sg AS (SELECT user_id, p // {SEGMENT} AS segment, p % {SEGMENT} AS k, v, count(*) OVER (PARTITION BY user_id, p // {SEGMENT}) AS n FROM pl)
+SELECT user_id, CAST(segment AS BIGINT) AS segment, round(avg(v) FILTER (k < n // 2 OR n = 1), 6) + 0.0 AS f0, round(avg(v) FILTER (k >= n // 2), 6) + 0.0 AS f1, 30.0::DOUBLE AS f2
+ FROM sg GROUP BY user_id, segment""")
 def apply_encoder(spark, d):
-    return waveform.encoded(_records(spark, d), _halves, 3).select("segment_id", *(rounded(F.col("features")[k], 6).alias(f"f{k}") for k in range(3)))
+    rows = waveform.segments(_samples(spark, d), ["user_id"], ["ts", "event_id"], "value", SEGMENT).withColumn("rate", F.lit(30))
+    made = waveform.encoded(rows, _halves, 3, keep=("user_id", "segment"))
+    return made.select("user_id", "segment", *(rounded(F.col("features")[k], 6).alias(f"f{k}") for k in range(3)))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, ts, (value - lag(value) OVER w) * 30.0::DOUBLE AS slope FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ c AS (SELECT *, (slope - lag(slope) OVER (PARTITION BY user_id ORDER BY ts, event_id)) * 30.0::DOUBLE AS curve FROM s)
+SELECT user_id, round(max(slope), 4) AS steepest, round(min(slope), 4) AS lowest, round(avg(abs(curve)), 4) AS mean_curve, count(curve) AS n_curves FROM c GROUP BY user_id""")
+def waveform_derivatives(spark, d):
+    made = waveform.derivatives(_samples(spark, d), ["user_id"], ["ts", "event_id"], "value", 30.0)
+    return made.groupBy("user_id").agg(rounded(F.max("slope")).alias("steepest"), rounded(F.min("slope")).alias("lowest"), rounded(F.avg(F.abs("curve"))).alias("mean_curve"), F.count("curve").alias("n_curves"))
 
 
 def _samples(spark, d) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foldmark.functions import SEX_TOKENS, category, number_pair, number_text, plain_token, slug
 from foldmark.functions.fingerprints import fingerprint
-from foldmark.operators import bootstrap, contrasts, manifest, reports, ridge, rules, sampling, scans, scoring, sessions, transforms, waveform
+from foldmark.operators import bootstrap, contrasts, manifest, reports, ridge, rules, sampling, scans, scoring, sessions, table_functions, transforms, waveform
 
 
 def units(spark):
@@ -518,3 +518,39 @@ def test_record_sizes_are_counted_without_arrays(spark):
     for name in ("nested_step_flag", "sample_count_distribution"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "count(1)" in plan and "collect_list" not in plan
+
+
+def test_rows_of_samples_have_the_statistics_of_arrays(spark):
+    """Records as rows against the same records as arrays, with gaps, constants and records too short for a shape."""
+    r = np.random.default_rng(9)
+    rows = [("a", i, float(x)) for i, x in enumerate(r.normal(size=200) ** 3)] + [("b", i, 2.5) for i in range(7)] + [("c", 0, 1.0), ("c", 1, 4.0), ("d", 0, 3.0)]
+    frame = spark.createDataFrame(rows, "id string, o int, v double")
+    arrays = frame.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias("x"))
+    want = {x["id"]: x for x in arrays.select("id", *(c.alias(n) for n, c in waveform.statistics(F.col("x")).items())).collect()}
+    for x in waveform.row_statistics(frame, ["id"], "v").collect():
+        for n in ("mean", "std", "range", "iqr", "skew", "kurtosis"):
+            assert x[n] == (want[x["id"]][n] if want[x["id"]][n] is None else pytest.approx(want[x["id"]][n], abs=1e-9)), (x["id"], n)
+    broken = frame.unionByName(spark.createDataFrame([("a", 900, float("nan")), ("a", 901, None), ("d", 1, float("inf")), ("e", 0, None)], "id string, o int, v double"))
+    arrays = broken.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias("x"))
+    want = {x["id"]: x for x in arrays.select("id", *(c.alias(n) for n, c in waveform.quality(F.col("x")).items())).collect()}
+    for x in waveform.row_quality(broken, ["id"], ["o"], "v").collect():
+        assert (x["finite_share"], x["flat_share"], x["reasons"]) == tuple(want[x["id"]][n] for n in ("finite_share", "flat_share", "reasons")), x["id"]
+
+
+def test_segments_and_derivatives(spark):
+    frame = spark.createDataFrame([("a", k, float(k * k)) for k in range(10)] + [("b", 0, 1.0)], "id string, o int, v double").repartition(3)
+    made = {(x["id"], x["segment"]): x["samples"] for x in waveform.segments(frame, ["id"], ["o"], "v", 4).collect()}
+    assert made == {("a", 0): [0.0, 1.0, 4.0, 9.0], ("a", 1): [16.0, 25.0, 36.0, 49.0], ("a", 2): [64.0, 81.0], ("b", 0): [1.0]}
+    rows = {(x["id"], x["o"]): (x["slope"], x["curve"]) for x in waveform.derivatives(frame, ["id"], ["o"], "v", 10.0).collect()}
+    assert rows["a", 0] == (None, None) and rows["a", 1] == (10.0, None) and rows["a", 5] == (90.0, 200.0) and rows["b", 0] == (None, None)
+
+
+def test_table_functions_in_sql(spark):
+    table_functions.register(spark)
+    spark.createDataFrame([("u", 1, 0.0), ("u", 2, 5.0), ("u", 3, 50.0), ("v", 4, 7.0), ("v", 5, None)], "who string, id int, at double").createOrReplaceTempView("visits")
+    made = spark.sql("SELECT * FROM gap_sessions(TABLE(visits) PARTITION BY who ORDER BY (at NULLS LAST, id), 'at', 10)")
+    assert sorted((r["id"], r["session_index"], r["session_position"]) for r in made.collect()) == [(1, 1, 1), (2, 1, 2), (3, 2, 1), (4, 1, 1), (5, 2, 1)]
+    with pytest.raises(Exception, match="no column"):
+        spark.sql("SELECT * FROM gap_sessions(TABLE(visits) PARTITION BY who ORDER BY (at), 'nope', 10)").collect()
+    made = spark.sql("SELECT t.* FROM (SELECT '1.5 x  3' AS s UNION ALL SELECT NULL) r, LATERAL numbers_of(r.s) t ORDER BY place")
+    assert [tuple(r) for r in made.collect()] == [(0, 1.5), (1, None), (2, 3.0)]

@@ -6,7 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foldmark.functions.fingerprints import ordered_fingerprint
+from foldmark.operators import sampling
 from foldmark.sources import readers, writers
+from foldmark.sources.records import Int16Records, header
 
 
 def test_text_records(spark, tmp_path):
@@ -87,3 +90,61 @@ def test_sinks(spark, tmp_path):
     writers.write_metadata(spark, str(tmp_path / "meta"), rows.select("fold", "target"), version=3)
     assert json.loads(spark.read.json(str(tmp_path / "meta")).first()["facts"]) == {"version": 3}
     assert writers.hash_manifest({"x": rows, "y": rows}).select("fingerprint").distinct().count() == 1
+
+
+def test_int16_records_in_ranges(spark, tmp_path):
+    """Two channels over many byte ranges, none of which ends with a frame; a filter on the channel; a file that is no whole number of frames."""
+    x = np.arange(6000, dtype="<i2").reshape(-1, 3)
+    (tmp_path / "r1.dat").write_bytes(x.tobytes())
+    (tmp_path / "r1.hea").write_text("# about\nr1 3 125 2000\nr1.dat 16 2(10)/mV 16 0 0 0 0 ppg\nr1.dat 16 4/mV 16 0 0 0 0 ecg\r\nr1.dat 16 1 16 0 0 0 0 resp\n")
+    (tmp_path / "alone.dat").write_bytes(b"zz")
+    spark.dataSource.register(Int16Records)
+    rows = spark.read.format("int16_records").option("splitBytes", 1000).option("samples", 64).load(str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 12
+    found = {}
+    for r in rows.orderBy("channel", "start").collect():
+        assert r["record"] == "r1" and r["start"] == len(found.setdefault(r["channel"], [])) and len(r["samples"]) <= 64
+        found[r["channel"]] += r["samples"]
+    assert found == {"ppg": ((x[:, 0] - 10.0) / 2).tolist(), "ecg": (x[:, 1] / 4.0).tolist(), "resp": x[:, 2].astype(float).tolist()}
+    assert rows.where("channel = 'ecg'").select("channel").distinct().collect() == [("ecg",)]
+    assert spark.read.format("int16_records").option("channel", "none").load(str(tmp_path)).count() == 0
+    (tmp_path / "r1.dat").write_bytes(x.tobytes() + b"\0\0")
+    with pytest.raises(Exception, match="don't divide"):
+        rows.count()
+    with pytest.raises(ValueError, match="16-bit"):
+        header("r 1 125\nr.dat 212 1 16 0 0 0 0 ppg\n")
+
+
+def test_subject_sheet_renames_and_coerces(spark):
+    rows = spark.createDataFrame([(" 7 ", "61", "x"), ("8", "old", None)], "`Subject ID` string, `Age [years]` string, other string")
+    made = readers.subject_sheet(rows, {"Subject ID": "subject_id", "Age [years]": "age"}, ("age",))
+    assert made.columns == ["subject_id", "age"] and [tuple(r) for r in made.collect()] == [("7", 61.0), ("8", None)]
+
+
+def test_selected_segments_keep_where_they_came_from(spark, tmp_path):
+    rows = spark.createDataFrame([("s", k, f"f{k}", [float(k), 0.1]) for k in range(4)], "subject_id string, idx int, file string, samples array<double>")
+    writers.write_selected(rows, spark.createDataFrame([("s", 1), ("s", 3), ("t", 0)], "subject_id string, idx int"), str(tmp_path / "out"))
+    made = spark.read.parquet(str(tmp_path / "out"))
+    assert dict(made.dtypes)["samples"] == "array<float>" and sorted((r["source_index"], r["source_file"], r["samples"][0]) for r in made.collect()) == [(1, "f1", 1.0), (3, "f3", 3.0)]
+
+
+def test_splits_are_written_once_and_checked_when_read(spark, tmp_path):
+    who = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(20)], "subject_id int, g string")
+    splits, path = sampling.split_manifest(who, "g", "g", 4, 3, fingerprint="f1"), str(tmp_path / "splits")
+    writers.write_splits(splits, who, 4, path)
+    assert sorted(map(tuple, writers.read_splits(spark, path, who, 4, "f1").collect())) == sorted(map(tuple, splits.collect()))
+    with pytest.raises(Exception, match="(?i)exist"):
+        writers.write_splits(splits, who, 4, path)
+    with pytest.raises(ValueError):
+        writers.read_splits(spark, path, who, 4, "another")
+    with pytest.raises(ValueError):
+        writers.read_splits(spark, path, who.unionByName(spark.createDataFrame([(99, "a")], "subject_id int, g string")), 4)
+
+
+def test_identities_follow_content(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.5])], "segment_id string, features array<double>")
+    one = writers.representation_identity(rows)
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    first, swapped = (ordered_fingerprint(x, ["place"], F.col("segment_id")).first()[0] for x in (placed, placed.withColumn("place", -F.col("place"))))
+    assert first == ordered_fingerprint(placed.repartition(3), ["place"], F.col("segment_id")).first()[0] != swapped
+    assert one == writers.representation_identity(rows.orderBy(F.desc("segment_id")).repartition(3)) != writers.representation_identity(rows.where("segment_id = 'a'"))
