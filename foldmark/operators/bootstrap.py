@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import safe_ratio
 from .scans import numbered_from
-from .scoring import METRICS, MOMENTS, metric_columns
+from .scoring import METRICS, MOMENTS, metric_columns, metrics_of_moments, seed_summary, subject_moments
 
 #: Subjects that are drawn at a time, and bytes of sums that a task keeps before it passes them on.
 STEP, KEPT_BYTES = 64, 1 << 27
@@ -151,10 +151,23 @@ def seed_mean_intervals(moments: DataFrame, group: list[str], keys: list[str], r
     return whole.groupBy(*keys).agg(*(interval(m, level, low).alias(f"{m}_ci_{'low' if low else 'high'}") for m in metrics for low in (True, False)))
 
 
+def benchmark_summary(units: DataFrame, group: list[str], keys: list[str], replicates: int, seed: str = "summary", level: float = 0.95) -> DataFrame:
+    """(keys, n_subjects, n_measurements, n_seeds, and for each metric its mean over seeds, _seed_sd, _ci_low, _ci_high) from units by seed, in one call.
+
+    Raises where the seeds of one of the keys have different numbers of subjects or measurements, which averages over seeds can't stand for.
+    """
+    moments = subject_moments(units, [*keys, "seed"])
+    metrics = metrics_of_moments(moments, [*keys, "seed"])
+    uneven = metrics.groupBy(*keys).agg((F.count_distinct("n_subjects", "n_measurements") > 1).alias("_uneven")).where("_uneven").limit(3).collect()
+    if uneven:
+        raise ValueError(f"benchmark_summary: seeds of {[[r[k] for k in keys] for r in uneven]} score different units")
+    return seed_summary(metrics, keys).join(seed_mean_intervals(moments, group, keys, replicates, seed, level), keys)
+
+
 def mean_intervals(values: DataFrame, group: list[str], keys: list[str], replicates: int, value: str = "delta", seed: str = "boot", level: float = 0.95) -> DataFrame:
     """(keys, ci_low, ci_high, p_below_zero) of the mean over subjects of a value."""
     means = replicate_sums(values, group, keys, [value], replicates, seed).select(*keys, safe_ratio(F.col(value), F.col("times")).alias("mean"))
     return means.groupBy(*keys).agg(interval("mean", level).alias("ci_low"), interval("mean", level, False).alias("ci_high"), F.avg((F.col("mean") < 0).cast("double")).alias("p_below_zero"))
 
 
-__all__ = ["METRICS", "MOMENTS", "indexed", "times_drawn", "interval", "mean_intervals", "metric_intervals", "replicate_metrics", "replicate_sums", "seed_mean_intervals"]
+__all__ = ["METRICS", "MOMENTS", "benchmark_summary", "indexed", "times_drawn", "interval", "mean_intervals", "metric_intervals", "replicate_metrics", "replicate_sums", "seed_mean_intervals"]

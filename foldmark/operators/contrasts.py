@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +115,45 @@ def incremental_effects(metrics: DataFrame, keys: list[str], suffix: str = "_plu
     return add.join(base, [*keys, "base"]).select(*keys, "base", F.col("mae").alias("with_mae"), "base_mae", (F.col("mae") - F.col("base_mae")).alias("delta_mae"), (F.col("rmse") - F.col("base_rmse")).alias("delta_rmse"))
 
 
+def condition_effects(metrics: DataFrame, effects: DataFrame, keys: list[str], fields: str = "demographic_fields", without: str = "none") -> DataFrame:
+    """(keys, fields, effect, candidate, reference, delta_mae, delta_rmse): what a condition changes against its reference condition, of equal keys.
+
+    metrics: keys (cohort, model, target, policies ...), condition, the column of the fields, mae, rmse. effects: (effect, candidate, reference), a row for each.
+    The reference is the one whose fields are `without`; candidates without such a reference are left out, see missing_entries().
+    """
+    few = F.broadcast(effects)  # a row for each effect that the caller names
+    mine = metrics.join(few, metrics["condition"] == few["candidate"]).select(*keys, fields, "effect", "candidate", "reference", "mae", "rmse")
+    base = metrics.where(F.col(fields) == without).select(*keys, F.col("condition").alias("reference"), F.col("mae").alias("_mae"), F.col("rmse").alias("_rmse"))
+    return mine.join(base, [*keys, "reference"]).select(*keys, fields, "effect", "candidate", "reference", (F.col("mae") - F.col("_mae")).alias("delta_mae"), (F.col("rmse") - F.col("_rmse")).alias("delta_rmse"))
+
+
+def missing_entries(rows: DataFrame, keys: dict[str, list], extra: bool = True) -> DataFrame:
+    """(keys, fault): combinations of the keys' expected values that the rows lack ("missing"), have several times ("repeated") or, if extra, have unexpectedly
+    ("unexpected"). The expected matrix is the product of short lists that the caller names.
+    """
+    spark, names = rows.sparkSession, list(keys)
+    combined = list(itertools.product(*keys.values()))
+    expected = spark.createDataFrame(combined, ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in names))
+    have = rows.groupBy(*names).agg(F.count("*").alias("_n"))
+    on = [F.col(f"x.{k}").eqNullSafe(F.col(f"h.{k}")) for k in names]
+    both = expected.withColumn("_wanted", F.lit(True)).alias("x").join(have.alias("h"), on, "full")
+    fault = F.when(F.col("_n").isNull(), "missing").when(F.col("_wanted").isNull(), F.lit("unexpected") if extra else F.lit(None)).when(F.col("_n") > 1, "repeated")
+    return both.select(*(F.coalesce(F.col(f"x.{k}"), F.col(f"h.{k}")).alias(k) for k in names), fault.alias("fault")).where("fault is not null")
+
+
+def complete_contrasts(units: DataFrame, specs: DataFrame, group: list[str], expected: dict[str, list], replicates: int, seed: str = "matrix") -> DataFrame:
+    """The matrix of seed-aware contrasts with intervals for every combination of the expected values of the group's columns and of `contrast`.
+
+    units: group, method, seed, subject, measurement, y_true, y_pred. Raises where the matrix is incomplete or has more than is expected.
+    """
+    pairs = paired_units(units, specs, group, by_seed=True)
+    made = seed_contrasts_with_intervals(pairs, group, [*group, "contrast"], replicates, seed)
+    faults = missing_entries(pairs.select(*group, "contrast").distinct(), expected).limit(5).collect()
+    if faults:
+        raise ValueError("the contrast matrix is not the expected one: " + "; ".join(f"{[r[k] for k in expected]} {r['fault']}" for r in faults))
+    return made
+
+
 def complementarity(contrasts: DataFrame, keys: list[str], names: tuple[str, str]) -> DataFrame:
     """One row for each of the keys with the lift of either part (minus the contrast's delta) and whether the combination beats both."""
     wide = contrasts.groupBy(*keys).pivot("contrast", list(names)).agg(F.first("delta"))

@@ -135,13 +135,18 @@ def cohort_summary(rows: DataFrame, keys: list[str], numbers: list[str], categor
 def manifest_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each of the keys: counts, label units, rates, durations in seconds, targets over label units, shares missing, subjects by sex.
 
-    rows: subject_id, measurement_id, segment_id, sample_rate_hz, n_samples, sbp, dbp, age, sex, bmi. A label unit is a subject's measurement, of
-    which the first segment counts; a subject's sex is that of its first segment with any.
+    rows: subject_id, measurement_id, segment_id, sample_rate_hz, n_samples, sbp, dbp, age, sex, bmi, and where they have them label_duration_seconds (else a
+    segment's duration), label_scope (else one fixed word) and source (the first by name counts). A label unit is a subject's measurement, of which the first
+    segment counts; a subject's sex is that of its first segment with any.
     """
+    has = set(rows.columns)
+    scope = F.concat_ws(",", F.array_sort(F.collect_set(F.col("label_scope").cast("string")))) if "label_scope" in has else F.first(F.lit("segment_or_measurement_label"))
+    source = F.min("source") if "source" in has else F.first(F.lit(None).cast("string"))
     duration = F.col("n_samples") / F.col("sample_rate_hz")
     share = lambda c, name: F.avg(c.cast("double")).alias(name)
     whole = rows.groupBy(*keys).agg(
         F.countDistinct("subject_id").alias("subjects"), F.countDistinct("measurement_id").alias("measurements"), F.count("*").alias("segments"),
+        F.count("*").alias("input_windows"), scope.alias("label_scope"), source.alias("source"),
         F.concat_ws(",", F.transform(F.array_sort(F.collect_set("sample_rate_hz")), lambda x: x.cast("string"))).alias("sample_rates_hz"),
         F.min(duration).alias("duration_min"), F.max(duration).alias("duration_max"),
         share(F.col("age").isNull(), "age_missing"), share(F.coalesce(F.lower("sex") == "unknown", F.lit(True)), "sex_missing"), share(F.col("bmi").isNull(), "bmi_missing"),
@@ -153,6 +158,9 @@ def manifest_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     people = sex.groupBy(*keys).agg(F.count_if(F.col("s") == "female").alias("female_subjects"), F.count_if(F.col("s") == "male").alias("male_subjects"))
     median = exact_quantiles(rows.withColumn("_seconds", duration), keys, "_seconds", [0.5])
     whole = whole.join(median.select(*keys, F.col("quantiles")[0].alias("duration_median")), keys, "left")
+    given = F.col("label_duration_seconds").cast("string").try_cast("double") if "label_duration_seconds" in has else duration
+    labelled = exact_quantiles(rows.withColumn("_seconds", given), keys, "_seconds", [0.5])
+    whole = whole.join(labelled.select(*keys, F.col("quantiles")[0].alias("label_duration_median")), keys, "left")
     return whole.join(labels, keys).join(people, keys)
 
 
@@ -172,6 +180,49 @@ def canonical_covariates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return one.select(*keys, "subject_id", "age", F.coalesce("sex", F.lit("unknown")).alias("sex"), F.when(n > 0, middle).alias("bmi"), n.alias("bmi_values"))
 
 
+def covariate_distribution(subjects: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each of the keys from canonical_covariates(): subjects, age and bmi (number observed, mean, least, median, greatest), how many subjects have
+    several different bmi values, and how many are female, male and neither.
+    """
+    parts = [F.count_distinct("subject_id").alias("n_subjects")]
+    for c in ("age", "bmi"):
+        parts += [F.count(c).alias(f"{c}_observed"), F.avg(c).alias(f"{c}_mean"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
+    sex = F.lower(F.col("sex"))
+    parts += [F.count_if(F.col("bmi_values") > 1).alias("bmi_several"), F.count_if(sex == "female").alias("female"), F.count_if(sex == "male").alias("male"), F.count_if(F.coalesce(~sex.isin("female", "male"), F.lit(True))).alias("neither")]
+    out = subjects.groupBy(*keys).agg(*parts)
+    for c in ("age", "bmi"):
+        out = out.join(exact_quantiles(subjects, keys, c, [0.5]).select(*keys, F.col("quantiles")[0].alias(f"{c}_median")), keys, "left")
+    return out
+
+
+def display_label(condition: Column, model: Column, fields: Column, names: dict[str, str], whole: str = "age/sex/BMI", covariates: tuple[str, ...] = ("demographics",)) -> Column:
+    """A method's label: by `names` from the condition to a pattern with {model} and {mark}; the mark is there where a condition that uses covariates has other
+    fields than the whole ones. A condition without a pattern raises.
+    """
+    uses = F.lit(False)
+    for c in covariates:
+        uses = uses | condition.contains(c)
+    mark = F.when(uses & (F.trim(F.coalesce(fields, F.lit(""))) != whole), "†").otherwise("")
+    out = F.raise_error(F.concat(F.lit("no label for condition "), F.coalesce(condition, F.lit("null"))))
+    for name, pattern in names.items():
+        filled = []
+        for k, piece in enumerate(pattern.replace("{mark}", "\0m\0").replace("{model}", "\0n\0").split("\0")):
+            filled.append((mark if piece == "m" else model) if k % 2 else F.lit(piece))
+        out = F.when(condition == name, F.concat(*filled)).otherwise(out)
+    return out
+
+
+def heatmap_label(condition: Column, model: Column, names: dict[str, str], whole: str = "age/sex/BMI") -> Column:
+    """The label without a mark: cohorts with different fields share one row of a heat map."""
+    return display_label(condition, model, F.lit(whole), names, whole)
+
+
+def metric_text(value: Column, deviation: Column, seeded: Column, digits: int = 2) -> Column:
+    """A metric as text, for seeded methods with its deviation over seeds on a second line; null without a value."""
+    shown = lambda x: F.format_string(f"%.{digits}f", x.cast("double"))
+    return F.when(value.isNotNull(), F.when(seeded & deviation.isNotNull(), F.concat(shown(value), F.lit("\n±"), shown(deviation))).otherwise(shown(value)))
+
+
 def information_sources(metrics: DataFrame, constants: DataFrame, lifts: DataFrame, keys: list[str], methods: list[str]) -> DataFrame:
     """One row for each of the keys: each method's MAE, the contrast with a constant, both lifts and whether the combination beats both; each part is aggregated before the joins."""
     wide = metrics.groupBy(*keys).pivot("method", methods).agg(F.first("mae"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rounded
-from ..operators import manifest, reports, ridge, scans, scoring, transforms, waveform
+from ..operators import contrasts, manifest, reports, ridge, scans, scoring, transforms, waveform
 from .base import PRED, SUBJECTS, predictions, query, sql_metrics, sql_moments, sql_units, subjects, table
 from .evaluation import _ORDER_UNITS, _order_units, complementarity, constant_contrast, paired_bootstrap_ci
 from .base import ORACLE_SQL as _ORACLE
@@ -89,7 +89,8 @@ def _segments(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {_SEGMENTS}, w AS (SELECT cohort, count(DISTINCT subject_id) AS subjects, count(DISTINCT measurement_id) AS measurements,
- count(*) AS segments,
+ count(*) AS segments, count(*) AS input_windows, 'source ' || cohort AS source, quantile_cont(n_samples * 2.0 / sample_rate_hz, 0.5) AS label_duration_median,
+ array_to_string(list_sort(list(DISTINCT CASE WHEN n_samples % 2 = 0 THEN 'segment' ELSE 'measurement' END)), ',') AS label_scope,
  array_to_string(list_sort(list(DISTINCT sample_rate_hz)), ',') AS sample_rates_hz, quantile_cont(n_samples / sample_rate_hz, 0.5) AS duration_median,
  min(n_samples / sample_rate_hz) AS duration_min, max(n_samples / sample_rate_hz) AS duration_max, avg(CASE WHEN age IS NULL THEN 1.0 ELSE 0.0 END) AS age_missing,
  avg(CASE WHEN sex IS NULL OR lower(sex) = 'unknown' THEN 1.0 ELSE 0.0 END) AS sex_missing, avg(CASE WHEN bmi IS NULL THEN 1.0 ELSE 0.0 END) AS bmi_missing
@@ -100,13 +101,15 @@ l AS (SELECT cohort, count(*) AS label_units, {', '.join(f'round(avg({c}), 6) AS
  FROM u GROUP BY cohort),
 p AS (SELECT cohort, count(*) FILTER (s = 'female') AS female_subjects, count(*) FILTER (s = 'male') AS male_subjects
  FROM (SELECT cohort, subject_id, lower(min(sex)) AS s FROM sg GROUP BY ALL) GROUP BY cohort)
-SELECT * REPLACE (round(duration_median, 6) AS duration_median, round(duration_min, 6) AS duration_min,
+SELECT * REPLACE (round(label_duration_median, 6) AS label_duration_median, round(duration_median, 6) AS duration_median, round(duration_min, 6) AS duration_min,
  round(duration_max, 6) AS duration_max, round(age_missing, 6) AS age_missing, round(sex_missing, 6) AS sex_missing,
  round(bmi_missing, 6) AS bmi_missing)
 FROM w JOIN l USING (cohort) JOIN p USING (cohort)""")
 def manifest_summary(spark, d):
-    names = ["duration_median", "duration_min", "duration_max", "age_missing", "sex_missing", "bmi_missing", "sbp_mean", "sbp_sd", "dbp_mean", "dbp_sd"]
-    return _round(reports.manifest_summary(_segments(spark, d), ["cohort"]), names, 6)
+    names = ["label_duration_median", "duration_median", "duration_min", "duration_max", "age_missing", "sex_missing", "bmi_missing", "sbp_mean", "sbp_sd", "dbp_mean", "dbp_sd"]
+    scope = F.when(F.col("n_samples") % 2 == 0, "segment").otherwise("measurement")
+    rows = _segments(spark, d).withColumns({"label_scope": scope, "label_duration_seconds": F.col("n_samples") * 2.0 / F.col("sample_rate_hz"), "source": F.concat(F.lit("source "), F.col("cohort").cast("string"))})
+    return _round(reports.manifest_summary(rows, ["cohort"]), names, 6)
 
 
 @query(f"""WITH {_SEGMENTS}, b AS (SELECT cohort, subject_id, max(age) AS age, coalesce(lower(max(sex)), 'unknown') AS sex, list_sort(list(DISTINCT bmi) FILTER (bmi IS NOT NULL)) AS v
@@ -431,3 +434,48 @@ SELECT user_id, n, arg_max(f, struct_pack(p := p, g := -f)) AS peak_hz, round(ma
 def spectral_argmax(spark, d):
     placed = scans.numbered_from(_samples(spark, d), ["user_id"], ["ts", "event_id"], "place")
     return _round(waveform.band_peak(placed, ["user_id"], "place", "value", 30.0, BAND), ["peak_power"])
+
+
+#: Labels of the methods that these queries score.
+LABELS = {"signal": "Signal {model}", "covariates": "Covariates only{mark}", "signal_plus": "Signal {model} + covariates{mark}"}
+
+
+@query(f"""WITH {PRED}, {sql_units('cohort, method')}, {sql_moments('cohort, method', 'units')}, {sql_metrics('cohort, method', 'moments')}
+SELECT cohort, method, CASE method WHEN 'signal' THEN 'Signal part' WHEN 'covariates' THEN 'Covariates only' || CASE WHEN cohort % 2 = 0 THEN '†' ELSE '' END
+ ELSE 'Signal part + covariates' || CASE WHEN cohort % 2 = 0 THEN '†' ELSE '' END END AS label,
+ CASE method WHEN 'signal' THEN 'Signal part' WHEN 'covariates' THEN 'Covariates only' ELSE 'Signal part + covariates' END AS heatmap_label,
+ printf('%.2f', mae) || CASE WHEN method = 'signal' THEN chr(10) || '±' || printf('%.2f', rmse) ELSE '' END AS text FROM metrics""")
+def display_labels(spark, d):
+    metrics = scoring.balanced_metrics(scoring.scoring_units(predictions(spark, d), ["cohort", "method"]), ["cohort", "method"])
+    fields = F.when(F.col("cohort") % 2 == 0, "age/sex").otherwise("age/sex/BMI")
+    uses = ("covariates", "plus")
+    label = reports.display_label(F.col("method"), F.lit("part"), fields, LABELS, covariates=uses)
+    text = reports.metric_text(F.col("mae"), F.col("rmse"), F.col("method") == "signal")
+    return metrics.select("cohort", "method", label.alias("label"), reports.heatmap_label(F.col("method"), F.lit("part"), LABELS).alias("heatmap_label"), text.alias("text"))
+
+
+@query(f"""WITH {PRED}, {sql_units('cohort, method')}, {sql_moments('cohort, method', 'units')}, {sql_metrics('cohort, method', 'moments')},
+ m AS (SELECT *, cohort % 2 AS policy, CASE method WHEN 'signal' THEN 'none' ELSE 'age/sex' END AS fields FROM metrics)
+SELECT a.cohort, a.policy, a.fields AS demographic_fields, 'added' AS effect, a.method AS candidate, b.method AS reference, round(a.mae - b.mae, 4) + 0.0 AS delta_mae, round(a.rmse - b.rmse, 4) + 0.0 AS delta_rmse
+ FROM m a JOIN m b ON a.cohort = b.cohort AND a.policy = b.policy AND a.method = 'signal_plus' AND b.method = 'signal' AND b.fields = 'none'""")
+def condition_effects(spark, d):
+    metrics = scoring.balanced_metrics(scoring.scoring_units(predictions(spark, d), ["cohort", "method"]), ["cohort", "method"])
+    metrics = metrics.withColumns({"policy": F.col("cohort") % 2, "demographic_fields": F.when(F.col("method") == "signal", "none").otherwise("age/sex")}).withColumnRenamed("method", "condition")
+    effects = spark.createDataFrame([("added", "signal_plus", "signal"), ("alone", "covariates", "signal_only")], "effect string, candidate string, reference string")
+    return _round(contrasts.condition_effects(metrics, effects, ["cohort", "policy"]), ["delta_mae", "delta_rmse"])
+
+
+@query(f"""WITH {SUBJECTS}, o AS (SELECT s.cohort, s.subject_id, s.acctbal, CASE WHEN o.o_orderkey % 3 = 0 THEN NULL ELSE round(o.o_totalprice / 1e4, 0) END AS bmi,
+ CASE s.subject_id % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'male' END AS sex FROM orders o JOIN subjects s ON o.o_custkey = s.subject_id),
+ c AS (SELECT cohort, subject_id, min(acctbal) AS age, coalesce(min(sex), 'unknown') AS sex, list_distinct(list(bmi) FILTER (bmi IS NOT NULL)) AS b FROM o GROUP BY ALL),
+ k AS (SELECT *, len(b) AS bmi_values, list_aggregate(b, 'quantile_cont', 0.5) AS bmi FROM c)
+SELECT cohort, count(*) AS n_subjects, count(age) AS age_observed, round(avg(age), 4) AS age_mean, min(age) AS age_min, max(age) AS age_max, count(bmi) AS bmi_observed,
+ round(avg(bmi), 4) AS bmi_mean, min(bmi) AS bmi_min, max(bmi) AS bmi_max, count(*) FILTER (bmi_values > 1) AS bmi_several, count(*) FILTER (sex = 'female') AS female,
+ count(*) FILTER (sex = 'male') AS male, count(*) FILTER (sex = 'unknown') AS neither, round(quantile_cont(age, 0.5), 4) AS age_median, round(quantile_cont(bmi, 0.5), 4) AS bmi_median FROM k GROUP BY cohort""")
+def covariate_distribution(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    rows = orders.join(subjects(spark, d), F.col("o_custkey") == F.col("subject_id"))
+    sex = F.when(F.col("subject_id") % 3 == 0, "female").when(F.col("subject_id") % 3 == 1, "male")
+    bmi = F.when(F.col("o_orderkey") % 3 != 0, F.round(F.col("o_totalprice") / 1e4, 0))
+    made = reports.canonical_covariates(rows.select("cohort", "subject_id", F.col("acctbal").alias("age"), sex.alias("sex"), bmi.alias("bmi")), ["cohort"])
+    return _round(reports.covariate_distribution(made, ["cohort"]), ["age_mean", "bmi_mean", "age_median", "bmi_median"])

@@ -554,3 +554,29 @@ def test_table_functions_in_sql(spark):
         spark.sql("SELECT * FROM gap_sessions(TABLE(visits) PARTITION BY who ORDER BY (at), 'nope', 10)").collect()
     made = spark.sql("SELECT t.* FROM (SELECT '1.5 x  3' AS s UNION ALL SELECT NULL) r, LATERAL numbers_of(r.s) t ORDER BY place")
     assert [tuple(r) for r in made.collect()] == [(0, 1.5), (1, None), (2, 3.0)]
+
+
+def test_labels_and_metric_text(spark):
+    names = {"frozen": "Frozen {model}", "frozen_demographics": "Frozen {model} + Demo{mark}", "demographics": "Demo only{mark}"}
+    rows = spark.createDataFrame([("frozen", "net", "none", 1.234, 0.5), ("frozen_demographics", "net", "age/sex", 2.0, None), ("demographics", "-", "age/sex/BMI", None, 1.0)], "c string, m string, f string, v double, s double")
+    made = rows.select(reports.display_label(F.col("c"), F.col("m"), F.col("f"), names).alias("a"), reports.heatmap_label(F.col("c"), F.col("m"), names).alias("b"), reports.metric_text(F.col("v"), F.col("s"), F.col("c").startswith("frozen")).alias("t")).collect()
+    assert [tuple(r) for r in made] == [("Frozen net", "Frozen net", "1.23\n±0.50"), ("Frozen net + Demo†", "Frozen net + Demo", "2.00"), ("Demo only", "Demo only", None)]
+    with pytest.raises(Exception, match="no label"):
+        rows.select(reports.display_label(F.col("c"), F.col("m"), F.col("f"), {"frozen": "x"})).collect()
+
+
+def test_matrix_of_contrasts_is_complete_or_raises(spark):
+    rows = spark.createDataFrame([("c", m, s, f"s{k}", "m", 10.0, 10.0 + k + (m == "b") + s) for m in "ab" for s in (1, 2) for k in range(6)], "cohort string, method string, seed int, subject_id string, measurement_id string, y_true double, y_pred double")
+    specs = spark.createDataFrame([("x", "b", "a")], "contrast string, candidate string, reference string")
+    made = contrasts.complete_contrasts(rows, specs, ["cohort"], {"cohort": ["c"], "contrast": ["x"]}, 50).first()
+    assert made["delta"] == 1.0 and made["ci_low"] == made["ci_high"] == 1.0 and made["n_seeds"] == 2
+    with pytest.raises(ValueError, match="missing"):
+        contrasts.complete_contrasts(rows, specs, ["cohort"], {"cohort": ["c", "d"], "contrast": ["x"]}, 5)
+    with pytest.raises(ValueError, match="unexpected"):
+        contrasts.complete_contrasts(rows, specs, ["cohort"], {"cohort": ["c"], "contrast": ["y"]}, 5)
+    faults = contrasts.missing_entries(rows.select("cohort", "seed"), {"cohort": ["c"], "seed": [1, 2, 3]})
+    assert sorted((r["seed"], r["fault"]) for r in faults.collect()) == [(1, "repeated"), (2, "repeated"), (3, "missing")]
+    summary = bootstrap.benchmark_summary(rows, ["cohort"], ["cohort", "method"], 50).where("method = 'a'").first()
+    assert summary["mae"] == pytest.approx(4.0) and summary["mae_seed_sd"] == pytest.approx(math.sqrt(0.5)) and summary["mae_ci_low"] < 4 < summary["mae_ci_high"] and summary["n_seeds"] == 2
+    with pytest.raises(ValueError, match="different units"):
+        bootstrap.benchmark_summary(rows.where("seed = 1 or subject_id <> 's0'"), ["cohort"], ["cohort", "method"], 5)
