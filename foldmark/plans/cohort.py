@@ -144,9 +144,9 @@ def subject_table_bins(spark, d):
 
 
 @query(f"""WITH {_BINNED}, el AS (SELECT subject_id, stratum FROM binned WHERE n_rows >= 2), sz AS (SELECT stratum, count(*) AS n FROM el GROUP BY stratum),
-al AS (SELECT stratum, n, n * (300.0::DOUBLE / (SELECT sum(n) FROM sz)::DOUBLE) AS ideal, (SELECT count(*) FROM sz) AS strata FROM sz),
-a0 AS (SELECT *, CASE WHEN floor(ideal) = 0 AND strata <= 300 THEN 1 ELSE CAST(floor(ideal) AS BIGINT) END AS first FROM al),
-ov AS (SELECT CAST(sum(first) - 300 AS BIGINT) AS over FROM a0),
+al AS (SELECT stratum, n, n * (120.0::DOUBLE / (SELECT sum(n) FROM sz)::DOUBLE) AS ideal, (SELECT count(*) FROM sz) AS strata FROM sz),
+a0 AS (SELECT *, CASE WHEN floor(ideal) = 0 AND strata <= 120 THEN 1 ELSE CAST(floor(ideal) AS BIGINT) END AS first FROM al),
+ov AS (SELECT CAST(sum(first) - 120 AS BIGINT) AS over FROM a0),
 mv AS (SELECT stratum, -1 AS change, ideal - first + step AS rank FROM a0, ov, unnest(range(greatest(0, least(first - 1, over)))) u(step) WHERE over > 0
  UNION ALL SELECT stratum, 1, first - ideal FROM a0, ov WHERE over < 0 AND first < n),
 ch AS (SELECT stratum, sum(change) AS change FROM (SELECT *, row_number() OVER (ORDER BY rank, stratum) AS p FROM mv) WHERE p <= (SELECT abs(over) FROM ov) GROUP BY stratum),
@@ -155,7 +155,7 @@ pl AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {sql_key('2026
 SELECT subject_id, stratum FROM pl JOIN qu USING (stratum) WHERE p <= quota""")
 def stratified_sample(spark, d):
     rows = binned_subjects(spark, d)
-    return sampling.stratified_sample(rows, "stratum", 300, "20260715", F.col("n_rows") >= 2).select("subject_id", "stratum")
+    return sampling.stratified_sample(rows, "stratum", 120, "20260715", F.col("n_rows") >= 2).select("subject_id", "stratum")
 
 
 _FOLDED = f"""{_BINNED}, pl AS (SELECT *, row_number() OVER (ORDER BY stratum, {sql_key('11', 'subject_id')}, subject_id) AS place
