@@ -545,3 +545,42 @@ def test_joined_unevenly_is_a_join(spark):
 def test_same_as_sql(spark, name):
     sf_dir = "/root/testdata/sf0.001"
     assert differences(spark, database(sf_dir), name, queries.QUERIES[name], queries.ORACLE_SQL[name], sf_dir) == ""
+
+
+def test_mix_of_very_many_sources(spark):
+    rows = [(k, f"s{k % 20_000}" if k % 20_000 else None, "w " * (1 + k % 7)) for k in range(24_000)] + [(30_000 + k, "hot", "w w") for k in range(9_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sizes, of = Counter(), {}
+    for k, s, t in rows:
+        sizes[s] += len(t.split())
+        of[k] = s
+    expected = plain_targets(sizes)
+    found = mixing.draw(docs).collect()
+    assert len(found) == len(rows)
+    taken = Counter()
+    for r in found:
+        assert abs(r["target"] - expected[of[r["doc_id"]]]) < 1e-6 and r["source_size"] == sizes[of[r["doc_id"]]] and r["taken"] <= 3 * r["size"]
+        taken[of[r["doc_id"]]] += r["taken"]
+    assert all(expected[s] - 7 < taken[s] <= expected[s] + 1e-6 for s in sizes)
+
+
+def test_mix_with_joins_and_scans_is_that_with_broadcasts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k, None if k % 41 == 0 else f"s{int(rng.zipf(1.7)) % 40}", "w " * int(rng.integers(0, 30))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3, "doc_id")
+    all_of = lambda: sorted((r["doc_id"], r["target"], r["taken"], tuple(r["shards"])) for r in mixing.draw(docs).collect())
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
+    once = all_of()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    monkeypatch.setattr(mixing.scans, "ROWS", 8)
+    assert all_of() == once
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 7)
+    grouped = all_of()
+    assert [r[:3] for r in grouped] == [r[:3] for r in once]
+
+
+def test_mix_does_not_depend_on_partitions(spark):
+    rows = [(k % 150, f"s{k % 4}", prose(k % 150, 9)) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    three, seven = ([tuple(r) for r in mixing.mixed(docs.repartition(n)).collect()] for n in (3, 7))
+    assert three == seven
