@@ -138,7 +138,7 @@ def _reached(rows: DataFrame, block: str) -> DataFrame:
 
 
 def draw(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, row: str | None = None) -> DataFrame:
-    """(row, doc_id, h, size, source_size, target, copies, taken, shards array<int>, one for each copy), a row for each document.
+    """(row, doc_id, h, source_id, size, source_size, target, copies, taken, shards array<int>, one for each copy), a row for each document.
 
     docs: doc_id, source, text and, where the caller wants to join back, a long column named by `row`.
     """
@@ -149,7 +149,7 @@ def draw(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     sizes = common.written(sizes, "sizes")
     n_sources = sizes.count()
     if not n_sources:
-        return docs.sparkSession.createDataFrame([], "row long, doc_id long, h long, size long, source_size long, target double, copies int, taken long, shards array<int>")
+        return docs.sparkSession.createDataFrame([], "row long, doc_id long, h long, source_id long, size long, source_size long, target double, copies int, taken long, shards array<int>")
     size, target = F.col("source_size"), F.col("target")
     whole = F.coalesce(F.when(size > 0, F.least(F.lit(most), F.floor(target / size))), F.lit(0)).cast("int")
     blocks = F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.floor(F.col("n") / BLOCK_ROWS), F.lit(ALL_BLOCKS // n_sources))).cast("int")
@@ -191,21 +191,21 @@ def draw(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     place = lambda k: F.pmod((k * F.col("blocks") + F.col("block")) * F.col("stride"), F.col("n_blocks"))
     taken = F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>"))
     shard = F.transform(taken, lambda k: F.least(F.size(F.filter(F.col("quotas"), lambda q: q <= place(k))), F.lit(shards - 1)))
-    return chosen.select("row", "doc_id", "h", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), shard.alias("shards"))
+    return chosen.select("row", "doc_id", "h", "source_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), shard.alias("shards"))
 
 
 def mixed(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, its columns as given, with `shard` and `position`, in the order of these two.
 
-    Written as a table, the files follow the shards, and rows within a shard are shuffled: by a hash of id, text, number among the rows equal in both, and
-    copy, so however the table is partitioned the mix is the same (but for which of such rows stands where).
+    Written as a table, the files follow the shards, and rows within a shard are shuffled: by a hash of id, text, source, number among the rows equal in
+    these, and copy, so however the table is partitioned the mix is the same (but for which of such rows stands where).
     """
     docs = docs.drop("shard", "position")
     row, own, copy, place = common.unused([*docs.columns, "shard", "position"], "row", "own", "copy", "place")
     numbered = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", compression="zstd")
-    drawn = common.written(draw(numbered, seed, row=row, **options).where("copies > 0").select("row", "doc_id", "h", "shards"), "copies")
-    equal = scans.numbered_from(drawn, ["doc_id", "h"], ["row"], "n")
-    copies = equal.select("doc_id", "h", "n", F.col("row").alias(own), F.posexplode("shards").alias(copy, "shard"))
-    copies = copies.select(own, "shard", hashed(seed + "|shuffle", F.col("doc_id"), F.col("h"), F.col("n"), F.col(copy)).alias(place))
+    drawn = common.written(draw(numbered, seed, row=row, **options).where("copies > 0").select("row", "doc_id", "h", "source_id", "shards", (-F.col("copies")).alias("fewer")), "copies")
+    equal = scans.numbered_from(drawn, ["doc_id", "h", "source_id"], ["fewer", "row"], "n")
+    copies = equal.select("doc_id", "h", "source_id", "n", F.col("row").alias(own), F.posexplode("shards").alias(copy, "shard"))
+    copies = copies.select(own, "shard", hashed(seed + "|shuffle", F.col("doc_id"), F.col("h"), F.col("source_id"), F.col("n"), F.col(copy)).alias(place))
     joined = numbered.join(copies, numbered[row] == copies[own])
     return joined.select(*docs.columns, "shard", F.col(place).alias("position")).orderBy("shard", "position")
