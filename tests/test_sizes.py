@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from foldmark.operators import scoring
-from foldmark.plans import base
+from foldmark.plans import QUERIES, base
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -19,3 +19,13 @@ def test_predictions_deal_lines_to_more_tasks_where_there_are_more(spark, monkey
     # units and moments are grouped where the rows were dealt to, without another shuffle
     plan = scoring.balanced_metrics(scoring.scoring_units(made, ["cohort", "method"]), ["cohort", "method"])._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning\(.*subject_id", plan)) == 0 and len(re.findall(r"Exchange hashpartitioning\(o_custkey", plan)) == 1
+
+
+def scans_of(df, name: str) -> int:
+    """How often a frame's plan reads a table."""
+    return df._jdf.queryExecution().executedPlan().toString().count(f"/{name}.parquet")
+
+
+def test_manifest_summary_makes_its_segments_once(spark):
+    made = QUERIES["manifest_summary"](spark, SF_DIR)
+    assert scans_of(made, "lineitem") == scans_of(made, "orders") == 0 and made.count() == 5
