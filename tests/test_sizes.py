@@ -29,3 +29,10 @@ def scans_of(df, name: str) -> int:
 def test_manifest_summary_makes_its_segments_once(spark):
     made = QUERIES["manifest_summary"](spark, SF_DIR)
     assert scans_of(made, "lineitem") == scans_of(made, "orders") == 0 and made.count() == 5
+
+
+def test_constants_are_compared_on_units_made_once(spark):
+    made = QUERIES["constant_contrast"](spark, SF_DIR)
+    assert scans_of(made, "lineitem") == scans_of(made, "orders") == 0 and made.count() == 10
+    # metrics and the two lifts read the lines; nothing of the constants does
+    assert scans_of(QUERIES["information_source_table"](spark, SF_DIR), "lineitem") == 2
