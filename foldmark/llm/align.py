@@ -24,6 +24,7 @@ import itertools
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ HEAD = 1 << 20
 COUNTED = 1 << 21
 #: Words that a worker remembers for each tokenizer, and their greatest length.
 STORE, STORE_CHARS = 200_000, 64
+#: Words that A and B encode in one call; their tokens are told apart by the bytes that they spell.
+TOGETHER_A, TOGETHER_B = 512, 64
 #: The first probe of a diagonal, in tokens.
 PROBE = 4
 #: Marks that stand for a space in B's pieces, and B's byte pieces.
@@ -70,8 +73,23 @@ class _Words:
     def encoded(self, words: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
+    def together(self, words: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+        """Words with the ids of all of them, one word's after another's; words that must be encoded apart may be left out."""
+        raise NotImplementedError
+
     def entries(self, words: set[str]) -> None:
-        missing = list(words.difference(self.store))
+        """Puts words that aren't in the store into it."""
+        missing = list(words)
+        for part, ids in self.together(missing):
+            place = np.array(ids, np.int64)
+            lengths = self.lengths[place]
+            ends, due = np.cumsum(lengths), np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in part])
+            upto = np.searchsorted(ends, due, "right")
+            # else words that don't spell themselves, which are then encoded one by one
+            if lengths.all() and np.array_equal(ends[upto - 1], due) and b"".join(map(self.spelled.__getitem__, ids)) == "".join(part).encode():
+                raw, cuts = place.astype(self.packed).tobytes(), (upto * self.packed.itemsize).tolist()
+                self.store.update(zip(part, [raw[begin:end] for begin, end in zip([0, *cuts], cuts, strict=False)], strict=True))
+        missing = [w for w in missing if w not in self.store]
         for word, ids in zip(missing, self.encoded(missing) if missing else (), strict=True):
             self.store[word] = np.array(ids, self.packed).tobytes()
             raw = b"".join([self.spelled[i] for i in ids])
@@ -81,20 +99,22 @@ class _Words:
     def ids(self, texts: list[str]) -> list[np.ndarray | None]:
         """Ids of each text in a row, None where they don't spell the text."""
         split = [self.split(t) for t in texts]
-        used = set(itertools.chain.from_iterable(split))
-        self.entries(used)
+        met = set(itertools.filterfalse(self.store.__contains__, itertools.chain.from_iterable(split)))
+        self.entries(met)
         store, found = self.store, []
         for text, words in zip(texts, split, strict=True):
-            ids = np.frombuffer(b"".join([store[w] for w in words]), self.packed)
+            ids = np.frombuffer(b"".join(map(store.__getitem__, words)), self.packed)
             if self.odd and not self.odd.keys().isdisjoint(words) and b"".join([self.odd.get(w) or w.encode() for w in words]) != text.encode():
                 ids = None
             found.append(ids)
-        for word in [w for w in used if len(w) > STORE_CHARS]:
+        for word in [w for w in met if len(w) > STORE_CHARS]:
             del store[word]
             self.odd.pop(word, None)
         if len(store) > STORE:
-            store.clear()
-            self.odd.clear()
+            # the words of this step stay, frequent ones are among them
+            used = store.keys() & set(itertools.chain.from_iterable(split))
+            self.store = {w: store[w] for w in used} if len(used) <= STORE // 2 else {}
+            self.odd = {w: raw for w, raw in self.odd.items() if w in self.store}
         return found
 
 
@@ -120,6 +140,10 @@ class LettersBPE(_Words):
     def encoded(self, words: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def together(self, words: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+        for part in itertools.batched(words, TOGETHER_A):
+            yield part, self.tokenizer.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids
+
 
 class PiecesBPE(_Words):
     """B: a sentencepiece model that puts a space before the text; words are given with it."""
@@ -141,6 +165,11 @@ class PiecesBPE(_Words):
         # the model drops the space that it adds where nothing follows
         return [self.space if w == " " else ids for w, ids in zip(words, self.model.encode([w[1:] for w in words], num_threads=1), strict=True)]
 
+    def together(self, words: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+        # words that `split` would cut out of their joined text again; the first one's space is the one that the model adds
+        parts = [list(p) for p in itertools.batched([w for w in words if MARK not in w and w[-1] != " "], TOGETHER_B)] if self.apart else []
+        return zip(parts, self.model.encode(["".join(p)[1:] for p in parts], num_threads=1) if parts else [], strict=True)
+
 
 class Pair:
     """The two tokenizers of a worker."""
@@ -168,49 +197,48 @@ class Pair:
 def walk(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The links of two tokenisations of the same bytes, as indices of tokens, from the tokens' lengths."""
     a, b = lengths_a.astype("<u4").tobytes(), lengths_b.astype("<u4").tobytes()
-    ends_a, ends_b = np.cumsum(lengths_a).tolist(), np.cumsum(lengths_b).tolist()
-    n, m = len(ends_a), len(ends_b)
-    first_a, first_b, runs = [], [], []
+    of_a, of_b = lengths_a.tolist(), lengths_b.tolist()
+    n, m = len(of_a), len(of_b)
+    # a link is one number, its token of A times 2^32 and its token of B
+    firsts, runs, singles = [], [], []
     i = j = 0
     while i < n:
         # along the diagonal: both arrays end on one byte before i and j, so equal lengths are equal ends at this shift
-        at, shift, probe = 4 * i, 4 * (j - i), 4 * PROBE
-        limit = 4 * (n if n - i < m - j else i + m - j)
-        while at + probe <= limit and a[at : at + probe] == b[at + shift : at + shift + probe]:
-            at += probe
-            probe += probe
-        while probe > 4:
-            probe >>= 1
-            if at + probe <= limit and a[at : at + probe] == b[at + shift : at + shift + probe]:
+        if of_a[i] == of_b[j]:
+            at, shift, probe = 4 * i, 4 * (j - i), 4 * PROBE
+            limit = 4 * (n if n - i < m - j else i + m - j)
+            while at + probe <= limit and a[at : at + probe] == b[at + shift : at + shift + probe]:
                 at += probe
-        run = (at >> 2) - i
-        if run:
-            first_a.append(i)
-            first_b.append(j)
+                probe += probe
+            while probe > 4:
+                probe >>= 1
+                if at + probe <= limit and a[at : at + probe] == b[at + shift : at + shift + probe]:
+                    at += probe
+            run = (at >> 2) - i
+            firsts.append(i << 32 | j)
             runs.append(run)
             i += run
             j += run
             if i == n:
                 break
         # an irregular group: the side that ends first goes on, until both end on one byte
-        end_a, end_b = ends_a[i], ends_b[j]
-        while True:
-            first_a.append(i)
-            first_b.append(j)
-            runs.append(1)
-            if end_a == end_b:
-                break
-            if end_a < end_b:
+        ahead = of_a[i] - of_b[j]
+        singles.append(i << 32 | j)
+        while ahead:
+            if ahead < 0:
                 i += 1
-                end_a = ends_a[i]
+                ahead += of_a[i]
             else:
                 j += 1
-                end_b = ends_b[j]
+                ahead -= of_b[j]
+            singles.append(i << 32 | j)
         i += 1
         j += 1
     count = np.array(runs, np.int64)
     along = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return np.repeat(np.array(first_a, np.int64), count) + along, np.repeat(np.array(first_b, np.int64), count) + along
+    links = np.concatenate([np.repeat(np.array(firsts, np.int64), count) + along * ((1 << 32) + 1), np.array(singles, np.int64)])
+    links.sort()
+    return links >> 32, links & 0xFFFFFFFF
 
 
 class Aligned:

@@ -185,6 +185,31 @@ def test_links(spark, ranks):
         assert sorted(zip(got[i]["link_a"], got[i]["link_b"], strict=True)) == sorted(links)
 
 
+def test_words_encoded_together_have_the_ids_of_words_encoded_apart(monkeypatch):
+    r = random.Random(9)
+    texts = [" " + odd_text(r, 60) for _ in range(200)] + [" " + prose(3, 300), " ", "   ", " ▁a ▁ b ", " x  "]
+    for words in (align.LettersBPE(queries.LETTERS, queries.PATTERN), align.PiecesBPE(queries.PIECES)):
+        met, given = {w for t in texts for w in words.split(t)}, []
+        apart = dict(zip(met, words.encoded(list(met)), strict=True))
+        one_by_one = words.encoded
+        monkeypatch.setattr(words, "encoded", lambda x, given=given, f=one_by_one: given.extend(x) or f(x))
+        words.entries(met)
+        assert {w: np.frombuffer(x, words.packed).tolist() for w, x in words.store.items()} == {w: list(x) for w, x in apart.items()}
+        spelled = {w: b"".join(words.spelled[i] for i in x) for w, x in apart.items()}
+        assert words.odd == {w: raw for w, raw in spelled.items() if raw != w.encode()}
+        usual = " " + prose(4, 300)
+        given.clear()
+        assert words.ids([usual])[0].tolist() == [i for x in one_by_one(words.split(usual)) for i in x] and not given
+
+
+def test_a_full_store_keeps_the_words_in_use(monkeypatch):
+    monkeypatch.setattr(align, "STORE", 40)
+    words = align.LettersBPE(queries.LETTERS, queries.PATTERN)
+    words.ids(["".join(f" {c}" for c in "abcdefghijklmnopqrstuvwxyzABCD")])
+    words.ids([" a b" + "".join(f" {c}" for c in "EFGHIJKLMNOPQRS")])
+    assert words.store.keys() == {f" {c}" for c in "abEFGHIJKLMNOPQRS"}
+
+
 def test_diagonals_of_every_shape():
     """The walk against all ends, with long one-to-one stretches, shifts that change, and long irregular groups."""
     r = np.random.default_rng(5)
