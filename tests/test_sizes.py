@@ -4,8 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from foldmark.operators import scoring
-from foldmark.plans import QUERIES, base
+from foldmark.operators import rules, scoring
+from foldmark.plans import QUERIES, base, checks
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -36,3 +36,17 @@ def test_constants_are_compared_on_units_made_once(spark):
     assert scans_of(made, "lineitem") == scans_of(made, "orders") == 0 and made.count() == 10
     # metrics and the two lifts read the lines; nothing of the constants does
     assert scans_of(QUERIES["information_source_table"](spark, SF_DIR), "lineitem") == 2
+
+
+def test_unit_rules_run_where_the_lines_were_dealt_to(spark):
+    found = rules.unit_violations(checks.faulty_units(spark, SF_DIR), ["cohort", "subject_id", "measurement_id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # no row is multiplied, and only the two passes' own dealing shuffles by subject
+    assert "Expand" not in plan and len(re.findall(r"Exchange hashpartitioning\(.*measurement_id", plan)) == 0
+
+
+def test_counts_of_segments_differ_only_where_two_are_known(spark):
+    rows = [(1, "m1", 4), (1, "m2", 4), (2, "m1", 4), (2, "m2", 5), (3, "m1", None), (3, "m2", 4), (4, "m1", None), (4, "m2", None)]
+    units = spark.createDataFrame([(0, s, 0, m, 0, 1.0, 1.0, n) for s, m, n in rows], "cohort int, subject_id int, measurement_id int, method string, fold int, y_true double, y_pred double, n_segments int")
+    found = rules.unit_violations(units, ["cohort", "subject_id", "measurement_id"]).collect()
+    assert [(r["rule"], r["key"]) for r in found] == [("equal_counts", "0|2|0")]
