@@ -50,3 +50,17 @@ def test_counts_of_segments_differ_only_where_two_are_known(spark):
     units = spark.createDataFrame([(0, s, 0, m, 0, 1.0, 1.0, n) for s, m, n in rows], "cohort int, subject_id int, measurement_id int, method string, fold int, y_true double, y_pred double, n_segments int")
     found = rules.unit_violations(units, ["cohort", "subject_id", "measurement_id"]).collect()
     assert [(r["rule"], r["key"]) for r in found] == [("equal_counts", "0|2|0")]
+
+
+def test_seeds_are_compared_where_the_units_were_grouped(spark):
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        units = scoring.scoring_units(base.predictions(spark, SF_DIR), ["cohort", "method", "seed"])
+        found = rules.seed_pairing_violations(units, ["cohort", "subject_id", "measurement_id"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    # no unit is dealt out by cohort and method, of which there are few
+    assert len(re.findall(r"Exchange hashpartitioning\(cohort", plan)) == 0 and "o_custkey" in plan
+    assert found.count() > 0
