@@ -64,3 +64,17 @@ def test_seeds_are_compared_where_the_units_were_grouped(spark):
     # no unit is dealt out by cohort and method, of which there are few
     assert len(re.findall(r"Exchange hashpartitioning\(cohort", plan)) == 0 and "o_custkey" in plan
     assert found.count() > 0
+
+
+def test_moments_are_made_once_and_drawn_without_dealing_them_out_by_key(spark):
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        for name in ("bootstrap_ci", "seed_bootstrap_ci"):
+            made = QUERIES[name](spark, SF_DIR)
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            # the joins with the keys' levels send no moments through a shuffle
+            assert scans_of(made, "lineitem") == 0 and "SortMergeJoin" not in plan and made.count() == 15
+        assert scans_of(QUERIES["benchmark_summary"](spark, SF_DIR), "lineitem") == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
